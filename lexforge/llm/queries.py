@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from lexforge.llm import mixing, urls
+from lexforge.llm import bpe, media, mixing, urls, warc
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op5_bpe": bpe.op5_bpe,
+    "op6_warc": warc.op6_warc,
+    "op9_media": media.op9_media,
     "op10_url_filter": urls.op10_url_filter,
 }
+#: Ops 1, 3, 4, 5, 7, 8 and 9 can't be said in SQL; tests hold them against brute force.
 SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op10_url_filter": urls.OP10_SQL,
 }
