@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexforge.llm import bpe, media, mixing, urls, warc
+from lexforge.llm import bpe, hmm, media, mixing, urls, warc
 
 QUERIES = {
+    "op1_hmm": hmm.op1_hmm,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op5_bpe": bpe.op5_bpe,
     "op6_warc": warc.op6_warc,
