@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lexforge.llm import bpe, hmm, media, mixing, urls, warc
+from lexforge.llm import bpe, hmm, media, mixing, neardup, toxicity, urls, warc
 
 QUERIES = {
     "op1_hmm": hmm.op1_hmm,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op5_bpe": bpe.op5_bpe,
     "op6_warc": warc.op6_warc,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_media": media.op9_media,
     "op10_url_filter": urls.op10_url_filter,
 }
