@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexforge.llm import bpe, hmm, hnsw, media, mixing, neardup, toxicity, urls, warc
+from lexforge.llm import bpe, hmm, hnsw, media, mixing, neardup, suffixes, toxicity, urls, warc
 
 QUERIES = {
     "op1_hmm": hmm.op1_hmm,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_hnsw": hnsw.op3_hnsw,
+    "op4_suffix_dedup": suffixes.op4_suffix_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_warc": warc.op6_warc,
     "op7_toxicity": toxicity.op7_toxicity,
