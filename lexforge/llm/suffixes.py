@@ -202,28 +202,23 @@ def compare(open_rows: DataFrame, length: int, group_runs: int = GROUP_RUNS) ->
         wide = None
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) >= group_runs and r[0] != held[-1][0]:
+                if wide is not None and r[0] != wide:
+                    yield from spread(held)
+                    wide, held = None, []
+                if wide is None and len(held) >= group_runs and r[0] != held[-1][0]:
                     yield from settle(held)
                     held = []
-                if len(held) >= 2 * group_runs:  # one group, perhaps behind others
-                    last = held[-1][0]
-                    rest = [x for x in held if x[0] != last]
-                    if rest:
-                        yield from settle(rest)
-                    wide, held = last, [x for x in held if x[0] == last]
+                held.append(r)
+                if wide is not None and len(held) >= 4096:
                     yield from spread(held)
                     held = []
-                if wide is not None and r[0] == wide:
-                    held.append(r)
-                    if len(held) >= 4096:
-                        yield from spread(held)
-                        held = []
-                    continue
-                if wide is not None and held and held[0][0] == wide:
-                    yield from spread(held)
+                elif wide is None and len(held) >= 2 * group_runs:  # one large group, perhaps behind others
+                    wide = r[0]
+                    rest = [x for x in held if x[0] != wide]
+                    if rest:
+                        yield from settle(rest)
+                    yield from spread([x for x in held if x[0] == wide])
                     held = []
-                wide = None
-                held.append(r)
         if held:
             yield from (spread(held) if wide is not None else settle(held))
 
