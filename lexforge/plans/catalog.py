@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lexforge.plans import document_queries, record_queries, retrieval_queries
+
+QUERIES = {**retrieval_queries.QUERIES, **document_queries.QUERIES, **record_queries.QUERIES}
+ORACLE_SQL = {**retrieval_queries.SQL, **document_queries.SQL, **record_queries.SQL}
