@@ -51,7 +51,7 @@ def table_islands(lines: DataFrame, least: int = 2) -> DataFrame:
     pipe = F.trim("line").rlike(r"^\|.+\|$")
     rows = lines.withColumn("pipe", pipe).withColumn("island", F.col("line_no") - F.sum(F.col("pipe").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     tables = rows.where("pipe").groupBy("doc_id", "island").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_rows"), F.min_by("line", "line_no").alias("header")).where(F.col("n_rows") >= least)
-    cells = F.transform(F.slice(F.split(F.regexp_replace(F.trim("header"), r"^\||\|$", ""), r"\|"), 1, 4), F.trim)
+    cells = F.transform(F.slice(F.split(F.regexp_replace(F.trim("header"), r"^\||\|$", ""), r"\|"), 1, 4), lambda c: F.trim(c))
     return tables.withColumn("table_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_line"))).select("doc_id", "table_no", "first_line", "n_rows", F.array_join(cells, ", ").alias("summary"))
 
 

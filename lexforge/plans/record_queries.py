@@ -1,2 +1,183 @@
-QUERIES = {}
-SQL = {}
+"""Test-record, audit and evaluation queries over the driver's tables, each with its DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexforge.operators import records as H
+from lexforge.plans.retrieval_queries import _ASKED_SQL, asked
+from lexforge.sources.tables import table
+
+_SENTENCE = "CASE l_linenumber % 4 WHEN 0 THEN 'The ThCC shall not exceed ' || {q} || ' mm' WHEN 1 THEN 'at least ' || {q} || ' kN is required' WHEN 2 THEN 'a value of ' || {q} || ' g applies' ELSE 'no figure here' END"
+
+
+def _clauses(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(_SENTENCE.format(q="cast(cast(l_quantity AS int) AS string)")).alias("text"), F.expr("CASE l_linenumber % 2 WHEN 0 THEN 'ThCC' ELSE 'TCFC' END").alias("criterion"), F.expr("l_partkey % 60").cast("double").alias("value"))
+
+
+def limit_extract(spark: SparkSession, d: str) -> DataFrame:
+    rows = _clauses(spark, d).withColumn("lim", H.limit(F.col("text"), F.col("criterion")))
+    v, x, how = F.col("value"), F.col("lim.value"), F.col("lim.direction")
+    percent = H.headroom_percent(v, x)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", x.alias("limit_value"), how.alias("direction"), F.col("lim.unit").alias("unit"), H.verdict(v, x, how).alias("verdict"), H.headroom(v, x, how).alias("headroom"), F.round(percent, 1).alias("percent"), H.tightness(percent).alias("band"))
+
+
+def asof_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Each purchase with the user's latest view at or before it."""
+    e = table(spark, d, "events")
+    views = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("view_id"), F.col("value").alias("limit_value"))
+    bought = e.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    return H.as_of(bought, views, "user_id", "ts", "seen", "event_id", "view_id").select("event_id", "view_id", F.round("limit_value", 6).alias("limit_value"))
+
+
+def latest_limit(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 3 != 0, F.to_date("o_orderdate")).alias("effective"), "o_orderkey")
+    return H.latest(o, "o_custkey", "effective", "o_orderkey").select("o_custkey", "o_orderkey", F.col("effective").cast("string").alias("effective"))
+
+
+def harness_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Events as results, five to a record: schema, date, link and unit checks in order."""
+    e = table(spark, d, "events")
+    checks = [
+        (F.col("event_id") % 97 == 0, "schema: no criterion"),
+        (F.col("ts") < F.lit("2024-01-02").cast("timestamp"), "date before the first version"),
+        (F.col("user_id") % 41 == 0, "clause not found"),
+        ((F.col("event_type") == "error") & (F.col("event_id") % 10 == 3), "unit mismatch"),
+    ]
+    rows = e.select(F.expr("event_id div 5").alias("record_id"), (F.col("event_id") % 5).alias("position"), H.first_error(checks).alias("reason"))
+    return H.settle_records(rows)
+
+
+def close_to_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Per criterion, the five visible results with the least headroom to 100 mm."""
+    from pyspark.sql import Window
+
+    e = table(spark, d, "events")
+    seen = e.where(H.visible("7", F.col("event_id") % 2 == 1, F.col("user_id").cast("string"))).where("value is not null")
+    rows = seen.select("event_type", "event_id", H.headroom(F.col("value"), F.lit(100.0), F.lit("ceiling")).alias("headroom"))
+    n = F.row_number().over(Window.partitionBy("event_type").orderBy("headroom", "event_id"))
+    return rows.withColumn("place", n).where("place <= 5").select("event_type", "place", "event_id", F.round("headroom", 4).alias("headroom"))
+
+
+def margin_parse(spark: SparkSession, d: str) -> DataFrame:
+    return asked(spark).select("query_id", *[c.alias(k) for k, c in H.margin_question(F.col("query")).items()])
+
+
+def access_audit(spark: SparkSession, d: str) -> DataFrame:
+    """One audit row per event: the owner check first, the model gate last."""
+    e = table(spark, d, "events")
+    model = F.expr("CASE event_id % 4 WHEN 0 THEN 'gemini-free' WHEN 1 THEN 'ollama/7b' WHEN 2 THEN 'Groq-70b' ELSE 'other' END")
+    confidential, owner = F.col("event_id") % 2 == 0, F.when(F.col("user_id") % 5 != 0, F.col("user_id").cast("string"))
+    outcome = F.when(~H.visible("7", confidential, owner), "denied: owner").when(confidential & ~H.model_allowed(model), "denied: model").otherwise("allowed")
+    return e.select(outcome.alias("outcome"), F.to_date("ts").cast("string").alias("day")).groupBy("outcome", "day").agg(F.count("*").alias("n"))
+
+
+def inventory(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.upper("lang") == "EN").alias("english"), F.max("n_chars").alias("longest"))
+
+
+def version_history(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    item = F.struct((-F.unix_date(F.to_date("o_orderdate"))).alias("d"), "o_orderstatus", "o_orderkey")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_orderstatus"])), ",")
+    return o.groupBy("o_custkey").agg(text.alias("versions"))
+
+
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Outcome counts per day, the kinds of event playing the outcomes; every outcome is counted."""
+    e = table(spark, d, "events").withColumn("run", F.to_date("ts").cast("string"))
+    names = {"signup": "new", "click": "changed", "view": "duplicate", "error": "rejected", "purchase": "needs_ocr"}
+    return e.groupBy("run").agg(F.count("*").alias("items"), *[F.count_if(F.col("event_type") == k).alias(v) for k, v in names.items()], F.count_if(F.col("event_type").isin("signup", "click")).alias("accepted"))
+
+
+def timing_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Per order: total of the steps, overhead against the order's price, slowest step (ties: the first)."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    steps = li.groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("steps"), F.max_by("l_linenumber", F.struct(F.col("l_quantity"), (-F.col("l_linenumber")).alias("n"))).alias("slowest"))
+    rows = o.join(steps, F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.select("o_orderkey", "steps", F.greatest(F.lit(0), F.floor(F.col("o_totalprice") / 1000).cast("long") - F.col("steps")).alias("overhead"), "slowest")
+
+
+def token_spend(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.sum(F.length("props").cast("long")).alias("tokens"), F.countDistinct("user_id").alias("users"))
+
+
+def retrieval_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Word sets of neighbouring documents: what was added, removed, and their Jaccard similarity."""
+    docs = table(spark, d, "documents").where("n_chars < 3000").select("doc_id", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("w"))
+    pair = docs.alias("a").join(docs.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1)
+    return pair.select(F.col("a.doc_id").alias("doc_id"), F.size(F.array_except("b.w", "a.w")).alias("added"), F.size(F.array_except("a.w", "b.w")).alias("removed"), F.round(H.jaccard(F.col("a.w"), F.col("b.w")), 6).alias("jaccard"))
+
+
+CASES = [(1, ["the", "and"], ["the", "of"], ["idiot"]), (2, ["der"], ["der", "die"], ["moron"]), (3, ["zebra"], ["zebra"], ["xylophone"]), (4, ["les"], ["les", "une"], ["for"])]
+
+
+def case_eval(spark: SparkSession, d: str) -> DataFrame:
+    cases = spark.createDataFrame(CASES, "case_id int, must_contain array<string>, together array<string>, must_not array<string>")
+    hits = table(spark, d, "documents").where("doc_id < 40").select((F.col("doc_id") % 4 + 1).cast("int").alias("case_id"), "text")
+    return H.check_cases(cases, hits)
+
+
+def error_streaks(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("bad", F.col("event_type").isin("error", "click"))
+    return H.streaks(e, "user_id", "event_id", "bad", 3)
+
+
+QUERIES = {f.__name__: f for f in (limit_extract, asof_limit, latest_limit, harness_ingest, close_to_limit, margin_parse, access_audit, inventory, version_history, run_summary, timing_summary, token_spend, retrieval_diff, case_eval, error_streaks)}
+
+_LIMITS = """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 60 AS v, CAST(l_quantity AS INT) AS q, l_linenumber % 4 AS k FROM lineitem),
+l AS (SELECT *, CASE WHEN k < 3 THEN CAST(q AS DOUBLE) END AS x, CASE k WHEN 0 THEN 'ceiling' WHEN 1 THEN 'floor' WHEN 2 THEN 'ceiling' END AS how, CASE k WHEN 0 THEN 'mm' WHEN 1 THEN 'kn' WHEN 2 THEN 'g' END AS unit FROM c),
+p AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE abs(x - v) / x * 100 END AS pc FROM l)
+"""
+
+SQL = {
+    "limit_extract": _LIMITS + """SELECT l_orderkey, l_linenumber, l_partkey, x AS limit_value, how AS direction, unit,
+  CASE WHEN x IS NULL THEN NULL WHEN CASE WHEN how = 'floor' THEN v >= x ELSE v <= x END THEN 'PASS' ELSE 'FAIL' END AS verdict,
+  CASE WHEN how = 'floor' THEN v - x ELSE x - v END AS headroom, round(round(pc, 2), 1) AS percent,
+  CASE WHEN x IS NULL THEN 'clear' WHEN pc <= 0 THEN 'over' WHEN round(pc, 2) < 10 THEN 'tight' WHEN round(pc, 2) < 20 THEN 'close' ELSE 'clear' END AS band FROM p""",
+    "asof_limit": """
+WITH b AS (SELECT * FROM events WHERE event_type = 'purchase'), v AS (SELECT * FROM events WHERE event_type = 'view')
+SELECT b.event_id, arg_max(v.event_id, (epoch_us(v.ts), v.event_id)) AS view_id, round(arg_max(v.value, (epoch_us(v.ts), v.event_id)), 6) AS limit_value
+FROM b LEFT JOIN v ON v.user_id = b.user_id AND v.ts <= b.ts GROUP BY b.event_id""",
+    "latest_limit": """
+WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS e FROM orders)
+SELECT o_custkey, o_orderkey, CAST(e AS VARCHAR) AS effective FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY e DESC NULLS LAST, o_orderkey) = 1""",
+    "harness_ingest": """
+WITH r AS (SELECT event_id // 5 AS record_id, event_id % 5 AS position, CASE WHEN event_id % 97 = 0 THEN 'schema: no criterion' WHEN ts < TIMESTAMP '2024-01-02' THEN 'date before the first version'
+  WHEN user_id % 41 = 0 THEN 'clause not found' WHEN event_type = 'error' AND event_id % 10 = 3 THEN 'unit mismatch' END AS reason FROM events),
+s AS (SELECT record_id, arg_min(reason, position) FILTER (WHERE reason IS NOT NULL) AS reason, count(*) AS n_results FROM r GROUP BY record_id)
+SELECT *, CASE WHEN reason IS NULL THEN 'ACCEPTED' WHEN regexp_matches(reason, '^(schema|date)') THEN 'FAILED' ELSE 'REFUSED' END AS outcome FROM s""",
+    "close_to_limit": """
+WITH h AS (SELECT event_type, event_id, round(100.0 - value, 4) AS headroom FROM events WHERE (event_id % 2 <> 1 OR user_id = 7) AND value IS NOT NULL)
+SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY headroom, event_id) AS place, event_id, headroom FROM h QUALIFY place <= 5""",
+    "margin_parse": rf"""
+SELECT query_id, regexp_matches(query, '(?i)how (close|far)|margin|headroom') AS is_margin, CAST(nullif(regexp_extract(query, '(?i)(\d+(?:\.\d+)?)\s*mm\b', 1), '') AS DOUBLE) AS value,
+  'UN_R' || nullif(regexp_extract(upper(query), '\b(?:UN[ _]?)?R ?(\d{{1,3}})\b', 1), '') AS code FROM {_ASKED_SQL}""",
+    "access_audit": """
+WITH e AS (SELECT *, event_id % 2 = 0 AS conf, event_id % 4 IN (1, 2) AS ok FROM events)
+SELECT CASE WHEN conf AND user_id <> 7 THEN 'denied: owner' WHEN conf AND NOT ok THEN 'denied: model' ELSE 'allowed' END AS outcome, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM e GROUP BY ALL""",
+    "inventory": "SELECT source, count(*) AS total, count(*) FILTER (WHERE upper(lang) = 'EN') AS english, max(n_chars) AS longest FROM documents GROUP BY source",
+    "version_history": "SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderstatus, o_orderkey) AS versions FROM orders GROUP BY o_custkey",
+    "run_summary": """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run, count(*) AS items, count(*) FILTER (WHERE event_type = 'signup') AS new, count(*) FILTER (WHERE event_type = 'click') AS changed, count(*) FILTER (WHERE event_type = 'view') AS duplicate,
+  count(*) FILTER (WHERE event_type = 'error') AS rejected, count(*) FILTER (WHERE event_type = 'purchase') AS needs_ocr, count(*) FILTER (WHERE event_type IN ('signup', 'click')) AS accepted FROM events GROUP BY 1""",
+    "timing_summary": """
+WITH s AS (SELECT l_orderkey, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS steps, arg_max(l_linenumber, l_quantity * 100 - l_linenumber) AS slowest FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, steps, greatest(0, CAST(floor(o_totalprice / 1000) AS BIGINT) - steps) AS overhead, slowest FROM orders JOIN s ON l_orderkey = o_orderkey WHERE o_orderkey % 5 = 0""",
+    "token_spend": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(sum(length(props)) AS BIGINT) AS tokens, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
+    "retrieval_diff": r"""
+WITH d AS (SELECT doc_id, list_distinct(string_split_regex(lower(text), '\s+')) AS w FROM documents WHERE n_chars < 3000),
+p AS (SELECT a.doc_id, len(a.w) AS na, len(b.w) AS nb, len(list_intersect(a.w, b.w)) AS k FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, nb - k AS added, na - k AS removed, round(k::DOUBLE / (na + nb - k), 6) AS jaccard FROM p""",
+    "case_eval": """
+WITH c(case_id, must_contain, tog, must_not) AS (VALUES (1, ['the', 'and'], ['the', 'of'], ['idiot']), (2, ['der'], ['der', 'die'], ['moron']), (3, ['zebra'], ['zebra'], ['xylophone']), (4, ['les'], ['les', 'une'], ['for'])),
+h AS (SELECT CAST(doc_id % 4 + 1 AS INT) AS case_id, lower(text) AS t FROM documents WHERE doc_id < 40),
+w AS (SELECT c.case_id, bool_and(EXISTS (SELECT 1 FROM h WHERE h.case_id = c.case_id AND contains(h.t, x.w))) AS found FROM c, LATERAL (SELECT unnest(must_contain) AS w) x GROUP BY c.case_id),
+r AS (SELECT c.case_id, bool_or(len(list_filter(tog, lambda x: NOT contains(h.t, x))) = 0) AS together, NOT bool_or(len(list_filter(must_not, lambda x: contains(h.t, x))) > 0) AS clean FROM c LEFT JOIN h USING (case_id) GROUP BY c.case_id)
+SELECT case_id, found, together, clean, found AND together AND clean AS passed FROM w JOIN r USING (case_id)""",
+    "error_streaks": """
+WITH e AS (SELECT user_id, event_id, event_type IN ('error', 'click') AS bad, sum(CASE WHEN event_type IN ('error', 'click') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS i FROM events)
+SELECT user_id, min(event_id) AS first_order, count(*) AS length FROM e WHERE bad GROUP BY user_id, i HAVING count(*) >= 3""",
+}
