@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def long_terms(c: Column, longer_than: int = 2) -> Column:
@@ -26,7 +27,7 @@ def substring_hits(text: Column, terms: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.contains(low, t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFKC; Spark has no function for it, so it runs on Arrow batches."""
     for s in batches:
