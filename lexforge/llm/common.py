@@ -45,7 +45,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Remove the tables that materialize() has written."""
     jvm = spark.sparkContext._jvm
-    if jvm is None:
+    if jvm is None or spark.sparkContext._jsc is None:
         return
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
