@@ -16,11 +16,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexforge.llm import neardup
+
 #: Labelled training rows the classifier is fitted on at most (in order of md5(doc_id), which is no input of a score).
 SAMPLE_ROWS = 20_000
+#: Minimum hashes by which copies in the sample are found.
+FAMILIES = 3
 #: Stems are so many characters long; a term needs so many toxic documents, and a rate among them so many times that of clean ones.
 STEM_LENGTHS, LEAST_DOCS, LEAST_RATIO = (4, 5, 6, 7), 4, 5.0
 #: A term's log-likelihood ratio must pass 2 ln(terms tested) and this.
@@ -175,9 +179,32 @@ def is_held_out(doc_id):
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, toxic) of the sample: its ids come from labels alone and are few enough to be broadcast."""
     known = labels.where("toxic is not null and doc_id is not null").where(~is_held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    return one_of_family(sample)
+
+
+def one_of_family(sample: DataFrame) -> DataFrame:
+    """sample without copies: words of a text that was copied ten times would look like ten documents' evidence.
+
+    Texts that share a minimum hash of their shingles are taken for copies, under FAMILIES hashes one
+    after the other; of each family the text with the smallest MD5 stays.
+    """
+    names = [f"family{i}" for i in range(FAMILIES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = neardup.WordHashes()
+        for batch in batches:
+            sets = [neardup.shingle_set(t.as_py(), hashes) for t in batch.column(0)]
+            lows = [[int(neardup.mixed(s * m).min().astype(np.int64)) if len(s) else 0 for s in sets] for m in neardup._MULTIPLY[:FAMILIES]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int64()) for x in lows]], ["text", "toxic", *names])
+
+    rows = sample.mapInArrow(run, "text string, toxic int, " + ", ".join(f"{n} long" for n in names))
+    for n in names:
+        nth = F.row_number().over(Window.partitionBy(n).orderBy(F.md5(F.col("text").cast("binary")), "toxic"))
+        rows = rows.withColumn("nth", nth).where("nth = 1").drop("nth")
+    return rows.select("text", "toxic")
 
 
 def ratio(a: float, b: float, p: float) -> float:
