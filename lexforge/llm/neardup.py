@@ -4,7 +4,7 @@ A signature has SYMBOLS b-bit symbols, cut into CHUNKS. Two signatures that diff
 DISTANCE symbols differ in at most ERRORS = DISTANCE // CHUNKS symbols of some chunk (pigeonhole), so
 every chunk is indexed once for each way to leave ERRORS of its symbols out: all pairs under the
 distance share a bucket. Buckets are never expanded into pairs. A text is first held against the
-smallest text of its buckets; then, while a bucket still holds several components, a growing number of
+most central of its buckets' texts; then, while a bucket still holds several components, a growing number of
 its texts (hubs) is held against its texts of other components, until nothing is left to compare.
 """
 
@@ -25,8 +25,8 @@ SHINGLE, SIMILAR = 5, 75
 #: Signature: at a similarity of 0.75 a chunk of three matches but for one symbol with 0.84, so all eight miss with 4e-7.
 SYMBOLS, BITS, CHUNKS, DISTANCE = 24, 16, 8, 15
 WIDTH, ERRORS = SYMBOLS // CHUNKS, DISTANCE // CHUNKS
-#: Hubs of a bucket in the first round after the start; each later round takes twice as many.
-HUBS = 4
+#: Hubs of a bucket in the first round after the start; each later round takes eight times as many.
+HUBS = 16
 CACHE_WORDS, BATCH = 300_000, 256
 
 FOLD = {c: c + 32 for c in range(65, 91)} | dict.fromkeys(range(9, 14), 32)
@@ -109,14 +109,24 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node) of the multi-index, only buckets with two nodes or more."""
+    """(bucket, node, n, central) of the multi-index, only buckets with two nodes or more.
+
+    n is the size of the node's set. central adds up the sizes of a node's buckets: the text that others
+    were copied from shares more buckets with them than they do among each other.
+    """
     keys = []
     for c in range(CHUNKS):
         for kept in combinations(range(WIDTH), WIDTH - ERRORS):
             keys.append(F.xxhash64(F.lit(c * 100 + sum(1 << k for k in kept)), *[F.element_at("sig", c * WIDTH + k + 1) for k in kept]))
-    rows = nodes.select("node", F.explode(F.array(*keys)).alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    return rows.join(several, "bucket").select("bucket", "node")
+    rows = nodes.select("node", F.col("n_shingles").alias("n"), F.explode(F.array(*keys)).alias("bucket"))
+    several = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size")
+    rows = materialize(rows.join(several, "bucket").select("bucket", "node", "n", "size"), "near-rows")
+    central = rows.groupBy("node").agg(F.sum("size").alias("central"))
+    return rows.drop("size").join(central, "node").select("bucket", "node", "n", "central")
+
+
+def sizes_fit(a: str, b: str):
+    return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -125,7 +135,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     p = pairs.join(thin.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a")
     p = p.join(thin.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b")
     apart = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x != y), lambda d: d))
-    p = p.where((100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")) & (apart <= DISTANCE)).select("a", "b", "na", "nb")
+    p = p.where(sizes_fit("na", "nb") & (apart <= DISTANCE)).select("a", "b", "na", "nb")
     p = p.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb"))
     return p.where(100 * both >= SIMILAR * (F.col("na") + F.col("nb") - both)).select("a", "b")
@@ -134,33 +144,35 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
 def link(nodes: DataFrame, sets_of) -> DataFrame:
     """(id, component) of the linked nodes. nodes: node, n_shingles, set_key, sig; sets_of gives full sets for some."""
     index = materialize(buckets(nodes), "near-buckets")
-    low = Window.partitionBy("bucket")
-    first = index.withColumn("low", F.min("node").over(low)).groupBy("node").agg(F.min("low").alias("b")).where("node != b").select(F.col("node").alias("a"), "b")
+    # every text is held against the most central of its buckets' most central texts
+    order = F.struct("central", (-F.col("node")).alias("turned"))
+    best = index.groupBy("bucket").agg(F.max(order).alias("best"))
+    first = index.join(best, "bucket").groupBy("node").agg(F.max("best").alias("best")).select(F.col("node").alias("a"), (-F.col("best.turned")).alias("b")).where("a != b")
     wanted = index.select("node").distinct().join(nodes.select("node", "set_key"), "node")
     sets = materialize(sets_of(wanted), "near-sets")
     first = materialize(first, "near-pairs")
     links = materialize(confirmed(first, nodes, sets), "near-links")
-    tested, hubs, used = first, HUBS, None
+    hubs, used = HUBS, None
     while True:
         parts = materialize(connected_components(links, "a", "b"), "near-parts")
-        named = index.join(parts, index["node"] == parts["id"], "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+        named = index.join(parts, index["node"] == parts["id"], "left").select("bucket", "node", "n", "central", F.coalesce("component", "node").alias("part"))
         if used is not None:  # texts that have been hubs of a bucket are done there
             named = named.join(used, ["bucket", "node"], "left_anti")
         spread = named.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
         open_rows = materialize(named.join(spread, "bucket"), "near-open")
         if open_rows.isEmpty():
             return parts
-        # hubs: first one of each component, then the next ones
-        turn = open_rows.withColumn("turn", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("node")))
-        chosen = turn.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "node"))).where(F.col("place") <= hubs)
-        chosen = materialize(chosen.select("bucket", F.col("node").alias("hub"), F.col("part").alias("hub_part")), "near-hubs")
-        pairs = open_rows.join(chosen, "bucket").where("part != hub_part").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        # hubs: texts of all components but the bucket's largest, central ones first
+        sized = open_rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket", "part")))
+        sized = sized.withColumn("most", F.max(F.struct("size", "part")).over(Window.partitionBy("bucket"))).where("part != most.part")
+        chosen = sized.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("central"), "node"))).where(F.col("place") <= hubs)
+        chosen = materialize(chosen.select("bucket", F.col("node").alias("hub"), F.col("part").alias("hub_part"), F.col("n").alias("hub_n")), "near-hubs")
+        pairs = open_rows.join(chosen, "bucket").where((F.col("part") != F.col("hub_part")) & sizes_fit("n", "hub_n"))
+        pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
         links = materialize(links.union(confirmed(pairs, nodes, sets)), "near-links")
-        tested = tested.union(pairs)
         now = chosen.select("bucket", F.col("hub").alias("node"))
         used = now if used is None else used.union(now)
-        hubs *= 2
+        hubs *= 8
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
