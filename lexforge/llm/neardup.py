@@ -5,7 +5,8 @@ DISTANCE symbols differ in at most ERRORS = DISTANCE // CHUNKS symbols of some c
 every chunk is indexed once for each way to leave ERRORS of its symbols out: all pairs under the
 distance share a bucket. Buckets are never expanded into pairs. A text is first held against the
 most central of its buckets' texts; then, while a bucket still holds several components, a growing number of
-its texts (hubs) is held against its texts of other components, until nothing is left to compare.
+its texts (hubs) is held against its texts of other components, until nothing is left to compare. Bitmaps
+of the sets give an exact upper bound of a pair's similarity, so only pairs that can be similar arise.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import connected_components, materialize
@@ -27,6 +28,8 @@ SYMBOLS, BITS, CHUNKS, DISTANCE = 24, 16, 8, 15
 WIDTH, ERRORS = SYMBOLS // CHUNKS, DISTANCE // CHUNKS
 #: Hubs of a bucket in the first round after the start; each later round takes eight times as many.
 HUBS = 16
+#: 64-bit words of a set's bitmap, a bit for the shingles with the same leading bits.
+MAP_WORDS = 32
 CACHE_WORDS, BATCH = 300_000, 256
 
 FOLD = {c: c + 32 for c in range(65, 91)} | dict.fromkeys(range(9, 14), 32)
@@ -69,8 +72,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mixed(low) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    out = np.zeros(MAP_WORDS, np.uint64)
+    at = (shingles >> np.uint64(64 - (64 * MAP_WORDS - 1).bit_length())).astype(np.int64)
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.view(np.int64)
+
+
+def may_be_similar(n_a: str, map_a: str, n_b: str, map_b: str) -> Column:
+    """Whether two sets can be similar enough: each bit that one bitmap has beyond the other is a shingle the other set lacks. Never false for a similar pair."""
+
+    def beyond(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseAND(F.bitwise_not(w)))), F.lit(0), lambda t, v: t + v)
+
+    # with at most u common shingles: 100 u >= 75 (n_a + n_b - u), that is 7 u >= 3 (n_a + n_b)
+    least = 3 * (F.col(n_a) + F.col(n_b))
+    return (7 * (F.col(n_a) - beyond(map_a, map_b)) >= least) & (7 * (F.col(n_b) - beyond(map_b, map_a)) >= least)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit digest of the set, null if empty), sig array<int>, for each row."""
+    """doc_id, n_shingles, set_key (128-bit digest of the set, null if empty), sig array<int>, bits array<long>, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -84,11 +105,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets], pa.string()),
                         pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int32())),
+                        pa.array([bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "sig"],
+                    ["doc_id", "n_shingles", "set_key", "sig", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key string, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key string, sig array<int>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -152,22 +174,23 @@ def link(nodes: DataFrame, sets_of) -> DataFrame:
     sets = materialize(sets_of(wanted), "near-sets")
     first = materialize(first, "near-pairs")
     links = materialize(confirmed(first, nodes, sets), "near-links")
-    hubs, used = HUBS, None
+    hubs, used, maps = HUBS, None, nodes.select("node", "bits")
     while True:
         parts = materialize(connected_components(links, "a", "b"), "near-parts")
         named = index.join(parts, index["node"] == parts["id"], "left").select("bucket", "node", "n", "central", F.coalesce("component", "node").alias("part"))
         if used is not None:  # texts that have been hubs of a bucket are done there
             named = named.join(used, ["bucket", "node"], "left_anti")
         spread = named.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
-        open_rows = materialize(named.join(spread, "bucket"), "near-open")
+        open_rows = materialize(named.join(spread, "bucket").join(maps, "node"), "near-open")
         if open_rows.isEmpty():
             return parts
         # hubs: texts of all components but the bucket's largest, central ones first
         sized = open_rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket", "part")))
         sized = sized.withColumn("most", F.max(F.struct("size", "part")).over(Window.partitionBy("bucket"))).where("part != most.part")
         chosen = sized.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("central"), "node"))).where(F.col("place") <= hubs)
-        chosen = materialize(chosen.select("bucket", F.col("node").alias("hub"), F.col("part").alias("hub_part"), F.col("n").alias("hub_n")), "near-hubs")
-        pairs = open_rows.join(chosen, "bucket").where((F.col("part") != F.col("hub_part")) & sizes_fit("n", "hub_n"))
+        chosen = materialize(chosen.select("bucket", F.col("node").alias("hub"), F.col("part").alias("hub_part"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "near-hubs")
+        fits = (F.col("part") != F.col("hub_part")) & sizes_fit("n", "hub_n") & may_be_similar("n", "bits", "hub_n", "hub_bits")
+        pairs = open_rows.join(chosen, "bucket").where(fits)
         pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
         links = materialize(links.union(confirmed(pairs, nodes, sets)), "near-links")
         now = chosen.select("bucket", F.col("hub").alias("node"))
@@ -189,7 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = rows.where("set_key is not null and doc_id is not null")
     # one node for each set; the signature is the same for all its rows
     groups = usable.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    nodes = usable.join(groups.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["set_key"]).select(F.col("doc_id").alias("node"), "n_shingles", "set_key", "sig")
+    nodes = usable.join(groups.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["set_key"]).select(F.col("doc_id").alias("node"), "n_shingles", "set_key", "sig", "bits")
     nodes = materialize(nodes, "near-nodes")
     parts = link(nodes, lambda wanted: full_sets(docs, wanted))
     where = nodes.join(parts, nodes["node"] == parts["id"], "left").select("set_key", F.coalesce("component", "node").alias("part"))
