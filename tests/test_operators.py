@@ -67,8 +67,10 @@ def test_clause_merge():
 
 
 def test_blocks_and_branches():
-    got = S.segment(["1. Scope", "text", "5.2 Limits", "5.2.1. first", "Annex 3", "7.6.2. Procedure"])
+    got = S.segment(["1. Scope", "text", "5.2 Limits", "5.2.1. first", "Annex 3", "Test steps", "7.6.2. Procedure"])
     assert [(b["id"], b["kind"]) for b in got] == [("1", "section"), ("5.2", "section"), ("Annex_3", "annex"), ("7.6.2", "clause")]
+    # a heading alone is no block
+    assert [b["id"] for b in S.segment(["Annex 3", "7.6.2. Procedure"])] == ["7.6.2"]
 
 
 def test_overlay_keeps_title_and_chain(spark):
