@@ -180,14 +180,16 @@ def link(nodes: DataFrame, sets_of) -> DataFrame:
         named = index.join(parts, index["node"] == parts["id"], "left").select("bucket", "node", "n", "central", F.coalesce("component", "node").alias("part"))
         if used is not None:  # texts that have been hubs of a bucket are done there
             named = named.join(used, ["bucket", "node"], "left_anti")
-        spread = named.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
-        open_rows = materialize(named.join(spread, "bucket").join(maps, "node"), "near-open")
+        # counted with map-side combine, so no task holds a whole bucket; a bucket of one component is done
+        sized = named.groupBy("bucket", "part").agg(F.count("*").alias("size"))
+        most = sized.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+        open_rows = named.join(most.select("bucket", F.col("most.part").alias("most")), "bucket").join(maps, "node")
+        open_rows = materialize(open_rows, "near-open")
         if open_rows.isEmpty():
             return parts
         # hubs: texts of all components but the bucket's largest, central ones first
-        sized = open_rows.withColumn("size", F.count("*").over(Window.partitionBy("bucket", "part")))
-        sized = sized.withColumn("most", F.max(F.struct("size", "part")).over(Window.partitionBy("bucket"))).where("part != most.part")
-        chosen = sized.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("central"), "node"))).where(F.col("place") <= hubs)
+        fewer = open_rows.where("part != most")
+        chosen = fewer.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("central"), "node"))).where(F.col("place") <= hubs)
         chosen = materialize(chosen.select("bucket", F.col("node").alias("hub"), F.col("part").alias("hub_part"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "near-hubs")
         fits = (F.col("part") != F.col("hub_part")) & sizes_fit("n", "hub_n") & may_be_similar("n", "bits", "hub_n", "hub_bits")
         pairs = open_rows.join(chosen, "bucket").where(fits)
