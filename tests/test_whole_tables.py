@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from lexforge.operators import records
 from lexforge.plans import catalog
 from tests.test_queries import plain
 
@@ -45,3 +46,18 @@ def test_sections_come_from_all_documents(spark, folder, name):
     rows = same_as_whole(spark, folder, name, " WHERE doc_id < 400")
     if name != "crossref_expansion":  # which gives cited documents only
         assert max(r.doc_id for r in rows) >= 400
+
+
+@pytest.mark.parametrize(("name", "cut"), [("retrieval_diff", " WHERE n_chars < 3000"), ("timing_summary", " WHERE o_orderkey % 5 = 0"), ("case_eval", " WHERE doc_id < 40")])
+def test_records_of_the_whole_table(spark, folder, name, cut):
+    rows = same_as_whole(spark, folder, name, cut)
+    if name == "case_eval":  # document 804 alone has the first case's word, 1001 the second's
+        assert {r.case_id: r.clean for r in rows}[1] is False and {r.case_id: r.clean for r in rows}[2] is False
+    else:
+        assert len(rows) == {"retrieval_diff": DOCS - 1, "timing_summary": 40}[name]
+
+
+def test_cases_without_hits_stay(spark):
+    cases = spark.createDataFrame([(1, ["a"], ["a"], ["b"]), (2, ["a"], ["a"], ["b"])], "case_id int, must_contain array<string>, together array<string>, must_not array<string>")
+    hits = spark.createDataFrame([(1, "A"), (1, None), (3, "b")], "case_id int, text string")
+    assert sorted(tuple(r) for r in records.check_cases(cases, hits).collect()) == [(1, True, True, True, True), (2, False, False, True, False)]
