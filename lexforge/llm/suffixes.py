@@ -238,11 +238,12 @@ def compare(open_rows: DataFrame, length: int, group_runs: int = GROUP_RUNS) ->
     return found.where("k is null").select("key", "first", "last").union(wide.where("alone").join(twice, ["k", "name"], "left_semi").select("key", "first", "last"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, over_words: int = 0) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256, and kept (what is left, as bytes) unless texts is False.
 
     A byte goes if a string of length bytes covers it that also starts anywhere else: in another text, or
     elsewhere in the same one; overlaps count. Strings are judged on the input, and never cross texts.
+    Of what these strings cover, a span goes only if it has more than over_words words; a word cut by its ends counts.
     Nulls: a null text is an empty one; a null doc_id is a value like any other. Rows that repeat doc_id
     and text repeat each other and lose everything if they have length bytes. Texts shorter than length
     lose nothing. Columns of docs named like the results are replaced; names starting with _ are reserved.
@@ -267,17 +268,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFr
     text_at = 1 + cols.index("text")
     schema = keyed.select("_key", *cols).schema
     kinds = "array<struct<k:bigint,run:bigint,alone:boolean>>"
-    first_pass = materialize(_finish(joined.select("_key", *cols, "_whole", "_sent"), schema, cols, text_at, length, texts, f", _sent {kinds}, _whole array<bigint>"), "suffix-pass")
+    first_pass = materialize(_finish(joined.select("_key", *cols, "_whole", "_sent"), schema, cols, text_at, length, texts, over_words, f", _sent {kinds}, _whole array<bigint>"), "suffix-pass")
     open_rows = first_pass.where(F.size("_sent") > 0)
     more = compare(open_rows, length)
     more = more.groupBy("key").agg(F.collect_list(F.expr("(first << 16) | (last - first)")).alias("_more"))
     again = open_rows.join(more.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_whole", F.concat(F.coalesce("_whole", F.array()), F.coalesce("_more", F.array())))
-    second = _finish(again.select("_key", *cols, "_whole", F.lit(None).cast(kinds).alias("_sent")), schema, cols, text_at, length, texts, "")
+    second = _finish(again.select("_key", *cols, "_whole", F.lit(None).cast(kinds).alias("_sent")), schema, cols, text_at, length, texts, over_words, "")
     out = [*[c for c in cols if c != "text" or texts], *[x for x, _ in DIGEST], *(["kept"] if texts else [])]
     return first_pass.where(F.size("_sent") == 0).select(*out).union(second.select(*out))
 
 
-def _finish(rows: DataFrame, schema, cols: list[str], text_at: int, length: int, texts: bool, more: str) -> DataFrame:
+def _finish(rows: DataFrame, schema, cols: list[str], text_at: int, length: int, texts: bool, over_words: int, more: str) -> DataFrame:
     """Apply the runs known so far. With more, rows that have runs to compare keep text and runs for the next pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +292,7 @@ def _finish(rows: DataFrame, schema, cols: list[str], text_at: int, length: int,
                     if w and not later:
                         starts = starts_of(w)
                         starts[:, 1] += length
-                        spans = covered(starts)
+                        spans = [(a, b) for a, b in covered(starts) if not over_words or len(data[a:b].split()) > over_words]
                     out.append((None,) * 4 if later else digest(data, spans))
                     kept.append(None if later or not texts else without(data, whole_characters(data, spans)))
                     sent.append(s if later else [])

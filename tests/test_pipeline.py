@@ -1,0 +1,25 @@
+"""Stages of the corpus pipeline against planted cases and brute force."""
+
+import random
+
+import corpus_pipeline
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n)]
+
+
+def test_passages_over_50_words_are_cut(spark):
+    short, long = " ".join(words(51, 1)), " ".join(words(50, 2))
+    assert len(short.encode()) < 400
+    own = [" ".join(words(80, 10 + i)) for i in range(7)]
+    texts = [f"{own[0]} 1 {short} 2 {own[1]}", f"{own[2]} 3 {short}", f"{own[3]} | {long} | {own[4]}", f"{own[5]} < {long} > {own[6]}", " ".join(words(300, 30)), None, ""]
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert len(got) == len(texts)
+    # the planted passage of 51 words is gone, with the space that both copies have before it
+    assert [" ".join(got[0].text.split()), got[1].text.strip()] == [f"{own[0]} 1 2 {own[1]}", f"{own[2]} 3"]
+    assert got[0].n_chars == len(got[0].text)
+    # 50 words stay, and clean texts
+    assert [got[i].text for i in (2, 3, 4)] == texts[2:5] and [got[i].text or "" for i in (5, 6)] == ["", ""]
