@@ -152,19 +152,18 @@ def sizes_fit(a: str, b: str):
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar: by size, then signature distance, then the full sets."""
-    thin = nodes.select("node", "n_shingles", "sig")
-    p = pairs.join(thin.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a")
-    p = p.join(thin.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b")
-    apart = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x != y), lambda d: d))
-    p = p.where(sizes_fit("na", "nb") & (apart <= DISTANCE)).select("a", "b", "na", "nb")
+    """Those pairs (a, b) whose sets are similar: by size and bitmap, which drop no similar pair, then the full sets."""
+    thin = nodes.select("node", "n_shingles", "bits")
+    p = pairs.join(thin.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ma")), "a")
+    p = p.join(thin.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("mb")), "b")
+    p = p.where(sizes_fit("na", "nb") & may_be_similar("na", "ma", "nb", "mb")).select("a", "b", "na", "nb")
     p = p.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb"))
     return p.where(100 * both >= SIMILAR * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def link(nodes: DataFrame, sets_of) -> DataFrame:
-    """(id, component) of the linked nodes. nodes: node, n_shingles, set_key, sig; sets_of gives full sets for some."""
+    """(id, component) of the linked nodes. nodes: node, n_shingles, set_key, sig, bits; sets_of gives full sets for some."""
     index = materialize(buckets(nodes), "near-buckets")
     # every text is held against the most central of its buckets' most central texts
     order = F.struct("central", (-F.col("node")).alias("turned"))

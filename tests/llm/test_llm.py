@@ -264,6 +264,18 @@ def test_near_duplicates_like_brute_force(spark):
     assert got == {i: (len(sets[i]), part[i], part[i] == i) for i in range(len(texts))}
 
 
+def test_candidates_are_confirmed_by_their_sets_alone(spark):
+    r = np.random.default_rng(1)
+    a = np.unique(neardup.mixed(r.integers(1, 1 << 62, 100, dtype=np.uint64)))
+    b, c = np.unique(np.append(a[:90], neardup.mixed(np.arange(5, dtype=np.uint64) + np.uint64(1)))), a[:60]
+    sets = {1: a, 2: b, 3: c}
+    # signatures that differ in 16 symbols, as those of two similar sets may
+    nodes = spark.createDataFrame([(k, len(s), [k] * 16 + [0] * 8, neardup.bitmap(s).tolist()) for k, s in sets.items()], "node long, n_shingles long, sig array<int>, bits array<long>")
+    full = spark.createDataFrame([(k, s.view(np.int64).tolist()) for k, s in sets.items()], "node long, shingles array<long>")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "a long, b long")
+    assert [tuple(x) for x in neardup.confirmed(pairs, nodes, full).collect()] == [(2, 1)]
+
+
 def test_near_duplicates_odd_rows(odd, none):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
