@@ -32,13 +32,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in an order that gives every source its target share of any stretch."""
-    return mixing.mixed_files(docs)
+    """All documents, with the slot and place of an order that gives every source its target share of any stretch."""
+    return mixing.mixed_files(docs, places=True)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left, in mixed order."""
-    return bpe.token_digests(docs)
+    """Token counts and digests of what is left, each with its slot and place in the mixed order; rows come in any order."""
+    return bpe.token_digests(docs, keep=("mix_slot", "mix_place"))
 
 
 STAGES = [

@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Slices whose tokens a worker remembers; the cache is emptied when it is full.
@@ -315,10 +316,10 @@ def row_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, li
             yield part.column(0), [t or "" for t in part.column(1).to_pylist()]
 
 
-def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def token_digests(docs: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per text: n_tokens, SHA-256 of its ids (decimal, with commas) and of the bytes that those ids decode to.
 
-    The ids stay in the task. Nulls and repeats as in encode(); an empty text has the digest of no bytes twice.
+    The ids stay in the task. Columns named in keep stay beside doc_id. Nulls and repeats as in encode(); an empty text has the digest of no bytes twice.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
 
@@ -331,9 +332,11 @@ def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 counts.append(ids.count(",") + 1 if ids else 0)
                 coded.append(hashlib.sha256(ids.encode()).hexdigest())
                 back.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *keep).alias("key"), "text")
+    found = keyed.mapInArrow(run, f"key {keyed.schema['key'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return found.select("key.*", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,10 +114,13 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, period: int = PE
     )
 
 
-def mixed_files(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
-    """docs, the same columns and rows, laid out in mixed order: partitions are ranges of slots, sorted inside."""
+def mixed_files(docs: DataFrame, weights: dict[str, int] | None = None, places: bool = False) -> DataFrame:
+    """docs, the same columns and rows, laid out in mixed order: partitions are ranges of slots, sorted inside.
+
+    Readers of files may take them in any order; with places, mix_slot and mix_place stay as columns and say it.
+    """
     mixed = mix(docs, weights)
-    return mixed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)
+    return mixed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns, *(["mix_slot", "mix_place"] if places else []))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,13 @@
 """Stages of the corpus pipeline against planted cases and brute force."""
 
+import collections
+import hashlib
+import math
 import random
+import re
 
 import corpus_pipeline
+from lexforge.llm import bpe
 
 
 def words(n, seed):
@@ -23,3 +28,73 @@ def test_passages_over_50_words_are_cut(spark):
     assert got[0].n_chars == len(got[0].text)
     # 50 words stay, and clean texts
     assert [got[i].text for i in (2, 3, 4)] == texts[2:5] and [got[i].text or "" for i in (5, 6)] == ["", ""]
+
+
+def brute_mix(ids, period=1000, block=8):
+    """(slot, place) of each doc_id by earliest deadline first, slot by slot."""
+    by = {}
+    for i, source in ids:
+        by.setdefault("n" if source is None else "s" + source, []).append(i)
+    names = sorted(by)
+    w = {k: math.floor(1000 * math.sqrt(len(by[k]))) for k in names}
+    free, total = period - len(names), sum(w.values())
+    share = {k: 1 + free * w[k] // total for k in names}
+    for k in sorted(names, key=lambda k: (-(free * w[k] % total), k))[: period - sum(share.values())]:
+        share[k] += 1
+    turn, slots = dict.fromkeys(names, 1), {k: [] for k in names}
+    for t in range(period):
+        ready = [k for k in names if turn[k] <= share[k] and (turn[k] - 1) * period // share[k] <= t]
+        k = min(ready, key=lambda k: (-(-turn[k] * period // share[k]), k))
+        turn[k] += 1
+        slots[k].append(t)
+    out = {}
+    for k in names:
+        for n, i in enumerate(sorted(by[k], key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))):
+            whole, at = divmod(n // block, share[k])
+            out[i] = (whole * period + slots[k][at], n % block)
+    return out
+
+
+def brute_cut(texts):
+    """texts by doc_id without their spans of repeated strings that have more than 50 words; signs of one byte only."""
+    size = corpus_pipeline.REPEAT_BYTES
+    seen = collections.Counter(t[i : i + size] for t in texts.values() for i in range(len(t) - size + 1))
+    out = {}
+    for k, t in texts.items():
+        mark = bytearray(len(t))
+        for i in range(len(t) - size + 1):
+            if seen[t[i : i + size]] > 1:
+                mark[i : i + size] = b"\1" * size
+        spans = [m.span() for m in re.finditer(b"\1+", bytes(mark)) if len(t[m.start() : m.end()].split()) > corpus_pipeline.REPEAT_WORDS]
+        for a, b in reversed(spans):
+            t = t[:a] + t[b:]
+        out[k] = t
+    return out
+
+
+def test_run_like_brute_force(spark, tmp_path):
+    r, vocabulary = random.Random(7), words(300, 4)
+    passage = " ".join(words(55, 5))
+    rows = []
+    for i in range(240):
+        t = [r.choice(vocabulary) for _ in range(60)]
+        if i % 4 == 0:
+            t[r.randrange(60)] = "numbskull"
+        if i % 10 == 1:
+            t.insert(30, passage)
+        rows.append((i, " ".join(t), [None, "web", "web", "books", "web"][i % 5]))
+    rows += [(500 + i, rows[2 + 4 * i][1] + " more", "web") for i in range(5)]
+    path = str(tmp_path)
+    spark.createDataFrame([(*x, len(x[1])) for x in rows], "doc_id long, text string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(x[0], int("numbskull" in x[1])) for x in rows], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    kept = [x for x in rows if "numbskull" not in x[1] and x[0] < 500]
+    texts, places = brute_cut({x[0]: x[1] for x in kept}), brute_mix([(x[0], x[2]) for x in kept])
+    assert sum(len(t) for t in texts.values()) < sum(len(x[1]) for x in kept)
+    codec = bpe.codec(bpe.vocabulary_bytes())
+    want = {}
+    for (k, t), pieces in zip(texts.items(), bpe.split_texts(list(texts.values())), strict=True):
+        ids = codec.encode(pieces)
+        want[k] = (*places[k], ids.count(",") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    got = corpus_pipeline.run(spark, path)
+    assert got.columns == ["doc_id", "mix_slot", "mix_place", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {x[0]: tuple(x)[1:] for x in got.collect()} == want
