@@ -119,13 +119,12 @@ class Matcher(dict):
 
     def __missing__(self, word: str):
         lex, out = self.lexicon, None
-        m = self.trie.find(word)
-        if m is not None and not (m[1] and word in lex.veto):
+        for n in STEM_LENGTHS:
+            if (stem := word[:n]) in lex.stems and len(word) >= n:
+                out = (stem + "*", 0, lex.stems[stem])
+        # a stem's own words are in the trie too, for their misspellings
+        if out is None and (m := self.trie.find(word)) is not None and not (m[1] and word in lex.veto):
             out = (m[0], m[1], lex.words[m[0]] * (0.8 if m[1] else 1.0))
-        else:
-            for n in STEM_LENGTHS:
-                if (stem := word[:n]) in lex.stems and len(word) >= n:
-                    out = (stem + "*", 0, lex.stems[stem])
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = out
@@ -241,7 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
             stem = t[:-1]
             if found[t][0] >= 1.5 * most.get(stem, 0) and not any(stem.startswith(x) or x.startswith(stem) for x in stem_weights):
                 stem_weights[stem] = weight[t]
-        own = {t: w for t, w in weight.items() if not t.endswith("*") and not any(t.startswith(s) for s in stem_weights)}
+        own = {t: w for t, w in weight.items() if not t.endswith("*")}
         lexicon = Lexicon(own, stem_weights)
         clean = counts.where((F.col("b") >= 1) & ~F.col("term").endswith("*")).select("term")
         lexicon.veto = frozenset(r[0] for r in fuzzy(clean, lexicon).collect())

@@ -228,6 +228,23 @@ def test_toxic_terms_and_misspellings(spark, odd, none):
     assert toxicity.learn(none, labels).words == {}
 
 
+def test_misspelt_heads_of_stemmed_terms(spark):
+    r, clean = random.Random(1), words(300, 4)
+    rows = []
+    for i in range(400):
+        t = [r.choice(clean) for _ in range(40)]
+        if i % 4 == 0:
+            t[r.randrange(40)] = ("moronvk", "moronvks")[i // 4 % 2]
+        rows.append((i, " ".join(t), int(i % 4 == 0)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    lex = toxicity.learn(docs, spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int"))
+    (stem,) = lex.stems
+    assert "moronvk".startswith(stem) and {"moronvk", "moronvks"} <= set(lex.words)
+    m = toxicity.Matcher(lex)
+    assert m["moronvk"] == m["moronvkly"] == (stem + "*", 0, lex.stems[stem])
+    assert [(m[w] or (None, None))[:2] for w in ("m0ronvk", "mroonvk", "noronvks")] == [("moronvk", 1), ("moronvk", 1), ("moronvks", 1)]
+
+
 def test_quotation_counts_less():
     m = toxicity.Matcher(toxicity.Lexicon({"idiot": 5.0}, {}))
     said, meant = toxicity.hits('he said "idiot" once', m)[1][0][4], toxicity.hits("you idiot", m)[1][0][4]
