@@ -1,138 +1,247 @@
-"""Operators with truly sequential state, run per document on Arrow batches: block segmentation, clause merge, structured chunks."""
+"""Structure of page text: blocks, clauses, tables and the chunks made of them, and stand-in vectors.
+
+A document's lines come together in one shuffle by doc_id; what follows are windows and groups over it. Only two
+rules look at their own last answer, whether a clause leaves the current block and whether a clause is taken in
+by one before it, and these are folds over the short lists of numbers, not over text.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.text import content_hash, window_starts
+
 SECTION_CHARS, CLAUSE_CHARS, OVERLAP = 1800, 1800, 200
-PAGE = re.compile(r"^--- page (\d+) ---$")
-ANNEX = re.compile(r"^annex\s+(\d+)", re.I)
-NUMBERED = re.compile(r"^(\d+(?:\.\d+)*)(\.?)(?:\s+(.*))?$")
-
-
-def leaves_branch(current: str, number: str) -> bool:
-    """Whether a clause number ends the current block: another top number, or a sibling that is not deeper nor related by prefix."""
-    if current.startswith("Annex"):
-        return True
-    a, b = current.split("."), number.split(".")
-    if a[0] != b[0]:
-        return True
-    return len(b) <= len(a) and not number.startswith(current) and not current.startswith(number)
-
-
-def segment(lines: list[str]) -> list[dict]:
-    """Blocks (id, kind, first page, last page, text) of one document's lines."""
-    out: list[dict] = []
-    now = {"id": "Document", "kind": "document", "first": 1, "last": 1, "lines": []}
-
-    def begin(name: str, kind: str) -> None:
-        nonlocal now
-        if now["lines"]:
-            out.append(now)
-        now = {"id": name, "kind": kind, "first": now["last"], "last": now["last"], "lines": []}
-
-    for line in lines:
-        if m := PAGE.match(line):
-            now["last"] = int(m[1])
-            if not now["lines"]:
-                now["first"] = now["last"]
-            now["lines"].append(line)
-        elif m := ANNEX.match(line):
-            begin(f"Annex_{m[1]}", "annex")
-        elif (m := NUMBERED.match(line)) and m[3] and len((m[1] + m[2]).split(".")) <= 2:
-            begin(m[1], "section")
-            now["lines"].append(line)
-        elif m and "." in m[1] and (now["id"] == "Document" or leaves_branch(now["id"], m[1])):
-            begin(m[1], "clause")
-            now["lines"].append(line)
-        else:
-            now["lines"].append(line)
-    if now["lines"] or not out:
-        out.append(now)
-    return out
-
-
-def clauses(lines: list[str]) -> list[tuple[str, str]]:
-    """(number, body) of the clause lines of a block; a clause that ends with a colon swallows the next ones one level deeper."""
-    found: list[list[str]] = []
-    for line in lines:
-        m = NUMBERED.match(line)
-        if m and "." in m[1]:
-            found.append([m[1], m[3] or ""])
-        elif found:
-            found[-1][1] = (found[-1][1] + "\n" + line).strip()
-        else:
-            found.append(["", line])
-    out, i = [], 0
-    while i < len(found):
-        number, body = found[i]
-        i += 1
-        if number and body.rstrip().endswith(":"):
-            while i < len(found) and found[i][0].startswith(number + ".") and found[i][0].count(".") == number.count(".") + 1:
-                body += f"\n{found[i][0]}.\n{found[i][1]}"
-                i += 1
-        out.append((number, body))
-    return out
-
-
-def pieces(text: str, size: int = CLAUSE_CHARS, overlap: int = OVERLAP) -> list[str]:
-    """Windows that stop at the end of the text."""
-    out, at = [text[:size]], size - overlap
-    while at + overlap < len(text):
-        out.append(text[at : at + size])
-        at += size - overlap
-    return out
+#: What page marks, annex headings, section headings, clause lines and table marks look like.
+PAGE = r"(?i)^<!--\s*page:\s*(\d+)\s*-->"
+ANNEX = r"(?i)^(annex\s+\d+(?:\s*[-–]\s*appendix\s+\d+)?)$"
+SECTION = r"^(\d+(?:\.\d+)*\.?)\s+([A-Z].{3,})$"
+BOUNDARY = r"^(\d+(?:\.\d+)+)\.(?:$|\s+[A-Za-z])"
+CLAUSE = r"^(\d+(?:\.\d+)+)\.?(?:$|\s+(.+)$)"
+TABLE_MARK, OTHER_MARK = r"(?i)<!--\s*chunk_type:table\s*-->", r"(?i)^<!-- chunk_type:"
+PIPE_ROW = r"^\|.+\|$"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def found(c: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+
+
+def joined(rows: Column, name: str, by: str = "\n") -> Column:
+    """A field of collected structs, in the order of their first field."""
+    return F.array_join(F.transform(F.array_sort(rows), lambda x: x[name]), by)
+
+
+def section_id(line: Column) -> Column:
+    """Number of a section heading: one or two parts, where a dot at the end counts as a part."""
+    number = found(line, SECTION, 1)
+    return F.when(F.size(F.split(number, r"\.")) <= 2, F.regexp_replace(number, r"\.$", ""))
+
+
+def leaves(current: Column, number: Column) -> Column:
+    """Whether a clause number begins a block of its own while the block `current` is open."""
+    parts, own = F.split(number, r"\."), F.split(current, r"\.")
+    top, own_top = F.element_at(parts, 1), F.element_at(own, 1)
+    sibling = (F.size(parts) <= F.size(own)) & ~F.startswith(number, current)
+    return current.isin("General", "Document") | F.startswith(current, F.lit("Annex")) | (top != own_top) | sibling
+
+
+def marked_lines(pages: DataFrame) -> DataFrame:
+    """(doc_id, n, line, s, page, opens, block, block_id, kind, path) of every line; s is the line without outer space.
+
+    pages: doc_id, page_number, text and perhaps tables (array of pipe tables, which follow the text unless they are in it).
+    Equal page rows of a document are one page; pages of one number come in order of their text; a null text is an empty one.
+    """
+    text = F.coalesce("text", F.lit(""))
+    lines = F.concat(F.array(F.concat(F.lit("<!-- page: "), F.coalesce(F.col("page_number").cast("string"), F.lit("?")), F.lit(" -->"))), F.split(text, r"\r?\n"))
+    if "tables" in pages.columns:
+        new = F.filter(F.coalesce("tables", F.array().cast("array<string>")), lambda t: t.isNotNull() & ~F.contains(text, t))
+        lines = F.concat(lines, F.flatten(F.transform(new, lambda t: F.concat(F.array(F.lit("<!-- chunk_type:table -->")), F.split(t, r"\r?\n")))))
+    page = F.struct(F.col("page_number"), lines.alias("lines"))
+    docs = pages.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_set(page)), lambda p: p["lines"])).alias("lines"))
+    edge = F.transform("lines", lambda x, i: F.struct(i.alias("n"), F.coalesce(F.when(strip(x).rlike(ANNEX), "Annex"), section_id(strip(x))).alias("hard"), found(strip(x), BOUNDARY, 1).alias("soft")))
+    edges = F.filter(edge, lambda e: e["hard"].isNotNull() | e["soft"].isNotNull())
+    start = F.struct(F.lit("General").alias("id"), F.array().cast("array<int>").alias("at"))
+
+    def step(state: Column, e: Column) -> Column:
+        kept = F.struct(e["hard"].alias("id"), state["at"].alias("at"))
+        moved = F.struct(e["soft"].alias("id"), F.concat(state["at"], F.array(e["n"])).alias("at"))
+        return F.when(e["hard"].isNotNull(), kept).when(leaves(state["id"], e["soft"]), moved).otherwise(state)
+
+    docs = docs.withColumn("opened", F.aggregate(edges, start, step)["at"])
+    rows = docs.select("doc_id", "opened", F.posexplode("lines").alias("n", "line")).withColumn("s", strip(F.col("line"))).withColumn("soft", F.array_contains("opened", F.col("n")))
+    annex, section = found(F.col("s"), ANNEX, 1), section_id(F.col("s"))
+    rows = rows.withColumn("annex", annex).withColumn("section", F.when(F.col("annex").isNull(), section)).withColumn("clause", F.when(F.col("soft"), found(F.col("s"), BOUNDARY, 1)))
+    opens = F.when(F.col("annex").isNotNull(), "annex").when(F.col("section").isNotNull(), "section").when(F.col("soft"), "clause")
+    rows = rows.withColumn("opens", opens).withColumn("page", found(F.col("s"), PAGE, 1).cast("int"))
+    base = F.when(F.col("annex").isNotNull(), F.col("annex")).when(F.col("soft"), "Document")
+    title = F.when(F.col("section").isNotNull(), F.substring(F.regexp_extract("s", SECTION, 2), 1, 60))
+    so_far = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+
+    def last(c: Column, other: str) -> Column:
+        return F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit(other))
+
+    name = F.coalesce(F.replace(F.col("annex"), F.lit(" "), F.lit("_")), F.col("section"), F.col("clause"))
+    rows = rows.select("doc_id", "n", "line", "s", "page", "opens", F.count("opens").over(so_far).alias("block"), last(name, "General").alias("block_id"), last(F.col("opens"), "section").alias("kind"), last(base, "Document").alias("base"), F.last(title, ignorenulls=True).over(so_far).alias("title"))
+    mark = F.concat(F.lit(" > §"), F.col("block_id"))
+    path = F.when((F.col("kind") == "annex") | (F.col("block") == 0), F.col("base")).when(F.col("kind") == "clause", F.concat(F.lit("Document"), mark)).otherwise(F.concat(F.col("base"), mark, F.lit(" "), F.col("title")))
+    return rows.withColumn("path", path).drop("base", "title")
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """pages (doc_id, page_number, text) -> (doc_id, block, block_id, kind, first_page, last_page, text)."""
+    """pages -> (doc_id, block, block_id, kind, heading_path, first_page, last_page, text): annexes, sections and clauses apart from them.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = [x for n, t in sorted(zip(pdf["page_number"], pdf["text"], strict=True)) for x in [f"--- page {n} ---", *t.split("\n")]]
-        rows = [(pdf["doc_id"].iloc[0], i, b["id"], b["kind"], b["first"], b["last"], "\n".join(b["lines"])) for i, b in enumerate(segment(lines))]
-        return pd.DataFrame(rows, columns=["doc_id", "block", "block_id", "kind", "first_page", "last_page", "text"])
+    Pages are those whose marks lie in the block, null where none does. An annex heading is in no text; blocks without text are left out.
+    """
+    rows = marked_lines(pages).where("opens is null or opens != 'annex'")
+    out = rows.groupBy("doc_id", "block", "block_id", "kind", F.col("path").alias("heading_path")).agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), strip(joined(F.collect_list(F.struct("n", "line")), "line")).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("block")) - 1
+    return out.where("text != ''").withColumn("block", nth)
 
-    return pages.groupBy("doc_id").applyInPandas(run, "doc_id long, block int, block_id string, kind string, first_page int, last_page int, text string")
+
+def block_clauses(rows: DataFrame) -> DataFrame:
+    """Marked lines -> one row per block with its clauses, array<struct<cl, number, title, page, lines>>, in order.
+
+    Text before the first clause is a clause without a number. A block that is a clause itself stays whole.
+    """
+    inside = Window.partitionBy("doc_id", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.when(F.col("kind") != "clause", found(F.col("s"), CLAUSE, 1))
+    rows = rows.where("opens is null or opens != 'annex'").withColumn("number", number).withColumn("rest", F.regexp_extract("s", CLAUSE, 2))
+    dropped = (F.col("s") == "") | (F.startswith("s", F.lit("<!--")) & ~F.col("s").rlike(TABLE_MARK))
+    text = F.when(F.col("kind") == "clause", F.col("line")).when(F.col("number").isNotNull(), F.nullif(strip(F.col("rest")), F.lit(""))).when(~dropped, F.col("line"))
+    rows = rows.withColumn("text", text).withColumn("cl", F.count("number").over(inside)).withColumn("page_now", F.last("page", ignorenulls=True).over(inside))
+    key = ["doc_id", "block", "block_id", "kind", "path"]
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("n", "text")))), lambda x: x["text"])
+    whole = F.collect_list(F.struct("n", "line"))
+    parts = rows.groupBy(*key, "cl").agg(F.max("number").alias("number"), F.max(F.when(F.col("number").isNotNull(), F.substring("rest", 1, 80))).alias("title"), F.max("page_now").alias("page"), F.min("page").alias("first_page"), lines.alias("lines"), whole.alias("whole"))
+    own = F.when(F.col("kind") == "clause", F.col("block_id")).otherwise(F.col("number"))
+    title = F.when(F.col("number").isNotNull(), strip(F.concat(F.lit("§"), F.col("number"), F.lit(" "), F.col("title")))).otherwise(F.lit(""))
+    part = F.struct("cl", own.alias("number"), title.alias("title"), "page", "lines")
+    kept = F.when(own.isNotNull() | (F.size("lines") > 0), part)
+    out = parts.groupBy(*key).agg(F.array_sort(F.collect_list(kept)).alias("clauses"), F.min("first_page").alias("first_page"), F.flatten(F.collect_list("whole")).alias("whole"))
+    return out.withColumn("section_text", strip(joined(F.col("whole"), "line"))).drop("whole").where("section_text != ''")
+
+
+def heads(clauses: Column) -> Column:
+    """For each clause the cl of the one whose text it joins: its own, or that of a clause before it that ends with a colon and is its parent, with nothing else between."""
+    start = F.struct(F.lit(None).cast("string").alias("number"), F.lit(False).alias("colon"), F.lit(-1).cast("bigint").alias("cl"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(state: Column, c: Column) -> Column:
+        child = state["colon"] & F.coalesce(F.regexp_replace(c["number"], r"\.\d+$", "") == state["number"], F.lit(False)) & (c["number"] != state["number"])
+        stays = F.struct(state["number"].alias("number"), state["colon"].alias("colon"), state["cl"].alias("cl"), F.concat(state["out"], F.array(state["cl"])).alias("out"))
+        ends = F.coalesce(F.try_element_at(c["lines"], F.lit(-1)).rlike(r":\s*$"), F.lit(False))
+        own = F.struct(c["number"].alias("number"), (c["number"].isNotNull() & ends).alias("colon"), c["cl"].alias("cl"), F.concat(state["out"], F.array(c["cl"])).alias("out"))
+        return F.when(child, stays).otherwise(own)
+
+    return F.aggregate(clauses, start, step)["out"]
+
+
+def clause_bodies(per_block: DataFrame) -> DataFrame:
+    """(..., head, number, title, page, lines): clauses with the sub-clauses they take in, each introduced by its number; blocks without any keep one row with head null."""
+    key = ["doc_id", "block", "block_id", "kind", "path", "first_page", "section_text"]
+    rows = per_block.withColumn("heads", heads(F.col("clauses"))).select(*key, "heads", F.posexplode_outer("clauses").alias("at", "c"))
+    rows = rows.withColumn("head", F.get("heads", F.col("at"))).withColumn("taken", F.col("c.cl") != F.col("head"))
+    lines = F.when(F.col("taken"), F.concat(F.array(F.concat(F.col("c.number"), F.lit("."))), F.col("c.lines"))).otherwise(F.col("c.lines"))
+    own = F.struct("c.number", "c.title", "c.page")
+    part = F.struct(F.col("c.cl").alias("cl"), lines.alias("lines"))
+    out = rows.groupBy(*key, "head").agg(F.min_by(own, "c.cl").alias("own"), F.flatten(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["lines"])).alias("lines"))
+    return out.select(*key, "head", "own.*", "lines")
+
+
+def body_tables(bodies: DataFrame) -> DataFrame:
+    """bodies with text (what is in no table) and tables, array<struct<no, preamble, markdown>>, instead of lines.
+
+    A table is what follows a table mark, up to the next mark or through the first line that is no pipe row once there is
+    one, or else two pipe rows or more in a row. Its preamble is the text since the table before; it stays in the text too.
+    """
+    key = [c for c in bodies.columns if c != "lines"]
+    part = ["doc_id", "block", "head"]
+    order = Window.partitionBy(*part).orderBy("k")
+    before, to_here = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = bodies.select(*key, F.posexplode_outer("lines").alias("k", "line")).withColumn("s", strip(F.col("line")))
+    rows = rows.withColumn("mark", F.when(F.col("s").rlike(TABLE_MARK), 1).when(F.col("s").rlike(OTHER_MARK), 0)).withColumn("pipe", F.coalesce(F.col("s").rlike(PIPE_ROW), F.lit(False)))
+    rows = rows.withColumn("zone", F.count("mark").over(to_here)).withColumn("in_zone", F.coalesce(F.last("mark", ignorenulls=True).over(to_here), F.lit(0)) == 1)
+    zone = Window.partitionBy(*part, "zone").orderBy("k")
+    zone_before, zone_here = zone.rowsBetween(Window.unboundedPreceding, -1), zone.rowsBetween(Window.unboundedPreceding, 0)
+    inked = F.col("mark").isNull() & (F.col("s") != "")
+    rows = rows.withColumn("inked", inked).withColumn("nth", F.count_if("inked").over(zone_here)).withColumn("piped", F.coalesce(F.max("pipe").over(zone_before), F.lit(False)))
+    rows = rows.withColumn("stop", F.col("in_zone") & F.col("inked") & ~F.col("pipe") & (F.col("nth") >= 2) & F.col("piped"))
+    rows = rows.withColumn("marked", F.col("in_zone") & F.col("mark").isNull() & (F.coalesce(F.count_if("stop").over(zone_before), F.lit(0)) == 0))
+    rows = rows.withColumn("loose", F.col("pipe") & ~F.col("marked")).withColumn("island", F.col("k") - F.count_if("loose").over(to_here))
+    rows = rows.withColumn("wide", F.count("*").over(Window.partitionBy(*part, "island", "loose")))
+    rows = rows.withColumn("which", F.when(F.col("marked") & F.col("inked"), F.concat(F.lit("m"), F.col("zone"))).when(F.col("loose") & (F.col("wide") >= 2), F.concat(F.lit("p"), F.col("island"))))
+    fresh = F.col("which").isNotNull() & ~F.coalesce(F.last("which", ignorenulls=True).over(before) == F.col("which"), F.lit(False))
+    rows = rows.withColumn("seen", F.count_if(fresh).over(to_here))
+    rows = rows.withColumn("no", F.when(F.col("which").isNotNull(), F.col("seen")).otherwise(F.col("seen") + 1))
+    line = F.struct("k", "line")
+    plain = F.when(F.col("which").isNull() & F.col("mark").isNull() & ~F.col("marked") & F.col("k").isNotNull(), line)
+    per_table = rows.groupBy(*key, "no").agg(F.collect_list(plain).alias("plain"), F.collect_list(F.when(F.col("which").isNotNull(), line)).alias("inside"))
+    made = F.when(F.size("inside") > 0, F.struct("no", strip(joined(F.col("plain"), "line")).alias("preamble"), strip(joined(F.col("inside"), "line")).alias("markdown")))
+    out = per_table.groupBy(*key).agg(F.flatten(F.collect_list("plain")).alias("plain"), F.array_sort(F.collect_list(made)).alias("tables"))
+    return out.select(*key, strip(joined(F.col("plain"), "line")).alias("text"), "tables")
+
+
+def table_summary(markdown: Column) -> Column:
+    """The first four header cells of a pipe table."""
+    rows = F.filter(F.split(markdown, "\n"), lambda r: F.startswith(r, F.lit("|")) & ~F.startswith(strip(r), F.lit("| ---")))
+    cells = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(F.get(rows, F.lit(0)), F.lit("")), r"^\|+|\|+$", ""), r"\|"), strip), lambda c: c != "")
+    head = F.concat(F.lit("Table: "), F.array_join(F.slice(cells, 1, 4), ", "), F.when(F.size(cells) > 4, "…").otherwise(F.lit("")))
+    return F.when(F.size(cells) > 0, head).otherwise(F.lit("Structured compliance table"))
 
 
 def structured_chunks(pages: DataFrame) -> DataFrame:
-    """(doc_id, chunk_index, parent_index, chunk_type, section, chunk_text, content_hash): sections, their clauses, and links to parents."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        for b in pdf.sort_values("block").itertuples():
-            lines = [x for x in b.text.split("\n") if not PAGE.match(x)]
-            parent = None
-            if b.kind != "clause":
-                parent = len(rows)
-                rows.append((b.doc_id, parent, None, b.kind, b.block_id, "\n".join(lines)[:SECTION_CHARS]))
-            for number, body in clauses(lines):
-                for p in pieces(body):
-                    if p.strip():
-                        rows.append((b.doc_id, len(rows), parent, "clause" if number else "paragraph", number or b.block_id, p))
-        out = pd.DataFrame(rows, columns=["doc_id", "chunk_index", "parent_index", "chunk_type", "section", "chunk_text"])
-        return out.astype({"parent_index": "Int64"})
-
-    chunks = blocks(pages).groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_index int, parent_index int, chunk_type string, section string, chunk_text string")
-    from lexforge.functions.text import content_hash
-
-    return chunks.withColumn("content_hash", content_hash(F.col("chunk_text")))
-
-
-def synthetic_pages(lineitem: DataFrame) -> DataFrame:
-    """One document per order of the first suppliers, a page a line, with section, clause and annex lines."""
+    """(doc_id, chunk_index, parent_index, chunk_type, section, page_number, heading_path, chunk_text, content_hash).
+
+    An annex or section block gives a section chunk (its first SECTION_CHARS characters); its clauses give clause chunks, text without
+    a number paragraph chunks, both cut to CLAUSE_CHARS; their tables follow. Parent of a clause is its section, of a table its numbered clause,
+    else the section. A block that is a clause itself has no section chunk.
+    """
+    bodies = body_tables(clause_bodies(block_clauses(marked_lines(pages))))
+    starts = window_starts(F.col("text"), CLAUSE_CHARS, OVERLAP, True)
+    texts = F.filter(F.transform(starts, lambda at: strip(F.substring(F.col("text"), at + 1, F.lit(CLAUSE_CHARS)))), lambda t: t != "")
+    kind = F.when(F.col("number").isNotNull(), "clause").otherwise(F.lit("paragraph"))
+    title = F.regexp_replace(F.concat(F.col("path"), F.lit(" > "), F.coalesce("title", F.lit(""))), r"^[ >]+|[ >]+$", "")
+    own = F.transform(texts, lambda t, i: F.struct(F.lit(0).alias("rank"), i.alias("nth"), kind.alias("type"), title.alias("path"), t.alias("text")))
+
+    def table(t: Column, i: Column) -> Column:
+        head = table_summary(t["markdown"])
+        text = F.concat(head, F.lit("\n\n"), F.when(t["preamble"] != "", F.concat(t["preamble"], F.lit("\n\n"))).otherwise(F.lit("")), t["markdown"])
+        return F.struct(F.lit(1).alias("rank"), i.alias("nth"), F.lit("table").alias("type"), F.concat(F.col("path"), F.lit(" > "), head).alias("path"), text.alias("text"))
+
+    tables = F.transform("tables", table)
+    bodies = bodies.withColumn("chunks", F.when(F.col("head").isNotNull(), F.concat(own, tables)).otherwise(F.slice(own, 1, 0)))
+    key = ["doc_id", "block", "block_id", "kind", "path", "first_page", "section_text"]
+    body = F.struct("head", "number", "page", "chunks")
+    per_block = bodies.groupBy(*key).agg(F.array_sort(F.collect_list(body)).alias("bodies"))
+    whole = F.struct(F.lit(-1).cast("bigint").alias("head"), F.lit(None).cast("string").alias("number"), F.col("first_page").alias("page"), F.array(F.struct(F.lit(0).alias("rank"), F.lit(0).alias("nth"), F.lit("section").alias("type"), F.col("path").alias("path"), strip(F.substring("section_text", 1, SECTION_CHARS)).alias("text"))).alias("chunks"))
+    rows = per_block.withColumn("bodies", F.when(F.col("kind") != "clause", F.concat(F.array(whole), F.col("bodies"))).otherwise(F.col("bodies")))
+    rows = rows.select("doc_id", "block", "block_id", "first_page", F.explode("bodies").alias("b")).select("doc_id", "block", "block_id", "first_page", "b.head", "b.number", "b.page", F.explode("b.chunks").alias("c"))
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("block", "head", "c.rank", "c.nth")) - 1
+    rows = rows.withColumn("chunk_index", index)
+    section = F.max(F.when(F.col("c.type") == "section", F.col("chunk_index"))).over(Window.partitionBy("doc_id", "block"))
+    clause = F.min(F.when(F.col("c.type") == "clause", F.col("chunk_index"))).over(Window.partitionBy("doc_id", "block", "head"))
+    parent = F.when(F.col("c.type") == "section", None).when(F.col("c.type") == "table", F.coalesce(clause, section)).otherwise(section)
+    page = F.coalesce("page", "first_page")
+    out = rows.select("doc_id", "chunk_index", parent.alias("parent_index"), F.col("c.type").alias("chunk_type"), F.coalesce("number", "block_id").alias("section"), page.alias("page_number"), F.col("c.path").alias("heading_path"), F.col("c.text").alias("chunk_text"))
+    return out.withColumn("content_hash", content_hash(F.col("chunk_text")))
+
+
+def synthetic_pages(lines: DataFrame) -> DataFrame:
+    """One document per order, a page a line, with section, clause, annex and table lines."""
     text = F.expr(r"""CASE l_linenumber % 4
         WHEN 1 THEN concat_ws('\n', (l_orderkey % 6 + 1) || '. General', (l_orderkey % 6 + 1) || '.2.1. The limits are:', (l_orderkey % 6 + 1) || '.2.1.1. ' || cast(l_quantity AS int) || ' mm', 'more text')
-        WHEN 2 THEN concat_ws('\n', '5.2.' || l_linenumber || '. shall not exceed ' || cast(l_quantity AS int) || ' mm', 'and so on')
-        WHEN 3 THEN concat_ws('\n', 'Annex ' || (l_orderkey % 4), '7.6.2. Procedure', 'step')
+        WHEN 2 THEN concat_ws('\n', '5.2.' || l_linenumber || '. shall not exceed ' || cast(l_quantity AS int) || ' mm', '| Seat | Load |', '| --- | --- |', '| Driver | ' || cast(l_quantity AS int) || ' |', 'and so on')
+        WHEN 3 THEN concat_ws('\n', 'Annex ' || (l_orderkey % 4), '7.6.2. Procedure', 'step', '7.6.3.', 'second step')
         ELSE 'plain text' END""")
-    return lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page_number"), text.alias("text"))
+    return lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page_number"), text.alias("text"))
 
 
 def mock_embedding(text: Column, dim: int = 64) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import text as T
 from lexforge.operators import documents as D
 from lexforge.operators import structure
+from lexforge.plans import structure_sql
 from lexforge.sources.tables import table
 
 
@@ -89,7 +90,7 @@ def change_classify(spark: SparkSession, d: str) -> DataFrame:
 
 def validation_gate(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
-    text = F.when(F.col("page_id") % 11 != 0, F.concat(F.when(F.col("page_id") % 4 == 1, F.lit("R94 ")).otherwise(F.lit("")), F.substring("html", 1, 30 * 1), F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.substring("html", 31, 3000))))
+    text = F.when(F.col("page_id") % 11 != 0, F.concat(F.when(F.col("page_id") % 4 == 1, F.lit("R94 ")).otherwise(F.lit("")), F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", r"(?s)<[^>]*>|[a-z]", "")).otherwise(F.col("html"))))
     return p.select("page_id", D.validate(text, F.octet_length("html"), (F.col("page_id") % 8).cast("int"), F.lit("UN_R94")).alias("outcome"))
 
 
@@ -171,6 +172,8 @@ _HASH = r"sha256(trim(regexp_replace(lower(nfc_normalize({t})), '\s+', ' ', 'g')
 _VALUES = "(VALUES {})"
 
 SQL = {
+    "block_structure": structure_sql.BLOCKS,
+    "struct_chunks": structure_sql.CHUNKS,
     "flat_chunks": "SELECT doc_id, CAST(i AS INT) AS chunk_index, md5(substr(text, CAST(i * 800 + 1 AS BIGINT), 1000)) AS chunk_md5 FROM documents, LATERAL (SELECT unnest(range(0, CAST(ceil(length(text) / 800.0) AS BIGINT))) AS i) WHERE length(text) > 0",
     "oversize_split": "SELECT doc_id, CAST(i AS INT) AS chunk_index, md5(substr(text, CAST(i * 1600 + 1 AS BIGINT), 1800)) AS chunk_md5 FROM documents, LATERAL (SELECT unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - 1800) / 1600.0) AS BIGINT)))) AS i) WHERE length(text) > 0",
     "clause_split": """
@@ -208,7 +211,7 @@ WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u, md5(html) AS
 m AS (SELECT u, max(CASE WHEN page_id % 5 = 0 THEN 'old' ELSE h END) AS h FROM p WHERE page_id % 3 <> 0 GROUP BY u)
 SELECT page_id, CASE WHEN m.h IS NULL THEN 'NEW' WHEN m.h = p.h THEN 'DUPLICATE' ELSE 'CHANGED' END AS change FROM p LEFT JOIN m ON m.u = p.u""",
     "validation_gate": r"""
-WITH p AS (SELECT page_id, strlen(html) AS n, page_id % 8 AS pages, CASE WHEN page_id % 11 <> 0 THEN CASE WHEN page_id % 4 = 1 THEN 'R94 ' ELSE '' END || substr(html, 1, 30) || CASE WHEN page_id % 3 = 0 THEN '' ELSE substr(html, 31, 3000) END END AS t FROM pages),
+WITH p AS (SELECT page_id, strlen(html) AS n, page_id % 8 AS pages, CASE WHEN page_id % 11 <> 0 THEN CASE WHEN page_id % 4 = 1 THEN 'R94 ' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '<[^>]*>|[a-z]', '', 'gs') ELSE html END END AS t FROM pages),
 q AS (SELECT *, length(regexp_replace(t, '\s', '', 'g')) AS ink FROM p)
 SELECT page_id, CASE WHEN t IS NULL THEN 'REJECTED: unreadable' WHEN n < 2048 THEN 'REJECTED: too small' WHEN n > 83886080 THEN 'REJECTED: too large' WHEN pages < 1 THEN 'REJECTED: no pages'
   WHEN ink < 50 THEN 'NEEDS_OCR: no text' WHEN ink::DOUBLE / pages < 80 THEN 'NEEDS_OCR: thin text'

@@ -60,7 +60,7 @@ _SECTIONS_SQL = """
   FROM (SELECT lang AS query_id, doc_id, n_chars AS score,
           CASE doc_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '2.' || (doc_id % 9) WHEN 2 THEN '5.2.' || (doc_id % 7)
             WHEN 3 THEN 'Annex_' || (doc_id % 5) WHEN 4 THEN '6.1' ELSE 'General' END AS section
-        FROM documents WHERE doc_id < 400) QUALIFY rank <= 12"""
+        FROM documents) QUALIFY rank <= 12"""
 
 
 def scope_demotion(spark: SparkSession, d: str) -> DataFrame:

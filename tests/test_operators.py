@@ -59,18 +59,60 @@ def test_file_names(spark):
     assert (got.code, got.series) == ("UN_R016", 8)
 
 
-def test_clause_merge():
-    lines = ["2.12.4. belts are:", "2.12.4.1. first", "2.12.4.2. second", "2.12.5. other"]
-    got = S.clauses(lines)
-    assert [n for n, _ in got] == ["2.12.4", "2.12.5"]
-    assert "2.12.4.2.\nsecond" in got[0][1]
-
-
-def test_blocks_and_branches():
-    got = S.segment(["1. Scope", "text", "5.2 Limits", "5.2.1. first", "Annex 3", "Test steps", "7.6.2. Procedure"])
-    assert [(b["id"], b["kind"]) for b in got] == [("1", "section"), ("5.2", "section"), ("Annex_3", "annex"), ("7.6.2", "clause")]
-    # a heading alone is no block
-    assert [b["id"] for b in S.segment(["Annex 3", "7.6.2. Procedure"])] == ["7.6.2"]
+def pages_of(spark, *texts):
+    return spark.createDataFrame([(i, 1 + n, t) for i, pages in enumerate(texts) for n, t in enumerate(pages)], "doc_id long, page_number int, text string")
+
+
+def test_blocks_and_branches(spark):
+    pages = pages_of(
+        spark,
+        ["1. Scope\ntext\n5.2 Limits\n5.2.1. first\nAnnex 3\nTest steps\n7.6.2. Procedure", "6.2.5.\nRetractor tests\n6.2.5.3.1.\nas in 7.6.2. below\n7.6.2.\nLocking\n7.6.2.1.\nonce"],
+        ["Annex 3\n7.6.2. Procedure\n13.5 kN is a load\n7.6.20. stays by its beginning"],
+        [None, ""],
+    )
+    got = {}
+    for b in S.blocks(pages).orderBy("doc_id", "block").collect():
+        got.setdefault(b.doc_id, []).append((b.block_id, b.kind, b.first_page))
+    # a heading alone is no block, page marks are text
+    assert got[0] == [("General", "section", 1), ("1", "section", None), ("5.2", "section", None), ("Annex_3", "annex", None), ("7.6.2", "clause", 2), ("6.2.5", "clause", None), ("7.6.2", "clause", None)]
+    assert got[1] == [("General", "section", 1), ("7.6.2", "clause", None)]
+    assert got[2] == [("General", "section", 1)]
+
+
+def test_sub_clauses_join_a_clause_that_ends_with_a_colon(spark):
+    text = "2. Definitions\n2.12.4. belts are:\n2.12.4.1. first\n2.12.4.2. second:\n2.12.4.2.1. deeper\n2.12.5. other"
+    got = [(r.section, r.chunk_text) for r in S.structured_chunks(pages_of(spark, ["2. Definitions\nof terms\n" + text.split("\n", 1)[1].replace("2.12.4.2.1. deeper\n", "")], [text])).where("chunk_type = 'clause'").orderBy("doc_id", "chunk_index").collect()]
+    assert got[:2] == [("2.12.4", "belts are:\n2.12.4.1.\nfirst\n2.12.4.2.\nsecond:"), ("2.12.5", "other")]
+    # what was taken in takes in nothing itself
+    assert [x for x, _ in got[2:]] == ["2.12.4", "2.12.4.2.1", "2.12.5"]
+
+
+def test_chunks_of_tables_and_their_parents(spark):
+    text = "Annex 6\nAnchorage layout\n| Position | Load |\n| --- | --- |\n| Driver | 1350 daN |\nafter\n| alone |\n5.1. more\n<!-- chunk_type:table -->\nraw head\n| a | b | c | d | e |\nlast line\nrest"
+    got = S.structured_chunks(pages_of(spark, [text])).orderBy("chunk_index").collect()
+    assert [r.chunk_index for r in got] == list(range(len(got)))
+    tables = [r for r in got if r.chunk_type == "table"]
+    assert tables[0].chunk_text == "Table: Position, Load\n\nAnchorage layout\n\n| Position | Load |\n| --- | --- |\n| Driver | 1350 daN |"
+    assert (tables[0].section, got[tables[0].parent_index].chunk_type) == ("Annex_6", "section")
+    paragraph = next(r for r in got if r.chunk_type == "paragraph" and r.section == "Annex_6")
+    assert paragraph.chunk_text == "Anchorage layout\nafter\n| alone |"
+    # a marked table goes through the first line that is no pipe row
+    assert tables[1].chunk_text.startswith("Table: a, b, c, d…\n\n") and tables[1].chunk_text.endswith("raw head\n| a | b | c | d | e |\nlast line")
+    clause = got[tables[1].parent_index]
+    assert (clause.chunk_type, clause.chunk_text) == ("clause", "5.1. more\nrest")
+
+
+def test_long_clauses_are_cut_with_overlap(spark):
+    got = S.structured_chunks(pages_of(spark, ["3.1. " + "x" * 4000])).where("chunk_type = 'clause'").orderBy("chunk_index").collect()
+    assert [len(r.chunk_text) for r in got] == [1800, 1800, 805]
+    assert S.structured_chunks(pages_of(spark)).count() == 0
+
+
+def test_tables_of_a_page_follow_its_text_once(spark):
+    table = "| a | b |\n| 1 | 2 |"
+    rows = spark.createDataFrame([(1, 1, "1. Some title\nbody", [table]), (1, 1, "1. Some title\nbody", [table]), (2, 1, "1. Some title\n" + table, [table, None])], "doc_id long, page_number int, text string, tables array<string>")
+    got = S.structured_chunks(rows).where("chunk_type = 'table'").groupBy("doc_id").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1)]
 
 
 def test_overlay_keeps_title_and_chain(spark):
