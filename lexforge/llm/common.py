@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, a laptop) a folder of our own is set.
+    Only where the session names none and runs on one machine (tests, a laptop) a folder of our own is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="lexforge-ck-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -39,17 +41,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     if not _WRITTEN:
         atexit.register(release, spark)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the tables that materialize() has written."""
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove tables that materialize() has written and nothing reads any more; all of them if none is named."""
     jvm = spark.sparkContext._jvm
     if jvm is None or spark.sparkContext._jsc is None:
         return
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for path in [t._written for t in tables] if tables else list(_WRITTEN):
+        _WRITTEN.remove(path)
+        path = jvm.org.apache.hadoop.fs.Path(path)
         try:
             path.getFileSystem(conf).delete(path, True)
         except Exception:  # the session may be gone at exit; the folder is the cluster's scratch space
@@ -61,18 +66,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Alternating large-star and small-star steps: every step is one aggregation with map-side
     combine and one equi-join, and rows never exceed twice the edges. Steps are logarithmic in
-    the diameter. Self loops and repeated edges are allowed; null ends are ignored.
+    the diameter. They end when a step changes nothing, told by the number of edges and two independent
+    64-bit digests of them. Self loops and repeated edges are allowed; null ends are ignored.
     """
-    e = (
-        edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-        .where(F.col("u").isNotNull() & F.col("v").isNotNull())
-        .distinct()
-    )
-    nodes = materialize(e.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "cc-nodes")
-    e = materialize(e.where("u != v"), "cc-edges")
-    seen = None
+    spark = edges.sparkSession
+    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
+    e = materialize(e.distinct(), "cc-edges")
+    nodes = e.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    now, seen, old = e.where("u != v"), None, None
     while True:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
@@ -85,10 +88,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .where("u != v")
             .distinct()
         )
-        e = materialize(small, "cc-edges")
-        mark = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first()
-        if tuple(mark) == seen:
+        now = materialize(small, "cc-edges")
+        if old is not None:
+            release(spark, old)
+        old = now
+        mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).first())
+        if mark == seen:
             break
-        seen = tuple(mark)
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
+        seen = mark
+    low = now.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(low, nodes["id"] == low["u"], "left").select("id", F.coalesce("m", "id").alias("component"))

@@ -4,9 +4,11 @@ A signature has SYMBOLS b-bit symbols, cut into CHUNKS. Two signatures that diff
 DISTANCE symbols differ in at most ERRORS = DISTANCE // CHUNKS symbols of some chunk (pigeonhole), so
 every chunk is indexed once for each way to leave ERRORS of its symbols out: all pairs under the
 distance share a bucket. Buckets are never expanded into pairs. A text is first held against the
-most central of its buckets' texts; then, while a bucket still holds several components, a growing number of
-its texts (hubs) is held against its texts of other components, until nothing is left to compare. Bitmaps
-of the sets give an exact upper bound of a pair's similarity, so only pairs that can be similar arise.
+most central of its buckets' texts, which joins groups of copies. Where a bucket still holds several
+components, its texts of all but the largest one meet all its texts, slice by slice, so a task holds two
+slices of bounded size; only pairs of different components come out whose bitmaps, an exact upper bound of
+similarity, allow a link. A text gives so many of its likeliest partners at once; where it has more, its bucket
+meets again with eight times as many, until none is left out.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import connected_components, materialize
+from lexforge.llm.common import connected_components, materialize, release
 
 SHINGLE, SIMILAR = 5, 75
 #: Signature: at a similarity of 0.75 a chunk of three matches but for one symbol with 0.84, so all eight miss with 4e-7.
 SYMBOLS, BITS, CHUNKS, DISTANCE = 24, 16, 8, 15
 WIDTH, ERRORS = SYMBOLS // CHUNKS, DISTANCE // CHUNKS
-#: Hubs of a bucket in the first round after the start; each later round takes eight times as many.
-HUBS = 16
+#: Rows of a bucket's slice on average, of which a task holds two at least; rows a task compares at once; partners a text gives of a meeting in the first round.
+SLICE, MEETING, PARTNERS = 1024, 1 << 15, 8
 #: 64-bit words of a set's bitmap, a bit for the shingles with the same leading bits.
 MAP_WORDS = 32
 CACHE_WORDS, BATCH = 300_000, 256
@@ -141,7 +143,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
         for kept in combinations(range(WIDTH), WIDTH - ERRORS):
             keys.append(F.xxhash64(F.lit(c * 100 + sum(1 << k for k in kept)), *[F.element_at("sig", c * WIDTH + k + 1) for k in kept]))
     rows = nodes.select("node", F.col("n_shingles").alias("n"), F.explode(F.array(*keys)).alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size")
+    several = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     rows = materialize(rows.join(several, "bucket").select("bucket", "node", "n", "size"), "near-rows")
     central = rows.groupBy("node").agg(F.sum("size").alias("central"))
     return rows.drop("size").join(central, "node").select("bucket", "node", "n", "central")
@@ -151,19 +153,117 @@ def sizes_fit(a: str, b: str):
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar: by size and bitmap, which drop no similar pair, then the full sets."""
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that can be similar by size and bitmap."""
     thin = nodes.select("node", "n_shingles", "bits")
     p = pairs.join(thin.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ma")), "a")
     p = p.join(thin.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("mb")), "b")
-    p = p.where(sizes_fit("na", "nb") & may_be_similar("na", "ma", "nb", "mb")).select("a", "b", "na", "nb")
-    p = p.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
+    return p.where(sizes_fit("na", "nb") & may_be_similar("na", "ma", "nb", "mb")).select("a", "b")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose full sets are similar."""
+    p = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb"))
-    return p.where(100 * both >= SIMILAR * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    return p.where(100 * both >= SIMILAR * (F.size("xa") + F.size("xb") - both)).select("a", "b")
+
+
+def meetings(index: DataFrame, parts: DataFrame, bits: DataFrame) -> DataFrame:
+    """(bucket, y, x, role, node, n, part, bits): the rows of buckets with several components, dealt to cells.
+
+    Texts outside the bucket's largest component are rows (role 0) of the cells (their slice, any), all its texts are
+    columns (role 1) of the cells (any, their slice); in a bucket of one cell a row is its own column (role 2).
+    """
+    named = index.join(parts, index["node"] == parts["id"], "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("part"))
+    sized = named.groupBy("bucket", "part").agg(F.count("*").alias("size"))
+    several = sized.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("total")).where("parts > 1")
+    rows = named.join(several, "bucket").join(bits, "node")
+    other = F.col("part") != F.col("most.part")
+    wide, tall = (F.ceil(c / SLICE).cast("int") for c in (F.col("total"), F.col("total") - F.col("most.size")))
+    y, x = F.pmod(F.xxhash64("node"), F.col("tall")).cast("int"), F.pmod(F.xxhash64("node"), F.col("wide")).cast("int")
+
+    def cell(at_y, at_x, role: int) -> Column:
+        return F.struct(at_y.alias("y"), at_x.alias("x"), F.lit(role).alias("role"))
+
+    as_row = F.when(F.col("other"), F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda i: cell(y, i, 0))).otherwise(F.array())
+    as_column = F.transform(F.sequence(F.lit(0), F.col("tall") - 1), lambda i: cell(i, x, 1))
+    single = F.array(F.when(F.col("other"), cell(F.lit(0), F.lit(0), 2)).otherwise(cell(F.lit(0), F.lit(0), 1)))
+    cells = F.when(F.col("wide") == 1, single).otherwise(F.concat(as_row, as_column))
+    rows = rows.withColumn("other", other).withColumn("wide", wide).withColumn("tall", tall)
+    return rows.select("bucket", F.explode(cells).alias("c"), "node", "n", "part", "bits").select("bucket", "c.y", "c.x", "c.role", "node", "n", "part", "bits")
+
+
+def meet(key: np.ndarray, role: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarray, bits: np.ndarray, partners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of rows of one key that may be linked, at most so many for each i, the likeliest first, and places whose pairs were cut.
+
+    Rows are sorted by key, then n. The k-th row after each row is compared at once for all rows.
+    """
+    ends = np.searchsorted(key, key, "right")
+    size = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    live, step, found = np.arange(len(key)), 0, []
+    while True:
+        step += 1
+        live = live[live + step < ends[live]]
+        live = live[100 * n[live] >= SIMILAR * n[live + step]]
+        if not len(live):
+            break
+        i, j = live, live + step
+        ok = (part[i] != part[j]) & (role[i] + role[j] > 0) & ~((role[i] == 1) & (role[j] == 1))
+        i, j = i[ok], j[ok]
+        both = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+        common = np.minimum(n[i] - size[i], n[j] - size[j]) + both  # at most so many shingles are in both sets
+        ok = 7 * common >= 3 * (n[i] + n[j])
+        if ok.any():
+            found.append((i[ok], j[ok], common[ok] / (n[i] + n[j] - common)[ok]))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    i, j, likely = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((-likely, i))
+    i, j = i[order], j[order]
+    nth = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[nth < partners], j[nth < partners], i[nth == partners]
+
+
+def candidates(cells: DataFrame, partners: int) -> DataFrame:
+    """(a, b, cut): pairs that may be linked, and the buckets (a and b null) in which a text has more than so many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def settle(rows: pa.Table) -> pa.RecordBatch:
+            role, node, n, part = (rows.column(c).to_numpy().astype(np.int64) for c in ("role", "node", "n", "part"))
+            bits = rows.column("bits").combine_chunks()
+            bits = (bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits).flatten().to_numpy().view(np.uint64).reshape(len(node), MAP_WORDS)
+            bucket, y, x = (rows.column(c).to_numpy() for c in ("bucket", "y", "x"))
+            key = np.cumsum(np.append(False, (bucket[1:] != bucket[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1])))
+            i, j, cut = meet(key, role, node, n, part, bits, partners)
+            a, b, cut = np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), np.unique(bucket[cut])
+            pad = pa.nulls(len(cut), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), pad]), pa.concat_arrays([pa.array(b), pad]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(cut, pa.int64())])], ["a", "b", "cut"])
+
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) < MEETING:
+                continue
+            rows = pa.concat_tables(held)
+            # whole cells only: the last one may go on in the next batch
+            last = [rows.column(c)[-1].as_py() for c in ("bucket", "y", "x")]
+            same = np.logical_and.reduce([rows.column(c).to_numpy() == v for c, v in zip(("bucket", "y", "x"), last, strict=True)])
+            end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            held = [rows.slice(end)]
+            if end:
+                yield settle(rows.slice(0, end))
+        if held:
+            yield settle(pa.concat_tables(held))
+
+    ordered = cells.repartition("bucket", "y", "x").sortWithinPartitions("bucket", "y", "x", "n", "node")
+    return ordered.mapInArrow(run, "a long, b long, cut long")
 
 
 def link(nodes: DataFrame, sets_of) -> DataFrame:
     """(id, component) of the linked nodes. nodes: node, n_shingles, set_key, sig, bits; sets_of gives full sets for some."""
+    spark = nodes.sparkSession
     index = materialize(buckets(nodes), "near-buckets")
     # every text is held against the most central of its buckets' most central texts
     order = F.struct("central", (-F.col("node")).alias("turned"))
@@ -171,32 +271,22 @@ def link(nodes: DataFrame, sets_of) -> DataFrame:
     first = index.join(best, "bucket").groupBy("node").agg(F.max("best").alias("best")).select(F.col("node").alias("a"), (-F.col("best.turned")).alias("b")).where("a != b")
     wanted = index.select("node").distinct().join(nodes.select("node", "set_key"), "node")
     sets = materialize(sets_of(wanted), "near-sets")
-    first = materialize(first, "near-pairs")
-    links = materialize(confirmed(first, nodes, sets), "near-links")
-    hubs, used, maps = HUBS, None, nodes.select("node", "bits")
+    links = materialize(similar(plausible(first, nodes), sets), "near-links")
+    parts = materialize(connected_components(links, "a", "b"), "near-parts")
+    partners, bits, rows = PARTNERS, nodes.select("node", "bits"), index.drop("central")
     while True:
-        parts = materialize(connected_components(links, "a", "b"), "near-parts")
-        named = index.join(parts, index["node"] == parts["id"], "left").select("bucket", "node", "n", "central", F.coalesce("component", "node").alias("part"))
-        if used is not None:  # texts that have been hubs of a bucket are done there
-            named = named.join(used, ["bucket", "node"], "left_anti")
-        # counted with map-side combine, so no task holds a whole bucket; a bucket of one component is done
-        sized = named.groupBy("bucket", "part").agg(F.count("*").alias("size"))
-        most = sized.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-        open_rows = named.join(most.select("bucket", F.col("most.part").alias("most")), "bucket").join(maps, "node")
-        open_rows = materialize(open_rows, "near-open")
-        if open_rows.isEmpty():
+        found = materialize(candidates(meetings(rows, parts, bits), partners), "near-found")
+        fresh = materialize(similar(found.where("a is not null").select("a", "b").distinct(), sets), "near-links")
+        cut = found.where("cut is not null").select(F.col("cut").alias("bucket")).distinct()
+        done = cut.isEmpty()
+        if not fresh.isEmpty():
+            known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            parts = materialize(connected_components(known.union(fresh), "a", "b"), "near-parts")
+        if done:
+            release(spark, sets)
             return parts
-        # hubs: texts of all components but the bucket's largest, central ones first
-        fewer = open_rows.where("part != most")
-        chosen = fewer.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("central"), "node"))).where(F.col("place") <= hubs)
-        chosen = materialize(chosen.select("bucket", F.col("node").alias("hub"), F.col("part").alias("hub_part"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits")), "near-hubs")
-        fits = (F.col("part") != F.col("hub_part")) & sizes_fit("n", "hub_n") & may_be_similar("n", "bits", "hub_n", "hub_bits")
-        pairs = open_rows.join(chosen, "bucket").where(fits)
-        pairs = pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        links = materialize(links.union(confirmed(pairs, nodes, sets)), "near-links")
-        now = chosen.select("bucket", F.col("hub").alias("node"))
-        used = now if used is None else used.union(now)
-        hubs *= 8
+        rows = index.drop("central").join(cut, "bucket", "left_semi")
+        partners *= 8
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
