@@ -35,8 +35,9 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def content_hash(c: Column, normalise: bool = True) -> Column:
-    """SHA-256 of the text in NFKC, lower case and single spaces. Plain ASCII skips the Python step."""
-    form = F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(nfkc(c)) if normalise else c
+    """SHA-256 of the text in NFKC, lower case and single spaces. Plain ASCII is its own normal form: Python sees a null in its place."""
+    plain = c.rlike(r"^\p{ASCII}*$")
+    form = F.when(plain, c).otherwise(nfkc(F.when(~plain, c))) if normalise else c
     return F.sha2(F.trim(F.regexp_replace(F.lower(form), r"(?U)\s+", " ")), 256)
 
 

@@ -135,32 +135,40 @@ def supersedes(documents: DataFrame) -> DataFrame:
     return documents.withColumn("supersedes", F.lag("document").over(w))
 
 
+#: What a role's files are called, first match wins.
+ROLE_MARKS = [("amendment", "amend"), ("supplement", "supp"), ("corrigendum", "corr"), ("bulletin", "tb_|_tb|technical_bulletin")]
+#: Families of files without a UN number by their mark, their members by theirs (first match wins), and the family's own name.
+FILE_FAMILIES = [
+    ("euroncap", [("_aop", "Euro NCAP AOP"), ("_cop", "Euro NCAP COP"), ("_vru", "Euro NCAP VRU"), ("_sa_|_sa$", "Euro NCAP Safety Assist"), ("_side", "Euro NCAP Side"), ("_farside", "Euro NCAP Far-Side"), ("_rescue", "Euro NCAP Rescue"), ("_postcrash", "Euro NCAP Post-Crash"), ("_overall", "Euro NCAP Overall Assessment"), ("_scoring", "Euro NCAP Scoring"), ("_generalguidance", "Euro NCAP General Guidance"), ("tb_thor", "Euro NCAP THOR Dummy"), ("tb_aemdb", "Euro NCAP AE-MDB"), ("tb_farside", "Euro NCAP Far-Side Bulletin")], "Euro NCAP"),
+    ("eu_|_gsr|_wvta", [("2019_2144|gsr2|gsr_amendment", "EU GSR2"), ("2018_858|wvta", "EU WVTA")], "EU Regulation"),
+    ("iihs", [("moderateoverlap", "IIHS Moderate Overlap"), ("smalloverlap", "IIHS Small Overlap"), ("sidebarrier", "IIHS Side Barrier"), ("roofstrength", "IIHS Roof Strength"), ("headrestraints", "IIHS Head Restraints")], "IIHS Protocol"),
+    ("nhtsa_ncap", [("frontal", "NHTSA NCAP Frontal"), ("pole", "NHTSA NCAP Pole"), ("side", "NHTSA NCAP Side")], "NHTSA NCAP"),
+    ("cncap", [], "C-NCAP 2024"),
+]
+#: Where the numbers of a file name stand.
+FILE_NUMBERS = {"series": [r"(\d+)[ _]*series", r"am(\d+)"], "revision": [r"\brev(?:ision)?\.?\s*(\d+)\b", r"rev(\d+)"], "supplement": [r"\bsupp(?:lement)?\.?\s*(\d+)\b", r"supp(\d+)"], "corrigendum": [r"\bcorr(?:igendum)?\.?\s*(\d+)\b", r"corr(\d+)"]}
+UN_NUMBER = [r"\bun_r(\d+)", r"\br(\d+)"]
+
+
 def parse_filename(name: Column) -> dict[str, Column]:
-    """role, code and the four numbers of a file name."""
-    stem = F.regexp_replace(F.lower(name), r"\.[a-z0-9]+$", "")
-
-    def number(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(stem, pattern, 1), F.lit("")).cast("int")
-
-    compact = r"^r(\d{3})r(\d+)(?:am(\d+))?e$"
-    is_compact = stem.rlike(compact)
-    series = F.coalesce(number(r"(\d{1,2}) ?_?series"), F.when(is_compact, F.coalesce(number(r"^r\d{3}r\d+am(\d+)e$"), number(r"^r\d{3}r(\d+)")))).cast("int")
-    code = F.when(is_compact, F.regexp_extract(stem, compact, 1)).otherwise(F.regexp_extract(stem, r"un_?r_?(\d+)", 1))
-    role = (
-        F.when(stem.rlike(r"corr"), "corrigendum")
-        .when(stem.rlike(r"supp"), "supplement")
-        .when(stem.rlike(r"(?:^|_)tb\d*(?:_|$)|bulletin"), "bulletin")
-        .when(stem.rlike(r"amend"), "amendment")
-        .otherwise("base")
-    )
-    return {
-        "role": role,
-        "code": F.when(code != "", F.concat(F.lit("UN_R"), code)),
-        "series": series,
-        "revision": F.coalesce(number(r"rev(?:ision)?_?(\d+)"), F.when(is_compact, number(r"^r\d{3}r(\d+)"))).cast("int"),
-        "supplement": number(r"supp(?:lement)?_?(\d+)"),
-        "corrigendum": number(r"corr(?:igendum)?_?(\d+)"),
-    }
+    """role, whether the file is a whole regulation, code and the four numbers of a file name."""
+    stem = F.regexp_replace(F.lower(name), r"\.[^.]*$", "")
+
+    def first(patterns: list[str]) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract(stem, p, 1), F.lit("")) for p in patterns])
+
+    role = F.lit("base")
+    for r, mark in reversed(ROLE_MARKS):
+        role = F.when(stem.rlike(mark), r).otherwise(role)
+    code = F.lit("UNKNOWN")
+    for mark, members, own in reversed(FILE_FAMILIES):
+        member = F.lit(own)
+        for m, n in reversed(members):
+            member = F.when(stem.rlike(m), n).otherwise(member)
+        code = F.when(stem.rlike(mark), member).otherwise(code)
+    fmvss = F.concat(F.lit("FMVSS"), F.regexp_replace(F.regexp_extract(stem, r"fmvss_(\d+)", 1), r"^(?=\d)", " "))
+    code = F.coalesce(F.concat(F.lit("UN_R"), first(UN_NUMBER)), F.when(F.contains(stem, F.lit("fmvss")), fmvss), code)
+    return {"role": role, "complete": role == "base", "code": code, **{k: first(v).cast("int") for k, v in FILE_NUMBERS.items()}}
 
 
 # ---------------------------------------------------------------- gates

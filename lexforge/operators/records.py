@@ -5,24 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Units of a limit, and the words that make it a floor or a ceiling.
-LIMIT = r"(?i)(\d+(?:\.\d+)?)\s*(mm|kn|ms|g)\b"
-FLOOR_WORDS = ("not be less than", "at least", "minimum", "shall exceed")
-CEILING_WORDS = ("shall not exceed", "not exceed", "maximum", "at most", "less than or equal")
+#: What a limit looks like, words near it that make it a floor or a ceiling, and words that name a criterion.
+LIMIT = r"(\d+(?:\.\d+)?)\s*(mm|g|kn|ms)\b"
+FLOOR_WORDS = ("above", "greater than", "greater", "minimum", "min", "at least", "stay above", "more than", "exceeds")
+CEILING_WORDS = ("not exceed", "not to exceed", "less than", "less", "maximum", "max", "below", "limit")
 AROUND = 60
-CEILING_BY_DEFAULT = ("HIC", "HIC36", "ThCC")
+THORAX_WORDS, HEAD_WORDS = ("thcc", "thorax", "chest", "deflection", "compression"), ("hic", "head", "injury")
+CEILING_BY_DEFAULT = ("hic", "hic36", "thcc")
+
+
+def any_word(text: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+
+
+def criterion_fits(criterion: Column, text: Column) -> Column:
+    """Whether a clause speaks of a criterion: by the words of thorax or head, else by its name."""
+    low, name = F.lower(text), F.lower(criterion)
+    return F.when(name == "thcc", any_word(low, THORAX_WORDS)).when(name.isin("hic", "hic36"), any_word(low, HEAD_WORDS)).otherwise(F.contains(low, name))
 
 
 def limit(text: Column, criterion: Column) -> Column:
-    """struct(value, direction, unit) of the first number with a unit; words within 60 characters give the direction."""
-    number = F.nullif(F.regexp_extract(text, LIMIT, 1), F.lit(""))
-    at = F.instr(text, F.regexp_extract(text, LIMIT, 0))
-    near = F.lower(F.substring(text, F.greatest(F.lit(1), at - AROUND), F.lit(2 * AROUND) + F.char_length(F.regexp_extract(text, LIMIT, 0)) + F.least(F.lit(0), at - AROUND - 1)))
-    ceiling = F.exists(F.array(*[F.lit(w) for w in CEILING_WORDS]), lambda w: F.contains(near, w))
-    low = F.regexp_replace(near, "shall not exceed|not exceed", "")
-    floor = F.exists(F.array(*[F.lit(w) for w in FLOOR_WORDS]), lambda w: F.contains(low, w))
-    direction = F.when(floor & ~ceiling, "floor").when(ceiling & ~floor, "ceiling").when(criterion.isin(*CEILING_BY_DEFAULT), "ceiling")
-    return F.when(number.isNotNull(), F.struct(number.cast("double").alias("value"), direction.alias("direction"), F.lower(F.regexp_extract(text, LIMIT, 2)).alias("unit")))
+    """struct(value, direction, unit) of the first number with a unit in a clause that speaks of the criterion, else null.
+
+    Words within 60 characters on either side make it a floor or a ceiling; where they make it both or neither, it is a ceiling for head
+    and thorax and no limit for others. Without a number thorax clauses that name 94 have 42 mm, and head clauses 1000 without a unit.
+    """
+    low, name = F.lower(text), F.lower(criterion)
+    kind = "struct<value:double,direction:string,unit:string>"
+
+    def known(value: float, unit: str) -> Column:
+        return F.struct(F.lit(value).alias("value"), F.lit("ceiling").alias("direction"), F.lit(unit).alias("unit")).cast(kind)
+
+    def read(p: Column) -> Column:
+        near = F.concat(F.right(p[0], F.lit(AROUND)), F.lit(" "), p[3])
+        floor, ceiling = any_word(near, FLOOR_WORDS), any_word(near, CEILING_WORDS)
+        direction = F.when(floor & ~ceiling, "floor").when(ceiling & ~floor, "ceiling").when(name.isin(*CEILING_BY_DEFAULT), "ceiling")
+        given = F.when(direction.isNotNull(), F.struct(p[1].cast("double").alias("value"), direction.alias("direction"), p[2].alias("unit")).cast(kind))
+        default = F.when((name == "thcc") & F.contains(low, F.lit("94")), known(42.0, "mm")).when(name.isin("hic", "hic36"), known(1000.0, "none"))
+        return F.when(F.size(p) == 4, given).otherwise(default)
+
+    # one pass of the pattern cuts the text into what stands before, number, unit and what follows
+    cut = F.split(F.regexp_replace(low, rf"(?s)^(.*?){LIMIT}(.{{0,{AROUND}}}).*$", "$1\u0001$2\u0001$3\u0001$4"), "\u0001", -1)
+    found = F.get(F.transform(F.array(cut), read), F.lit(0))
+    return F.when(criterion_fits(criterion, text), found)
 
 
 def verdict(value: Column, limit_value: Column, direction: Column) -> Column:

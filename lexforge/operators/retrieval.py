@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import bare_words, long_terms, substring_hits
+from lexforge.operators.records import limit
 
 RRF_K = 60
 DENSE_SHARE, SPARSE_SHARE = 0.6, 0.4
 #: Questions of a batch: this side is broadcast, so its size is checked.
 MOST_QUERIES = 10_000
+#: Criteria of which a clause must have a limit to be offered for linking.
+RESOLVABLE = ("ThCC", "HIC36", "HIC", "TCFC")
 
 
 def depth(top_k: int) -> int:
@@ -201,14 +204,96 @@ def expand_queries(queries: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 #: Patterns of the intent router, first match wins.
-IDENTITY = r"(?i)^\s*(who are you|what are you|what can you do)\s*\??\s*$"
-INJECTION = r"(?is)ignore (all |any )?(previous|prior) instructions|reveal your (system )?prompt|translate.{0,200}(and|then).{0,60}(obey|follow)"
-CORPUS_META = r"(?i)how many (documents|regulations)|which regulations do you (have|cover)|list (all )?(documents|regulations)"
-NAMED_SCOPE = r"(?i)\bUN[ _]?R ?\d+|\bFMVSS|§|\bparagraph \d"
+IDENTITY = r"(?i)^\s*(?:who\s+are\s+you|what\s+are\s+you|are\s+you\s+(?:an?\s+)?(?:ai|artificial|human|engineer|chatbot|bot)|introduce\s+yourself|tell\s+me\s+about\s+yourself)\s*[?.!]*\s*$"
+INJECTION = "(?is)" + "|".join(
+    [
+        r"(?:translate|tradu(?:ire|isez|uction)|translation).{0,200}?(?:then|puis|and\s+then|after\s+that|ensuite).{0,60}?(?:follow|obey|execute|apply|comply|do\s+(?:what|it)|suivre|suivez)",
+        r"ignore(?:z)?\s+les?\s+directives?\s+de\s+citation",
+        r"ignore\s+(?:all\s+)?(?:previous|prior|above)\s+instructions",
+        r"disregard\s+(?:all\s+)?(?:previous|prior|the\s+)?(?:system|above)\s+instructions",
+        r"ignore\s+(?:all\s+)?citation",
+        r"invent(?:ez)?\s+(?:une\s+)?r[eé]ponse",
+        r"invent\s+(?:an?\s+)?answer",
+        r"fabriqu(?:er|ez)\s+(?:une\s+)?r[eé]ponse",
+        r"make\s+up\s+(?:an?\s+)?answer",
+        r"without\s+(?:any\s+)?citations?",
+        r"bypass\s+(?:safety|guardrails|filters|restrictions|grounding)",
+        r"override\s+(?:your\s+)?(?:system|safety)\s+(?:prompt|rules|instructions)",
+        r"pretend\s+you\s+are\s+not\s+(?:an?\s+)?(?:ai|assistant|chatbot)",
+        r"\bjailbreak\b",
+        r"reveal\s+(?:the\s+)?(?:system\s+)?prompt",
+    ]
+)
+THINGS = r"(?:pdfs?|documents?|files?|sources?)"
+DOCUMENT_COUNT = rf"(?i)how\s+many\s+{THINGS}|(?:count|total\s+number\s+of)\s+(?:the\s+)?(?:number\s+of\s+(?:the\s+)?)?{THINGS}|what\s+is\s+the\s+(?:total\s+)?number\s+of\s+{THINGS}|number\s+of\s+{THINGS}"
+CORPUS_META = DOCUMENT_COUNT + (
+    r"|how\s+many\s+(?:regs?|regulations?)"
+    r"|(?:what|which)\s+(?:documents?|regulations?|regs?|standards?|sources?|pdfs?|corpus|knowledge\s+base)\s+(?:do\s+you\s+)?(?:use|have|cover|contain|include|access)"
+    r"|what\s+(?:is|are)\s+in\s+(?:the\s+)?(?:corpus|knowledge\s+base|registry)|what\s+do\s+you\s+have\s+access\s+to"
+    r"|list\s+(?:all\s+)?(?:ingested\s+)?(?:your\s+|the\s+)?(?:regulations?|documents?|coverage|pdfs?|sources?)|coverage\s+(?:report|summary|status)"
+)
+NAMED_SCOPE = r"(?i)(?:\b(?:UN[\s_-]?R\d{2,3}|R\d{2,3}\b|FMVSS|Euro\s*NCAP|NHTSA|UNECE|annex|section|clause)\b|§)"
 
 
 def intent(query: Column) -> Column:
-    return F.when(query.rlike(IDENTITY), "identity").when(query.rlike(INJECTION), "injection").when(query.rlike(CORPUS_META) & ~query.rlike(NAMED_SCOPE), "corpus_meta").otherwise("regulatory")
+    meta = query.rlike(CORPUS_META) & ~query.rlike(NAMED_SCOPE)
+    return F.when(query.rlike(IDENTITY), "identity").when(query.rlike(INJECTION), "injection_blocked").when(meta, "corpus_meta").otherwise("regulatory")
+
+
+def clause_search(clauses: DataFrame, term: str, code: str | None = None, most: int = 20) -> DataFrame:
+    """(place, code, section, doc_id, linked_clause, snippet): clauses with a section and a readable limit in which a term occurs.
+
+    The term is looked for in text, section and code, regardless of case; shorter ones than two characters find nothing. Filters
+    come before the cut; of clauses with one code and section the smallest doc_id stays.
+    """
+    term = term.strip().lower()
+    if len(term) < 2:
+        clauses = clauses.where(F.lit(False))
+    rows = clauses.where(F.coalesce(F.col("section") != "", F.lit(False)))
+    if code is not None:
+        rows = rows.where(F.col("code") == code)
+    rows = rows.where(reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(term)), F.lit(False)) for c in ("text", "section", "code")]))
+    rows = rows.where(reduce(lambda a, b: a | b, [limit(F.col("text"), F.lit(c)).isNotNull() for c in RESOLVABLE]))
+    once = rows.groupBy("code", "section").agg(F.min_by(F.struct("doc_id", "text"), F.struct("doc_id", "text")).alias("c"))
+    # one list for the whole corpus: ordered and cut before it is numbered, so each task hands on no more than the cut
+    few = once.orderBy("code", "section").limit(most)
+    place = F.row_number().over(Window.orderBy("code", "section"))
+    return few.select(place.alias("place"), "code", "section", "c.doc_id", F.concat("code", F.lit("#"), "section").alias("linked_clause"), F.replace(F.substring("c.text", 1, 280), F.lit("\n"), F.lit(" ")).alias("snippet"))
+
+
+def fulltext(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, rank, doc_id, score): BM25 over words; only words that a question has are counted and shuffled."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    asked = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("term"))
+    if asked.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} terms in a batch: split it")
+    docs = corpus.select("doc_id", words.alias("words")).withColumn("length", F.size("words"))
+    hits = docs.select("doc_id", "length", F.explode("words").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    size = docs.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    known = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))
+    idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    scored = known.withColumn("part", part).join(F.broadcast(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return top(scored, k, F.desc("score"), F.col("doc_id"))
+
+
+def citations_of(ranked: DataFrame) -> DataFrame:
+    """ranked (query_id, rank, code, amendment, document, page_number, section, heading_path, chunk_type, text, perhaps source_kind) -> what an answer cites.
+
+    Ids count from S1; an empty section gives way to the heading path; snippets have 400 characters.
+    """
+    given = F.col("source_kind") if "source_kind" in ranked.columns else F.lit(None).cast("string")
+    kind = F.coalesce(F.nullif(given, F.lit("")), F.when(F.col("chunk_type") == "test_record", "harness_test").otherwise("regulation_corpus"))
+    section = F.coalesce(F.nullif(F.col("section"), F.lit("")), F.col("heading_path"))
+    return ranked.select("query_id", "rank", F.concat(F.lit("S"), F.col("rank")).alias("id"), kind.alias("source_kind"), "code", "document", "page_number", section.alias("section"), "amendment", F.substring(F.coalesce("text", F.lit("")), 1, 400).alias("snippet"))
+
+
+def context_of(ranked: DataFrame) -> DataFrame:
+    """(query_id, passages, context): the evidence of each question in order of rank, each passage under its number."""
+    head = F.format_string("[S%d] Regulation: %s | Amendment: %s\nDocument: %s | Page: %s\n", F.col("rank").cast("int"), F.col("code"), F.col("amendment"), F.col("document"), F.col("page_number").cast("string"))
+    part = F.struct("rank", F.concat(head, F.coalesce("text", F.lit("")), F.lit("\n\n")).alias("passage"))
+    return ranked.groupBy("query_id").agg(F.count("*").alias("passages"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["passage"]), "").alias("context"))
 
 
 def within_budget(passages: DataFrame, group: str, order: str, tokens: int = 3500, most: int = 6) -> DataFrame:

@@ -112,13 +112,15 @@ def remote_changed(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", D.remote_changed(side(0), side(1)).alias("changed"))
 
 
-NAMES = ["UN_R95_05Series.pdf", "UN_R95_05Series_Amend3.pdf", "UN_R94_TB_01.pdf", "R016r6am8e.pdf", "UN_R14_07Series_Supp2.pdf", "UN_R14_Rev5_Corr1.pdf", "notes.pdf"]
+#: File names of all kinds; the numbers of an order stand for the braces.
+NAMES = ["UN_R{a}_{b}Series.pdf", "UN_R{a}_{b}Series_Amend{c}.pdf", "UN_R{a}_TB_{c}.pdf", "R0{a}r{c}am{b}e.pdf", "UN_R{a}_{b}Series_Supp{c}.PDF", "UN_R{a}_Rev{b}_Corr{c}.pdf", "FMVSS_{a}_2024.pdf", "EuroNCAP_AOP_20{a}.pdf", "EuroNCAP_FarSide_2026.pdf", "EU_2019_2144_v{c}.pdf", "iihs_SmallOverlap.pdf", "NHTSA_NCAP_Pole_{c}.pdf", "notes.v{c}.txt", "UN_R14_Amend{c}_Corr{b}.pdf", "EuroNCAP_TB_THOR_{c}.pdf", "CNCAP_{a}.pdf"]
+_NAME = "CASE o_orderkey % 16 " + " ".join(f"WHEN {i} THEN '" + n.replace("{a}", "' || (o_custkey % 90 + 10) || '").replace("{b}", "' || (o_orderkey % 8 + 1) || '").replace("{c}", "' || (o_custkey % 5 + 1) || '") + "'" for i, n in enumerate(NAMES)) + " END"
 DATES = ["2026-01-15", "entered on 15.03.2024", "12 June 2021", "Geneva, July 4, 2019", "edition 2017", "3 Frobuary 2020", "no date", "2023-13-45"]
 
 
 def filename_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(n,) for n in NAMES], "name string")
-    return rows.select("name", *[c.alias(k) for k, c in D.parse_filename(F.col("name")).items()])
+    rows = table(spark, d, "orders").select("o_orderkey", F.expr(_NAME).alias("name"))
+    return rows.select("o_orderkey", *[c.alias(k) for k, c in D.parse_filename(F.col("name")).items()])
 
 
 def date_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -171,6 +173,23 @@ QUERIES = {f.__name__: f for f in (flat_chunks, oversize_split, clause_split, md
 _HASH = r"sha256(trim(regexp_replace(lower(nfc_normalize({t})), '\s+', ' ', 'g')))"
 _VALUES = "(VALUES {})"
 
+
+
+def _filename_sql() -> str:
+    def has(mark: str) -> str:
+        return f"regexp_matches(s, '{mark}')"
+
+    def number(patterns: list[str]) -> str:
+        return "coalesce(" + ", ".join(f"nullif(regexp_extract(s, '{p}', 1), '')" for p in patterns) + ")"
+
+    role = "CASE " + " ".join(f"WHEN {has(m)} THEN '{r}'" for r, m in D.ROLE_MARKS) + " ELSE 'base' END"
+    members = [(m, "CASE " + " ".join(f"WHEN {has(x)} THEN '{n}'" for x, n in inner) + f" ELSE '{own}' END" if inner else f"'{own}'") for m, inner, own in D.FILE_FAMILIES]
+    code = f"CASE WHEN {number(D.UN_NUMBER)} IS NOT NULL THEN 'UN_R' || {number(D.UN_NUMBER)} WHEN {has('fmvss_[0-9]')} THEN 'FMVSS ' || regexp_extract(s, 'fmvss_([0-9]+)', 1) WHEN {has('fmvss')} THEN 'FMVSS' "
+    code += " ".join(f"WHEN {has(m)} THEN {n}" for m, n in members) + " ELSE 'UNKNOWN' END"
+    numbers = ", ".join(f"CAST({number(v)} AS INT) AS {k}" for k, v in D.FILE_NUMBERS.items())
+    return f"WITH n AS (SELECT o_orderkey, regexp_replace(lower({_NAME}), '\\.[^.]*$', '') AS s FROM orders) SELECT o_orderkey, {role} AS role, {role} = 'base' AS complete, {code} AS code, {numbers} FROM n"
+
+
 SQL = {
     "block_structure": structure_sql.BLOCKS,
     "struct_chunks": structure_sql.CHUNKS,
@@ -222,9 +241,7 @@ SELECT page_id, host, starts_with(url, 'https:') AND (host IN ('example.org', 'e
     "remote_changed": """
 SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 0 <> user_id % 2
   WHEN event_id % 4 > 0 THEN false WHEN event_id % 5 > 1 THEN user_id % 2 <> user_id % 3 ELSE true END AS changed FROM events""",
-    "filename_parse": """SELECT * FROM (VALUES ('UN_R95_05Series.pdf', 'base', 'UN_R95', 5, NULL, NULL, NULL), ('UN_R95_05Series_Amend3.pdf', 'amendment', 'UN_R95', 5, NULL, NULL, NULL),
-  ('UN_R94_TB_01.pdf', 'bulletin', 'UN_R94', NULL, NULL, NULL, NULL), ('R016r6am8e.pdf', 'base', 'UN_R016', 8, 6, NULL, NULL), ('UN_R14_07Series_Supp2.pdf', 'supplement', 'UN_R14', 7, NULL, 2, NULL),
-  ('UN_R14_Rev5_Corr1.pdf', 'corrigendum', 'UN_R14', NULL, 5, NULL, 1), ('notes.pdf', 'base', NULL, NULL, NULL, NULL, NULL)) AS t(name, role, code, series, revision, supplement, corrigendum)""",
+    "filename_parse": _filename_sql(),
     "date_parse": """SELECT * FROM (VALUES ('2026-01-15', '2026-01-15'), ('entered on 15.03.2024', '2024-03-15'), ('12 June 2021', '2021-06-12'), ('Geneva, July 4, 2019', '2019-07-04'), ('edition 2017', '2017-01-01'),
   ('3 Frobuary 2020', '2020-01-03'), ('no date', NULL), ('2023-13-45', '2023-01-01')) AS t(raw, parsed)""",
     "consolidate": """

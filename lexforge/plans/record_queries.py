@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.operators import records as H
-from lexforge.plans.retrieval_queries import _ASKED_SQL, asked
+from lexforge.plans.retrieval_queries import _ASKED_SQL, _any, asked, chosen_clause
 from lexforge.sources.tables import table
 
-_SENTENCE = "CASE l_linenumber % 4 WHEN 0 THEN 'The ThCC shall not exceed ' || {q} || ' mm' WHEN 1 THEN 'at least ' || {q} || ' kN is required' WHEN 2 THEN 'a value of ' || {q} || ' g applies' ELSE 'no figure here' END"
-
-
 def _clauses(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(_SENTENCE.format(q="cast(cast(l_quantity AS int) AS string)")).alias("text"), F.expr("CASE l_linenumber % 2 WHEN 0 THEN 'ThCC' ELSE 'TCFC' END").alias("criterion"), F.expr("l_partkey % 60").cast("double").alias("value"))
+    q = "cast(cast(l_quantity AS int) AS string)"
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(chosen_clause(0, q)).alias("text"), F.expr(chosen_clause(1, q)).alias("criterion"), F.expr("l_partkey % 60").cast("double").alias("value"))
 
 
 def limit_extract(spark: SparkSession, d: str) -> DataFrame:
@@ -127,8 +125,16 @@ def error_streaks(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (limit_extract, asof_limit, latest_limit, harness_ingest, close_to_limit, margin_parse, access_audit, inventory, version_history, run_summary, timing_summary, token_spend, retrieval_diff, case_eval, error_streaks)}
 
-_LIMITS = """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 60 AS v, CAST(l_quantity AS INT) AS q, l_linenumber % 4 AS k FROM lineitem),
-l AS (SELECT *, CASE WHEN k < 3 THEN CAST(q AS DOUBLE) END AS x, CASE k WHEN 0 THEN 'ceiling' WHEN 1 THEN 'floor' WHEN 2 THEN 'ceiling' END AS how, CASE k WHEN 0 THEN 'mm' WHEN 1 THEN 'kn' WHEN 2 THEN 'g' END AS unit FROM c),
+_LIMITS = rf"""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 60 AS v, lower({chosen_clause(0, "CAST(l_quantity AS INT)")}) AS t, lower({chosen_clause(1, "1")}) AS n FROM lineitem),
+h AS (SELECT *, regexp_extract(t, '{H.LIMIT}', 0) AS hit, CAST(nullif(regexp_extract(t, '{H.LIMIT}', 1), '') AS DOUBLE) AS number, regexp_extract(t, '{H.LIMIT}', 2) AS u,
+  CASE WHEN n = 'thcc' THEN {_any(H.THORAX_WORDS, 't')} WHEN n IN ('hic', 'hic36') THEN {_any(H.HEAD_WORDS, 't')} ELSE contains(t, n) END AS fits FROM c),
+w AS (SELECT *, right(substr(t, 1, instr(t, hit) - 1), 60) || ' ' || substr(t, instr(t, hit) + length(hit), 60) AS near FROM h),
+d AS (SELECT *, {_any(H.FLOOR_WORDS, 'near')} AS f, {_any(H.CEILING_WORDS, 'near')} AS c FROM w),
+r AS (SELECT *, CASE WHEN f AND NOT c THEN 'floor' WHEN c AND NOT f THEN 'ceiling' WHEN n IN ('hic', 'hic36', 'thcc') THEN 'ceiling' END AS way FROM d),
+l AS (SELECT l_orderkey, l_linenumber, l_partkey, v,
+  CASE WHEN NOT fits THEN NULL WHEN hit <> '' THEN CASE WHEN way IS NOT NULL THEN number END WHEN n = 'thcc' AND contains(t, '94') THEN 42 WHEN n IN ('hic', 'hic36') THEN 1000 END AS x,
+  CASE WHEN NOT fits THEN NULL WHEN hit <> '' THEN way WHEN (n = 'thcc' AND contains(t, '94')) OR n IN ('hic', 'hic36') THEN 'ceiling' END AS how,
+  CASE WHEN NOT fits THEN NULL WHEN hit <> '' THEN CASE WHEN way IS NOT NULL THEN u END WHEN n = 'thcc' AND contains(t, '94') THEN 'mm' WHEN n IN ('hic', 'hic36') THEN 'none' END AS unit FROM r),
 p AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE abs(x - v) / x * 100 END AS pc FROM l)
 """
 
