@@ -9,6 +9,9 @@ training count (add-SMOOTH, with room for one unseen word), so
 The first factor needs only the bounded model, which is broadcast. The second is a sum over tokens:
 counts of the LOOKUP most frequent words are broadcast too, all rarer words go through a join with the
 whole vocabulary. No word is hot in that join, as the frequent ones never reach it.
+
+Texts are cut into words twice: for the vocabulary, and to write each text's symbols as a table. Every pass of
+Baum-Welch reads the symbols of all training texts, starting from the corpus' shares with seeded noise.
 """
 
 from __future__ import annotations
@@ -27,26 +30,28 @@ from lexforge.llm.common import materialize
 
 #: Bounds of what is broadcast: words with a symbol of their own, words whose counts a task looks up.
 SYMBOLS, LOOKUP = 1 << 14, 1 << 18
-STATES, ITERATIONS, SEED = 8, 2, 17
-#: The start of the corpus-wide passes is fitted on a bounded sample: whole training texts in order of md5(doc_id), SAMPLE_TEXTS or SAMPLE_TOKENS at most, SAMPLE_PASSES passes.
-SAMPLE_TEXTS, SAMPLE_TOKENS, SAMPLE_PASSES = 400, 150_000, 30
+STATES, ITERATIONS, SEED = 8, 8, 17
 LENGTHS, ENDINGS = 8, 8
 CLASSES = LENGTHS * ENDINGS
 SMOOTH = 0.1
 #: Tokens by which a state's emissions are drawn to the corpus' shares.
 LEAN = 100.0
-#: Training cuts texts into windows of so many tokens (scoring doesn't); tokens of a block in training and in scoring (where long texts run beside many others); words a task counts before it hands them on.
-WINDOW, BLOCK, SCORE_BLOCK, FLUSH = 256, 1 << 17, 1 << 20, 200_000
+#: Training counts texts in windows of CORE tokens side by side (scoring doesn't). Each window runs over LEAD tokens more on both sides, whose own counts belong to its neighbours, so the chain and every transition go on over its ends.
+CORE, LEAD = 128, 8
+#: Windows are padded to one of these lengths. Tokens of a block in training and in scoring (where long texts run beside many others); words a task counts before it hands them on.
+PADDED, BLOCK, SCORE_BLOCK, FLUSH = (16, 32, 64, CORE + 2 * LEAD), 1 << 18, 1 << 20, 200_000
+BATCH = 512
 END = ""  # no word is empty
 
-#: A-Z to a-z, and the white space that words are cut at to spaces.
-FOLD = {c: c + 32 for c in range(65, 91)} | dict.fromkeys(range(9, 14), 32)
-
 
 def words(text: str | None) -> list[str]:
     """Lower-cased (A-Z) runs of anything but U+0020 and U+0009..U+000D, then the end."""
-    out = text.translate(FOLD).split(" ") if text else []
-    return [w for w in out if w] + [END]
+    return [w.decode() for w in raw_words(text.encode() if text else None)] + [END]
+
+
+def raw_words(data: bytes | None) -> list[bytes]:
+    """The words of a text in UTF-8, without the end: bytes know no other letters and white space than these."""
+    return data.lower().split() if data else []
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -68,19 +73,20 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "c"])
+            rows = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], ["word", "c"])
             seen.clear()
             return rows
 
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not is_held_out(k):
-                    seen.update(words(t.as_py()))
+                    seen.update(raw_words(t.as_py()))
+                    seen[b""] += 1
                     if len(seen) >= FLUSH:
                         yield out()
         yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Lexicon:
@@ -104,6 +110,11 @@ class Lexicon:
         self.class_tokens = np.array([sums.get(k, (0, 0))[0] for k in range(CLASSES)], float)
         self.class_types = np.array([sums.get(k, (0, 0))[1] for k in range(CLASSES)], float)
 
+    def symbol_counts(self) -> np.ndarray:
+        """Training tokens of each symbol."""
+        known = dict(zip(self.words[: len(self.own)], self.counts[: len(self.own)], strict=True))
+        return np.concatenate([[known.get(w, 0) for w in self.own], self.class_tokens]).astype(float)
+
     def base_log(self, c):
         return np.log10((np.asarray(c, float) + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
@@ -117,17 +128,17 @@ class Lexicon:
         symbols = np.array([own[w] if w in own else len(own) + spelling(w) for w in names], np.int32)
         inner = np.log10(np.array(counts, float) + SMOOTH) - below[np.maximum(symbols - len(own), 0)]
         inner[symbols < len(own)] = 0.0
-        return {"place": {w: i for i, w in enumerate(names)}, "symbol": symbols, "base": self.base_log(counts), "inner": inner, "known": np.array(counts) > 0, "own": len(own)}
+        return {"place": {w.encode(): i for i, w in enumerate(names)}, "symbol": symbols, "base": self.base_log(counts), "inner": inner, "known": np.array(counts) > 0, "own": len(own)}
 
 
 # ---------------------------------------------------------------- the chain
 
 
-def start_model(symbols: int, states: int = STATES, seed: int = SEED) -> dict:
-    """States that rather stay, with seeded noise so that they part."""
+def start_model(counts: np.ndarray, states: int = STATES, seed: int = SEED) -> dict:
+    """The corpus' shares of the symbols in every state, with seeded noise so that states part; states rather stay."""
     rng = np.random.default_rng(seed)
     a = rng.dirichlet(np.full(states, 50.0), states) + 9 * np.eye(states)
-    b = rng.gamma(1.0, size=(states, symbols)) + 0.05
+    b = (counts + 1.0) * (rng.gamma(1.0, size=(states, len(counts))) + 0.05)
     return {"pi": np.full(states, 1 / states), "a": a / a.sum(1, keepdims=True), "b": b / b.sum(1, keepdims=True)}
 
 
@@ -138,70 +149,49 @@ def updated(pi: np.ndarray, moves: np.ndarray, emitted: np.ndarray) -> dict:
     return {"pi": pi / pi.sum(), "a": a / a.sum(1, keepdims=True), "b": b / b.sum(1, keepdims=True)}
 
 
-def windows_of(ids: np.ndarray) -> list[tuple[bool, np.ndarray]]:
-    return [(at == 0, ids[at : at + WINDOW]) for at in range(0, len(ids), WINDOW)]
-
-
-def settled(model: dict, held: list[tuple[bool, np.ndarray]]) -> tuple:
-    held = sorted(held, key=lambda x: -len(x[1]))
-    return counts_of(model, [w for _, w in held], np.array([f for f, _ in held]))
-
-
-def sampled_start(docs: DataFrame, table: dict, symbols: int, states: int) -> dict:
-    """A start fitted on the bounded sample, on the driver."""
-    model = start_model(symbols, states)
-    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    rows = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0).select("doc_id", "text").orderBy(order, F.md5(F.col("text").cast("binary"))).limit(SAMPLE_TEXTS)
-    held, size = [], 0
-    for k, t in rows.toLocalIterator():
-        ids = symbols_of(words(t), table)
-        if size + len(ids) <= SAMPLE_TOKENS:
-            held += windows_of(ids)
-            size += len(ids)
-    for _ in range(SAMPLE_PASSES if held else 0):
-        model = updated(*settled(model, held)[:3])
-    return model
-
-
-def counts_of(model: dict, windows: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, transitions and emissions of windows of equal or falling length, and their log likelihood.
-
-    first: which windows open a text; the others start from the mean of the transition rows.
-    """
-    a, b = model["a"], model["b"]
-    s, lengths = len(a), np.array([len(w) for w in windows])
-    longest, n = int(lengths[0]), len(windows)
-    sym = np.zeros((longest, n), np.int64)
-    for i, w in enumerate(windows):
-        sym[: len(w), i] = w
-    emit = np.ascontiguousarray(b.T)[sym]
-    live = [int(np.searchsorted(-lengths, -t, "left")) for t in range(longest)]  # windows longer than t
-    alpha, scale = np.zeros((longest, n, s)), np.ones((longest, n))
-    now = np.where(first[:, None], model["pi"], a.mean(0)) * emit[0]
-    for t in range(longest):
-        m = live[t]
-        if t:
-            now = (alpha[t - 1, :m] @ a) * emit[t, :m]
-        z = now.sum(1)
-        scale[t, :m] = z
-        alpha[t, :m] = now / z[:, None]
-    after, beta = np.zeros((longest, n, s)), np.ones((n, s))
-    for t in range(longest - 1, -1, -1):
-        m = live[t]
-        after[t, :m] = emit[t, :m] * beta[:m] / scale[t, :m, None]
-        if t:
-            gamma = beta[:m] * alpha[t, :m]
-            alpha[t, :m], back = gamma, alpha[t - 1, :m]
-            beta[:m] = after[t, :m] @ a.T
-            after[t, :m], trans = back[:, :], back.T @ after[t, :m]
-            total = trans if t == longest - 1 else total + trans
-        else:
-            alpha[0] *= beta
-    moves = a * total if longest > 1 else np.zeros_like(a)
-    inside = np.arange(longest)[:, None] < lengths[None, :]
-    flat, post = sym[inside], alpha[inside]
-    emitted = np.stack([np.bincount(flat, post[:, k], b.shape[1]) for k in range(s)])
-    return alpha[0][first].sum(0), moves, emitted, float(np.log10(scale[inside]).sum())
+def counts_of(model: dict, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, transitions and emissions of whole texts, window by window, all windows of one padded length together."""
+    lengths = np.array([len(t) for t in texts])
+    flat, begin = np.concatenate(texts).astype(np.int64), np.cumsum(lengths) - lengths
+    many = -(-lengths // CORE)
+    text = np.repeat(np.arange(len(texts)), many)
+    core = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * CORE
+    low, high = np.maximum(core - LEAD, 0), np.minimum(core + CORE + LEAD, lengths[text])
+    own = np.minimum(CORE, lengths[text] - core)
+    s = len(model["a"])
+    pi, moves, emitted = np.zeros(s), np.zeros((s, s)), np.zeros((s, model["b"].shape[1]))
+    size = np.searchsorted(PADDED, high - low)
+    for k in np.unique(size):
+        w = np.flatnonzero(size == k)
+        add_counts(model, flat, begin[text[w]] + low[w], (high - low)[w], (core - low)[w], own[w], PADDED[k], core[w] == 0, pi, moves, emitted)
+    return pi, moves, emitted
+
+
+def add_counts(model: dict, flat, at, span, lead, own, width: int, first, pi, moves, emitted) -> None:
+    """Add to pi, moves and emitted what windows of span tokens from `at` count in their own tokens, which follow lead others."""
+    a, bt = model["a"].astype(np.float32), np.ascontiguousarray(model["b"].T, np.float32)
+    t = np.arange(width)[:, None]
+    sym = flat[np.minimum(at + t, len(flat) - 1)]
+    emit = bt[sym]
+    emit[t >= span] = 1.0  # beyond a window's end nothing is seen, which changes nothing before it
+    inside = (t >= lead) & (t < lead + own)
+    alpha, scale = np.empty_like(emit), np.empty(sym.shape, np.float32)
+    for i in range(width):
+        now = (np.where(first[:, None], model["pi"], a.mean(0)).astype(np.float32) if i == 0 else alpha[i - 1] @ a) * emit[i]
+        scale[i] = now.sum(1)
+        alpha[i] = now / scale[i][:, None]
+    beta, total = np.ones(emit.shape[1:], np.float32), np.zeros(a.shape)
+    for i in range(width - 1, -1, -1):
+        after = emit[i] * beta / scale[i][:, None]
+        if i:
+            total += alpha[i - 1].T @ (after * inside[i][:, None])
+        alpha[i] *= beta
+        beta = after @ a.T
+    moves += a * total
+    seen, post = sym[inside], alpha[inside]
+    for k in range(len(a)):
+        emitted[k] += np.bincount(seen, post[:, k], emitted.shape[1])
+    pi += alpha[0][first].sum(0, dtype=float)
 
 
 def forward(model: dict, texts: list[np.ndarray]) -> np.ndarray:
@@ -224,37 +214,33 @@ def forward(model: dict, texts: list[np.ndarray]) -> np.ndarray:
     return back
 
 
-def train(docs: DataFrame, lexicon: Lexicon, iterations: int = ITERATIONS, states: int = STATES) -> dict:
-    """Baum-Welch over all training texts: each pass adds up every task's expected counts, by symbol."""
-    spark = docs.sparkSession
-    table = lexicon.tables()
-    tables = spark.sparkContext.broadcast(pickle.dumps(table))
+def train(rows: DataFrame, lexicon: Lexicon, iterations: int = ITERATIONS, states: int = STATES) -> dict:
+    """Baum-Welch over the symbols of all training texts: each pass adds up every task's expected counts, by symbol."""
+    spark = rows.sparkSession
     symbols = len(lexicon.own) + CLASSES
-    model = sampled_start(docs, table, symbols, states)
+    model = start_model(lexicon.symbol_counts(), states)
     names = [f"s{i}" for i in range(states)]
+    texts = rows.where(~F.col("held_out")).select("symbols")
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table, now = loaded(tables), shared.value
+            now = shared.value
             sums = [np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols))]
             held, size = [], 0
 
             def settle() -> None:
-                for total, part in zip(sums, settled(now, held)[:3], strict=True):
+                for total, part in zip(sums, counts_of(now, held), strict=True):
                     total += part
                 held.clear()
 
             for batch in batches:
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    if is_held_out(k):
-                        continue
-                    for part in windows_of(symbols_of(words(t.as_py()), table)):
-                        held.append(part)
-                        size += len(part[1])
-                        if size >= BLOCK:
-                            settle()
-                            size = 0
+                for t in batch.column(0):
+                    held.append(np.frombuffer(t.as_py(), "<u2"))
+                    size += len(held[-1])
+                    if size >= BLOCK:
+                        settle()
+                        size = 0
             if held:
                 settle()
             pi, moves, emitted = sums
@@ -263,12 +249,12 @@ def train(docs: DataFrame, lexicon: Lexicon, iterations: int = ITERATIONS, state
             values = np.concatenate([pi[None, :], moves, emitted[:, seen].T])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), *[pa.array(values[:, i]) for i in range(states)]], ["symbol", *names])
 
-        sums = docs.select("doc_id", "text").mapInArrow(run, "symbol long, " + ", ".join(f"{n} double" for n in names))
-        rows = sums.groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # as many rows as symbols
-        found = np.zeros((symbols + 1 + states, states))
-        if rows.num_rows:
-            found[rows.column(0).to_numpy()] = np.stack([rows.column(i + 1).to_numpy() for i in range(states)], 1)
-        model = updated(found[-1], found[-2 : -2 - states : -1], found[:symbols].T)
+        sums = texts.mapInArrow(run, "symbol long, " + ", ".join(f"{n} double" for n in names))
+        found = sums.groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # as many rows as symbols
+        counts = np.zeros((symbols + 1 + states, states))
+        if found.num_rows:
+            counts[found.column(0).to_numpy()] = np.stack([found.column(i + 1).to_numpy() for i in range(states)], 1)
+        model = updated(counts[-1], counts[-2 : -2 - states : -1], counts[:symbols].T)
         shared.unpersist()
     return model
 
@@ -285,54 +271,62 @@ def loaded(shared) -> dict:
     return _LOADED[key]
 
 
-def places(tokens: list[str], table: dict) -> np.ndarray:
-    """Each token's place in the broadcast table, -1 for words it lacks."""
-    get = table["place"].get
-    return np.array([get(w, -1) for w in tokens], np.int64)
+class Places(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
 
+def encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """A row per text: row, doc_id, held_out, n_tokens, symbols (two bytes each), and sums over its words that the broadcast table knows; the others in rare, times."""
+    tables = docs.sparkSession.sparkContext.broadcast(pickle.dumps(lexicon.tables()))
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, symbols binary, rare array<string>, times array<int>"
+    names = [c.split()[0] for c in schema.split(", ")]
 
-def symbols_of(tokens: list[str], table: dict, at: np.ndarray | None = None) -> np.ndarray:
-    at = places(tokens, table) if at is None else at
-    out = table["symbol"][at]
-    for i in np.flatnonzero(at < 0).tolist():
-        out[i] = table["own"] + spelling(tokens[i])
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = loaded(tables)
+        place = Places(table["place"]).__getitem__
+
+        def one(data: bytes | None) -> tuple:
+            tokens = raw_words(data)
+            tokens.append(b"")
+            at = np.fromiter(map(place, tokens), np.int64, len(tokens))
+            symbols, missing = table["symbol"][at], np.flatnonzero(at < 0)
+            rare: Counter = Counter()
+            if len(missing):
+                strange = [tokens[i].decode() for i in missing.tolist()]
+                symbols[missing] = [table["own"] + spelling(w) for w in strange]
+                rare.update(strange)
+                at = at[at >= 0]
+            return len(tokens), int(table["known"][at].sum()), float(table["base"][at].sum()), float(table["inner"][at].sum()), symbols.astype("<u2").tobytes(), list(rare.keys()), list(rare.values())
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, BATCH):
+                part = batch.slice(first, BATCH)
+                keys = part.column(1).to_pylist()
+                cols = list(zip(*[one(t.as_py()) for t in part.column(2)], strict=True))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array([is_held_out(k) for k in keys]), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
 
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary")).mapInArrow(run, schema)
 
-def score(docs: DataFrame, vocab: DataFrame, lexicon: Lexicon, model: dict) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
-    spark = docs.sparkSession
-    tables = spark.sparkContext.broadcast(pickle.dumps(lexicon.tables()))
-    shared = spark.sparkContext.broadcast(model)
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>, times array<int>"
+
+def score(rows: DataFrame, vocab: DataFrame, lexicon: Lexicon, model: dict) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text, from its encoded row."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, now = loaded(tables), shared.value
+        now = shared.value
         for batch in batches:
-            keys, at = batch.column(1).to_pylist(), 0
+            at, column = 0, batch.schema.get_field_index("symbols")
             while at < batch.num_rows:
-                ids, base, inner, n_known, rare, times, size, first = [], [], [], [], [], [], 0, at
+                first, size, ids = at, 0, []
                 while at < batch.num_rows and (size < SCORE_BLOCK or at == first):
-                    tokens = words(batch.column(2)[at].as_py())
-                    spots = places(tokens, table)
-                    ids.append(symbols_of(tokens, table, spots))
-                    other = Counter(tokens[i] for i in np.flatnonzero(spots < 0).tolist())
-                    spots = spots[spots >= 0]
-                    size += len(tokens)
-                    base.append(float(table["base"][spots].sum()))
-                    inner.append(float(table["inner"][spots].sum()))
-                    n_known.append(int(table["known"][spots].sum()))
-                    rare.append(list(other.keys()))
-                    times.append(list(other.values()))
+                    ids.append(np.frombuffer(batch.column(column)[at].as_py(), "<u2"))
+                    size += len(ids[-1])
                     at += 1
-                total = forward(now, ids) + np.array(inner)
-                own_keys = keys[first:at]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, at - first), pa.array(own_keys, pa.int64()), pa.array([is_held_out(k) for k in own_keys]), pa.array([len(x) for x in ids], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(total), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
-                    [c.split()[0] for c in schema.split(", ")],
-                )
-
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema), "hmm-rows")
+                part = batch.slice(first, at - first)
+                yield pa.RecordBatch.from_arrays([*part.columns[:column], pa.array(forward(now, ids))], [*part.schema.names[:column], "chain"])
+
     tail = F.expr("substring(word, greatest(char_length(word) - 1, 1), 2)")
     kind = (F.least(F.char_length("word"), F.lit(LENGTHS)) - 1) * ENDINGS + F.crc32(tail.cast("binary")) % ENDINGS
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
@@ -342,7 +336,9 @@ def score(docs: DataFrame, vocab: DataFrame, lexicon: Lexicon, model: dict) -> D
     # rare words, those the broadcast table lacks; a hint keeps both sides shuffled, as either grows with the corpus
     joined = rare.hint("merge").join(vocab, "word", "left").select("row", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("k"), (F.col("n") * (F.log10(c + 0.1) - floor)).alias("b"), (F.col("n") * (F.log10(c + SMOOTH) - below)).alias("q"))
     sums = joined.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("q").alias("q"))
-    out = rows.drop("rare", "times").join(sums, "row", "left")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, chain double"
+    chained = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "symbols").mapInArrow(run, schema)
+    out = chained.join(sums, "row", "left")
     zero = F.lit(0.0)
     return out.select(
         "doc_id",
@@ -351,7 +347,7 @@ def score(docs: DataFrame, vocab: DataFrame, lexicon: Lexicon, model: dict) -> D
         (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(int(lexicon.tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("q", zero)).alias("score"),
+        (F.col("chain") + F.col("inner") + F.coalesce("q", zero)).alias("score"),
     )
 
 
@@ -364,8 +360,9 @@ def score_corpus(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """
     vocab = materialize(vocabulary(docs), "hmm-vocabulary")
     lexicon = Lexicon(vocab)
-    model = train(docs, lexicon, iterations)
-    return score(docs, vocab, lexicon, model)
+    rows = materialize(encoded(docs, lexicon), "hmm-symbols")
+    model = train(rows, lexicon, iterations)
+    return score(rows, vocab, lexicon, model)
 
 
 def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
