@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import neardup
@@ -176,19 +176,19 @@ def is_held_out(doc_id):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of the sample: its ids come from labels alone and are few enough to be broadcast."""
+    """(text, toxic, weight) of the sample: its ids come from labels alone and are few enough to be broadcast."""
     known = labels.where("toxic is not null and doc_id is not null").where(~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    return one_of_family(sample)
+    return weighed(sample)
 
 
-def one_of_family(sample: DataFrame) -> DataFrame:
-    """sample without copies: words of a text that was copied ten times would look like ten documents' evidence.
+def weighed(sample: DataFrame) -> DataFrame:
+    """sample with weight: every text of a family of copies counts one over the family's size, so ten copies are not ten documents' evidence.
 
-    Texts that share a minimum hash of their shingles are taken for copies, under FAMILIES hashes one
-    after the other; of each family the text with the smallest MD5 stays.
+    A text is held against the first (by MD5) of those that share a minimum hash of their shingles with it, under FAMILIES
+    hashes one after the other, and is its copy where their full sets have a similarity of 0.75 or more. No row is left out.
     """
     names = [f"family{i}" for i in range(FAMILIES)]
 
@@ -197,13 +197,20 @@ def one_of_family(sample: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [neardup.shingle_set(t.as_py(), hashes) for t in batch.column(0)]
             lows = [[int(neardup.mixed(s * m).min().astype(np.int64)) if len(s) else 0 for s in sets] for m in neardup._MULTIPLY[:FAMILIES]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.int64()) for x in lows]], ["text", "toxic", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *[pa.array(x, pa.int64()) for x in lows]], ["text", "toxic", "shingles", *names])
 
-    rows = sample.mapInArrow(run, "text string, toxic int, " + ", ".join(f"{n} long" for n in names))
+    rows = sample.mapInArrow(run, "text string, toxic int, shingles array<long>, " + ", ".join(f"{n} long" for n in names)).withColumn("own", F.md5(F.col("text").cast("binary")))
+    likes = []
     for n in names:
-        nth = F.row_number().over(Window.partitionBy(n).orderBy(F.md5(F.col("text").cast("binary")), "toxic"))
-        rows = rows.withColumn("nth", nth).where("nth = 1").drop("nth")
-    return rows.select("text", "toxic")
+        first = rows.groupBy(n).agg(F.min_by(F.struct("own", "shingles"), "own").alias(f"first_{n}"))
+        rows = rows.join(first, n)
+        both = F.size(F.array_intersect("shingles", f"first_{n}.shingles"))
+        alike = 100 * both >= neardup.SIMILAR * (F.size("shingles") + F.size(f"first_{n}.shingles") - both)
+        rows = rows.withColumn(f"like_{n}", F.when(alike, F.col(f"first_{n}.own"))).drop(f"first_{n}")
+        likes.append(f"like_{n}")
+    rows = rows.select("text", "toxic", F.coalesce(*likes, "own").alias("family"))
+    sizes = rows.groupBy("family").agg(F.count("*").alias("size"))
+    return rows.join(sizes, "family").select("text", "toxic", (1 / F.col("size")).alias("weight"))
 
 
 def ratio(a: float, b: float, p: float) -> float:
@@ -214,10 +221,14 @@ def ratio(a: float, b: float, p: float) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexicon:
-    """Terms, vetoes and coefficients from the labelled sample. Without both labels in it no text scores high."""
+    """Terms, vetoes and coefficients from the labelled sample. Without both labels in it (empty tables too) no text scores high.
+
+    Labels that are null or have no doc_id are left out; of repeated labels of a document the highest counts; null texts are empty ones.
+    Other columns of docs and labels are not read.
+    """
     sample = training_rows(docs, labels, rows).cache()
     try:
-        sizes = {int(r[0]): r[1] for r in sample.groupBy("toxic").count().collect()}
+        sizes = {int(r[0]): r[1] for r in sample.groupBy("toxic").agg(F.sum("weight")).collect()}
         bad, good = sizes.get(1, 0), sizes.get(0, 0)
         if not bad or not good:
             return Lexicon({}, {}, frozenset(), (-4.0, 0.0, 0.0, 0.0, 0.0))
@@ -242,37 +253,38 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
                 stem_weights[stem] = weight[t]
         own = {t: w for t, w in weight.items() if not t.endswith("*")}
         lexicon = Lexicon(own, stem_weights)
-        clean = counts.where((F.col("b") >= 1) & ~F.col("term").endswith("*")).select("term")
+        clean = counts.where((F.col("b") > 0) & ~F.col("term").endswith("*")).select("term")
         lexicon.veto = frozenset(r[0] for r in fuzzy(clean, lexicon).collect())
-        x = scan(sample.select(F.lit(0).cast("long").alias("doc_id"), "text", "toxic"), lexicon, keep="toxic").select(*FEATURES, "toxic").toPandas()
-        lexicon.coefficients = fit(x[list(FEATURES)].to_numpy(float), x["toxic"].to_numpy(float))
+        marked = sample.select(F.lit(0).cast("long").alias("doc_id"), "text", F.struct("toxic", "weight").alias("marks"))
+        x = scan(marked, lexicon, keep="marks").select(*FEATURES, "marks.*").toPandas()
+        lexicon.coefficients = fit(x[list(FEATURES)].to_numpy(float), x["toxic"].to_numpy(float), x["weight"].to_numpy(float))
         return lexicon
     finally:
         sample.unpersist()
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
-    """(term, a, b): toxic and clean texts with each word of four letters or more, and with each stem (written with *)."""
+    """(term, a, b): weight of the toxic and of the clean texts with each word of four letters or more, and with each stem (written with *)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
+        seen: dict[str, list[float]] = {}
 
         def out() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["term", "a", "b"])
+            rows = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([x[0] for x in seen.values()], pa.float64()), pa.array([x[1] for x in seen.values()], pa.float64())], ["term", "a", "b"])
             seen.clear()
             return rows
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, toxic, weight in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = {w for w in WORD.findall(text.as_py().lower()) if len(w) >= 4}
                 own |= {w[:n] + "*" for w in own for n in STEM_LENGTHS if len(w) > n}
                 for t in own:
-                    seen.setdefault(t, [0, 0])[toxic != 1] += 1
+                    seen.setdefault(t, [0.0, 0.0])[toxic != 1] += weight
                 if len(seen) >= FLUSH:
                     yield out()
         yield out()
 
-    counts = sample.select("text", "toxic").mapInArrow(run, "term string, a long, b long")
+    counts = sample.select("text", "toxic", "weight").mapInArrow(run, "term string, a double, b double")
     return counts.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
@@ -288,14 +300,14 @@ def fuzzy(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     return words.mapInArrow(run, "term string")
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
-    """Logistic regression by Newton steps with a small ridge."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
+    """Logistic regression of weighed rows by Newton steps with a small ridge."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
-        move = np.linalg.solve(h, a.T @ (y - p) - ridge * w)
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
+        move = np.linalg.solve(h, a.T @ (weight * (y - p)) - ridge * w)
         w = w + move
         if np.abs(move).max() < 1e-8:
             break
