@@ -13,6 +13,9 @@ equality to a depth of LENGTH is asked for, not order:
    distributed count instead.
 
 Names of a group and of its member make 128 bits together.
+
+Beside the strings of LENGTH bytes, passages can be looked for in the same parse: strings of a shorter length, of whose
+cover only spans of more than so many words count. Its runs share the triggers and differ in names and a mark.
 """
 
 from __future__ import annotations
@@ -24,17 +27,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexforge.llm.common import materialize
 
 LENGTH = 400
-#: String starts a trigger is looked for in, and bytes of the rolling hash.
-REACH, GRAM = 128, 8
+#: A trigger is looked for in so many string starts at most; bytes of the rolling hash, and bytes after a trigger that name a group at least.
+REACH, GRAM, DEPTH = 224, 8, 33
 #: Bytes of a text that are parsed at once; a run cut there is only compared later, in step 3.
 PIECE = 1 << 20
-#: Runs of a group that a task compares in memory.
-GROUP_RUNS = 20_000
+#: Runs a task combines before it hands them on, so that a kind of run comes once from so many; runs of a group that a task compares in memory.
+COMBINED, GROUP_RUNS = 1 << 18, 20_000
 BATCH = 128
+#: A repeated passage has more words than this, and its strings are so long: 51 words take more bytes in 98 of 100 cases.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 256
+#: A packed run: first start from bit FIRST, the mark of the passages' strings, eight bits to the trigger and eight to the last start.
+FIRST, SHORT = 17, 1 << 16
 
 _TABLE = np.random.default_rng(4).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -64,43 +72,66 @@ class Rolling:
         return x ^ (x >> np.uint64(27))
 
 
-def parse(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of a text, piece by piece: (group name, own name, first start, trigger, last start)."""
-    whole = np.frombuffer(data, np.uint8)
-    for begin in range(0, len(whole) - length + 1, PIECE):
-        part = whole[begin : begin + PIECE + length - 1]
-        n, name = len(part), Rolling(part)
-        at = np.arange(n - GRAM + 1)
+def parse(data: bytes, *lengths: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of a text for strings of each length, piece by piece: (place of the length, group name, own name, first start, trigger, last start)."""
+    whole, longest, reach = np.frombuffer(data, np.uint8), max(lengths), min(REACH, min(lengths) - DEPTH + 1)
+    for begin in range(0, len(whole) - min(lengths) + 1, PIECE):
+        part = whole[begin : begin + PIECE + longest - 1]
+        name = Rolling(part)
+        at = np.arange(len(part) - GRAM + 1)
         low = (name(at, at + GRAM) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
         width = 1
-        while width < REACH:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        trigger = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)[: n - length + 1]
-        first = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
-        last, t = np.append(first[1:], len(trigger)) - 1, trigger[first]
-        group = name(t, t + length - REACH + 1)
-        own = name(first, last + length) + (t - first).astype(np.uint64) * np.uint64(0x94D049BB133111EB) + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        yield group.view(np.int64), own.view(np.int64), first + begin, t + begin, last + begin
+        while width < reach:
+            step = min(width, reach - width)
+            low = np.minimum(low[:-step], low[step:])
+            width += step
+        for which, length in enumerate(lengths):
+            starts = min(len(part) - length + 1, PIECE)
+            if starts < 1:
+                continue
+            trigger = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)[:starts]
+            first = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
+            last, t = np.append(first[1:], len(trigger)) - 1, trigger[first]
+            group = name(t, t + length - reach + 1) + np.uint64(which) * np.uint64(0xA0761D6478BD642F)
+            own = name(first, last + length) + (t - first).astype(np.uint64) * np.uint64(0x94D049BB133111EB) + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            yield which, group.view(np.int64), own.view(np.int64), first + begin, t + begin, last + begin
+
+
+def combined(k: np.ndarray, own: np.ndarray, key: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+    """Runs of a task, those that are alike as one with their number.
+
+    The others of a kind are known to be repeated, so they need no group: they get a weight of 0 and a k of their own.
+    """
+    order = np.lexsort((run, key, own, k))
+    k, own, key, run = k[order], own[order], key[order], run[order]
+    first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (own[1:] != own[:-1])))
+    weight = np.zeros(len(k), np.int32)
+    weight[first] = np.diff(np.append(first, len(k)))
+    apart = key.view(np.uint64) * np.uint64(_BASE) + run.view(np.uint64) * np.uint64(0x94D049BB133111EB)
+    k = np.where(weight > 0, k, (apart ^ (apart >> np.uint64(29))).view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (k, own, key, run, weight)], ["k", "own", "key", "run", "weight"])
 
 
-def runs(docs: DataFrame, length: int) -> DataFrame:
-    """(k, own, key, first, trigger, last) of all texts; key names the row (doc_id and text)."""
+def runs(docs: DataFrame, *lengths: int) -> DataFrame:
+    """(k, own, key, run, weight) of all texts; key names the row (doc_id and text), run packs first start, the mark of a second length, trigger and last start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                found = []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    data = (text.as_py() or "").encode()
-                    if len(data) >= length:
-                        for g, own, a, t, b in parse(data, length):
-                            found.append((g, own, np.full(len(g), key, np.int64), (a << 16) | ((t - a) << 8) | (b - a)))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["k", "own", "key", "run"])
-
-    return docs.select("_key", "text").mapInArrow(run, "k long, own long, key long, run long")
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = (text.as_py() or "").encode()
+                if len(data) < min(lengths):
+                    continue
+                for which, g, own, a, t, b in parse(data, *lengths):
+                    found.append((g, own, np.full(len(g), key, np.int64), (a << FIRST) | (which * SHORT) | ((t - a) << 8) | (b - a)))
+                    size += len(g)
+                if size >= COMBINED:
+                    yield combined(*[np.concatenate(c) for c in zip(*found, strict=True)])
+                    found, size = [], 0
+        if found:
+            yield combined(*[np.concatenate(c) for c in zip(*found, strict=True)])
+
+    return docs.select("_key", "text").mapInArrow(run, "k long, own long, key long, run long, weight int")
 
 
 def covered(ranges: np.ndarray) -> list[tuple[int, int]]:
@@ -134,6 +165,7 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
+PASSAGES = [("n_passages", pa.int64()), ("n_passage_bytes", pa.int64())]
 DIGEST = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
 
@@ -141,14 +173,21 @@ def digest(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, st
     return len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(without(data, spans)).hexdigest()
 
 
-def starts_of(runs_: list[int]) -> np.ndarray:
-    """[n, 2] first and last string starts of packed runs."""
+def spans_of(runs_: list[int], length: int, short: bool = False) -> list[tuple[int, int]]:
+    """What the strings of packed runs cover: of the first length, or of the second."""
     r = np.array(runs_, np.int64)
-    return np.stack([r >> 16, (r >> 16) + (r & 255)], 1) if len(r) else np.zeros((0, 2), np.int64)
+    r = r[(r & SHORT != 0) == short] if len(r) else r
+    return covered(np.stack([r >> FIRST, (r >> FIRST) + (r & 255) + length], 1) if len(r) else np.zeros((0, 2), np.int64))
 
 
-def compare(open_rows: DataFrame, length: int, group_runs: int = GROUP_RUNS) -> DataFrame:
-    """(key, first, last): string starts of open runs that are repeated, by comparing the strings of a group."""
+def over(data: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Those spans that have more than so many words; a word cut by an end counts."""
+    return [(a, b) for a, b in spans if len(data[a:b].split()) > words] if words else spans
+
+
+def compare(open_rows: DataFrame, lengths: tuple[int, ...], group_runs: int = GROUP_RUNS) -> DataFrame:
+    """(key, run): string starts of open runs that are repeated, packed as runs, by comparing the strings of a group."""
+    longer, shorter = lengths[0], lengths[-1]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +195,8 @@ def compare(open_rows: DataFrame, length: int, group_runs: int = GROUP_RUNS) ->
             for key, text, sent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = text.encode()
                 for s in sent:
-                    a, n = s["run"] >> 16, s["run"] & 255
-                    out.append((s["k"], key, a, n, s["alone"], data[a : a + n + length]))
+                    a, n, mark = s["run"] >> FIRST, s["run"] & 255, s["run"] & SHORT
+                    out.append((s["k"], key, (a << FIRST) | mark, n, s["alone"], data[a : a + n + (shorter if mark else longer)]))
             for a in range(0, len(out), 4096):
                 cols = list(zip(*out[a : a + 4096], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["k", "key", "first", "n", "alone", "bytes"])
@@ -170,7 +209,8 @@ def compare(open_rows: DataFrame, length: int, group_runs: int = GROUP_RUNS) ->
         row = np.repeat(np.arange(len(rows)), sizes)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         start = at[row] + offset
-        return name(start, start + length), row, offset
+        length = np.array([len(r[5]) - r[3] for r in rows])
+        return name(start, start + length[row]), row, offset
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Rows of one or more whole groups."""
@@ -192,9 +232,9 @@ def compare(open_rows: DataFrame, length: int, group_runs: int = GROUP_RUNS) ->
             first = np.array([x[2] for x in rows])[r[begin]]
             keys = np.array([x[1] for x in rows])[r[begin]]
             none = pa.nulls(len(begin), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(first + s[begin]), pa.array(first + s[end]), none, none, pa.nulls(len(begin), pa.bool_())], out_names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(first + (s[begin] << FIRST) + s[end] - s[begin]), none, none, pa.nulls(len(begin), pa.bool_())], out_names)
 
-    out_names = ["key", "first", "last", "k", "name", "alone"]
+    out_names = ["key", "run", "k", "name", "alone"]
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group. A group that outgrows the buffer is handed on string by string."""
@@ -226,39 +266,43 @@ def compare(open_rows: DataFrame, length: int, group_runs: int = GROUP_RUNS) ->
         for a in range(0, len(rows), 4096):
             part = rows[a : a + 4096]
             name, row, offset = names(part)
-            at = np.array([x[2] for x in part])[row] + offset
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([x[1] for x in part])[row]), pa.array(at), pa.array(at), pa.array(np.array([x[0] for x in part], np.int64)[row]), pa.array(name.view(np.int64)), pa.array(np.array([x[4] for x in part])[row])], out_names)
+            at = np.array([x[2] for x in part])[row] + (offset << FIRST)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([x[1] for x in part])[row]), pa.array(at), pa.array(np.array([x[0] for x in part], np.int64)[row]), pa.array(name.view(np.int64)), pa.array(np.array([x[4] for x in part])[row])], out_names)
 
     sent = open_rows.select("_key", "text", "_sent").mapInArrow(contexts, "k long, key long, first long, n int, alone boolean, bytes binary")
     n = int(open_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = sent.repartition(n, "k").sortWithinPartitions("k").mapInArrow(within, "key long, first long, last long, k long, name long, alone boolean")
+    found = sent.repartition(n, "k").sortWithinPartitions("k").mapInArrow(within, "key long, run long, k long, name long, alone boolean")
     found = materialize(found, "suffix-found")
     wide = found.where("k is not null")
     twice = wide.groupBy("k", "name").agg(F.count("*").alias("n")).where("n > 1").select("k", "name")
-    return found.where("k is null").select("key", "first", "last").union(wide.where("alone").join(twice, ["k", "name"], "left_semi").select("key", "first", "last"))
+    return found.where("k is null").select("key", "run").union(wide.where("alone").join(twice, ["k", "name"], "left_semi").select("key", "run"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, over_words: int = 0) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, over_words: int = 0, passages: tuple[int, int] | None = None) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256, and kept (what is left, as bytes) unless texts is False.
 
     A byte goes if a string of length bytes covers it that also starts anywhere else: in another text, or
     elsewhere in the same one; overlaps count. Strings are judged on the input, and never cross texts.
     Of what these strings cover, a span goes only if it has more than over_words words; a word cut by its ends counts.
+    With passages (bytes, words), n_passages and n_passage_bytes tell of the repeated passages of more words than that,
+    found as strings of so many bytes; they remove nothing.
     Nulls: a null text is an empty one; a null doc_id is a value like any other. Rows that repeat doc_id
     and text repeat each other and lose everything if they have length bytes. Texts shorter than length
     lose nothing. Columns of docs named like the results are replaced; names starting with _ are reserved.
     An empty table gives an empty result.
     """
-    names = [*[n for n, _ in DIGEST], "kept"]
+    more = PASSAGES if passages else []
+    lengths = (length, passages[0]) if passages else (length,)
+    names = [*[n for n, _ in DIGEST + more], "kept"]
     docs = docs.drop(*[c for c in names if c in docs.columns])
     cols = docs.columns
     keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
     group, kind = Window.partitionBy("k"), Window.partitionBy("k", "own")
-    r = runs(keyed, length)
+    r = runs(keyed, *lengths)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = r.repartition(n, "k").withColumn("in_group", F.count("*").over(group)).where("in_group > 1")
-    r = r.withColumn("alike", F.count("*").over(kind)).withColumn("nth", F.row_number().over(kind.orderBy("key", "run")))
-    r = r.withColumn("any_alone", F.min("alike").over(group) == 1).withColumn("alone", F.col("alike") == 1)
+    r = r.repartition(n, "k").withColumn("in_group", F.sum("weight").over(group)).where("in_group > 1 or weight = 0")
+    r = r.withColumn("alike", F.sum("weight").over(kind)).withColumn("nth", F.row_number().over(kind.orderBy("key", "run")))
+    r = r.withColumn("any_alone", (F.min(F.when(F.col("weight") > 0, F.col("alike"))).over(group) == 1) & (F.col("weight") > 0)).withColumn("alone", F.col("alike") == 1)
     by_key = r.groupBy("key").agg(
         F.collect_list(F.when(~F.col("alone"), F.col("run"))).alias("_whole"),
         F.collect_list(F.when(F.col("any_alone") & (F.col("nth") == 1), F.struct("k", "run", "alone"))).alias("_sent"),
@@ -268,18 +312,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, over_word
     text_at = 1 + cols.index("text")
     schema = keyed.select("_key", *cols).schema
     kinds = "array<struct<k:bigint,run:bigint,alone:boolean>>"
-    first_pass = materialize(_finish(joined.select("_key", *cols, "_whole", "_sent"), schema, cols, text_at, length, texts, over_words, f", _sent {kinds}, _whole array<bigint>"), "suffix-pass")
+    finish = {"schema": schema, "cols": cols, "text_at": text_at, "length": length, "texts": texts, "over_words": over_words, "passages": passages}
+    first_pass = materialize(_finish(joined.select("_key", *cols, "_whole", "_sent"), more=f", _sent {kinds}, _whole array<bigint>", **finish), "suffix-pass")
     open_rows = first_pass.where(F.size("_sent") > 0)
-    more = compare(open_rows, length)
-    more = more.groupBy("key").agg(F.collect_list(F.expr("(first << 16) | (last - first)")).alias("_more"))
-    again = open_rows.join(more.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_whole", F.concat(F.coalesce("_whole", F.array()), F.coalesce("_more", F.array())))
-    second = _finish(again.select("_key", *cols, "_whole", F.lit(None).cast(kinds).alias("_sent")), schema, cols, text_at, length, texts, over_words, "")
-    out = [*[c for c in cols if c != "text" or texts], *[x for x, _ in DIGEST], *(["kept"] if texts else [])]
+    found = compare(open_rows, lengths).groupBy("key").agg(F.collect_list("run").alias("_more"))
+    again = open_rows.join(found.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_whole", F.concat(F.coalesce("_whole", F.array()), F.coalesce("_more", F.array())))
+    second = _finish(again.select("_key", *cols, "_whole", F.lit(None).cast(kinds).alias("_sent")), more="", **finish)
+    out = [*[c for c in cols if c != "text" or texts], *[x for x, _ in DIGEST + more], *(["kept"] if texts else [])]
     return first_pass.where(F.size("_sent") == 0).select(*out).union(second.select(*out))
 
 
-def _finish(rows: DataFrame, schema, cols: list[str], text_at: int, length: int, texts: bool, over_words: int, more: str) -> DataFrame:
+def _finish(rows: DataFrame, schema, cols: list[str], text_at: int, length: int, texts: bool, over_words: int, passages: tuple[int, int] | None, more: str) -> DataFrame:
     """Apply the runs known so far. With more, rows that have runs to compare keep text and runs for the next pass."""
+    results = DIGEST + (PASSAGES if passages else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -288,32 +333,30 @@ def _finish(rows: DataFrame, schema, cols: list[str], text_at: int, length: int,
                 out, kept, sent, whole, text = [], [], [], [], []
                 for t, w, s in zip(batch.column(text_at).to_pylist(), batch.column(len(cols) + 1).to_pylist(), batch.column(len(cols) + 2).to_pylist(), strict=True):
                     data, later = t.encode(), bool(more and s)
-                    spans = []
-                    if w and not later:
-                        starts = starts_of(w)
-                        starts[:, 1] += length
-                        spans = [(a, b) for a, b in covered(starts) if not over_words or len(data[a:b].split()) > over_words]
-                    out.append((None,) * 4 if later else digest(data, spans))
+                    spans = [] if later or not w else over(data, spans_of(w, length), over_words)
+                    told = ()
+                    if passages and not later:
+                        long = over(data, spans_of(w, passages[0], True), passages[1]) if w else []
+                        told = len(long), sum(b - a for a, b in long)
+                    out.append((None,) * len(results) if later else digest(data, spans) + told)
                     kept.append(None if later or not texts else without(data, whole_characters(data, spans)))
                     sent.append(s if later else [])
                     whole.append(w if later else [])
                     text.append(t if later or texts else "")
                 arrays = [batch.column(i) for i in range(1 + len(cols))]
                 arrays[text_at] = pa.array(text, batch.schema.field(text_at).type)
-                arrays += [pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), DIGEST, strict=True)]
+                arrays += [pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), results, strict=True)]
                 arrays.append(pa.array(kept, pa.binary()))
                 if more:
                     arrays += [pa.array(sent, batch.schema.field(len(cols) + 2).type), pa.array(whole, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    extra = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + more
-    names = ["_key", *cols, *[x for x, _ in DIGEST], "kept", *(["_sent", "_whole"] if more else [])]
-    from pyspark.sql.types import StructType
-
-    full = StructType([*schema.fields, *StructType.fromDDL(extra).fields])
-    return rows.mapInArrow(run, full)
+    told = ", n_passages long, n_passage_bytes long" if passages else ""
+    extra = f"n_bytes long, n_removed long, n_spans long, kept_sha256 string{told}, kept binary" + more
+    names = ["_key", *cols, *[x for x, _ in results], "kept", *(["_sent", "_whole"] if more else [])]
+    return rows.mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL(extra).fields]))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return repeats(docs, texts=False)
+    return repeats(docs, texts=False, passages=(PASSAGE_BYTES, PASSAGE_WORDS))
