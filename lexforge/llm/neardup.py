@@ -34,14 +34,13 @@ SLICE, MEETING, PARTNERS = 1024, 1 << 15, 8
 MAP_WORDS = 32
 CACHE_WORDS, BATCH = 300_000, 256
 
-FOLD = {c: c + 32 for c in range(65, 91)} | dict.fromkeys(range(9, 14), 32)
 _MULTIPLY = np.random.default_rng(20).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = h
@@ -57,7 +56,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct 5-word shingles; of the whole sequence where there are fewer words."""
-    words = [w for w in text.translate(FOLD).split(" ") if w] if text else []
+    words = text.encode().lower().split() if text else []  # bytes know no other letters and white space than A-Z, U+0020 and U+0009..U+000D
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -68,17 +67,17 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """SYMBOLS minima under multiply-shift hashes, cut to BITS bits."""
-    low = np.array([mixed(shingles * m).min() for m in _MULTIPLY])
+def signatures_of(sets: list[np.ndarray]) -> np.ndarray:
+    """[sets, SYMBOLS] minima of each set, none of them empty, under multiply-shift hashes, cut to BITS bits."""
+    flat, at = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
+    low = np.stack([np.minimum.reduceat(mixed(flat * m), at) for m in _MULTIPLY], 1)
     return (mixed(low) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    out = np.zeros(MAP_WORDS, np.uint64)
-    at = (shingles >> np.uint64(64 - (64 * MAP_WORDS - 1).bit_length())).astype(np.int64)
-    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-    return out.view(np.int64)
+    bits = np.zeros(64 * MAP_WORDS, bool)
+    bits[(shingles >> np.uint64(64 - (64 * MAP_WORDS - 1).bit_length())).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view("<i8")
 
 
 def may_be_similar(n_a: str, map_a: str, n_b: str, map_b: str) -> Column:
@@ -101,12 +100,14 @@ def signatures(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 sets = [shingle_set(t.as_py(), hashes) for t in part.column(1)]
+                full = [s for s in sets if len(s)]
+                sig = iter(signatures_of(full) if full else ())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets], pa.string()),
-                        pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int32())),
+                        pa.array([next(sig) if len(s) else None for s in sets], pa.list_(pa.int32())),
                         pa.array([bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "n_shingles", "set_key", "sig", "bits"],
