@@ -53,7 +53,7 @@ def test_hmm_on_odd_rows(spark, odd, none):
 
 
 def test_forward_is_the_sum_over_all_paths():
-    m = hmm.start_model(4, 3)
+    m = hmm.start_model(np.ones(4), 3)
     seq = np.array([0, 3, 1, 1, 2])
     total = 0.0
     for path in np.ndindex(*(3,) * len(seq)):
@@ -64,6 +64,77 @@ def test_forward_is_the_sum_over_all_paths():
     assert abs(hmm.forward(m, [seq[:2], seq])[1] - math.log10(total)) < 1e-12
 
 
+def path_sums(model, seq):
+    """Expected counts of one sequence by the plain forward and backward recursions."""
+    a, b = model["a"], model["b"]
+    n, s = len(seq), len(a)
+    fwd, bwd = np.zeros((n, s)), np.ones((n, s))
+    fwd[0] = model["pi"] * b[:, seq[0]]
+    for t in range(1, n):
+        fwd[t] = (fwd[t - 1] @ a) * b[:, seq[t]]
+        fwd[t] /= fwd[t].sum()
+    for t in range(n - 2, -1, -1):
+        bwd[t] = a @ (b[:, seq[t + 1]] * bwd[t + 1])
+        bwd[t] /= bwd[t].sum()
+    gamma = fwd * bwd
+    gamma /= gamma.sum(1, keepdims=True)
+    moves = np.zeros((s, s))
+    for t in range(1, n):
+        x = fwd[t - 1][:, None] * a * (b[:, seq[t]] * bwd[t])[None, :]
+        moves += x / x.sum()
+    emitted = np.zeros_like(b)
+    np.add.at(emitted.T, seq, gamma)
+    return gamma[0], moves, emitted
+
+
+def test_window_counts_are_those_of_whole_texts():
+    r = np.random.default_rng(5)
+    m = hmm.start_model(np.ones(30), 3)
+    texts = [r.integers(0, 30, n) for n in (1, 2, 15, 16, 17, 63, 127, 128, 129, 136, 137, 300, 1000)]
+    got = hmm.counts_of(m, texts)
+    want = [sum(x) for x in zip(*[path_sums(m, t) for t in texts], strict=True)]
+    # every start, every transition over a window's end and every token is counted once
+    assert abs(got[1].sum() - sum(len(t) - 1 for t in texts)) < 0.01 and abs(got[2].sum() - sum(map(len, texts))) < 0.01
+    for x, y in zip(got, want, strict=True):
+        assert np.abs(x - y).max() < 0.02 * max(1.0, np.abs(y).max())
+
+
+def test_scores_with_spelling_classes_and_rare_words(spark, monkeypatch):
+    """A vocabulary beyond the words with symbols and beyond the broadcast counts, against a plain computation."""
+    monkeypatch.setattr(hmm, "SYMBOLS", 20)
+    monkeypatch.setattr(hmm, "LOOKUP", 40)
+    vocabulary = words(120, 8)
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(vocabulary[: 10 + i]) for _ in range(30)) + f" only{i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = hmm.vocabulary(docs).cache()
+    lexicon = hmm.Lexicon(vocab)
+    encoded = hmm.encoded(docs, lexicon).cache()
+    model = hmm.train(encoded, lexicon, 2)
+    got = {x.doc_id: x for x in hmm.score(encoded, vocab, lexicon, model).collect()}
+    counts = collections.Counter(w for i, t in rows if not hmm.is_held_out(i) for w in hmm.words(t))
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    own = order[:20] if "" in order[:20] else [*order[:20], ""]
+    others = collections.defaultdict(list)
+    for w in order:
+        if w not in own:
+            others[hmm.spelling(w)].append(counts[w])
+    assert any(x.n_known < x.n_tokens for x in got.values()) and len(counts) > 40
+    for i, t in rows:
+        seq, rest = [], 0.0
+        for w in hmm.words(t):
+            if w in own:
+                seq.append(own.index(w))
+            else:
+                k = hmm.spelling(w)
+                seq.append(len(own) + k)
+                rest += math.log10((counts.get(w, 0) + 0.1) / (sum(others[k]) + 0.1 * (len(others[k]) + 1)))
+        assert abs(got[i].score - (hmm.forward(model, [np.array(seq)])[0] + rest)) < 1e-6
+        n, v = sum(counts.values()), len(counts)
+        assert abs(got[i].base_score - sum(math.log10((counts.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in hmm.words(t))) < 1e-6
+        assert got[i].n_known == sum(counts.get(w, 0) > 0 for w in hmm.words(t))
+
+
 # ------------------------------------------------------------ op2
 
 
@@ -145,6 +216,25 @@ def test_repeats_are_those_of_brute_force(spark, monkeypatch, group_runs):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 400)
 
 
+def test_passages_of_more_than_50_words_are_told(spark):
+    short, fifty = " ".join(words(51, 1)), " ".join(words(50, 2))
+    own = [" ".join(words(80, 10 + i)) for i in range(7)]
+    texts = [f"{own[0]} 1 {short} 2 {own[1]}", f"{own[2]} 3 {short}", f"{own[3]} | {fifty} | {own[4]}", f"{own[5]} < {fifty} > {own[6]}", " ".join(words(300, 30)), None, short + " . " + short]
+    assert suffixes.PASSAGE_BYTES < len(short.encode()) < 400
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("n_passages", F.lit("mine"))
+    got = {r.doc_id: (r.n_removed, r.n_passages, r.n_passage_bytes) for r in suffixes.repeats(df, texts=False, passages=(suffixes.PASSAGE_BYTES, 50)).collect()}
+    n = len(short.encode())
+    assert [got[i][:2] for i in range(7)] == [(0, 1), (0, 1), (0, 0), (0, 0), (0, 0), (0, 0), (0, 2)]
+    assert all(n <= got[i][2] <= n + 2 for i in (0, 1)) and 2 * n <= got[6][2] <= 2 * n + 2
+
+
+def test_runs_of_one_kind_are_combined():
+    k, own = np.array([5, 5, 5, 6, 7, 7]), np.array([1, 1, 2, 1, 1, 1])
+    got = suffixes.combined(k, own, np.arange(6), np.full(6, 9)).to_pylist()
+    assert sorted((r["k"], r["own"], r["key"], r["weight"]) for r in got if r["weight"]) == [(5, 1, 0, 2), (5, 2, 2, 1), (6, 1, 3, 1), (7, 1, 4, 2)]
+    assert sorted(r["key"] for r in got if not r["weight"]) == [1, 5] and len({r["k"] for r in got if not r["weight"]}) == 2
+
+
 def test_repeats_odd_rows(odd, none):
     got = suffixes.repeats(odd)
     assert got.count() == len(ODD)
@@ -245,6 +335,66 @@ def test_misspelt_heads_of_stemmed_terms(spark):
     assert [(m[w] or (None, None))[:2] for w in ("m0ronvk", "mroonvk", "noronvks")] == [("moronvk", 1), ("moronvk", 1), ("moronvks", 1)]
 
 
+def edits(a, b):
+    """Levenshtein distance in which two swapped neighbours are one edit."""
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_automata_find_what_brute_force_finds():
+    r = random.Random(12)
+    terms = sorted({"".join(r.choice("abcd") for _ in range(r.randint(3, 9))) for _ in range(60)})
+    trie = toxicity.Trie(terms)
+    probes = ["".join(r.choice("abcd") for _ in range(r.randint(2, 10))) for _ in range(800)]
+    for t in terms:
+        i = r.randrange(len(t))
+        probes += [t, t[:i] + t[i + 1 :], t[:i] + "x" + t[i:], t[:i] + "x" + t[i + 1 :], t[:i] + t[i + 1 : i + 2] + t[i : i + 1] + t[i + 2 :]]
+    hits = 0
+    for w in probes:
+        near = [t for t in terms if len(t) >= toxicity.FUZZY_WORD and edits(w, t) <= 1]
+        want = (w, 0) if w in terms else (min(near), 1) if near else None
+        assert trie.find(w) == want, w
+        hits += want is not None
+    assert hits > 200
+
+
+def test_copies_weigh_one_together_and_no_row_goes(spark):
+    base, other = words(80, 31), words(80, 32)
+    near = [" ".join([*base[:i], "edit", *base[i + 1 :]]) for i in (1, 78)]
+    alike = " ".join(base[:30] + other[30:])  # shares shingles with both, but is no copy
+    rows = [(" ".join(base), 1), (" ".join(base), 0), *[(t, 1) for t in near], (" ".join(other), 0), (alike, 1), ("", 0), (" ", 0)]
+    got = toxicity.weighed(spark.createDataFrame(rows, "text string, toxic int")).collect()
+    assert len(got) == len(rows)
+    weight = {}
+    for x in got:
+        weight.setdefault(x.text, set()).add(round(x.weight, 6))
+    assert weight[" ".join(other)] == weight[alike] == {1.0}
+    assert weight[""] == weight[" "] == {0.5}
+    assert sum(x.weight for x in got if x.text in (" ".join(base), *near)) < 1.6  # one family; a copy whose minimum hashes all differ may stand alone
+
+
+def test_scores_are_those_of_the_model(spark):
+    """Null and repeated labels, null texts, and each score against its formula."""
+    rows = [(i, ("you clodpate " if i % 3 == 0 else "") + " ".join(words(20, 400 + i)), int(i % 3 == 0)) for i in range(150)]
+    docs = spark.createDataFrame([*[x[:2] for x in rows], (500, None), (None, "clodpate")], "doc_id long, text string")
+    marks = [*[(x[0], x[2]) for x in rows], (0, 0), (1, None), (None, 1), (500, 0), (777, 1)]
+    lex = toxicity.learn(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert list(lex.words) == ["clodpate"]
+    m, w = toxicity.Matcher(lex), lex.coefficients
+    for x in toxicity.score(docs, lex).collect():
+        text = next((t for k, t, *_ in rows if k == x.doc_id), "clodpate" if x.doc_id is None else "")
+        n, found = toxicity.hits(text, m)
+        total = [h[4] * h[5] for h in found]
+        f = (max(total, default=0.0), math.log1p(sum(total)), sum(total) / math.sqrt(n + 1), math.log1p(n) * bool(found))
+        assert abs(x.score - 1 / (1 + math.exp(-(w[0] + sum(a * b for a, b in zip(w[1:], f, strict=True)))))) < 1e-9
+        assert x.predicted == int(x.score >= 0.7) == int("clodpate" in text)
+
+
 def test_quotation_counts_less():
     m = toxicity.Matcher(toxicity.Lexicon({"idiot": 5.0}, {}))
     said, meant = toxicity.hits('he said "idiot" once', m)[1][0][4], toxicity.hits("you idiot", m)[1][0][4]
@@ -290,7 +440,44 @@ def test_candidates_are_confirmed_by_their_sets_alone(spark):
     nodes = spark.createDataFrame([(k, len(s), [k] * 16 + [0] * 8, neardup.bitmap(s).tolist()) for k, s in sets.items()], "node long, n_shingles long, sig array<int>, bits array<long>")
     full = spark.createDataFrame([(k, s.view(np.int64).tolist()) for k, s in sets.items()], "node long, shingles array<long>")
     pairs = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "a long, b long")
-    assert [tuple(x) for x in neardup.confirmed(pairs, nodes, full).collect()] == [(2, 1)]
+    assert [tuple(x) for x in neardup.similar(neardup.plausible(pairs, nodes), full).collect()] == [(2, 1)]
+
+
+def test_slices_and_partners_lose_no_link(spark, monkeypatch):
+    """A family that drifts from its first text, and boilerplate texts that are not alike, in slices of a few rows with one partner at a time."""
+    monkeypatch.setattr(neardup, "SLICE", 8)
+    monkeypatch.setattr(neardup, "PARTNERS", 1)
+    monkeypatch.setattr(neardup, "MEETING", 40)
+    r, rows, line = random.Random(3), [], words(60, 50)
+    now = words(60, 51)
+    for i in range(40):
+        now = list(now)
+        now[(i * 7) % 60] = f"w{i}"
+        rows.append((i, " ".join(now)))
+    for i in range(40, 100):
+        rows.append((i, " ".join(line + words(r.randint(15, 30), 200 + i))))
+    hashes = neardup.WordHashes()
+    sets = {i: set(neardup.shingle_set(t, hashes).tolist()) for i, t in rows}
+    want = {i: i for i in sets}
+    for i in sorted(sets):  # smallest id first: a link's lower end is settled before its upper one is read
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_cells_cover_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SLICE", 4)
+    index = spark.createDataFrame([(7, i, 100) for i in range(30)], "bucket long, node long, n long")
+    parts = spark.createDataFrame([(i, 0) for i in range(20)], "id long, component long")
+    bits = spark.createDataFrame([(i, [0]) for i in range(30)], "node long, bits array<long>")
+    cells = {}
+    for c in neardup.meetings(index, parts, bits).collect():
+        cells.setdefault((c.y, c.x), []).append((c.node, c.role))
+    met = {frozenset((a, b)) for x in cells.values() for a, p in x for b, q in x if a != b and {p, q} != {1} and {p, q} != {0}}
+    assert {frozenset((a, b)) for a in range(20, 30) for b in range(30) if a != b} <= met
 
 
 def test_near_duplicates_odd_rows(odd, none):
