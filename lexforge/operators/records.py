@@ -103,12 +103,45 @@ def first_error(checks: list[tuple[Column, str]]) -> Column:
 
 def settle_records(results: DataFrame) -> DataFrame:
     """(record_id, outcome, reason) of results (record_id, position, reason): one failing result refuses the whole record; schema and date errors end as FAILED."""
-    reason = F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("position")))
+    reason = F.min_by("reason", F.when(F.col("reason").isNotNull(), F.struct("position", "reason")))
     rows = results.groupBy("record_id").agg(reason.alias("reason"), F.count("*").alias("n_results"))
     outcome = F.when(F.col("reason").isNull(), "ACCEPTED").when(F.col("reason").rlike("^(schema|date)"), "FAILED").otherwise("REFUSED")
     return rows.withColumn("outcome", outcome)
 
 
+def link_results(results: DataFrame, versions: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Results against the clause in force on the day of their test, with verdict and headroom or the first reason to refuse them.
+
+    results: record_id, position, test_date (text), criterion, value, unit, link (CODE#SECTION); versions: version_id, code, effective;
+    clauses: clause_id, version_id, section, text, of which the smallest clause_id of a section counts. A version holds until
+    the next one of its code (of equal days the greater version_id), so a result meets one version and no window goes over results.
+    """
+    known = versions.groupBy("code").agg(F.min("effective").alias("earliest"), F.max(F.col("effective").isNull()).alias("undated"))
+    until = F.lead("effective").over(Window.partitionBy("code").orderBy("effective", "version_id"))
+    spans = versions.where("effective is not null").withColumn("until", until).select(F.col("code").alias("_code"), "version_id", "effective", "until")
+    once = clauses.groupBy("version_id", "section").agg(F.min_by("text", "clause_id").alias("text"))
+    day = F.when(F.col("test_date").rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp("test_date", F.lit("yyyy-M-d")).cast("date"))
+    rows = results.withColumn("day", day).withColumn("code", F.nullif(F.regexp_extract("link", "^([^#]*)#", 1), F.lit(""))).withColumn("section", F.regexp_extract("link", "(?s)^[^#]*#(.*)$", 1))
+    rows = rows.join(known, "code", "left")
+    holds = (F.col("code") == F.col("_code")) & (F.col("day") >= F.col("effective")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
+    rows = rows.join(spans, holds, "left").join(once, ["version_id", "section"], "left").withColumn("lim", limit(F.col("text"), F.col("criterion")))
+    checks = [
+        (F.col("criterion").isNull() | F.col("value").isNull() | F.col("test_date").isNull(), "schema: incomplete result"),
+        (F.col("day").isNull(), "date: not YYYY-MM-DD"),
+        (~F.coalesce(F.contains("link", F.lit("#")), F.lit(False)), "link is not CODE#SECTION"),
+        (F.col("undated").isNull(), "regulation not found"),
+        (F.col("undated"), "a version has no date"),
+        (F.col("day") < F.col("earliest"), "test is before the first version"),
+        (F.col("text").isNull(), "clause not found"),
+        (F.col("lim").isNull(), "limit not readable"),
+        (F.coalesce(F.lower("unit") != F.col("lim.unit"), F.lit(False)), "unit mismatch"),
+    ]
+    x, how = F.col("lim.value"), F.col("lim.direction")
+    out = rows.withColumn("reason", first_error(checks))
+    fine = F.col("reason").isNull()
+    return out.select("record_id", "position", "version_id", "criterion", "value", x.alias("limit_value"), how.alias("direction"), F.when(fine, verdict(F.col("value"), x, how)).alias("verdict"), F.when(fine, headroom(F.col("value"), x, how)).alias("headroom"), "reason")
+
+
 def margin_question(query: Column) -> dict[str, Column]:
     """value, code and whether a question asks for the margin to a limit."""
     code = F.nullif(F.regexp_extract(F.upper(query), r"\b(?:UN[ _]?)?R ?(\d{1,3})\b", 1), F.lit(""))

@@ -34,17 +34,38 @@ def latest_limit(spark: SparkSession, d: str) -> DataFrame:
     return H.latest(o, "o_custkey", "effective", "o_orderkey").select("o_custkey", "o_orderkey", F.col("effective").cast("string").alias("effective"))
 
 
+#: Clauses of a version by section, their criterion and unit.
+LINKED = [("5.1", "The Thorax Compression Criterion (ThCC) shall not exceed {q} mm;", "ThCC", "mm"), ("5.2", "The Head Injury Criterion (HIC36) must be less than {q} g;", "HIC36", "g"), ("5.3", "The seatbelt anchorage force must stay above {q} kN for safety;", "Force", "kN")]
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as results, parts as versions of 60 regulations with three clauses each; some of all are at fault."""
+    part = table(spark, d, "part").select("p_partkey", "p_size")
+    effective = F.expr("CASE WHEN p_partkey % 420 != 7 THEN date_add(DATE '1994-06-01', cast(p_partkey * 37 % 1500 AS int)) END")
+    versions = part.select(F.col("p_partkey").alias("version_id"), F.expr("'UN_R' || (p_partkey % 60)").alias("code"), effective.alias("effective"))
+    made = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(sec).alias("section"), F.replace(F.lit(text), F.lit("{q}"), F.col("p_size").cast("string")).alias("text")) for i, (sec, text, _, _) in enumerate(LINKED)]))
+    clauses = part.select(F.col("p_partkey").alias("version_id"), made.alias("c")).select((F.col("version_id") * 10 + F.col("c.i")).alias("clause_id"), "version_id", "c.section", "c.text")
+    kind = "CASE l_linenumber % 4 WHEN 1 THEN '{}' WHEN 2 THEN '{}' WHEN 3 THEN '{}' ELSE '{}' END"
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    results = lines.select(
+        F.expr("l_orderkey").alias("record_id"),
+        F.col("l_linenumber").alias("position"),
+        F.expr("CASE WHEN l_orderkey % 53 = 0 THEN '5 May 1996' ELSE cast(to_date(o_orderdate) AS string) END").alias("test_date"),
+        F.expr("CASE WHEN cast(l_quantity AS int) % 23 = 0 THEN NULL WHEN cast(l_quantity AS int) % 17 = 0 THEN 'NIC' ELSE " + kind.format(*[x[2] for x in LINKED], "ThCC") + " END").alias("criterion"),
+        F.expr("cast(l_suppkey % 50 AS double)").alias("value"),
+        F.expr("CASE WHEN l_partkey % 5 = 0 THEN NULL WHEN l_partkey % 19 = 0 THEN 'lbf' ELSE " + kind.format(*[x[3] for x in LINKED], "mm") + " END").alias("unit"),
+        F.expr("CASE WHEN l_partkey % 47 = 0 THEN 'UN_R1' ELSE 'UN_R' || (l_partkey % 61) || '#' || CASE WHEN l_suppkey % 31 = 0 THEN '9.9' ELSE " + kind.format(*[x[0] for x in LINKED], "5.1") + " END END").alias("link"),
+    )
+    return H.link_results(results, versions, clauses)
+
+
+def linked_results(spark: SparkSession, d: str) -> DataFrame:
+    return _linked(spark, d)
+
+
 def harness_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Events as results, five to a record: schema, date, link and unit checks in order."""
-    e = table(spark, d, "events")
-    checks = [
-        (F.col("event_id") % 97 == 0, "schema: no criterion"),
-        (F.col("ts") < F.lit("2024-01-02").cast("timestamp"), "date before the first version"),
-        (F.col("user_id") % 41 == 0, "clause not found"),
-        ((F.col("event_type") == "error") & (F.col("event_id") % 10 == 3), "unit mismatch"),
-    ]
-    rows = e.select(F.expr("event_id div 5").alias("record_id"), (F.col("event_id") % 5).alias("position"), H.first_error(checks).alias("reason"))
-    return H.settle_records(rows)
+    """One failing result refuses its whole record."""
+    return H.settle_records(_linked(spark, d))
 
 
 def close_to_limit(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +144,7 @@ def error_streaks(spark: SparkSession, d: str) -> DataFrame:
     return H.streaks(e, "user_id", "event_id", "bad", 3)
 
 
-QUERIES = {f.__name__: f for f in (limit_extract, asof_limit, latest_limit, harness_ingest, close_to_limit, margin_parse, access_audit, inventory, version_history, run_summary, timing_summary, token_spend, retrieval_diff, case_eval, error_streaks)}
+QUERIES = {f.__name__: f for f in (limit_extract, asof_limit, latest_limit, linked_results, harness_ingest, close_to_limit, margin_parse, access_audit, inventory, version_history, run_summary, timing_summary, token_spend, retrieval_diff, case_eval, error_streaks)}
 
 _LIMITS = rf"""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 60 AS v, lower({chosen_clause(0, "CAST(l_quantity AS INT)")}) AS t, lower({chosen_clause(1, "1")}) AS n FROM lineitem),
 h AS (SELECT *, regexp_extract(t, '{H.LIMIT}', 0) AS hit, CAST(nullif(regexp_extract(t, '{H.LIMIT}', 1), '') AS DOUBLE) AS number, regexp_extract(t, '{H.LIMIT}', 2) AS u,
@@ -138,6 +159,25 @@ l AS (SELECT l_orderkey, l_linenumber, l_partkey, v,
 p AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE abs(x - v) / x * 100 END AS pc FROM l)
 """
 
+_KIND = "CASE l_linenumber % 4 WHEN 1 THEN '{}' WHEN 2 THEN '{}' WHEN 3 THEN '{}' ELSE '{}' END"
+#: Results with what they are linked to and the first reason to refuse them: the version by an as-of join, the limit read from the clause's text.
+_LINKED_SQL = f"""WITH v AS (SELECT p_partkey AS version_id, 'UN_R' || (p_partkey % 60) AS code, CASE WHEN p_partkey % 420 <> 7 THEN DATE '1994-06-01' + CAST(p_partkey * 37 % 1500 AS INT) END AS effective, p_size FROM part),
+k AS (SELECT code, min(effective) AS earliest, bool_or(effective IS NULL) AS undated FROM v GROUP BY code),
+c AS (SELECT version_id, sec, replace(tx, '{{q}}', CAST(p_size AS VARCHAR)) AS text FROM v, (VALUES {", ".join(f"('{x[0]}', '{x[1]}')" for x in LINKED)}) AS t(sec, tx)),
+r AS (SELECT l_orderkey AS record_id, l_linenumber AS position, CASE WHEN l_orderkey % 53 <> 0 THEN CAST(o_orderdate AS DATE) END AS day,
+  CASE WHEN CAST(l_quantity AS INT) % 23 = 0 THEN NULL WHEN CAST(l_quantity AS INT) % 17 = 0 THEN 'NIC' ELSE {_KIND.format(*[x[2] for x in LINKED], "ThCC")} END AS criterion, CAST(l_suppkey % 50 AS DOUBLE) AS value,
+  CASE WHEN l_partkey % 5 = 0 THEN NULL WHEN l_partkey % 19 = 0 THEN 'lbf' ELSE {_KIND.format(*[x[3] for x in LINKED], "mm")} END AS unit,
+  CASE WHEN l_partkey % 47 = 0 THEN 'UN_R1' ELSE 'UN_R' || (l_partkey % 61) || '#' || CASE WHEN l_suppkey % 31 = 0 THEN '9.9' ELSE {_KIND.format(*[x[0] for x in LINKED], "5.1")} END END AS link FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+q AS (SELECT *, CASE WHEN contains(link, '#') THEN split_part(link, '#', 1) END AS code, split_part(link, '#', 2) AS section FROM r),
+u AS (SELECT code, effective, max(version_id) AS version_id FROM v WHERE effective IS NOT NULL GROUP BY ALL),
+a AS (SELECT q.*, u.version_id FROM q ASOF LEFT JOIN u ON q.code = u.code AND q.day >= u.effective),
+b AS (SELECT a.*, k.earliest, k.undated, lower(c.text) AS t, lower(criterion) AS n FROM a LEFT JOIN k ON k.code = a.code LEFT JOIN c ON c.version_id = a.version_id AND c.sec = a.section),
+y AS (SELECT *, CASE WHEN (n = 'thcc' AND {_any(H.THORAX_WORDS, "t")}) OR (n = 'hic36' AND {_any(H.HEAD_WORDS, "t")}) OR (n NOT IN ('thcc', 'hic36') AND contains(t, n)) THEN CAST(regexp_extract(t, '{H.LIMIT}', 1) AS DOUBLE) END AS x, regexp_extract(t, '{H.LIMIT}', 2) AS u, CASE WHEN contains(t, 'above') THEN 'floor' ELSE 'ceiling' END AS way FROM b),
+z AS (SELECT record_id, position, version_id, criterion, value, x AS limit_value, CASE WHEN x IS NOT NULL THEN way END AS direction,
+  CASE WHEN criterion IS NULL THEN 'schema: incomplete result' WHEN day IS NULL THEN 'date: not YYYY-MM-DD' WHEN NOT contains(link, '#') THEN 'link is not CODE#SECTION' WHEN undated IS NULL THEN 'regulation not found' WHEN undated THEN 'a version has no date'
+    WHEN day < earliest THEN 'test is before the first version' WHEN t IS NULL THEN 'clause not found' WHEN x IS NULL THEN 'limit not readable' WHEN lower(unit) <> u THEN 'unit mismatch' END AS reason FROM y)
+"""
+
 SQL = {
     "limit_extract": _LIMITS + """SELECT l_orderkey, l_linenumber, l_partkey, x AS limit_value, how AS direction, unit,
   CASE WHEN x IS NULL THEN NULL WHEN CASE WHEN how = 'floor' THEN v >= x ELSE v <= x END THEN 'PASS' ELSE 'FAIL' END AS verdict,
@@ -150,10 +190,11 @@ FROM b LEFT JOIN v ON v.user_id = b.user_id AND v.ts <= b.ts GROUP BY b.event_id
     "latest_limit": """
 WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS e FROM orders)
 SELECT o_custkey, o_orderkey, CAST(e AS VARCHAR) AS effective FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY e DESC NULLS LAST, o_orderkey) = 1""",
-    "harness_ingest": """
-WITH r AS (SELECT event_id // 5 AS record_id, event_id % 5 AS position, CASE WHEN event_id % 97 = 0 THEN 'schema: no criterion' WHEN ts < TIMESTAMP '2024-01-02' THEN 'date before the first version'
-  WHEN user_id % 41 = 0 THEN 'clause not found' WHEN event_type = 'error' AND event_id % 10 = 3 THEN 'unit mismatch' END AS reason FROM events),
-s AS (SELECT record_id, arg_min(reason, position) FILTER (WHERE reason IS NOT NULL) AS reason, count(*) AS n_results FROM r GROUP BY record_id)
+    "linked_results": _LINKED_SQL + """
+SELECT record_id, position, version_id, criterion, value, limit_value, direction, CASE WHEN reason IS NULL THEN CASE WHEN margin >= 0 THEN 'PASS' ELSE 'FAIL' END END AS verdict, CASE WHEN reason IS NULL THEN margin END AS headroom, reason
+FROM (SELECT *, CASE direction WHEN 'floor' THEN value - limit_value ELSE limit_value - value END AS margin FROM z)""",
+    "harness_ingest": _LINKED_SQL + """,
+s AS (SELECT record_id, arg_min(reason, (position, reason)) FILTER (WHERE reason IS NOT NULL) AS reason, count(*) AS n_results FROM z GROUP BY record_id)
 SELECT *, CASE WHEN reason IS NULL THEN 'ACCEPTED' WHEN regexp_matches(reason, '^(schema|date)') THEN 'FAILED' ELSE 'REFUSED' END AS outcome FROM s""",
     "close_to_limit": """
 WITH h AS (SELECT event_type, event_id, round(100.0 - value, 4) AS headroom FROM events WHERE (event_id % 2 <> 1 OR user_id = 7) AND value IS NOT NULL)
