@@ -152,23 +152,27 @@ UN_NUMBER = [r"\bun_r(\d+)", r"\br(\d+)"]
 
 def parse_filename(name: Column) -> dict[str, Column]:
     """role, whether the file is a whole regulation, code and the four numbers of a file name."""
-    stem = F.regexp_replace(F.lower(name), r"\.[^.]*$", "")
-
-    def first(patterns: list[str]) -> Column:
-        return F.coalesce(*[F.nullif(F.regexp_extract(stem, p, 1), F.lit("")) for p in patterns])
-
-    role = F.lit("base")
-    for r, mark in reversed(ROLE_MARKS):
-        role = F.when(stem.rlike(mark), r).otherwise(role)
-    code = F.lit("UNKNOWN")
-    for mark, members, own in reversed(FILE_FAMILIES):
-        member = F.lit(own)
-        for m, n in reversed(members):
-            member = F.when(stem.rlike(m), n).otherwise(member)
-        code = F.when(stem.rlike(mark), member).otherwise(code)
-    fmvss = F.concat(F.lit("FMVSS"), F.regexp_replace(F.regexp_extract(stem, r"fmvss_(\d+)", 1), r"^(?=\d)", " "))
-    code = F.coalesce(F.concat(F.lit("UN_R"), first(UN_NUMBER)), F.when(F.contains(stem, F.lit("fmvss")), fmvss), code)
-    return {"role": role, "complete": role == "base", "code": code, **{k: first(v).cast("int") for k, v in FILE_NUMBERS.items()}}
+
+    def parsed(stem: Column) -> Column:
+        def first(patterns: list[str]) -> Column:
+            return F.coalesce(*[F.nullif(F.regexp_extract(stem, p, 1), F.lit("")) for p in patterns])
+
+        role = F.lit("base")
+        for r, mark in reversed(ROLE_MARKS):
+            role = F.when(stem.rlike(mark), r).otherwise(role)
+        code = F.lit("UNKNOWN")
+        for mark, members, own in reversed(FILE_FAMILIES):
+            member = F.lit(own)
+            for m, n in reversed(members):
+                member = F.when(stem.rlike(m), n).otherwise(member)
+            code = F.when(stem.rlike(mark), member).otherwise(code)
+        fmvss = F.concat(F.lit("FMVSS"), F.regexp_replace(F.regexp_extract(stem, r"fmvss_(\d+)", 1), r"^(?=\d)", " "))
+        code = F.coalesce(F.concat(F.lit("UN_R"), first(UN_NUMBER)), F.when(F.contains(stem, F.lit("fmvss")), fmvss), code)
+        return F.struct(role.alias("role"), (role == "base").alias("complete"), code.alias("code"), *[first(v).cast("int").alias(k) for k, v in FILE_NUMBERS.items()])
+
+    # a lambda's variable is computed once, however often the patterns use it
+    out = F.get(F.transform(F.array(F.regexp_replace(F.lower(name), r"\.[^.]*$", "")), parsed), F.lit(0))
+    return {k: out[k] for k in ("role", "complete", "code", *FILE_NUMBERS)}
 
 
 # ---------------------------------------------------------------- gates
