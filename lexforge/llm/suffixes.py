@@ -37,7 +37,7 @@ REACH, GRAM, DEPTH = 224, 8, 33
 #: Bytes of a text that are parsed at once; a run cut there is only compared later, in step 3.
 PIECE = 1 << 20
 #: Runs a task combines before it hands them on, so that a kind of run comes once from so many; runs of a group that a task compares in memory.
-COMBINED, GROUP_RUNS = 1 << 18, 20_000
+COMBINED, GROUP_RUNS = 1 << 17, 8_000
 BATCH = 128
 #: A repeated passage has more words than this, and its strings are so long: 51 words take more bytes in 98 of 100 cases.
 PASSAGE_WORDS, PASSAGE_BYTES = 50, 256

@@ -163,6 +163,17 @@ def test_mixing_odd_rows(odd, none):
     assert mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("source", [None, "web"])
+def test_mixing_one_source_and_ties(spark, source):
+    """A table of null sources or of one source, with repeated and null ids: every row once, every place once."""
+    ids = [*range(40), 7, 7, 7, None, None]
+    docs = spark.createDataFrame([(i, source) for i in ids], "doc_id long, source string")
+    got = mixing.mix(docs, period=10, block_rows=4).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted(ids, key=str)
+    assert len({(r.mix_slot, r.mix_place) for r in got}) == len(ids)
+    assert sorted({r.mix_slot for r in got}) == list(range(-(-len(ids) // 4)))
+
+
 # ------------------------------------------------------------ op3
 
 
@@ -188,6 +199,25 @@ def test_recall(spark):
     assert hits / (5 * 60) >= 0.9
 
 
+def test_shards_are_merged(spark, monkeypatch):
+    """Eight shards: recall and exact scores of the merged lists, and ties over shards by the smaller id."""
+    monkeypatch.setattr(hnsw.index, "__defaults__", (250,))
+    x = np.random.default_rng(4).normal(size=(2000, 12))
+    x[1500] = 2 * x[3]
+    x[1501] = 3 * x[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert hnsw.index(hnsw.distinct_vectors(hnsw.usable(df, "vec_id", "embedding"), 6)).count() == 8
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits, rows = 0, hnsw.search_all(df, lambda i: (i % 50 == 0) | (i == 3)).collect()
+    for r in rows:
+        assert abs(r.score - float(u[r.query_id] @ u[r.vec_id])) < 1e-12
+        s = u @ u[r.query_id]
+        s[r.query_id] = -9
+        hits += r.vec_id in np.argsort(-s)[:5]
+    assert len(rows) == 41 * 5 and hits / len(rows) >= 0.9
+    assert [r.vec_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == 3][:2] == [1500, 1501]
+
+
 # ------------------------------------------------------------ op4
 
 
