@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import neardup
+from lexforge.llm.common import materialize
 
 #: Labelled training rows the classifier is fitted on at most (in order of md5(doc_id), which is no input of a score).
 SAMPLE_ROWS = 20_000
@@ -205,16 +206,13 @@ def weighed(sample: DataFrame) -> DataFrame:
 
     own = F.md5(F.col("text").cast("binary"))
     rows = sample.select(own.alias("own"), "text").mapInArrow(run, "own string, sig array<int>")
-    rows = rows.groupBy("own").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"))
-    likes = []
-    for i in range(FAMILIES):
-        pair = [F.element_at("sig", 2 * i + 1).alias("x"), F.element_at("sig", 2 * i + 2).alias("y")]
-        first = rows.groupBy(*pair).agg(F.min_by(F.struct("own", "sig"), "own").alias("first"))
-        rows = rows.select("*", *pair).join(first, ["x", "y"])
-        agree = F.aggregate(F.zip_with("sig", "first.sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v)
-        rows = rows.withColumn(f"like{i}", F.when(agree >= ALIKE, F.col("first.own"))).drop("x", "y", "first")
-        likes.append(f"like{i}")
-    rows = rows.select("own", "copies", F.coalesce(*likes, "own").alias("family"))
+    rows = materialize(rows.groupBy("own").agg(F.first("sig").alias("sig"), F.count("*").alias("copies")), "toxic-signatures")
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.element_at("sig", 2 * i + 1).alias("x"), F.element_at("sig", 2 * i + 2).alias("y")) for i in range(FAMILIES)]))
+    keyed = rows.select("own", "sig", pairs.alias("k")).select("own", "sig", "k.*")
+    first = keyed.groupBy("i", "x", "y").agg(F.min_by(F.struct("own", "sig"), "own").alias("first"))
+    agree = F.aggregate(F.zip_with("sig", "first.sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v)
+    alike = keyed.join(first, ["i", "x", "y"]).where(agree >= ALIKE).groupBy("own").agg(F.min_by("first.own", "i").alias("family"))
+    rows = rows.select("own", "copies").join(alike, "own", "left").withColumn("family", F.coalesce("family", "own"))
     sizes = rows.groupBy("family").agg(F.sum("copies").alias("size"))
     weights = rows.join(sizes, "family").select("own", (1 / F.col("size")).alias("weight"))
     # as many rows as the sample has texts, which is bounded
