@@ -40,12 +40,6 @@ def joined(rows: Column, name: str, by: str = "\n") -> Column:
     return F.array_join(F.transform(F.array_sort(rows), lambda x: x[name]), by)
 
 
-def section_id(line: Column) -> Column:
-    """Number of a section heading: one or two parts, where a dot at the end counts as a part."""
-    number = found(line, SECTION, 1)
-    return F.when(F.size(F.split(number, r"\.")) <= 2, F.regexp_replace(number, r"\.$", ""))
-
-
 def leaves(current: Column, number: Column) -> Column:
     """Whether a clause number begins a block of its own while the block `current` is open."""
     parts, own = F.split(number, r"\."), F.split(current, r"\.")
@@ -67,8 +61,14 @@ def marked_lines(pages: DataFrame) -> DataFrame:
         lines = F.concat(lines, F.flatten(F.transform(new, lambda t: F.concat(F.array(F.lit("<!-- chunk_type:table -->")), F.split(t, r"\r?\n")))))
     page = F.struct(F.col("page_number"), lines.alias("lines"))
     docs = pages.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_set(page)), lambda p: p["lines"])).alias("lines"))
-    edge = F.transform("lines", lambda x, i: F.struct(i.alias("n"), F.coalesce(F.when(strip(x).rlike(ANNEX), "Annex"), section_id(strip(x))).alias("hard"), found(strip(x), BOUNDARY, 1).alias("soft")))
-    edges = F.filter(edge, lambda e: e["hard"].isNotNull() | e["soft"].isNotNull())
+    # each line is stripped and matched once, and keeps what it matched
+    stripped = F.transform("lines", lambda x, i: F.struct(i.alias("n"), x.alias("line"), strip(x).alias("s")))
+    numbers = F.transform(stripped, lambda x: F.struct(x["n"].alias("n"), x["line"].alias("line"), x["s"].alias("s"), found(x["s"], ANNEX, 1).alias("annex"), found(x["s"], SECTION, 1).alias("number"), found(x["s"], BOUNDARY, 1).alias("bound")))
+    # one or two parts make a section, where a dot at the end counts as a part
+    section = lambda x: F.when(x["annex"].isNull() & (F.size(F.split(x["number"], r"\.")) <= 2), F.regexp_replace(x["number"], r"\.$", ""))
+    marked = F.transform(numbers, lambda x: F.struct(x["n"].alias("n"), x["line"].alias("line"), x["s"].alias("s"), x["annex"].alias("annex"), section(x).alias("section"), x["bound"].alias("bound")))
+    docs = docs.withColumn("lines", marked)
+    edges = F.transform(F.filter("lines", lambda x: F.coalesce(x["annex"], x["section"], x["bound"]).isNotNull()), lambda x: F.struct(x["n"].alias("n"), F.coalesce(F.when(x["annex"].isNotNull(), "Annex"), x["section"]).alias("hard"), x["bound"].alias("soft")))
     start = F.struct(F.lit("General").alias("id"), F.array().cast("array<int>").alias("at"))
 
     def step(state: Column, e: Column) -> Column:
@@ -77,9 +77,8 @@ def marked_lines(pages: DataFrame) -> DataFrame:
         return F.when(e["hard"].isNotNull(), kept).when(leaves(state["id"], e["soft"]), moved).otherwise(state)
 
     docs = docs.withColumn("opened", F.aggregate(edges, start, step)["at"])
-    rows = docs.select("doc_id", "opened", F.posexplode("lines").alias("n", "line")).withColumn("s", strip(F.col("line"))).withColumn("soft", F.array_contains("opened", F.col("n")))
-    annex, section = found(F.col("s"), ANNEX, 1), section_id(F.col("s"))
-    rows = rows.withColumn("annex", annex).withColumn("section", F.when(F.col("annex").isNull(), section)).withColumn("clause", F.when(F.col("soft"), found(F.col("s"), BOUNDARY, 1)))
+    rows = docs.select("doc_id", "opened", F.explode("lines").alias("x")).select("doc_id", "opened", "x.*").withColumn("soft", F.array_contains("opened", F.col("n")))
+    rows = rows.withColumn("clause", F.when(F.col("soft"), F.col("bound")))
     opens = F.when(F.col("annex").isNotNull(), "annex").when(F.col("section").isNotNull(), "section").when(F.col("soft"), "clause")
     rows = rows.withColumn("opens", opens).withColumn("page", found(F.col("s"), PAGE, 1).cast("int"))
     base = F.when(F.col("annex").isNotNull(), F.col("annex")).when(F.col("soft"), "Document")
