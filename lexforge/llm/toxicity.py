@@ -24,8 +24,8 @@ from lexforge.llm.common import materialize
 
 #: Labelled training rows the classifier is fitted on at most (in order of md5(doc_id), which is no input of a score).
 SAMPLE_ROWS = 20_000
-#: Pairs of minimum hashes by which copies in the sample are found, and minimum hashes of a signature that agree in copies (three quarters).
-FAMILIES, ALIKE = 6, 18
+#: Pairs of minimum hashes by which copies and texts with long common passages are found in the sample, and minimum hashes of a signature of which so many agree (a third).
+FAMILIES, ALIKE = 12, 8
 #: Stems are so many characters long; a term needs so many toxic documents, and a rate among them so many times that of clean ones.
 STEM_LENGTHS, LEAST_DOCS, LEAST_RATIO = (4, 5, 6, 7), 4, 5.0
 #: A term's log-likelihood ratio must pass 2 ln(terms tested) and this.
@@ -189,8 +189,8 @@ def weighed(sample: DataFrame) -> DataFrame:
     """sample with weight: every text of a family of copies counts one over the family's size, so ten copies are not ten documents' evidence.
 
     A text is held against the first (by MD5) of those that share two minimum hashes of their shingles with it, under FAMILIES pairs
-    of hashes one after the other, and is its copy where ALIKE of the 24 minimum hashes of a signature agree. No row is left out. Texts
-    themselves are not shuffled: digests, signatures and weights of the bounded sample are small.
+    of hashes, and belongs to the first of those firsts with which it shares ALIKE of the 24 minimum hashes of a signature. No row is
+    left out. Texts themselves are not shuffled: digests, signatures and weights of the bounded sample are small.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +211,8 @@ def weighed(sample: DataFrame) -> DataFrame:
     keyed = rows.select("own", "sig", pairs.alias("k")).select("own", "sig", "k.*")
     first = keyed.groupBy("i", "x", "y").agg(F.min_by(F.struct("own", "sig"), "own").alias("first"))
     agree = F.aggregate(F.zip_with("sig", "first.sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v)
-    alike = keyed.join(first, ["i", "x", "y"]).where(agree >= ALIKE).groupBy("own").agg(F.min_by("first.own", "i").alias("family"))
-    rows = rows.select("own", "copies").join(alike, "own", "left").withColumn("family", F.coalesce("family", "own"))
+    alike = keyed.join(first, ["i", "x", "y"]).where(agree >= ALIKE).groupBy("own").agg(F.min("first.own").alias("family"))
+    rows = rows.select("own", "copies").join(alike, "own")  # a text without an earlier one is the first of its own family
     sizes = rows.groupBy("family").agg(F.sum("copies").alias("size"))
     weights = rows.join(sizes, "family").select("own", (1 / F.col("size")).alias("weight"))
     # as many rows as the sample has texts, which is bounded
