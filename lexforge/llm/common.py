@@ -98,3 +98,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         seen = mark
     low = now.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(low, nodes["id"] == low["u"], "left").select("id", F.coalesce("m", "id").alias("component"))
+
+
+#: CTE of DuckDB: the 256 steps of CRC-32 as a list, by its polynomial.
+CRC32_SQL = """crc_steps AS (SELECT list(c ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i, [CAST(b AS BIGINT) FOR b IN range(8)]), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+  FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc32_sql(h: str) -> str:
+    """DuckDB: the CRC-32 of bytes given as hex digits, beside a table crc_steps."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, [CAST('0x' || substr({h}, 2 * i + 1, 2) AS BIGINT) FOR i IN range(len({h}) // 2)]),
+    lambda c, b: xor(tab[xor(c, b) % 256 + 1], c // 256)))"""

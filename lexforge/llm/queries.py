@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexforge.llm import bpe, hmm, hnsw, media, mixing, neardup, suffixes, toxicity, urls, warc
+from lexforge.llm import bpe, chat, hmm, hnsw, media, mixing, neardup, repair, resampling, suffixes, toxicity, urls, warc
 
 QUERIES = {
     "op1_hmm": hmm.op1_hmm,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_media": media.op9_media,
     "op10_url_filter": urls.op10_url_filter,
+    "op11_chat": chat.op11_chat,
+    "op12_repair": repair.op12_repair,
+    "op13_resample": resampling.op13_resample,
 }
 #: Ops 1, 3, 4, 5, 7, 8 and 9 can't be said in SQL; tests hold them against brute force.
 SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op6_warc": warc.OP6_SQL,
     "op10_url_filter": urls.OP10_SQL,
+    "op11_chat": chat.OP11_SQL,
+    "op12_repair": repair.OP12_SQL,
+    "op13_resample": resampling.OP13_SQL,
 }
