@@ -92,7 +92,7 @@ def may_be_similar(n_a: str, map_a: str, n_b: str, map_b: str) -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit digest of the set, null if empty), sig array<int>, bits array<long>, for each row."""
+    """doc_id, n_shingles, set_key (128-bit digest of the set, null if empty), sig array<int>, bits array<long>, text_key (64 bits of the text), for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -109,11 +109,17 @@ def signatures(docs: DataFrame) -> DataFrame:
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets], pa.string()),
                         pa.array([next(sig) if len(s) else None for s in sets], pa.list_(pa.int32())),
                         pa.array([bitmap(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                        part.column(2),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "sig", "bits"],
+                    ["doc_id", "n_shingles", "set_key", "sig", "bits", "text_key"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key string, sig array<int>, bits array<long>")
+    return docs.select("doc_id", "text", text_key()).mapInArrow(run, "doc_id long, n_shingles long, set_key string, sig array<int>, bits array<long>, text_key long")
+
+
+def text_key() -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64("text").alias("text_key")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -290,8 +296,8 @@ def link(nodes: DataFrame, sets_of) -> DataFrame:
         partners *= 8
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+def near_duplicates(docs: DataFrame, keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row, and with keys text_key.
 
     Texts with equal sets are one node, so exact copies never make pairs. component_id is the smallest
     doc_id reachable over links of similarity 0.75 or more, each confirmed on the full sets.
@@ -310,14 +316,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     where = nodes.join(parts, nodes["node"] == parts["id"], "left").select("set_key", F.coalesce("component", "node").alias("part"))
     out = rows.join(where, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("part", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), *(["text_key"] if keys else []))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates: the one with the smallest doc_id (all its rows, if they repeat)."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs with one document of each group of near duplicates: the one with the smallest doc_id.
+
+    A document is a doc_id and a text, so of rows that share a doc_id only those go whose own text has a smaller double. Rows that
+    repeat both are one document, and all stay or all go. Null doc_ids stay, and so do texts without words; null texts are of that kind.
+    Columns and rows are otherwise as they were, whatever the columns are called. An empty table gives an empty result.
+    """
+    gone = near_duplicates(docs, keys=True).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"]), "left_anti")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

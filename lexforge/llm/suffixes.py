@@ -14,6 +14,8 @@ equality to a depth of LENGTH is asked for, not order:
 
 Names of a group and of its member make 128 bits together.
 
+The same parse runs over words in place of bytes (word_repeats): a word's value is the name of its bytes, strings are so many words.
+
 Beside the strings of LENGTH bytes, passages can be looked for in the same parse: strings of a shorter length, of whose
 cover only spans of more than so many words count. Its runs share the triggers and differ in names and a mark.
 """
@@ -21,6 +23,7 @@ cover only spans of more than so many words count. Its runs share the triggers a
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +47,12 @@ PASSAGE_WORDS, PASSAGE_BYTES = 50, 256
 #: A packed run: first start from bit FIRST, the mark of the passages' strings, eight bits to the trigger and eight to the last start.
 FIRST, SHORT = 17, 1 << 16
 
+#: The same of words: they reach less far, since a string has fewer of them.
+WORD_REACH, WORD_GRAM, WORD_DEPTH = 40, 2, 12
+
+_INK = np.ones(256, bool)
+_INK[[9, 10, 11, 12, 13, 32]] = False
+_GAP = re.compile(rb"[\x09-\x0D\x20]")
 _TABLE = np.random.default_rng(4).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -59,12 +68,13 @@ class Rolling:
 
     _up, _down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
+    def __init__(self, values: np.ndarray):
+        """values: one odd number for each sign."""
+        n = len(values)
         if len(Rolling._up) <= n:
             Rolling._up, Rolling._down = _powers(_BASE, 2 * n + 2), _powers(pow(_BASE, -1, 1 << 64), 2 * n + 2)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[data] * Rolling._up[:n], out=self.sums[1:])
+        np.cumsum(values * Rolling._up[:n], out=self.sums[1:])
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x = (self.sums[b] - self.sums[a]) * Rolling._down[a]
@@ -72,14 +82,58 @@ class Rolling:
         return x ^ (x >> np.uint64(27))
 
 
-def parse(data: bytes, *lengths: int) -> Iterator[tuple[np.ndarray, ...]]:
+class Bytes:
+    """Texts as strings of bytes."""
+
+    reach, gram, depth = REACH, GRAM, DEPTH
+
+    def __init__(self, data: bytes):
+        self.data, self.values = data, _TABLE[np.frombuffer(data, np.uint8)]
+
+    def part(self, a: int, b: int) -> bytes:
+        return self.data[a:b]
+
+    def spans(self, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return found
+
+
+class Words:
+    """Texts as strings of words, which white space parts; a span of words goes from its first byte to its last."""
+
+    reach, gram, depth = WORD_REACH, WORD_GRAM, WORD_DEPTH
+
+    def __init__(self, data: bytes):
+        self.data, parts, at = data, [], 0
+        while at < len(data):  # so long a piece that it ends between words
+            end = len(data)
+            if at + PIECE < end and (gap := _GAP.search(data, at + PIECE)):
+                end = gap.start()
+            parts.append((at, *self._cut(np.frombuffer(data, np.uint8, end - at, at))))
+            at = end
+        some = lambda k, kind: np.concatenate([p[k] if k == 3 else p[k] + p[0] for p in parts]) if parts else np.zeros(0, kind)
+        self.starts, self.ends, self.values = some(1, np.int64), some(2, np.int64), some(3, np.uint64)
+
+    @staticmethod
+    def _cut(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        edges = np.diff(np.concatenate([[0], _INK[piece].view(np.int8), [0]]))
+        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        return starts, ends, Rolling(_TABLE[piece])(starts, ends) | np.uint64(1)
+
+    def part(self, a: int, b: int) -> bytes:
+        return self.data[int(self.starts[a]) : int(self.ends[b - 1])]
+
+    def spans(self, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return [(int(self.starts[a]), int(self.ends[b - 1])) for a, b in found]
+
+
+def parse(text: Bytes | Words, *lengths: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of a text for strings of each length, piece by piece: (place of the length, group name, own name, first start, trigger, last start)."""
-    whole, longest, reach = np.frombuffer(data, np.uint8), max(lengths), min(REACH, min(lengths) - DEPTH + 1)
+    whole, longest, reach, gram = text.values, max(lengths), min(text.reach, min(lengths) - text.depth + 1), text.gram
     for begin in range(0, len(whole) - min(lengths) + 1, PIECE):
         part = whole[begin : begin + PIECE + longest - 1]
         name = Rolling(part)
-        at = np.arange(len(part) - GRAM + 1)
-        low = (name(at, at + GRAM) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+        at = np.arange(len(part) - gram + 1)
+        low = (name(at, at + gram) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
         width = 1
         while width < reach:
             step = min(width, reach - width)
@@ -112,17 +166,17 @@ def combined(k: np.ndarray, own: np.ndarray, key: np.ndarray, run: np.ndarray) -
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (k, own, key, run, weight)], ["k", "own", "key", "run", "weight"])
 
 
-def runs(docs: DataFrame, *lengths: int) -> DataFrame:
+def runs(docs: DataFrame, *lengths: int, units: type = Bytes) -> DataFrame:
     """(k, own, key, run, weight) of all texts; key names the row (doc_id and text), run packs first start, the mark of a second length, trigger and last start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = (text.as_py() or "").encode()
-                if len(data) < min(lengths):
+                own_text = units((text.as_py() or "").encode())
+                if len(own_text.values) < min(lengths):
                     continue
-                for which, g, own, a, t, b in parse(data, *lengths):
+                for which, g, own, a, t, b in parse(own_text, *lengths):
                     found.append((g, own, np.full(len(g), key, np.int64), (a << FIRST) | (which * SHORT) | ((t - a) << 8) | (b - a)))
                     size += len(g)
                 if size >= COMBINED:
@@ -185,7 +239,7 @@ def over(data: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[in
     return [(a, b) for a, b in spans if len(data[a:b].split()) > words] if words else spans
 
 
-def compare(open_rows: DataFrame, lengths: tuple[int, ...], group_runs: int = GROUP_RUNS) -> DataFrame:
+def compare(open_rows: DataFrame, lengths: tuple[int, ...], units: type = Bytes, group_runs: int = GROUP_RUNS) -> DataFrame:
     """(key, run): string starts of open runs that are repeated, packed as runs, by comparing the strings of a group."""
     longer, shorter = lengths[0], lengths[-1]
 
@@ -193,10 +247,10 @@ def compare(open_rows: DataFrame, lengths: tuple[int, ...], group_runs: int = GR
         for batch in batches:
             out = []
             for key, text, sent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data = text.encode()
+                own = units(text.encode())
                 for s in sent:
                     a, n, mark = s["run"] >> FIRST, s["run"] & 255, s["run"] & SHORT
-                    out.append((s["k"], key, (a << FIRST) | mark, n, s["alone"], data[a : a + n + (shorter if mark else longer)]))
+                    out.append((s["k"], key, (a << FIRST) | mark, n, s["alone"], own.part(a, a + n + (shorter if mark else longer))))
             for a in range(0, len(out), 4096):
                 cols = list(zip(*out[a : a + 4096], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["k", "key", "first", "n", "alone", "bytes"])
@@ -204,12 +258,13 @@ def compare(open_rows: DataFrame, lengths: tuple[int, ...], group_runs: int = GR
     def names(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Name, row and offset of every string of the rows."""
         sizes = np.array([r[3] + 1 for r in rows])
-        at = np.cumsum([0] + [len(r[5]) for r in rows])[:-1]
-        name = Rolling(np.frombuffer(b"".join(r[5] for r in rows), np.uint8))
+        values = [units(r[5]).values for r in rows]
+        at = np.cumsum([0] + [len(v) for v in values])[:-1]
+        name = Rolling(np.concatenate(values))
         row = np.repeat(np.arange(len(rows)), sizes)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         start = at[row] + offset
-        length = np.array([len(r[5]) - r[3] for r in rows])
+        length = np.array([len(v) - r[3] for v, r in zip(values, rows, strict=True)])
         return name(start, start + length[row]), row, offset
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -278,12 +333,12 @@ def compare(open_rows: DataFrame, lengths: tuple[int, ...], group_runs: int = GR
     return found.where("k is null").select("key", "run").union(wide.where("alone").join(twice, ["k", "name"], "left_semi").select("key", "run"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, over_words: int = 0, passages: tuple[int, int] | None = None) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, passages: tuple[int, int] | None = None, units: type = Bytes) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256, and kept (what is left, as bytes) unless texts is False.
 
     A byte goes if a string of length bytes covers it that also starts anywhere else: in another text, or
     elsewhere in the same one; overlaps count. Strings are judged on the input, and never cross texts.
-    Of what these strings cover, a span goes only if it has more than over_words words; a word cut by its ends counts.
+    With units=Words, length counts words, and what goes are whole words and the white space between them.
     With passages (bytes, words), n_passages and n_passage_bytes tell of the repeated passages of more words than that,
     found as strings of so many bytes; they remove nothing.
     Nulls: a null text is an empty one; a null doc_id is a value like any other. Rows that repeat doc_id
@@ -298,7 +353,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, over_word
     cols = docs.columns
     keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
     group, kind = Window.partitionBy("k"), Window.partitionBy("k", "own")
-    r = runs(keyed, *lengths)
+    r = runs(keyed, *lengths, units=units)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = r.repartition(n, "k").withColumn("in_group", F.sum("weight").over(group)).where("in_group > 1 or weight = 0")
     r = r.withColumn("alike", F.sum("weight").over(kind)).withColumn("nth", F.row_number().over(kind.orderBy("key", "run")))
@@ -312,17 +367,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, over_word
     text_at = 1 + cols.index("text")
     schema = keyed.select("_key", *cols).schema
     kinds = "array<struct<k:bigint,run:bigint,alone:boolean>>"
-    finish = {"schema": schema, "cols": cols, "text_at": text_at, "length": length, "texts": texts, "over_words": over_words, "passages": passages}
+    finish = {"schema": schema, "cols": cols, "text_at": text_at, "length": length, "texts": texts, "passages": passages, "units": units}
     first_pass = materialize(_finish(joined.select("_key", *cols, "_whole", "_sent"), more=f", _sent {kinds}, _whole array<bigint>", **finish), "suffix-pass")
     open_rows = first_pass.where(F.size("_sent") > 0)
-    found = compare(open_rows, lengths).groupBy("key").agg(F.collect_list("run").alias("_more"))
+    found = compare(open_rows, lengths, units).groupBy("key").agg(F.collect_list("run").alias("_more"))
     again = open_rows.join(found.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_whole", F.concat(F.coalesce("_whole", F.array()), F.coalesce("_more", F.array())))
     second = _finish(again.select("_key", *cols, "_whole", F.lit(None).cast(kinds).alias("_sent")), more="", **finish)
     out = [*[c for c in cols if c != "text" or texts], *[x for x, _ in DIGEST + more], *(["kept"] if texts else [])]
     return first_pass.where(F.size("_sent") == 0).select(*out).union(second.select(*out))
 
 
-def _finish(rows: DataFrame, schema, cols: list[str], text_at: int, length: int, texts: bool, over_words: int, passages: tuple[int, int] | None, more: str) -> DataFrame:
+def _finish(rows: DataFrame, schema, cols: list[str], text_at: int, length: int, texts: bool, passages: tuple[int, int] | None, units: type, more: str) -> DataFrame:
     """Apply the runs known so far. With more, rows that have runs to compare keep text and runs for the next pass."""
     results = DIGEST + (PASSAGES if passages else [])
 
@@ -333,7 +388,7 @@ def _finish(rows: DataFrame, schema, cols: list[str], text_at: int, length: int,
                 out, kept, sent, whole, text = [], [], [], [], []
                 for t, w, s in zip(batch.column(text_at).to_pylist(), batch.column(len(cols) + 1).to_pylist(), batch.column(len(cols) + 2).to_pylist(), strict=True):
                     data, later = t.encode(), bool(more and s)
-                    spans = [] if later or not w else over(data, spans_of(w, length), over_words)
+                    spans = [] if later or not w else units(data).spans(spans_of(w, length))
                     told = ()
                     if passages and not later:
                         long = over(data, spans_of(w, passages[0], True), passages[1]) if w else []
@@ -357,6 +412,27 @@ def _finish(rows: DataFrame, schema, cols: list[str], text_at: int, length: int,
     return rows.mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL(extra).fields]))
 
 
+def word_repeats(docs: DataFrame, words: int = PASSAGE_WORDS + 1) -> DataFrame:
+    """docs without their repeated passages: every word that a string of so many words covers which also starts anywhere else, in any document, is cut.
+
+    Words are what white space parts, compared as they are written; white space between words may differ. What is cut goes from the first
+    byte of a passage to its last. All rows and columns stay, whatever the columns are called; n_chars, where there is one, is the new
+    length. Nulls, repeated rows, short texts and empty tables as in repeats(): a null text becomes an empty one; any other that loses nothing stays as it is.
+    """
+    apart = {c: f"in_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    cut = repeats(docs.withColumnsRenamed(apart), words, units=Words)
+    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
+    kinds, back = dict(docs.dtypes), []
+    for c in docs.columns:
+        if c == "text":
+            back.append(text.alias("text"))
+        elif c == "n_chars":
+            back.append(F.when(F.col("n_removed") > 0, F.char_length(text).cast(kinds[c])).otherwise(F.col(apart[c])).alias(c))
+        else:
+            back.append(F.col(apart.get(c, c)).alias(c))
+    return cut.select(*back)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return repeats(docs, texts=False, passages=(PASSAGE_BYTES, PASSAGE_WORDS))

@@ -15,19 +15,73 @@ def words(n, seed):
     return ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n)]
 
 
-def test_passages_over_50_words_are_cut(spark):
-    short, long = " ".join(words(51, 1)), " ".join(words(50, 2))
-    assert len(short.encode()) < 400
-    own = [" ".join(words(80, 10 + i)) for i in range(7)]
-    texts = [f"{own[0]} 1 {short} 2 {own[1]}", f"{own[2]} 3 {short}", f"{own[3]} | {long} | {own[4]}", f"{own[5]} < {long} > {own[6]}", " ".join(words(300, 30)), None, ""]
-    docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+def brute_cut(texts, words_of=corpus_pipeline.REPEAT_WORDS + 1):
+    """texts without the words that a repeated string of so many words covers, word by word."""
+    found = [list(re.finditer(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    strings = [[tuple(m[0] for m in f[i : i + words_of]) for i in range(len(f) - words_of + 1)] for f in found]
+    seen, out = collections.Counter(x for s in strings for x in s), []
+    for t, f, s in zip(texts, found, strings, strict=True):
+        gone = sorted({j for i, x in enumerate(s) if seen[x] > 1 for j in range(i, i + words_of)})
+        spans, t = [], t or ""
+        for j in gone:
+            if spans and spans[-1][1] == j - 1:
+                spans[-1][1] = j
+            else:
+                spans.append([j, j])
+        for a, b in reversed(spans):
+            t = t[: f[a].start()] + t[f[b].end() :]
+        out.append(t)
+    return out
+
+
+def cut(spark, texts):
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t), "x", 7) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, kept string, n_bytes int")
     got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
-    assert len(got) == len(texts)
-    # the planted passage of 51 words is gone, with the space that both copies have before it
-    assert [" ".join(got[0].text.split()), got[1].text.strip()] == [f"{own[0]} 1 2 {own[1]}", f"{own[2]} 3"]
-    assert got[0].n_chars == len(got[0].text)
-    # 50 words stay, and clean texts
-    assert [got[i].text for i in (2, 3, 4)] == texts[2:5] and [got[i].text or "" for i in (5, 6)] == ["", ""]
+    assert got[0].asDict().keys() == {"doc_id", "text", "n_chars", "kept", "n_bytes"} and {(r.kept, r.n_bytes) for r in got.values()} == {("x", 7)}
+    assert all(r.n_chars == len(r.text) for r in got.values() if r.text)
+    return [got[i].text for i in range(len(texts))]
+
+
+def test_passages_over_50_words_are_cut(spark):
+    short, long, letters = " ".join(words(51, 1)), " ".join(words(50, 2)), " ".join("abcdefg"[i % 7] for i in range(70))
+    two = [" ".join(words(40, 3)), " ".join(words(40, 4))]
+    own = [" ".join(words(80, 10 + i)) for i in range(12)]
+    texts = [
+        f"{own[0]} 1 {short} 2 {own[1]}", f"{own[2]} 3\n{short.replace(' ', '  ')}", f"{own[3]} | {long} | {own[4]}", f"{own[5]} < {long} > {own[6]}", " ".join(words(300, 30)), None, "",
+        f"{own[7]} {two[0]} {two[1]}", f"{own[8]} {two[0]} x", f"{own[9]} {two[1]} y", f"{letters} {own[10]}", f"{own[11]} {letters}",
+    ]
+    got = cut(spark, texts)
+    assert got == brute_cut(texts)
+    # the passage of 51 words is gone, whatever white space is in it, and so are 70 words of one letter
+    assert [got[0], got[1]] == [f"{own[0]} 1  2 {own[1]}", f"{own[2]} 3\n"] and [got[10], got[11]] == [f" {own[10]}", f"{own[11]} "]
+    # 50 words stay, two passages of 40 words side by side too, and clean texts
+    assert got[2:5] == texts[2:5] and got[7:10] == texts[7:10]
+
+
+def test_random_texts_are_cut_like_brute_force(spark):
+    r, vocabulary = random.Random(5), [*"abcd", "ü", "wörter", "some", "z" * 300]
+    pool = [[r.choice(vocabulary) for _ in range(r.choice([30, 51, 52, 120, 400]))] for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        parts = [r.choice(pool)[r.randint(0, 9) :] if r.random() < 0.4 else words(r.randint(1, 60), r.random()) for _ in range(r.randint(1, 5))]
+        texts.append(r.choice(["", " ", "\n\n"]) + r.choice([" ", "\t", " \r\n"]).join(w for p in parts for w in p) + r.choice(["", " "]))
+    texts += [texts[0], " ".join("ab" * 3000)]
+    got = cut(spark, texts)
+    assert got == brute_cut(texts) and sum(map(len, got)) < sum(map(len, texts))
+
+
+def test_near_duplicates_are_told_apart_by_text(spark):
+    a, b, c = (" ".join(words(40, k)) for k in (60, 61, 62))
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (9, f"{b} more", 4), (None, a, 5), (11, None, 6), (11, "", 7), (12, c, 8), (12, c, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key int")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.text_key for r in got.collect()) == [1, 3, 5, 6, 7, 8, 9]
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def brute_mix(ids, period=1000, block=8):
@@ -55,23 +109,6 @@ def brute_mix(ids, period=1000, block=8):
     return out
 
 
-def brute_cut(texts):
-    """texts by doc_id without their spans of repeated strings that have more than 50 words; signs of one byte only."""
-    size = corpus_pipeline.REPEAT_BYTES
-    seen = collections.Counter(t[i : i + size] for t in texts.values() for i in range(len(t) - size + 1))
-    out = {}
-    for k, t in texts.items():
-        mark = bytearray(len(t))
-        for i in range(len(t) - size + 1):
-            if seen[t[i : i + size]] > 1:
-                mark[i : i + size] = b"\1" * size
-        spans = [m.span() for m in re.finditer(b"\1+", bytes(mark)) if len(t[m.start() : m.end()].split()) > corpus_pipeline.REPEAT_WORDS]
-        for a, b in reversed(spans):
-            t = t[:a] + t[b:]
-        out[k] = t
-    return out
-
-
 def test_run_like_brute_force(spark, tmp_path):
     r, vocabulary = random.Random(7), words(300, 4)
     passage = " ".join(words(55, 5))
@@ -88,7 +125,7 @@ def test_run_like_brute_force(spark, tmp_path):
     spark.createDataFrame([(*x, len(x[1])) for x in rows], "doc_id long, text string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(x[0], int("numbskull" in x[1])) for x in rows], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
     kept = [x for x in rows if "numbskull" not in x[1] and x[0] < 500]
-    texts, places = brute_cut({x[0]: x[1] for x in kept}), brute_mix([(x[0], x[2]) for x in kept])
+    texts, places = dict(zip([x[0] for x in kept], brute_cut([x[1] for x in kept]), strict=True)), brute_mix([(x[0], x[2]) for x in kept])
     assert sum(len(t) for t in texts.values()) < sum(len(x[1]) for x in kept)
     codec = bpe.codec(bpe.vocabulary_bytes())
     want = {}
