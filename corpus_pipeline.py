@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexforge.llm import bpe, mixing, neardup, suffixes, toxicity
 from lexforge.llm.common import materialize
 
-#: A repeated passage goes if it has more words than this. Its strings are compared by REPEAT_BYTES, half of what 51 words usually take.
-REPEAT_WORDS, REPEAT_BYTES = 50, 160
+#: A repeated passage goes if it has more words than this.
+REPEAT_WORDS = 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +23,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages of more than REPEAT_WORDS words, in whole characters; n_chars is the new length. Every document stays, an empty one too."""
-    cut = suffixes.repeats(docs, REPEAT_BYTES, over_words=REPEAT_WORDS)
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
-    cut = cut.withColumn("text", text)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Texts without their repeated passages of more than REPEAT_WORDS words; n_chars is the new length. Every document stays, an empty one too."""
+    return suffixes.word_repeats(docs, REPEAT_WORDS + 1)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
