@@ -41,6 +41,8 @@ REACH, GRAM, DEPTH = 224, 8, 33
 PIECE = 1 << 20
 #: Runs a task combines before it hands them on, so that a kind of run comes once from so many; runs of a group that a task compares in memory.
 COMBINED, GROUP_RUNS = 1 << 17, 8_000
+#: Strings of a piece that larger groups are cut by, round by round.
+STEPS = (16, 1)
 BATCH = 128
 #: A repeated passage has more words than this, and its strings are so long: 51 words take more bytes in 98 of 100 cases.
 PASSAGE_WORDS, PASSAGE_BYTES = 50, 256
@@ -239,9 +241,14 @@ def over(data: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[in
     return [(a, b) for a, b in spans if len(data[a:b].split()) > words] if words else spans
 
 
-def compare(open_rows: DataFrame, lengths: tuple[int, ...], units: type = Bytes, group_runs: int = GROUP_RUNS) -> DataFrame:
-    """(key, run): string starts of open runs that are repeated, packed as runs, by comparing the strings of a group."""
-    longer, shorter = lengths[0], lengths[-1]
+def compare(open_rows: DataFrame, lengths: tuple[int, ...], units: type = Bytes, group_runs: int = GROUP_RUNS, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """(key, run): string starts of open runs that are repeated, packed as runs, by comparing the strings of a group.
+
+    A group too large for a task is cut into smaller ones: its runs into pieces of steps[0] strings that lie alike about the trigger,
+    named by what all strings of a piece share. Pieces whose name is their own alone end there, the others are compared again; with a step of 1 a name
+    is a string.
+    """
+    longer, shorter, step = lengths[0], lengths[-1], steps[0]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,28 +256,38 @@ def compare(open_rows: DataFrame, lengths: tuple[int, ...], units: type = Bytes,
             for key, text, sent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = units(text.encode())
                 for s in sent:
-                    a, n, mark = s["run"] >> FIRST, s["run"] & 255, s["run"] & SHORT
-                    out.append((s["k"], key, (a << FIRST) | mark, n, s["alone"], own.part(a, a + n + (shorter if mark else longer))))
+                    a, n, mark = s["run"] >> FIRST, s["run"] & 255, s["run"] & (SHORT | 255 << 8)
+                    out.append((s["k"], key, (a << FIRST) | mark, n, s["alone"], own.part(a, a + n + (shorter if mark & SHORT else longer))))
             for a in range(0, len(out), 4096):
                 cols = list(zip(*out[a : a + 4096], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["k", "key", "first", "n", "alone", "bytes"])
 
-    def names(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Name, row and offset of every string of the rows."""
-        sizes = np.array([r[3] + 1 for r in rows])
+    def names(rows: list[tuple], step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Name, row, offset and size of every piece: the strings of a run whose distances to the trigger are alike but for the last step.
+
+        What all strings of such distances share lies in each of them, so a piece at a run's end has the same name as a whole one.
+        """
         values = [units(r[5]).values for r in rows]
         at = np.cumsum([0] + [len(v) for v in values])[:-1]
-        name = Rolling(np.concatenate(values))
-        row = np.repeat(np.arange(len(rows)), sizes)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        last, trigger = np.array([r[3] for r in rows]), np.array([(r[2] >> 8) & 255 for r in rows])
+        length = np.array([len(v) for v in values]) - last
+        row = np.repeat(np.arange(len(rows)), last + 1)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(last + 1) - last - 1, last + 1)
         start = at[row] + offset
-        length = np.array([len(v) - r[3] for v, r in zip(values, rows, strict=True)])
-        return name(start, start + length[row]), row, offset
+        if step > 1:
+            distance = trigger[row] - offset
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (distance[1:] // step != distance[:-1] // step)))
+            size = np.diff(np.append(first, len(row)))
+            row, offset = row[first], offset[first]
+            start = at[row] + trigger[row] - distance[first] // step * step
+        else:
+            size = np.ones(len(row), np.int64)
+        return Rolling(np.concatenate(values))(start, start + length[row] - step + 1), row, offset, size
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Rows of one or more whole groups."""
         group = np.array([r[0] for r in rows], np.int64)
-        name, row, offset = names(rows)
+        name, row, offset, _ = names(rows)
         order = np.lexsort((name, group[row]))
         g, h = group[row][order], name[order]
         same = (g[1:] == g[:-1]) & (h[1:] == h[:-1])
@@ -284,7 +301,7 @@ def compare(open_rows: DataFrame, lengths: tuple[int, ...], units: type = Bytes,
             r, s = row[hit], offset[hit]
             begin = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)))
             end = np.append(begin[1:] - 1, len(r) - 1)
-            first = np.array([x[2] for x in rows])[r[begin]]
+            first = np.array([x[2] for x in rows])[r[begin]] & ~(255 << 8)
             keys = np.array([x[1] for x in rows])[r[begin]]
             none = pa.nulls(len(begin), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(first + (s[begin] << FIRST) + s[end] - s[begin]), none, none, pa.nulls(len(begin), pa.bool_())], out_names)
@@ -292,7 +309,7 @@ def compare(open_rows: DataFrame, lengths: tuple[int, ...], units: type = Bytes,
     out_names = ["key", "run", "k", "name", "alone"]
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group. A group that outgrows the buffer is handed on string by string."""
+        """Rows come sorted by group. A group that outgrows the buffer is handed on in pieces."""
         held: list[tuple] = []
         wide = None
         for batch in batches:
@@ -320,17 +337,22 @@ def compare(open_rows: DataFrame, lengths: tuple[int, ...], units: type = Bytes,
     def spread(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(rows), 4096):
             part = rows[a : a + 4096]
-            name, row, offset = names(part)
-            at = np.array([x[2] for x in part])[row] + (offset << FIRST)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([x[1] for x in part])[row]), pa.array(at), pa.array(np.array([x[0] for x in part], np.int64)[row]), pa.array(name.view(np.int64)), pa.array(np.array([x[4] for x in part])[row])], out_names)
+            name, row, offset, size = names(part, step)
+            run = np.array([x[2] for x in part])[row] + (offset << FIRST) - (offset << 8) + size - 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([x[1] for x in part])[row]), pa.array(run), pa.array(np.array([x[0] for x in part], np.int64)[row]), pa.array(name.view(np.int64)), pa.array(np.array([x[4] for x in part])[row])], out_names)
 
     sent = open_rows.select("_key", "text", "_sent").mapInArrow(contexts, "k long, key long, first long, n int, alone boolean, bytes binary")
     n = int(open_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = sent.repartition(n, "k").sortWithinPartitions("k").mapInArrow(within, "key long, run long, k long, name long, alone boolean")
     found = materialize(found, "suffix-found")
-    wide = found.where("k is not null")
+    done, wide = found.where("k is null").select("key", "run"), found.where("k is not null")
     twice = wide.groupBy("k", "name").agg(F.count("*").alias("n")).where("n > 1").select("k", "name")
-    return found.where("k is null").select("key", "run").union(wide.where("alone").join(twice, ["k", "name"], "left_semi").select("key", "run"))
+    wide = wide.join(twice, ["k", "name"], "left_semi")
+    if step == 1:
+        return done.union(wide.where("alone").select("key", "run"))
+    sent = wide.groupBy("key").agg(F.collect_list(F.struct(F.xxhash64("k", "name").alias("k"), "run", "alone")).alias("_sent"))
+    sent = materialize(open_rows.select("_key", "text").join(sent.withColumnRenamed("key", "_key"), "_key"), "suffix-wide")
+    return done if sent.isEmpty() else done.union(compare(sent, lengths, units, group_runs, steps[1:]))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True, passages: tuple[int, int] | None = None, units: type = Bytes) -> DataFrame:

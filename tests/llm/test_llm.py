@@ -237,7 +237,7 @@ def brute_repeats(texts, length):
 
 @pytest.mark.parametrize("group_runs", [3, 20_000])
 def test_repeats_are_those_of_brute_force(spark, monkeypatch, group_runs):
-    monkeypatch.setattr(suffixes.compare, "__defaults__", (group_runs,))
+    monkeypatch.setattr(suffixes.compare, "__defaults__", (suffixes.Bytes, group_runs, suffixes.STEPS))
     w = words(400, 1)
     shared, tail = " ".join(w[:120]), " ".join(w[200:300])
     texts = [shared + " x " + " ".join(words(150, 2)), "é" + " ".join(words(90, 3)) + " " + shared[7:], "ab" * 500, "zz" + "ab" * 230, tail + shared[:430] + tail, shared[:410] + "q" + tail, shared[:410] + "r" + tail[1:], "", None, "short", "dup " * 120, "dup " * 120]

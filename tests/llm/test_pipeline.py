@@ -7,7 +7,7 @@ import random
 import re
 
 import corpus_pipeline
-from lexforge.llm import bpe
+from lexforge.llm import bpe, suffixes
 
 
 def words(n, seed):
@@ -135,3 +135,13 @@ def test_run_like_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, path)
     assert got.columns == ["doc_id", "mix_slot", "mix_place", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert {x[0]: tuple(x)[1:] for x in got.collect()} == want
+
+
+def test_large_groups_are_cut_in_pieces(spark, monkeypatch):
+    r, vocabulary = random.Random(9), list("abcdefgh")
+    passage = [r.choice(vocabulary) for _ in range(140)]
+    texts = [" ".join([*words(8, i), *passage[r.randint(0, 60) : r.randint(80, 140)], *words(8, 500 + i)]) for i in range(80)]
+    monkeypatch.setattr(suffixes.compare, "__defaults__", (suffixes.Bytes, 2, (4, 1)))
+    assert cut(spark, texts) == brute_cut(texts)
+    monkeypatch.setattr(suffixes.compare, "__defaults__", (suffixes.Bytes, 2, (16, 4, 1)))
+    assert cut(spark, texts) == brute_cut(texts)
