@@ -193,19 +193,37 @@ def allowed_url(urls: DataFrame, domains: DataFrame, url: str = "url") -> DataFr
     return rows.withColumn("allowed", F.coalesce(secure & F.col("_listed"), F.lit(False))).drop("_host", "_listed")
 
 
-def validate(text: Column, n_bytes: Column, pages: Column, code: Column) -> Column:
-    """outcome: the first check that fails, in a fixed order, else ACCEPTED."""
+#: What the first bytes of a file that only stands for a document say, and how such files must begin.
+PLACEHOLDERS = ("git-lfs.github.com", "<html", "<!doctype", "placeholder", "lorem ipsum")
+MAGIC = "%PDF-"
+
+
+def names_regulation(text: Column, code: Column) -> Column:
+    """Whether a text names a regulation, as a word: R94, UN R94, UN_R94, Regulation No. 94; other ids as they are, with or without spaces. No id is always named."""
+    up, rid = F.upper(text), F.upper(F.trim(F.coalesce(code, F.lit(""))))
+    number = F.regexp_extract(rid, r"^(?:UN[ _]?)?R0*(\d+)$", 1)
+    un = F.concat(F.lit(r"\b(?:UN[ _]?)?R[ _]?0*"), number, F.lit(r"\b|\bREGULATION NO\.? ?0*"), number, F.lit(r"\b"))
+    plain = F.concat_ws("|", *[F.concat(F.lit(r"(?<!\w)\Q"), x, F.lit(r"\E(?!\w)")) for x in (rid, F.replace(rid, F.lit(" "), F.lit("")))])
+    return (rid == "") | F.regexp_like(up, F.when(number != "", un).otherwise(plain))
+
+
+def validate(text: Column, n_bytes: Column, pages: Column, code: Column, head: Column | None = None) -> Column:
+    """outcome: the first check that fails, in a fixed order, else ACCEPTED. head: the file's first 512 bytes as text, where they are known."""
     ink = F.char_length(F.regexp_replace(text, r"\s", ""))
-    number = F.regexp_extract(code, r"(\d+)$", 1)
-    names = F.array(F.concat(F.lit("R"), number), F.concat(F.lit("NO. "), number), code)
+    out = F.when(text.isNull(), "REJECTED: unreadable")
+    if head is not None:
+        stands = F.lit(False)
+        for p in PLACEHOLDERS:
+            stands = stands | F.contains(F.lower(head), F.lit(p))
+        out = F.when(~F.coalesce(F.startswith(head, F.lit(MAGIC)), F.lit(False)), "REJECTED: not %PDF-").when(stands, "REJECTED: placeholder")
+        out = out.when(n_bytes < 2048, "REJECTED: too small").when(n_bytes > 80 * 1024 * 1024, "REJECTED: too large").when(text.isNull(), "REJECTED: unreadable")
     return (
-        F.when(text.isNull(), "REJECTED: unreadable")
-        .when(n_bytes < 2048, "REJECTED: too small")
+        out.when(n_bytes < 2048, "REJECTED: too small")
         .when(n_bytes > 80 * 1024 * 1024, "REJECTED: too large")
         .when(pages < 1, "REJECTED: no pages")
-        .when(ink < 50, "NEEDS_OCR: no text")
+        .when(ink < 50, "REJECTED: no text")
         .when(ink / pages < 80, "NEEDS_OCR: thin text")
-        .when(~F.exists(names, lambda p: F.contains(F.upper(text), p)), "REJECTED: regulation not named")
+        .when(~names_regulation(text, code), "REJECTED: regulation not named")
         .otherwise("ACCEPTED")
     )
 

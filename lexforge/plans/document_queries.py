@@ -233,8 +233,8 @@ SELECT page_id, CASE WHEN m.h IS NULL THEN 'NEW' WHEN m.h = p.h THEN 'DUPLICATE'
 WITH p AS (SELECT page_id, strlen(html) AS n, page_id % 8 AS pages, CASE WHEN page_id % 11 <> 0 THEN CASE WHEN page_id % 4 = 1 THEN 'R94 ' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '<[^>]*>|[a-z]', '', 'gs') ELSE html END END AS t FROM pages),
 q AS (SELECT *, length(regexp_replace(t, '\s', '', 'g')) AS ink FROM p)
 SELECT page_id, CASE WHEN t IS NULL THEN 'REJECTED: unreadable' WHEN n < 2048 THEN 'REJECTED: too small' WHEN n > 83886080 THEN 'REJECTED: too large' WHEN pages < 1 THEN 'REJECTED: no pages'
-  WHEN ink < 50 THEN 'NEEDS_OCR: no text' WHEN ink::DOUBLE / pages < 80 THEN 'NEEDS_OCR: thin text'
-  WHEN NOT (contains(upper(t), 'R94') OR contains(upper(t), 'NO. 94') OR contains(upper(t), 'UN_R94')) THEN 'REJECTED: regulation not named' ELSE 'ACCEPTED' END AS outcome FROM q""",
+  WHEN ink < 50 THEN 'REJECTED: no text' WHEN ink::DOUBLE / pages < 80 THEN 'NEEDS_OCR: thin text'
+  WHEN NOT regexp_matches(upper(t), '\b(?:UN[ _]?)?R[ _]?0*94\b|\bREGULATION NO\.? ?0*94\b') THEN 'REJECTED: regulation not named' ELSE 'ACCEPTED' END AS outcome FROM q""",
     "allowlist": """
 WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages)
 SELECT page_id, host, starts_with(url, 'https:') AND (host IN ('example.org', 'example.net') OR ends_with(host, '.example.org') OR ends_with(host, '.example.net')) AS allowed FROM p""",
