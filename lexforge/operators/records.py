@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,39 +17,59 @@ CEILING_BY_DEFAULT = ("hic", "hic36", "thcc")
 
 
 def any_word(text: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
 def criterion_fits(criterion: Column, text: Column) -> Column:
     """Whether a clause speaks of a criterion: by the words of thorax or head, else by its name."""
-    low, name = F.lower(text), F.lower(criterion)
+    return _fits(F.lower(criterion), F.lower(text))
+
+
+def _fits(name: Column, low: Column) -> Column:
     return F.when(name == "thcc", any_word(low, THORAX_WORDS)).when(name.isin("hic", "hic36"), any_word(low, HEAD_WORDS)).otherwise(F.contains(low, name))
 
 
+KIND = "struct<value:double,direction:string,unit:string>"
+
+
+def _near(low: Column, hit: Column, at: Column) -> Column:
+    """What stands within AROUND characters of a hit on either side."""
+    before = F.substring(low, F.greatest(F.lit(1), at - AROUND), F.least(F.lit(AROUND), at - 1))
+    return F.concat(before, F.lit(" "), F.substring(low, at + F.char_length(hit), F.lit(AROUND)))
+
+
+def _limit(name: Column, low: Column, hit: Column, floor: Column, ceiling: Column) -> Column:
+    def known(value: float, unit: str) -> Column:
+        return F.struct(F.lit(value).alias("value"), F.lit("ceiling").alias("direction"), F.lit(unit).alias("unit")).cast(KIND)
+
+    direction = F.when(floor & ~ceiling, "floor").when(ceiling & ~floor, "ceiling").when(name.isin(*CEILING_BY_DEFAULT), "ceiling")
+    number, unit = F.regexp_extract(hit, LIMIT, 1).cast("double"), F.regexp_extract(hit, LIMIT, 2)
+    given = F.when(direction.isNotNull(), F.struct(number.alias("value"), direction.alias("direction"), unit.alias("unit")).cast(KIND))
+    default = F.when((name == "thcc") & F.contains(low, F.lit("94")), known(42.0, "mm")).when(name.isin("hic", "hic36"), known(1000.0, "none"))
+    return F.when(_fits(name, low), F.when(hit != "", given).otherwise(default))
+
+
 def limit(text: Column, criterion: Column) -> Column:
     """struct(value, direction, unit) of the first number with a unit in a clause that speaks of the criterion, else null.
 
     Words within 60 characters on either side make it a floor or a ceiling; where they make it both or neither, it is a ceiling for head
     and thorax and no limit for others. Without a number thorax clauses that name 94 have 42 mm, and head clauses 1000 without a unit.
+    Over whole tables with_limits() does the same with less work.
     """
-    low, name = F.lower(text), F.lower(criterion)
-    kind = "struct<value:double,direction:string,unit:string>"
+    low = F.lower(text)
+    hit = F.regexp_extract(low, LIMIT, 0)
+    near = _near(low, hit, F.regexp_instr(low, F.lit(LIMIT)))
+    return _limit(F.lower(criterion), low, hit, near.rlike("|".join(FLOOR_WORDS)), near.rlike("|".join(CEILING_WORDS)))
 
-    def known(value: float, unit: str) -> Column:
-        return F.struct(F.lit(value).alias("value"), F.lit("ceiling").alias("direction"), F.lit(unit).alias("unit")).cast(kind)
 
-    def read(p: Column) -> Column:
-        near = F.concat(F.right(p[0], F.lit(AROUND)), F.lit(" "), p[3])
-        floor, ceiling = any_word(near, FLOOR_WORDS), any_word(near, CEILING_WORDS)
-        direction = F.when(floor & ~ceiling, "floor").when(ceiling & ~floor, "ceiling").when(name.isin(*CEILING_BY_DEFAULT), "ceiling")
-        given = F.when(direction.isNotNull(), F.struct(p[1].cast("double").alias("value"), direction.alias("direction"), p[2].alias("unit")).cast(kind))
-        default = F.when((name == "thcc") & F.contains(low, F.lit("94")), known(42.0, "mm")).when(name.isin("hic", "hic36"), known(1000.0, "none"))
-        return F.when(F.size(p) == 4, given).otherwise(default)
-
-    # one pass of the pattern cuts the text into what stands before, number, unit and what follows
-    cut = F.split(F.regexp_replace(low, rf"(?s)^(.*?){LIMIT}(.{{0,{AROUND}}}).*$", "$1\u0001$2\u0001$3\u0001$4"), "\u0001", -1)
-    found = F.get(F.transform(F.array(cut), read), F.lit(0))
-    return F.when(criterion_fits(criterion, text), found)
+def with_limits(rows: DataFrame, text: str, criteria: dict[str, Column]) -> DataFrame:
+    """rows with a column of limit() for each criterion. The text is lowered, searched and cut once for all of them. Names that start with _lim are reserved."""
+    low, hit, near = F.col("_lim_low"), F.col("_lim_hit"), F.col("_lim_near")
+    found = rows.withColumn("_lim_low", F.lower(text)).withColumn("_lim_hit", F.regexp_extract(low, LIMIT, 0)).withColumn("_lim_at", F.when(hit != "", F.regexp_instr(low, F.lit(LIMIT))))
+    found = found.withColumn("_lim_near", _near(low, hit, F.col("_lim_at"))).withColumn("_lim_floor", any_word(near, FLOOR_WORDS)).withColumn("_lim_ceiling", any_word(near, CEILING_WORDS))
+    told = [_limit(F.lower(c), low, hit, F.col("_lim_floor"), F.col("_lim_ceiling")).alias(name) for name, c in criteria.items()]
+    # a generator of one row: filters on the limits stay above it, and are not pushed down with all of this inside them
+    return found.select(*[c for c in rows.columns if c not in criteria], F.inline(F.array(F.struct(*told))))
 
 
 def verdict(value: Column, limit_value: Column, direction: Column) -> Column:
@@ -109,22 +131,44 @@ def settle_records(results: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome)
 
 
+#: Days of a stretch of time that versions are looked up by.
+STRETCH = 32
+
+
+def in_force(rows: DataFrame, versions: DataFrame, code: str, day: str) -> DataFrame:
+    """rows with the version_id that is in force for a code on a day: null before the first version, and where code or day is null.
+
+    versions: version_id, code, effective; each one holds until the next of its code (of equal days the greater version_id). The last one of a code is
+    looked up by code. Those before are listed for every stretch of STRETCH days that they hold in, so a row meets only the versions of
+    its own stretch in an equi-join, and a code that many rows have is many keys.
+    """
+    until = F.lead("effective").over(Window.partitionBy("code").orderBy("effective", "version_id"))
+    spans = versions.where("code IS NOT NULL AND effective IS NOT NULL").withColumn("_until", until)
+    spans = spans.select(F.col("code").alias("_code"), F.col("version_id").alias("_version"), F.col("effective").alias("_from"), "_until")
+
+    def stretch(c: Column) -> Column:
+        return F.floor(F.unix_date(c) / STRETCH).cast("int")
+
+    last = spans.where("_until IS NULL").select(F.col("_code").alias("_open"), F.col("_from").alias("_open_from"), F.col("_version").alias("_open_version"))
+    past = spans.where("_from < _until").withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_from")), stretch(F.date_sub("_until", 1)))))
+    met = rows.withColumn("_at", stretch(F.col(day))).join(last, F.col(code) == F.col("_open"), "left")
+    holds = (F.col(code) == F.col("_code")) & (F.col("_at") == F.col("_stretch")) & (F.col(day) >= F.col("_from")) & (F.col(day) < F.col("_until"))
+    version = F.when(F.col(day) >= F.col("_open_from"), F.col("_open_version")).otherwise(F.col("_version"))
+    return met.join(past, holds, "left").withColumn("version_id", version).drop("_at", "_open", "_open_from", "_open_version", "_code", "_version", "_from", "_until", "_stretch")
+
+
 def link_results(results: DataFrame, versions: DataFrame, clauses: DataFrame) -> DataFrame:
     """Results against the clause in force on the day of their test, with verdict and headroom or the first reason to refuse them.
 
     results: record_id, position, test_date (text), criterion, value, unit, link (CODE#SECTION); versions: version_id, code, effective;
-    clauses: clause_id, version_id, section, text, of which the smallest clause_id of a section counts. A version holds until
-    the next one of its code (of equal days the greater version_id), so a result meets one version and no window goes over results.
+    clauses: clause_id, version_id, section, text, of which the smallest clause_id of a section counts. The version is that of in_force().
     """
     known = versions.groupBy("code").agg(F.min("effective").alias("earliest"), F.max(F.col("effective").isNull()).alias("undated"))
-    until = F.lead("effective").over(Window.partitionBy("code").orderBy("effective", "version_id"))
-    spans = versions.where("effective is not null").withColumn("until", until).select(F.col("code").alias("_code"), "version_id", "effective", "until")
     once = clauses.groupBy("version_id", "section").agg(F.min_by("text", "clause_id").alias("text"))
     day = F.when(F.col("test_date").rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp("test_date", F.lit("yyyy-M-d")).cast("date"))
     rows = results.withColumn("day", day).withColumn("code", F.nullif(F.regexp_extract("link", "^([^#]*)#", 1), F.lit(""))).withColumn("section", F.regexp_extract("link", "(?s)^[^#]*#(.*)$", 1))
     rows = rows.join(known, "code", "left")
-    holds = (F.col("code") == F.col("_code")) & (F.col("day") >= F.col("effective")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
-    rows = rows.join(spans, holds, "left").join(once, ["version_id", "section"], "left").withColumn("lim", limit(F.col("text"), F.col("criterion")))
+    rows = with_limits(in_force(rows, versions, "code", "day").join(once, ["version_id", "section"], "left"), "text", {"lim": F.col("criterion")})
     checks = [
         (F.col("criterion").isNull() | F.col("value").isNull() | F.col("test_date").isNull(), "schema: incomplete result"),
         (F.col("day").isNull(), "date: not YYYY-MM-DD"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import bare_words, long_terms, substring_hits
-from lexforge.operators.records import limit
+from lexforge.operators.records import with_limits
 
 RRF_K = 60
 DENSE_SHARE, SPARSE_SHARE = 0.6, 0.4
@@ -253,7 +253,8 @@ def clause_search(clauses: DataFrame, term: str, code: str | None = None, most:
     if code is not None:
         rows = rows.where(F.col("code") == code)
     rows = rows.where(reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lit(term)), F.lit(False)) for c in ("text", "section", "code")]))
-    rows = rows.where(reduce(lambda a, b: a | b, [limit(F.col("text"), F.lit(c)).isNotNull() for c in RESOLVABLE]))
+    found = {f"_{c}": F.lit(c) for c in RESOLVABLE}
+    rows = with_limits(rows, "text", found).where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in found])).drop(*found)
     once = rows.groupBy("code", "section").agg(F.min_by(F.struct("doc_id", "text"), F.struct("doc_id", "text")).alias("c"))
     # one list for the whole corpus: ordered and cut before it is numbered, so each task hands on no more than the cut
     few = once.orderBy("code", "section").limit(most)

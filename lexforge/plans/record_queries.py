@@ -15,7 +15,7 @@ def _clauses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def limit_extract(spark: SparkSession, d: str) -> DataFrame:
-    rows = _clauses(spark, d).withColumn("lim", H.limit(F.col("text"), F.col("criterion")))
+    rows = H.with_limits(_clauses(spark, d), "text", {"lim": F.col("criterion")})
     v, x, how = F.col("value"), F.col("lim.value"), F.col("lim.direction")
     percent = H.headroom_percent(v, x)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", x.alias("limit_value"), how.alias("direction"), F.col("lim.unit").alias("unit"), H.verdict(v, x, how).alias("verdict"), H.headroom(v, x, how).alias("headroom"), F.round(percent, 1).alias("percent"), H.tightness(percent).alias("band"))
