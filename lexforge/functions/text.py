@@ -70,14 +70,14 @@ def month_number(name: Column) -> Column:
 
 
 def any_date(c: Column) -> Column:
-    """ISO, dd.mm.yyyy, d Month yyyy, Month d yyyy or a bare year (its first day); null if none fits."""
+    """A date that begins as yyyy-mm-dd or dd.mm.yyyy, has d Month yyyy or Month d, yyyy in it, or is a year and nothing else (its first day); null if none is a day."""
 
     def build(col: Column) -> Column:
         def g(pattern: str, i: int) -> Column:
             return F.nullif(F.regexp_extract(col, pattern, i), F.lit(""))
 
-        iso, dots = r"(\d{4})-(\d{2})-(\d{2})", r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
-        day_first, month_first, year = r"(\d{1,2}) ([A-Za-z]+) (\d{4})", r"([A-Za-z]+) (\d{1,2}),? (\d{4})", r"\b(\d{4})\b"
+        iso, dots = r"^\s*(\d{4})-(\d{2})-(\d{2})", r"^\s*(\d{1,2})\.(\d{1,2})\.(\d{4})"
+        day_first, month_first, year = r"(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})", r"([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})", r"^\s*(\d{4})\s*$"
 
         def made(y: Column, m: Column, d: Column) -> Column:
             text = F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d, 2, "0"))

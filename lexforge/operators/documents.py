@@ -30,19 +30,30 @@ def clause_blocks(lines: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "block").agg(F.max("number").alias("clause"), F.count("*").alias("n_lines"), text.alias("body"))
 
 
-HEADING = r"^#{1,6}\s+(.*)$"
-SECTION_NUMBER = r"^(?:((?:Annex|Appendix|Article)\s+\d+)|(\d+(?:\.\d+)*))\b\.?"
+#: Headings, the numbers that they may say, and what stands before the first one.
+HEADING = r"^#{1,6}\s+(.+?)\s*$"
+SECTION_NUMBER = r"(?i)\b((?:\d+\.)+\d+|\d+|Annex\s+\d+|Appendix\s+[A-Z\d]+|Article\s+\d+)\b"
+GENERAL, GENERAL_TITLE = "General", "General Context"
 
 
 def markdown_sections(lines: DataFrame) -> DataFrame:
-    """(doc_id, section, title, text): heading lines open sections; sections with one number are merged in order."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    title = F.nullif(F.trim(F.regexp_extract("line", HEADING, 1)), F.lit(""))
-    rows = lines.withColumn("title", title).withColumn("nth", F.count("title").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("nth > 0")
-    rows = rows.withColumn("head", F.first("title").over(Window.partitionBy("doc_id", "nth").orderBy("line_no")))
-    number = F.coalesce(F.nullif(F.regexp_extract("head", SECTION_NUMBER, 1), F.lit("")), F.nullif(F.regexp_extract("head", SECTION_NUMBER, 2), F.lit("")), F.col("head"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("title").isNull(), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
-    return rows.withColumn("section", number).groupBy("doc_id", "section").agg(F.min_by("head", "line_no").alias("title"), text.alias("text"))
+    """(doc_id, section, title, text): the sections of lines (doc_id, line_no, line), one for each number that a heading says.
+
+    A heading's number is taken out of its title. Text before the first heading and under headings without a number is General. Sections without text
+    are left out; those of one number are joined by a blank line, in order, under the first one's title. Null lines are empty.
+    """
+    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    line = F.coalesce("line", F.lit(""))
+    head = F.nullif(F.trim(F.regexp_extract(line, HEADING, 1)), F.lit(""))
+    rows = lines.select("doc_id", "line_no", line.alias("line")).withColumn("head", head).withColumn("nth", F.count("head").over(w))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head").isNull(), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
+    parts = rows.groupBy("doc_id", "nth").agg(F.max("head").alias("head"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("text")).where("text != ''")
+    number = F.nullif(F.regexp_extract("head", SECTION_NUMBER, 1), F.lit(""))
+    bare = F.nullif(F.regexp_replace(F.replace("head", F.col("number"), F.lit("")), r"^[.:\- ]+|[.:\- ]+$", ""), F.lit(""))
+    title = F.when(F.col("head").isNull(), GENERAL_TITLE).when(F.col("number").isNull(), F.col("head")).otherwise(F.coalesce(bare, F.concat(F.lit("Section "), F.col("number"))))
+    parts = parts.withColumn("number", number).withColumn("title", title).withColumn("section", F.coalesce("number", F.lit(GENERAL)))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]), "\n\n")
+    return parts.groupBy("doc_id", "section").agg(F.min_by("title", "nth").alias("title"), whole.alias("text"))
 
 
 def table_islands(lines: DataFrame, least: int = 2) -> DataFrame:

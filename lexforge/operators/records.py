@@ -186,16 +186,6 @@ def link_results(results: DataFrame, versions: DataFrame, clauses: DataFrame) ->
     return out.select("record_id", "position", "version_id", "criterion", "value", x.alias("limit_value"), how.alias("direction"), F.when(fine, verdict(F.col("value"), x, how)).alias("verdict"), F.when(fine, headroom(F.col("value"), x, how)).alias("headroom"), "reason")
 
 
-def margin_question(query: Column) -> dict[str, Column]:
-    """value, code and whether a question asks for the margin to a limit."""
-    code = F.nullif(F.regexp_extract(F.upper(query), r"\b(?:UN[ _]?)?R ?(\d{1,3})\b", 1), F.lit(""))
-    return {
-        "is_margin": query.rlike(r"(?i)how (close|far)|margin|headroom"),
-        "value": F.nullif(F.regexp_extract(query, r"(?i)(\d+(?:\.\d+)?)\s*mm\b", 1), F.lit("")).cast("double"),
-        "code": F.concat(F.lit("UN_R"), code),
-    }
-
-
 def model_allowed(model: Column) -> Column:
     """Confidential rows may go to local and contracted models only."""
     low = F.lower(model)

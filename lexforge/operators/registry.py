@@ -15,17 +15,18 @@ def apply_versions(registry: DataFrame, incoming: DataFrame, keys: list[str]) ->
     Keys are compared null-safe. A new hash closes the active version of its keys and becomes the active one; an equal hash changes nothing.
     """
     cols = ["version_id", *keys, "file_hash"]
-    active = registry.where("status = 'ACTIVE'").select(*[F.col(c).alias(f"_{c}") for c in cols])
+    old = registry.select(*cols, "status").withColumn("_active", F.col("status") == "ACTIVE")
+    # a key may have several active versions: one row for them decides, and a change closes all of them
+    held = old.where("_active").groupBy(*keys).agg(F.max(F.col("file_hash").isNull()).alias("_null"), F.collect_set("file_hash").alias("_hashes")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_null", "_hashes")
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    met = incoming.select(*cols).join(active, same, "left")
-    changed = F.col("_version_id").isNull() | ~F.col("file_hash").eqNullSafe(F.col("_file_hash"))
-    fresh = met.where(changed)
-    closed = fresh.where("_version_id is not null").select(F.col("_version_id").alias("version_id"), F.col("version_id").alias("closed_by"))
-    old = registry.select(*cols, "status").join(closed, "version_id", "left")
-    old = old.withColumn("status", F.when(F.col("closed_by").isNotNull(), "SUPERSEDED").otherwise(F.col("status")))
-    return old.select(*cols, "status", "closed_by").union(fresh.select(*cols, F.lit("ACTIVE"), F.lit(None).cast(dict(incoming.dtypes)["version_id"])))
+    known = F.when(F.col("file_hash").isNull(), F.col("_null")).otherwise(F.array_contains("_hashes", F.col("file_hash")))
+    fresh = incoming.select(*cols).join(held, same, "left").where(~F.coalesce(known, F.lit(False))).select(*cols)
+    closing = fresh.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("version_id").alias("_by"))
+    met = old.join(closing, same & F.col("_active"), "left")
+    status = F.when(F.col("_by").isNotNull(), "SUPERSEDED").otherwise(F.col("status"))
+    return met.select(*cols, status.alias("status"), F.col("_by").alias("closed_by")).union(fresh.select(*cols, F.lit("ACTIVE"), F.lit(None).cast(dict(incoming.dtypes)["version_id"])))
 
 
 def upsert_manifest(manifest: DataFrame, items: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import bare_words, long_terms, substring_hits
+from lexforge.functions.text import MONTHS, bare_words, long_terms, substring_hits
 from lexforge.operators.records import with_limits
 
 RRF_K = 60
@@ -110,7 +110,7 @@ def overlap_rerank(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame
 def is_scope(section: Column, body: Column) -> Column:
     """Scope, definition and administration chunks, which answer few questions."""
     head = F.lower(F.substring(F.ltrim(F.regexp_replace(body, r"^[^\]]*\]", "")), 1, 200))
-    return section.isin("1", "2", "3", "4", "General") | section.rlike(r"^2\.\d+$") | F.contains(head, F.lit("as defined in the consolidated resolution")) | head.rlike(r"^\d{1,2}[./]\d{1,2}[./]\d{4}")
+    return section.isin("1", "2", "3", "4", "General") | section.rlike(r"^2\.\d+$") | F.contains(head, F.lit("as defined in the consolidated resolution")) | head.rlike(rf"^\d{{1,2}}\s+(?:{'|'.join(MONTHS)})\s+20\d{{2}}")
 
 
 def demote_scope(ranked: DataFrame) -> DataFrame:
@@ -179,30 +179,6 @@ def expand_references(ranked: DataFrame, edges: DataFrame, most: int = 5, rounds
     return added.withColumn("n", nth).where(F.col("n") <= most).select("query_id", "doc_id", "depth", "score")
 
 
-def query_filters(queries: DataFrame) -> DataFrame:
-    """codes, series, ncap_year, fmvss and source_type that a question names."""
-    q = F.upper("query")
-    un = F.regexp_extract_all(q, F.lit(r"\bUN[ _]?R ?(\d+)"), F.lit(1))
-    fmvss = F.regexp_extract_all(q, F.lit(r"\bFMVSS(?: NO\.?)? ?(\d+)"), F.lit(1))
-    codes = F.concat(F.transform(un, lambda n: F.concat(F.lit("UN_R"), n)), F.transform(fmvss, lambda n: F.concat(F.lit("FMVSS_"), n)))
-    series = F.nullif(F.regexp_extract(q, r"(\d{1,2}) ?(?:ST|ND|RD|TH)? SERIES", 1), F.lit(""))
-    year = F.nullif(F.regexp_extract(q, r"NCAP\D{0,20}(20\d{2})", 1), F.lit("")).cast("int")
-    return queries.select(
-        "query_id",
-        F.array_join(F.array_distinct(codes), ",").alias("codes"),
-        F.concat(F.lpad(series, 2, "0"), F.lit(" Series")).alias("series"),
-        year.alias("ncap_year"),
-        F.when(F.size(fmvss) > 0, "FMVSS").when(F.contains(q, F.lit("NCAP")), "NCAP").when(F.size(un) > 0, "UNECE").alias("source_type"),
-    )
-
-
-def expand_queries(queries: DataFrame, rules: DataFrame) -> DataFrame:
-    """queries with the terms of every rule (rule_id, needs array<string>, adds string) of which a needed word occurs."""
-    hits = queries.join(F.broadcast(rules), F.exists("needs", lambda w: F.contains(F.lower("query"), w)), "left")
-    added = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rule_id").isNotNull(), F.struct("rule_id", "adds")))), lambda x: x["adds"]), " ")
-    return hits.groupBy("query_id", "query").agg(added.alias("added")).select("query_id", F.trim(F.concat_ws(" ", "query", "added")).alias("expanded"))
-
-
 #: Patterns of the intent router, first match wins.
 IDENTITY = r"(?i)^\s*(?:who\s+are\s+you|what\s+are\s+you|are\s+you\s+(?:an?\s+)?(?:ai|artificial|human|engineer|chatbot|bot)|introduce\s+yourself|tell\s+me\s+about\s+yourself)\s*[?.!]*\s*$"
 INJECTION = "(?is)" + "|".join(
@@ -224,13 +200,30 @@ INJECTION = "(?is)" + "|".join(
         r"reveal\s+(?:the\s+)?(?:system\s+)?prompt",
     ]
 )
-THINGS = r"(?:pdfs?|documents?|files?|sources?)"
-DOCUMENT_COUNT = rf"(?i)how\s+many\s+{THINGS}|(?:count|total\s+number\s+of)\s+(?:the\s+)?(?:number\s+of\s+(?:the\s+)?)?{THINGS}|what\s+is\s+the\s+(?:total\s+)?number\s+of\s+{THINGS}|number\s+of\s+{THINGS}"
-CORPUS_META = DOCUMENT_COUNT + (
-    r"|how\s+many\s+(?:regs?|regulations?)"
-    r"|(?:what|which)\s+(?:documents?|regulations?|regs?|standards?|sources?|pdfs?|corpus|knowledge\s+base)\s+(?:do\s+you\s+)?(?:use|have|cover|contain|include|access)"
-    r"|what\s+(?:is|are)\s+in\s+(?:the\s+)?(?:corpus|knowledge\s+base|registry)|what\s+do\s+you\s+have\s+access\s+to"
-    r"|list\s+(?:all\s+)?(?:ingested\s+)?(?:your\s+|the\s+)?(?:regulations?|documents?|coverage|pdfs?|sources?)|coverage\s+(?:report|summary|status)"
+DOCUMENT_COUNT = "(?i)" + "|".join(
+    [
+        r"how\s+many\s+(?:pdf|pdfs|document|documents|file|files|source|sources)",
+        r"(?:count|total\s+number\s+of)\s+(?:the\s+)?(?:pdf|pdfs|document|documents|file|files)",
+        r"count\s+(?:the\s+)?number\s+of\s+(?:the\s+)?(?:pdf|pdfs|document|documents|file|files)",
+        r"what\s+is\s+the\s+(?:total\s+)?number\s+of\s+(?:pdf|pdfs|document|documents|file|files)",
+        r"number\s+of\s+(?:pdf|pdfs|document|documents)",
+    ]
+)
+CORPUS_META = "(?i)" + "|".join(
+    [
+        r"(?:what|which)\s+(?:documents?|regulations?|regs?|standards?|sources?|pdfs?|corpus|knowledge\s+base)\s+(?:do\s+you\s+)?(?:use|have|cover|contain|include|access)",
+        r"(?:what|which)\s+(?:regulations?|regs?|standards?)\s+do\s+you\s+have\s+access\s+to",
+        r"what\s+(?:is|are)\s+in\s+(?:the\s+)?(?:corpus|knowledge\s+base|registry)",
+        r"what\s+do\s+you\s+have\s+access\s+to",
+        r"list\s+(?:all\s+)?(?:ingested\s+)?(?:regulations?|documents?|coverage|pdfs?|sources?)",
+        r"list\s+(?:your|the)\s+(?:pdf|pdfs|document|documents|source|sources)",
+        r"coverage\s+(?:report|summary|status)",
+        r"how\s+many\s+(?:pdf|pdfs|document|documents|file|files|source|sources|regs?|regulations?)",
+        r"(?:count|total\s+number\s+of)\s+(?:the\s+)?(?:pdf|pdfs|document|documents|file|files|source|sources)",
+        r"count\s+(?:the\s+)?number\s+of\s+(?:the\s+)?(?:pdf|pdfs|document|documents|file|files)",
+        r"what\s+is\s+the\s+(?:total\s+)?number\s+of\s+(?:pdf|pdfs|document|documents|file|files)",
+        r"number\s+of\s+(?:pdf|pdfs|document|documents)\s+(?:in|does|do)\s+(?:the\s+)?(?:system|you|registry|corpus)",
+    ]
 )
 NAMED_SCOPE = r"(?i)(?:\b(?:UN[\s_-]?R\d{2,3}|R\d{2,3}\b|FMVSS|Euro\s*NCAP|NHTSA|UNECE|annex|section|clause)\b|§)"
 

@@ -115,7 +115,6 @@ def remote_changed(spark: SparkSession, d: str) -> DataFrame:
 #: File names of all kinds; the numbers of an order stand for the braces.
 NAMES = ["UN_R{a}_{b}Series.pdf", "UN_R{a}_{b}Series_Amend{c}.pdf", "UN_R{a}_TB_{c}.pdf", "R0{a}r{c}am{b}e.pdf", "UN_R{a}_{b}Series_Supp{c}.PDF", "UN_R{a}_Rev{b}_Corr{c}.pdf", "FMVSS_{a}_2024.pdf", "EuroNCAP_AOP_20{a}.pdf", "EuroNCAP_FarSide_2026.pdf", "EU_2019_2144_v{c}.pdf", "iihs_SmallOverlap.pdf", "NHTSA_NCAP_Pole_{c}.pdf", "notes.v{c}.txt", "UN_R14_Amend{c}_Corr{b}.pdf", "EuroNCAP_TB_THOR_{c}.pdf", "CNCAP_{a}.pdf"]
 _NAME = "CASE o_orderkey % 16 " + " ".join(f"WHEN {i} THEN '" + n.replace("{a}", "' || (o_custkey % 90 + 10) || '").replace("{b}", "' || (o_orderkey % 8 + 1) || '").replace("{c}", "' || (o_custkey % 5 + 1) || '") + "'" for i, n in enumerate(NAMES)) + " END"
-DATES = ["2026-01-15", "entered on 15.03.2024", "12 June 2021", "Geneva, July 4, 2019", "edition 2017", "3 Frobuary 2020", "no date", "2023-13-45"]
 
 
 def filename_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -123,9 +122,14 @@ def filename_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", *[c.alias(k) for k, c in D.parse_filename(F.col("name")).items()])
 
 
+_DATED = """CASE o_orderkey % 9 WHEN 0 THEN cast(cast(o_orderdate AS date) AS string) WHEN 1 THEN 'entered on ' || (o_orderkey % 28 + 1) || '.' || (o_custkey % 12 + 1) || '.' || (1990 + o_custkey % 40) WHEN 2 THEN (o_orderkey % 31 + 1) || ' June ' || (1990 + o_custkey % 40)
+    WHEN 3 THEN 'Geneva, July ' || (o_orderkey % 28 + 1) || ', 2019' WHEN 4 THEN CASE WHEN o_custkey % 2 = 0 THEN 'edition ' ELSE ' ' END || (1990 + o_custkey % 40) WHEN 5 THEN (o_orderkey % 28 + 1) || ' Frobuary 2020' WHEN 6 THEN 'no date' WHEN 7 THEN '2023-' || (10 + o_custkey % 9) || '-' || (10 + o_orderkey % 25) ELSE CASE WHEN o_custkey % 3 > 0 THEN (o_orderkey % 28 + 1) || '.' || (o_custkey % 12 + 1) || '.2021, at noon' END END"""
+
+
 def date_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(n,) for n in DATES], "raw string")
-    return rows.select("raw", T.any_date(F.col("raw")).cast("string").alias("parsed"))
+    """Dates as documents write them, made from orders: days that don't exist, months that no one knows and no dates at all among them."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.expr(_DATED).alias("raw"))
+    return rows.select("o_orderkey", T.any_date(F.col("raw")).cast("string").alias("parsed"))
 
 
 def consolidate(spark: SparkSession, d: str) -> DataFrame:
@@ -202,12 +206,12 @@ b AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY doc_id ORDER BY
 SELECT doc_id, block, max(CASE WHEN opens THEN number END) AS clause, count(*) AS n_lines, string_agg(part, ' ' ORDER BY line_no) AS body FROM b GROUP BY doc_id, block""",
     "md_sections": """
 WITH l AS (SELECT o_custkey AS doc_id, o_orderkey AS line_no, o_orderkey % 3 = 0 AS opens,
-  CASE o_orderkey % 4 WHEN 0 THEN 'Annex ' || (o_orderkey % 5) WHEN 1 THEN (o_orderkey % 4) || '.' || (o_orderkey % 3) ELSE 'Foreword' END AS number,
-  CASE o_orderkey % 4 WHEN 0 THEN 'Annex ' || (o_orderkey % 5) || ' Tests' WHEN 1 THEN (o_orderkey % 4) || '.' || (o_orderkey % 3) || '. Scope' ELSE 'Foreword' END AS title,
-  'line ' || o_orderpriority AS line FROM orders),
+  CASE o_orderkey % 4 WHEN 0 THEN 'Annex ' || (o_orderkey % 5) WHEN 1 THEN (o_orderkey % 4) || '.' || (o_orderkey % 3) ELSE 'General' END AS number,
+  CASE o_orderkey % 4 WHEN 0 THEN 'Tests' WHEN 1 THEN 'Scope' ELSE 'Foreword' END AS title, 'line ' || o_orderpriority AS line FROM orders),
 n AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS nth FROM l),
-h AS (SELECT *, first_value(number) OVER w AS section, first_value(title) OVER w AS head FROM n WHERE nth > 0 WINDOW w AS (PARTITION BY doc_id, nth ORDER BY line_no))
-SELECT doc_id, section, arg_min(head, line_no) AS title, md5(coalesce(string_agg(CASE WHEN NOT opens THEN line END, chr(10) ORDER BY line_no), '')) AS text_md5 FROM h GROUP BY doc_id, section""",
+p AS (SELECT doc_id, nth, CASE WHEN nth = 0 THEN 'General' ELSE max(number) FILTER (opens) END AS section, CASE WHEN nth = 0 THEN 'General Context' ELSE max(title) FILTER (opens) END AS title,
+  string_agg(CASE WHEN NOT opens THEN line END, chr(10) ORDER BY line_no) AS text FROM n GROUP BY doc_id, nth)
+SELECT doc_id, section, arg_min(title, nth) AS title, md5(string_agg(text, chr(10) || chr(10) ORDER BY nth)) AS text_md5 FROM p WHERE text IS NOT NULL GROUP BY doc_id, section""",
     "table_islands": """
 WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS line_no, NOT ((l_orderkey + l_linenumber) % 4 = 0 OR l_quantity > 40) AS pipe,
   l_returnflag || ', ' || l_linestatus || ', ' || CAST(l_quantity AS INT) || ', x' AS summary FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL)),
@@ -242,8 +246,11 @@ SELECT page_id, host, starts_with(url, 'https:') AND (host IN ('example.org', 'e
 SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 0 <> user_id % 2
   WHEN event_id % 4 > 0 THEN false WHEN event_id % 5 > 1 THEN user_id % 2 <> user_id % 3 ELSE true END AS changed FROM events""",
     "filename_parse": _filename_sql(),
-    "date_parse": """SELECT * FROM (VALUES ('2026-01-15', '2026-01-15'), ('entered on 15.03.2024', '2024-03-15'), ('12 June 2021', '2021-06-12'), ('Geneva, July 4, 2019', '2019-07-04'), ('edition 2017', '2017-01-01'),
-  ('3 Frobuary 2020', '2020-01-03'), ('no date', NULL), ('2023-13-45', '2023-01-01')) AS t(raw, parsed)""",
+    "date_parse": """
+WITH r AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN printf('%d-06-%02d', 1990 + o_custkey % 40, o_orderkey % 31 + 1) WHEN 3 THEN printf('2019-07-%02d', o_orderkey % 28 + 1)
+  WHEN 4 THEN CASE WHEN o_custkey % 2 = 1 THEN (1990 + o_custkey % 40) || '-01-01' END WHEN 5 THEN printf('2020-01-%02d', o_orderkey % 28 + 1) WHEN 7 THEN '2023-' || (10 + o_custkey % 9) || '-' || (10 + o_orderkey % 25)
+  WHEN 8 THEN CASE WHEN o_custkey % 3 > 0 THEN printf('2021-%02d-%02d', o_custkey % 12 + 1, o_orderkey % 28 + 1) END END AS iso FROM orders)
+SELECT o_orderkey, CAST(TRY_CAST(iso AS DATE) AS VARCHAR) AS parsed FROM r""",
     "consolidate": """
 WITH s AS (SELECT l_partkey AS code, lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || '-' || l_linenumber AS document, CASE l_linenumber % 4 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 4 END AS p,
   l_suppkey % 7 * 1000 + l_linenumber AS v, CAST(l_orderkey % 3 AS VARCHAR) AS section, l_returnflag AS title, CAST(CAST(trunc(l_extendedprice) AS BIGINT) AS VARCHAR) AS text FROM (SELECT l_partkey, l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey, max(l_returnflag) AS l_returnflag, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY ALL)),

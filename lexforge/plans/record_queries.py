@@ -79,10 +79,6 @@ def close_to_limit(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("place", n).where("place <= 5").select("event_type", "place", "event_id", F.round("headroom", 4).alias("headroom"))
 
 
-def margin_parse(spark: SparkSession, d: str) -> DataFrame:
-    return asked(spark).select("query_id", *[c.alias(k) for k, c in H.margin_question(F.col("query")).items()])
-
-
 def access_audit(spark: SparkSession, d: str) -> DataFrame:
     """One audit row per event: the owner check first, the model gate last."""
     e = table(spark, d, "events")
@@ -144,7 +140,7 @@ def error_streaks(spark: SparkSession, d: str) -> DataFrame:
     return H.streaks(e, "user_id", "event_id", "bad", 3)
 
 
-QUERIES = {f.__name__: f for f in (limit_extract, asof_limit, latest_limit, linked_results, harness_ingest, close_to_limit, margin_parse, access_audit, inventory, version_history, run_summary, timing_summary, token_spend, retrieval_diff, case_eval, error_streaks)}
+QUERIES = {f.__name__: f for f in (limit_extract, asof_limit, latest_limit, linked_results, harness_ingest, close_to_limit, access_audit, inventory, version_history, run_summary, timing_summary, token_spend, retrieval_diff, case_eval, error_streaks)}
 
 _LIMITS = rf"""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 60 AS v, lower({chosen_clause(0, "CAST(l_quantity AS INT)")}) AS t, lower({chosen_clause(1, "1")}) AS n FROM lineitem),
 h AS (SELECT *, regexp_extract(t, '{H.LIMIT}', 0) AS hit, CAST(nullif(regexp_extract(t, '{H.LIMIT}', 1), '') AS DOUBLE) AS number, regexp_extract(t, '{H.LIMIT}', 2) AS u,
@@ -199,9 +195,6 @@ SELECT *, CASE WHEN reason IS NULL THEN 'ACCEPTED' WHEN regexp_matches(reason, '
     "close_to_limit": """
 WITH h AS (SELECT event_type, event_id, round(100.0 - value, 4) AS headroom FROM events WHERE (event_id % 2 <> 1 OR user_id = 7) AND value IS NOT NULL)
 SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY headroom, event_id) AS place, event_id, headroom FROM h QUALIFY place <= 5""",
-    "margin_parse": rf"""
-SELECT query_id, regexp_matches(query, '(?i)how (close|far)|margin|headroom') AS is_margin, CAST(nullif(regexp_extract(query, '(?i)(\d+(?:\.\d+)?)\s*mm\b', 1), '') AS DOUBLE) AS value,
-  'UN_R' || nullif(regexp_extract(upper(query), '\b(?:UN[ _]?)?R ?(\d{{1,3}})\b', 1), '') AS code FROM {_ASKED_SQL}""",
     "access_audit": """
 WITH e AS (SELECT *, event_id % 2 = 0 AS conf, event_id % 4 IN (1, 2) AS ok FROM events)
 SELECT CASE WHEN conf AND user_id <> 7 THEN 'denied: owner' WHEN conf AND NOT ok THEN 'denied: model' ELSE 'allowed' END AS outcome, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM e GROUP BY ALL""",

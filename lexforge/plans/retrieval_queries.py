@@ -157,17 +157,6 @@ def asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ASKED, "query_id int, query string")
 
 
-def query_filters(spark: SparkSession, d: str) -> DataFrame:
-    return R.query_filters(asked(spark))
-
-
-RULES = [(1, ["chest", "thcc"], "thorax compression criterion"), (2, ["side"], "lateral barrier"), (3, ["belt", "retractor"], "emergency locking")]
-
-
-def query_expansion(spark: SparkSession, d: str) -> DataFrame:
-    return R.expand_queries(asked(spark), spark.createDataFrame(RULES, "rule_id int, needs array<string>, adds string"))
-
-
 def intent_route(spark: SparkSession, d: str) -> DataFrame:
     talk = table(spark, d, "conversations").select(F.lit(None).cast("int").alias("query_id"), F.col("text").alias("query"))
     rows = asked(spark).union(talk).select("query_id", R.intent(F.col("query")).alias("intent"), F.col("query").rlike(R.DOCUMENT_COUNT).alias("counts"))
@@ -210,7 +199,7 @@ def passage_budget(spark: SparkSession, d: str) -> DataFrame:
     return R.within_budget(table(spark, d, "conversations"), "conv_id", "turn", 300, 4).select("conv_id", "turn", "tokens", "running")
 
 
-QUERIES = {f.__name__: f for f in (hybrid_rrf, dense_topk, sparse_topk, weighted_hybrid, rerank_overlap, scope_demotion, annex_promotion, cited_promotion, parent_expansion, crossref_expansion, longest_prefix, query_filters, query_expansion, intent_route, passage_budget, fulltext_bm25, clause_search, answer_citations, answer_context)}
+QUERIES = {f.__name__: f for f in (hybrid_rrf, dense_topk, sparse_topk, weighted_hybrid, rerank_overlap, scope_demotion, annex_promotion, cited_promotion, parent_expansion, crossref_expansion, longest_prefix, intent_route, passage_budget, fulltext_bm25, clause_search, answer_citations, answer_context)}
 
 _Q = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS) + ") AS q(query_id, query)"
 _COS = "list_sum(list_transform(range(1, 65), lambda i: CAST({a}[i] AS DOUBLE) * {b}[i])) / (sqrt(list_sum(list_transform({a}, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform({b}, lambda x: CAST(x AS DOUBLE) * x))))"
@@ -272,19 +261,6 @@ p AS (SELECT o_orderpriority AS code, CASE WHEN o_orderkey % 2 = 0 THEN (o_custk
 SELECT src, array_to_string(x, '.') AS number, doc_id AS dst
 FROM c, (VALUES (1), (2), (3)) AS n(n) JOIN p ON p.code = c.code AND p.section = array_to_string(x[1:n], '.')
 QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC) = 1""",
-    "query_filters": rf"""
-WITH u AS (SELECT query_id, upper(query) AS q FROM {_ASKED_SQL}),
-x AS (SELECT *, regexp_extract_all(q, '\bUN[ _]?R ?(\d+)', 1) AS un, regexp_extract_all(q, '\bFMVSS(?: NO\.?)? ?(\d+)', 1) AS fm FROM u)
-SELECT query_id,
-  coalesce(array_to_string(list_concat(list_transform(un, lambda n: 'UN_R' || n), list_transform(fm, lambda n: 'FMVSS_' || n)), ','), '') AS codes,
-  lpad(nullif(regexp_extract(q, '(\d{{1,2}}) ?(?:ST|ND|RD|TH)? SERIES', 1), ''), 2, '0') || ' Series' AS series,
-  CAST(nullif(regexp_extract(q, 'NCAP\D{{0,20}}(20\d{{2}})', 1), '') AS INT) AS ncap_year,
-  CASE WHEN len(fm) > 0 THEN 'FMVSS' WHEN contains(q, 'NCAP') THEN 'NCAP' WHEN len(un) > 0 THEN 'UNECE' END AS source_type
-FROM x""",
-    "query_expansion": f"""
-WITH r(rule_id, needs, adds) AS (VALUES (1, ['chest', 'thcc'], 'thorax compression criterion'), (2, ['side'], 'lateral barrier'), (3, ['belt', 'retractor'], 'emergency locking')),
-h AS (SELECT a.query_id, a.query, string_agg(adds, ' ' ORDER BY rule_id) AS added FROM {_ASKED_SQL} LEFT JOIN r ON len(list_filter(needs, lambda w: contains(lower(a.query), w))) > 0 GROUP BY ALL)
-SELECT query_id, trim(query || ' ' || coalesce(added, '')) AS expanded FROM h""",
     "intent_route": rf"""
 WITH a AS (SELECT query_id, query FROM {_ASKED_SQL} UNION ALL SELECT NULL, text FROM conversations)
 SELECT CASE WHEN regexp_matches(query, '{R.IDENTITY}') THEN 'identity' WHEN regexp_matches(query, '{R.INJECTION}') THEN 'injection_blocked'
