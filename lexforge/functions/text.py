@@ -21,9 +21,8 @@ def bare_words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(c, r"[^A-Za-z0-9\s]", " ")), r"\s+"), lambda t: t != ""))
 
 
-def substring_hits(text: Column, terms: Column) -> Column:
-    """How many of the terms occur anywhere in the text; a repeated term counts each time."""
-    low = F.lower(text)
+def substring_hits(low: Column, terms: Column) -> Column:
+    """How many of the terms occur anywhere in a text that is in lower case already; a repeated term counts each time."""
     return F.size(F.filter(terms, lambda t: F.contains(low, t)))
 
 

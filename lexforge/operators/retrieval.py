@@ -5,6 +5,7 @@ Ranked lists are DataFrames (query_id, doc_id, ..., rank from 1). Every ranking
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,7 +74,7 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 def sparse(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """By the number of question terms found in the text; rows without any are left out."""
     q = queries.select("query_id", long_terms(F.col("query")).alias("terms"))
-    scored = against(q, corpus.select("doc_id", "text")).select("query_id", "doc_id", substring_hits(F.col("text"), F.col("terms")).alias("score"))
+    scored = against(q, corpus.select("doc_id", F.lower("text").alias("low"))).select("query_id", "doc_id", substring_hits(F.col("low"), F.col("terms")).alias("score"))
     return top(scored.where("score > 0"), k, F.desc("score"), F.col("doc_id"))
 
 
@@ -94,17 +95,21 @@ def hybrid(queries: DataFrame, corpus: DataFrame, top_k: int = 10) -> DataFrame:
 def weighted(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """0.6 cosine + 0.4 share of distinct question words that occur as substrings; rows without a vector score 0 there."""
     q = queries.select("query_id", "query_vector", F.filter(bare_words(F.col("query")), lambda t: F.char_length(t) > 2).alias("terms"))
-    rows = against(q, corpus.select("doc_id", "text", "embedding"))
-    words = substring_hits(F.col("text"), F.col("terms")) / F.greatest(F.size("terms"), F.lit(1))
+    rows = against(q, corpus.select("doc_id", F.lower("text").alias("low"), "embedding"))
+    words = substring_hits(F.col("low"), F.col("terms")) / F.greatest(F.size("terms"), F.lit(1))
     score = DENSE_SHARE * F.coalesce(cosine(F.col("embedding"), F.col("query_vector")), F.lit(0.0)) + SPARSE_SHARE * words
     return top(rows.select("query_id", "doc_id", F.round(score, 8).alias("score")), k, F.desc("score"), F.col("doc_id"))
 
 
-def overlap_rerank(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+def overlap(query: Column, text: Column) -> Column:
     """Word overlap in place of a cross-encoder: question words lose punctuation, passage words don't."""
-    words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
-    rows = against(queries.select("query_id", bare_words(F.col("query")).alias("terms")), passages.select("doc_id", words.alias("words")))
-    return top(rows.select("query_id", "doc_id", F.size(F.array_intersect("terms", "words")).alias("score")), k, F.desc("score"), F.col("doc_id"))
+    return F.size(F.array_intersect(bare_words(query), F.array_distinct(F.split(F.lower(text), r"\s+"))))
+
+
+def rerank(queries: DataFrame, candidates: DataFrame, passages: DataFrame, k: int, score: Callable[[Column, Column], Column] = overlap) -> DataFrame:
+    """The k best candidates (query_id, doc_id) of each question by score(query, text). Only candidates are read and scored; a model comes in as a column function."""
+    rows = candidates.select("query_id", "doc_id").join(passages.select("doc_id", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
+    return top(rows.select("query_id", "doc_id", score(F.col("query"), F.col("text")).alias("score")), k, F.desc("score"), F.col("doc_id"))
 
 
 def is_scope(section: Column, body: Column) -> Column:
@@ -132,6 +137,24 @@ def promote(ranked: DataFrame, wanted: Column, k: int, *order: Column) -> DataFr
     return r.withColumn("rank", moved).where(F.col("rank") <= k).drop("wanted", "chosen", "inside", "exists")
 
 
+def promote_annex(ranked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Where a question names an annex, its best chunk of the list (section, chunk_type, text, score) is among the first k: tables before other chunks, then by score."""
+    number = F.nullif(F.regexp_extract("query", r"(?i)\bannex\s*(\d+)\b", 1), F.lit(""))
+    rows = ranked.join(queries.select("query_id", number.alias("_annex")), "query_id", "left")
+    wanted = F.regexp_like(F.col("section"), F.concat(F.lit("Annex_"), F.col("_annex"), F.lit(r"(?:\D|$)")))
+    table = F.coalesce((F.col("chunk_type") == "table") | F.contains("text", F.lit("Vehicle category")), F.lit(False))
+    return promote(rows, wanted, k, F.desc(table), F.desc("score"), F.col("doc_id")).drop("_annex")
+
+
+def promote_cited(ranked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Where a question cites paragraphs, the best chunk of their sections, of those above or of those below is among the first k: the deepest, then by score."""
+    cited = F.array_distinct(F.concat(*[F.regexp_extract_all("query", F.lit(p), F.lit(1)) for p in (r"(?i)(?:§|paragraph\s+)(\d+(?:\.\d+)*)", r"\b(\d+\.\d+\.\d+)\b")]))
+    rows = ranked.join(queries.select("query_id", cited.alias("_cited")), "query_id", "left")
+    section, dot = F.trim("section"), F.lit(".")
+    near = F.exists("_cited", lambda c: (section == c) | F.startswith(section, F.concat(c, dot)) | F.startswith(c, F.concat(section, dot)))
+    return promote(rows, near & (section != ""), k, F.desc(F.size(F.split(section, r"\."))), F.desc("score"), F.col("doc_id")).drop("_cited")
+
+
 def expand_parents(ranked: DataFrame, corpus: DataFrame, k: int, most: int = 4) -> DataFrame:
     """Each hit's parent follows it unless it is there already; at most so many are added, then the list is cut to k."""
     hits = ranked.select("query_id", "doc_id", "rank", F.lit(0).alias("is_parent"))

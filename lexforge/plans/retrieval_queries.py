@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.functions import text as T
 from lexforge.operators import records as H
 from lexforge.operators import retrieval as R
 from lexforge.sources.tables import table
@@ -68,23 +69,33 @@ def weighted_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return R.overlap_rerank(questions(spark, d), table(spark, d, "documents"), 10).select("query_id", "rank", "doc_id", "score")
+    docs, asked_ = table(spark, d, "documents"), questions(spark, d)
+    return R.rerank(asked_, R.sparse(asked_, docs, R.depth(10)), docs, 10).select("query_id", "rank", "doc_id", "score")
+
+
+#: Sections and types of documents, made from their ids; every eleventh begins with a date.
+_SECTION = "CASE doc_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '2.' || (doc_id % 9) WHEN 2 THEN '5.2.' || (doc_id % 7) WHEN 3 THEN 'Annex_' || (doc_id % 15) WHEN 4 THEN '6.1' ELSE '5.4.3' END"
+_CHUNK = "'[h] ' || CASE WHEN doc_id % 11 = 0 THEN (doc_id % 28 + 1) || ' June 2024 ' ELSE '' END || text"
+_KIND = "CASE WHEN doc_id % 4 = 3 THEN 'table' ELSE 'clause' END"
+_LIST_QUESTION = "'what does annex ' || (count(*) % 15) || ' say, and paragraph 5.2.' || (max(doc_id) % 7) || '.4, or 6.1.' || (min(doc_id) % 5) || '?'"
 
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
-    """One ranked list per language: sections and types made from ids."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    section = F.expr("CASE doc_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '2.' || (doc_id % 9) WHEN 2 THEN '5.2.' || (doc_id % 7) WHEN 3 THEN 'Annex_' || (doc_id % 5) WHEN 4 THEN '6.1' ELSE 'General' END")
-    rows = docs.select(F.col("lang").alias("query_id"), "doc_id", section.alias("section"), F.lit("[h] body").alias("text"), F.col("n_chars").alias("score"))
+    """One ranked list per language."""
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.col("lang").alias("query_id"), "doc_id", F.expr(_SECTION).alias("section"), F.expr(_CHUNK).alias("text"), F.expr(_KIND).alias("chunk_type"), F.col("n_chars").alias("score"))
     return R.top(rows, 12, F.desc("score"), F.col("doc_id"))
 
 
-_SECTIONS_SQL = """
-  SELECT query_id, doc_id, section, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
-  FROM (SELECT lang AS query_id, doc_id, n_chars AS score,
-          CASE doc_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '2.' || (doc_id % 9) WHEN 2 THEN '5.2.' || (doc_id % 7)
-            WHEN 3 THEN 'Annex_' || (doc_id % 5) WHEN 4 THEN '6.1' ELSE 'General' END AS section
-        FROM documents) QUALIFY rank <= 12"""
+def _list_questions(spark: SparkSession, d: str) -> DataFrame:
+    """A question for each list, with an annex and paragraphs that its documents decide."""
+    return table(spark, d, "documents").groupBy(F.col("lang").alias("query_id")).agg(F.expr(_LIST_QUESTION).alias("query"))
+
+
+_SECTIONS_SQL = f"""
+  SELECT query_id, doc_id, section, text, chunk_type, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+  FROM (SELECT lang AS query_id, doc_id, n_chars AS score, {_SECTION} AS section, {_CHUNK} AS text, {_KIND} AS chunk_type FROM documents) QUALIFY rank <= 12"""
+_LISTS_SQL = f"SELECT lang AS query_id, {_LIST_QUESTION} AS query FROM documents GROUP BY lang"
 
 
 def scope_demotion(spark: SparkSession, d: str) -> DataFrame:
@@ -92,20 +103,17 @@ def scope_demotion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annex_promotion(spark: SparkSession, d: str) -> DataFrame:
-    return R.promote(_sections(spark, d), F.contains("section", F.lit("Annex_3")), 5, F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", "section")
+    return R.promote_annex(_sections(spark, d), _list_questions(spark, d), 5).select("query_id", "rank", "doc_id", "section")
 
 
 def cited_promotion(spark: SparkSession, d: str) -> DataFrame:
-    cited = F.lit("5.2.3")
-    related = (F.col("section") == cited) | F.startswith("section", F.concat(cited, F.lit("."))) | F.startswith(cited, F.concat(F.col("section"), F.lit(".")))
-    depth = F.desc(F.size(F.split("section", r"\.")))
-    return R.promote(_sections(spark, d), related, 5, depth, F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", "section")
+    return R.promote_cited(_sections(spark, d), _list_questions(spark, d), 5).select("query_id", "rank", "doc_id", "section")
 
 
 def _promotion_sql(wanted: str, order: str) -> str:
     return f"""
-WITH s AS ({_SECTIONS_SQL}),
-b AS (SELECT *, coalesce({wanted}, false) AS w FROM s),
+WITH s AS ({_SECTIONS_SQL}), q AS ({_LISTS_SQL}),
+b AS (SELECT s.*, coalesce({wanted}, false) AS w FROM s JOIN q USING (query_id)),
 c AS (SELECT *, w AND row_number() OVER (PARTITION BY query_id ORDER BY w DESC, {order}) = 1 AS chosen FROM b),
 m AS (SELECT *, bool_or(chosen AND rank <= 5) OVER (PARTITION BY query_id) AS inside, bool_or(chosen) OVER (PARTITION BY query_id) AS there FROM c)
 SELECT query_id, doc_id, section, CAST(CASE WHEN inside OR NOT there THEN rank WHEN chosen THEN 5 WHEN rank >= 5 THEN rank + 1 ELSE rank END AS INT) AS rank
@@ -117,10 +125,15 @@ def parent_expansion(spark: SparkSession, d: str) -> DataFrame:
     return R.expand_parents(_sections(spark, d), docs, 12).select("query_id", "rank", "doc_id", "is_parent")
 
 
+#: What documents cite beside their own text.
+_CITING = "text || ' as in paragraphs 5.2.' || (doc_id * 7 % 13) || '.1 and para. 2.' || (doc_id * 13 % 11) || ', annex'"
+
+
 def crossref_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """Documents cite two others by arithmetic on their ids."""
-    docs = table(spark, d, "documents").select("doc_id")
-    edges = docs.select(F.col("doc_id").alias("src"), F.posexplode(F.array(F.expr("doc_id * 7 % 997"), F.expr("doc_id * 13 % 991"))).alias("ordinal", "dst")).where("src != dst")
+    """Documents cite paragraphs; the longest beginning that is a section of their language's documents is what is meant."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("code"), F.expr(_SECTION).alias("section"), F.expr(_CITING).alias("text"))
+    sections = docs.groupBy("code", "section").agg(F.min("doc_id").alias("doc_id"))
+    edges = R.longest_prefix(R.citations(docs), sections).where("src != dst")
     hits = _sections(spark, d).where("rank <= 3").withColumn("score", F.lit(1.0) / F.col("rank"))
     return R.expand_references(hits, edges).select("query_id", "doc_id", "depth", "score")
 
@@ -230,13 +243,18 @@ WITH c AS ({_CORPUS}), a AS ({_ASK}),
 s AS (SELECT query_id, doc_id, round(0.6 * coalesce({_COS.format(a='embedding', b='v')}, 0) + 0.4 * {_HITS.format(terms="list_distinct(" + _TERMS + ")")}::DOUBLE / len(list_distinct({_TERMS})), 8) AS s FROM c, a WHERE lang IN ('en', 'de'))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank, doc_id, round(s, 6) AS score FROM s QUALIFY rank <= 10""",
     "rerank_overlap": rf"""
-WITH s AS (SELECT query_id, doc_id, len(list_intersect(list_distinct(string_split_regex(query, '\s+')), list_distinct(string_split_regex(lower(text), '\s+')))) AS score FROM documents, {_Q})
+WITH c AS (SELECT query_id, query, doc_id, text, {_HITS.format(terms=_TERMS)} AS hits FROM documents, {_Q}), t AS (SELECT * FROM c WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) <= 30),
+s AS (SELECT query_id, doc_id, len(list_intersect(list_distinct(string_split_regex(query, '\s+')), list_distinct(string_split_regex(lower(text), '\s+')))) AS score FROM t)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s QUALIFY rank <= 10""",
     "scope_demotion": rf"""
-WITH s AS ({_SECTIONS_SQL}), f AS (SELECT *, section IN ('1', '2', '3', '4', 'General') OR regexp_matches(section, '^2\.\d+$') AS is_scope FROM s)
+WITH s AS ({_SECTIONS_SQL}), h AS (SELECT *, lower(substr(ltrim(regexp_replace(text, '^[^\]]*\]', '')), 1, 200)) AS head FROM s),
+f AS (SELECT *, section IN ('1', '2', '3', '4', 'General') OR regexp_matches(section, '^2\.\d+$') OR contains(head, 'as defined in the consolidated resolution') OR regexp_matches(head, '^\d{{1,2}}\s+(?:{'|'.join(T.MONTHS)})\s+20\d{{2}}') AS is_scope FROM h)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY is_scope, rank) AS rank, doc_id, section, is_scope FROM f""",
-    "annex_promotion": _promotion_sql("contains(section, 'Annex_3')", "score DESC, doc_id"),
-    "cited_promotion": _promotion_sql("section = '5.2.3' OR starts_with(section, '5.2.3.') OR starts_with('5.2.3', section || '.')", "len(string_split(section, '.')) DESC, score DESC, doc_id"),
+    "annex_promotion": _promotion_sql(r"regexp_matches(section, 'Annex_' || regexp_extract(query, '(?i)\bannex\s*(\d+)\b', 1) || '(?:\D|$)')", "chunk_type = 'table' OR contains(text, 'Vehicle category') DESC, score DESC, doc_id"),
+    "cited_promotion": _promotion_sql(
+        r"len(list_filter(list_concat(regexp_extract_all(query, '(?i)(?:§|paragraph\s+)(\d+(?:\.\d+)*)', 1), regexp_extract_all(query, '\b(\d+\.\d+\.\d+)\b', 1)), lambda c: section = c OR starts_with(section, c || '.') OR starts_with(c, section || '.'))) > 0",
+        "len(string_split(section, '.')) DESC, score DESC, doc_id",
+    ),
     "parent_expansion": f"""
 WITH s AS ({_SECTIONS_SQL}),
 up AS (SELECT query_id, doc_id - doc_id % 3 AS doc_id, min(rank) AS pos FROM s WHERE doc_id % 3 <> 0 GROUP BY ALL),
@@ -245,7 +263,9 @@ b AS (SELECT query_id, doc_id, rank AS pos, 0 AS is_parent FROM s UNION ALL SELE
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, is_parent, doc_id) AS rank, doc_id, is_parent FROM b QUALIFY rank <= 12""",
     "crossref_expansion": f"""
 WITH s AS (SELECT query_id, doc_id, rank, 1.0::DOUBLE / rank AS score FROM ({_SECTIONS_SQL}) WHERE rank <= 3),
-e AS (SELECT doc_id AS src, 0 AS o, doc_id * 7 % 997 AS dst FROM documents UNION ALL SELECT doc_id, 1, doc_id * 13 % 991 FROM documents),
+t AS (SELECT doc_id AS src, lang, regexp_extract_all(lower({_CITING}), '{R.CITATION}', 1) AS ns FROM documents), c AS (SELECT src, lang, unnest(ns) AS number, unnest(range(len(ns))) AS o FROM t),
+p AS (SELECT lang, {_SECTION} AS section, min(doc_id) AS dst FROM documents GROUP BY ALL),
+e AS (SELECT src, o, dst FROM c, (SELECT unnest(range(1, 9)) AS n) n JOIN p ON p.lang = c.lang AND p.section = array_to_string(string_split(number, '.')[1:n], '.') WHERE n <= len(string_split(number, '.')) QUALIFY row_number() OVER (PARTITION BY src, o ORDER BY n DESC) = 1),
 one AS (SELECT query_id, dst AS doc_id, rank AS p, o, round(score - 0.05, 6) AS score FROM s JOIN e ON e.src = s.doc_id WHERE src <> dst
         QUALIFY row_number() OVER (PARTITION BY query_id, dst ORDER BY rank, o) = 1),
 d1 AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY p, o, doc_id) AS p, score FROM one WHERE (query_id, doc_id) NOT IN (SELECT query_id, doc_id FROM s)),

@@ -36,7 +36,7 @@ def _typed(fields: str) -> str:
 
 
 def scanned_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """(path, length, file_hash, authority) of a folder tree; the authority comes from the path's parts."""
+    """(path, length, file_hash, authority) of a folder tree; the authority comes from the path's parts. Empty files are not listed."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     low = F.lower("path")
     authority = F.when(low.contains("unece"), "UNECE").when(low.contains("ncap"), "NCAP").when(low.contains("nhtsa") | low.contains("fmvss"), "NHTSA").when(low.contains("iihs"), "IIHS").otherwise("OTHER")
