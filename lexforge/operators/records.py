@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.sizes import small
+
 #: What a limit looks like, words near it that make it a floor or a ceiling, and words that name a criterion.
 LIMIT = r"(\d+(?:\.\d+)?)\s*(mm|g|kn|ms)\b"
 FLOOR_WORDS = ("above", "greater than", "greater", "minimum", "min", "at least", "stay above", "more than", "exceeds")
@@ -201,20 +203,44 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+#: Cases of a batch, which are broadcast; pipes of a table where a case does not say.
+MOST_CASES, MIN_PIPES = 10_000, 20
+
+
 def check_cases(cases: DataFrame, hits: DataFrame) -> DataFrame:
-    """case_id, found, together, clean, passed: words asked for over all hits, together in one hit, and words that must not occur."""
-    # the cases are few; an empty hit for each keeps those without hits and changes no other
-    rows = hits.select("case_id", "text").union(cases.select("case_id", F.lit("").alias("text"))).join(F.broadcast(cases), "case_id")
-    low = F.lower(F.coalesce("text", F.lit("")))
-
-    def all_in(words: str) -> Column:
-        return F.forall(words, lambda w: F.contains(low, F.lower(w)))
-
-    # each wanted word must occur in some hit: bits by place, or-ed over the hits
-    bits = F.aggregate(F.transform("must_contain", lambda w, i: F.when(F.contains(low, F.lower(w)), F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda s, x: s.bitwiseOR(x))
-    agg = rows.withColumn("bits", bits).withColumn("together", all_in("together")).withColumn("bad", F.exists("must_not", lambda w: F.contains(low, F.lower(w))))
-    out = agg.groupBy("case_id").agg((F.bit_count(F.bit_or("bits")) == F.max(F.size("must_contain"))).alias("found"), F.bool_or("together").alias("together"), (~F.bool_or("bad")).alias("clean"))
-    return out.withColumn("passed", F.col("found") & F.col("together") & F.col("clean"))
+    """(case_id, found, codes_ok, together, clean, table_ok, retrieved, passed) of cases against their hits (case_id, code, chunk_type, text).
+
+    cases: case_id, must_contain, together, must_not, codes (arrays, each may be null or empty), needs_table, min_pipes (may be null). found: each wanted term is in some hit; together: one hit has all of
+    them; clean: no unwanted term is in a hit, as a word, or as it stands where it begins or ends with a space; codes_ok: all expected codes are among
+    the hits', or there are hits where none is expected; table_ok: one hit has so many pipes, is a table or has a table's rule, and has the terms that belong together.
+    A case has 31 terms and 31 codes at most. Hits of a case are combined in each task before they are shuffled; a case without hits stays.
+    """
+    none = F.array().cast("array<string>")
+    told = cases.select("case_id", *[F.coalesce(c, none).alias(c) for c in ("must_contain", "together", "must_not", "codes")], F.coalesce("needs_table", F.lit(False)).alias("needs_table"), F.coalesce("min_pipes", F.lit(MIN_PIPES)).alias("min_pipes"))
+    # an empty hit for each case keeps those without hits and changes no other
+    rows = hits.select("case_id", "code", "chunk_type", F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("hit")).union(told.select("case_id", F.lit(None), F.lit(None), F.lit(""), F.lit(0)))
+    rows = rows.join(small(told, MOST_CASES, "cases"), "case_id").withColumn("low", F.lower("text"))
+
+    def bits(wanted: str, there) -> Column:
+        """A bit for each wanted value, by place, so that hits can be or-ed."""
+        each = F.transform(wanted, lambda w, i: F.when(there(w), F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
+        return F.aggregate(each, F.lit(0), lambda s, x: s.bitwiseOR(x))
+
+    def unwanted(w: Column) -> Column:
+        edge = F.startswith(w, F.lit(" ")) | F.endswith(w, F.lit(" "))
+        return F.when(edge, F.contains(F.concat(F.lit(" "), "low", F.lit(" ")), F.lower(w))).otherwise(F.regexp_like(F.col("low"), F.concat(F.lit(r"\b\Q"), F.lower(w), F.lit(r"\E\b"))))
+
+    pipes = F.char_length("text") - F.char_length(F.replace("text", F.lit("|"), F.lit("")))
+    rows = rows.withColumn("all", (F.col("hit") == 1) & F.forall("together", lambda w: F.contains("low", F.lower(w))))
+    rows = rows.withColumn("whole", (pipes >= F.col("min_pipes")) & (F.coalesce(F.col("chunk_type") == "table", F.lit(False)) | F.contains("text", F.lit("| --- |"))) & F.col("all"))
+    agg = rows.groupBy("case_id").agg(
+        F.bit_or(bits("must_contain", lambda w: F.contains("low", F.lower(w)))).alias("words"), F.bit_or(bits("codes", lambda c: F.coalesce(F.col("code") == c, F.lit(False)))).alias("named"),
+        F.bool_or("all").alias("all"), F.bool_or("whole").alias("whole"), F.bool_or(F.exists("must_not", unwanted)).alias("bad"), F.sum("hit").alias("retrieved"),
+        F.max(F.size("must_contain")).alias("n_words"), F.max(F.size("codes")).alias("n_codes"), F.max(F.size("together")).alias("n_together"), F.bool_or("needs_table").alias("needs_table"),
+    )
+    codes_ok = F.when(F.col("n_codes") > 0, F.bit_count("named") == F.col("n_codes")).otherwise(F.col("retrieved") > 0)
+    out = agg.select("case_id", (F.bit_count("words") == F.col("n_words")).alias("found"), codes_ok.alias("codes_ok"), ((F.col("n_together") == 0) | F.col("all")).alias("together"), (~F.col("bad")).alias("clean"), (~F.col("needs_table") | F.col("whole")).alias("table_ok"), "retrieved")
+    return out.withColumn("passed", F.col("found") & F.col("codes_ok") & F.col("together") & F.col("clean") & F.col("table_ok"))
 
 
 def streaks(rows: DataFrame, key: str, order: str, bad: str, least: int = 2) -> DataFrame:

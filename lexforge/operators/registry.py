@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.functions.sizes import small
 from lexforge.operators import documents as D
 from lexforge.operators import records as H
 
@@ -101,6 +102,7 @@ def amendment_audit(rows: DataFrame) -> DataFrame:
 #: Impact modes by the word of a question, criteria likewise, and what a test's id looks like.
 MODES = [("FRONTAL", ["FRONTAL_OFFSET"]), ("SIDE", ["SIDE_MDB", "POLE_SIDE"])]
 CRITERIA = [("THCC", "ThCC"), ("HIC", "HIC36")]
+MOST_QUESTIONS = 10_000
 TEST_ID = r"\b(TEST-\d{4}-\d{2}-\d{3})\b"
 
 
@@ -108,7 +110,7 @@ def tests_with_clauses(questions: DataFrame, tests: DataFrame, results: DataFram
     """(query_id, test_id, position, criterion, value, link, section, text): results that a question's words ask for, beside the clause they are linked to.
 
     The first word of each kind that a question has filters; without any it gets all visible results. Results of hidden tests never show.
-    A link that leads nowhere keeps its row; of a section's clauses the smallest clause_id counts. Questions are few and broadcast.
+    A link that leads nowhere keeps its row; of a section's clauses the smallest clause_id counts. Questions are at most MOST_QUESTIONS, a block that every visible result is held against.
     """
     q = F.upper("query")
 
@@ -121,7 +123,7 @@ def tests_with_clauses(questions: DataFrame, tests: DataFrame, results: DataFram
     asked = questions.select("query_id", wanted(MODES).alias("modes"), wanted(CRITERIA).alias("criteria"), F.nullif(F.regexp_extract(q, TEST_ID, 1), F.lit("")).alias("asked_id"))
     seen = tests.where(H.visible(user, F.col("confidential"), F.col("owner"))).select("test_id", "impact_mode").join(results, "test_id")
     fits = (F.col("modes").isNull() | F.array_contains("modes", F.col("impact_mode"))) & (F.col("criteria").isNull() | F.array_contains("criteria", F.col("criterion"))) & (F.col("asked_id").isNull() | (F.col("asked_id") == F.col("test_id")))
-    rows = seen.join(F.broadcast(asked), fits)
+    rows = seen.join(small(asked, MOST_QUESTIONS, "questions"), fits)
     once = clauses.groupBy(F.concat("code", F.lit("#"), "section").alias("link")).agg(F.min_by(F.struct("section", "text"), "clause_id").alias("c"))
     return rows.join(once, "link", "left").select("query_id", "test_id", "position", "criterion", "value", "link", "c.section", "c.text")
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.sizes import small
 from lexforge.functions.text import MONTHS, bare_words, long_terms, substring_hits
 from lexforge.operators.records import with_limits
 
@@ -44,10 +45,7 @@ def metadata_filter(filters: dict, include_superseded: bool = False) -> Column:
 
 def against(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Each question beside each row of the corpus; the questions are the small side, and that is checked."""
-    few = queries.limit(MOST_QUERIES + 1).count()
-    if few > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} questions in a batch: split it")
-    return corpus.crossJoin(F.broadcast(queries))
+    return corpus.crossJoin(small(queries, MOST_QUERIES, "questions"))
 
 
 def dot(a: Column, b: Column) -> Column:

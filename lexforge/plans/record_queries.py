@@ -126,12 +126,19 @@ def retrieval_diff(spark: SparkSession, d: str) -> DataFrame:
     return pair.select(F.col("a.doc_id").alias("doc_id"), F.size(F.array_except("b.w", "a.w")).alias("added"), F.size(F.array_except("a.w", "b.w")).alias("removed"), F.round(H.jaccard(F.col("a.w"), F.col("b.w")), 6).alias("jaccard"))
 
 
-CASES = [(1, ["the", "and"], ["the", "of"], ["idiot"]), (2, ["der"], ["der", "die"], ["moron"]), (3, ["zebra"], ["zebra"], ["xylophone"]), (4, ["les"], ["les", "une"], ["for"])]
+#: case_id, must_contain, together, must_not, codes, needs_table, min_pipes.
+CASES = [
+    (1, ["the", "and"], ["the", "of"], ["idiot"], ["UN_R0", "UN_R4"], False, None), (2, ["der"], ["der", "die"], ["moron"], ["UN_R7"], True, 20), (3, ["zebra"], ["zebra"], ["xylophone"], None, False, None),
+    (4, ["les"], None, ["for", " une"], [], True, 30), (5, ["x"], [], [], ["UN_R1"], False, None), (6, None, None, ["sch", "+"], None, False, None),
+]
+_HIT = "text || CASE WHEN doc_id % 50 = 3 THEN ' | --- |' || repeat(' | cell', 25) WHEN doc_id % 50 = 4 THEN repeat('|', 21) ELSE '' END"
 
 
 def case_eval(spark: SparkSession, d: str) -> DataFrame:
-    cases = spark.createDataFrame(CASES, "case_id int, must_contain array<string>, together array<string>, must_not array<string>")
-    hits = table(spark, d, "documents").select((F.col("doc_id") % 4 + 1).cast("int").alias("case_id"), "text")
+    """Six cases with all documents as hits, dealt to them by id; the fifth has none."""
+    cases = spark.createDataFrame(CASES, "case_id int, must_contain array<string>, together array<string>, must_not array<string>, codes array<string>, needs_table boolean, min_pipes int")
+    i = F.col("doc_id") % 5
+    hits = table(spark, d, "documents").select(F.when(i == 4, 6).otherwise(i + 1).cast("int").alias("case_id"), F.concat(F.lit("UN_R"), (F.col("doc_id") % 9).cast("string")).alias("code"), F.when(F.col("doc_id") % 3 == 0, "table").otherwise("clause").alias("chunk_type"), F.expr(_HIT).alias("text"))
     return H.check_cases(cases, hits)
 
 
@@ -211,12 +218,15 @@ SELECT o_orderkey, steps, greatest(0, CAST(floor(o_totalprice / 1000) AS BIGINT)
 WITH d AS (SELECT doc_id, list_distinct(string_split_regex(lower(text), '\s+')) AS w FROM documents),
 p AS (SELECT a.doc_id, len(a.w) AS na, len(b.w) AS nb, len(list_intersect(a.w, b.w)) AS k FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)
 SELECT doc_id, nb - k AS added, na - k AS removed, round(k::DOUBLE / (na + nb - k), 6) AS jaccard FROM p""",
-    "case_eval": """
-WITH c(case_id, must_contain, tog, must_not) AS (VALUES (1, ['the', 'and'], ['the', 'of'], ['idiot']), (2, ['der'], ['der', 'die'], ['moron']), (3, ['zebra'], ['zebra'], ['xylophone']), (4, ['les'], ['les', 'une'], ['for'])),
-h AS (SELECT CAST(doc_id % 4 + 1 AS INT) AS case_id, lower(text) AS t FROM documents),
+    "case_eval": f"""
+WITH c(case_id, must_contain, tog, must_not, codes, needs, pipes) AS (VALUES {", ".join(f"({i}, {a or []}::VARCHAR[], {t or []}::VARCHAR[], {n or []}::VARCHAR[], {k or []}::VARCHAR[], {str(q).lower()}, {p or 20})" for i, a, t, n, k, q, p in CASES)}),
+h AS (SELECT CAST(CASE WHEN doc_id % 5 = 4 THEN 6 ELSE doc_id % 5 + 1 END AS INT) AS case_id, 'UN_R' || (doc_id % 9) AS code, doc_id % 3 = 0 AS tab, {_HIT} AS x, lower({_HIT}) AS t FROM documents),
+j AS (SELECT c.*, h.code, h.t IS NOT NULL AS hit, coalesce(h.t, '') AS t, coalesce(len(list_filter(tog, lambda w: NOT contains(h.t, lower(w)))) = 0, false) AS every, coalesce(length(x) - length(replace(x, '|', '')) >= pipes AND (tab OR contains(x, '| --- |')), false) AS grid FROM c LEFT JOIN h USING (case_id)),
+r AS (SELECT case_id, any_value(tog) AS tog, any_value(needs) AS needs, any_value(codes) AS codes, list(DISTINCT code) FILTER (code IS NOT NULL) AS named, count(*) FILTER (hit) AS retrieved, bool_or(every) AS every, bool_or(every AND grid) AS whole,
+  bool_or(len(list_filter(must_not, lambda w: CASE WHEN starts_with(w, ' ') OR ends_with(w, ' ') THEN contains(' ' || t || ' ', w) ELSE regexp_matches(t, '\\b\\Q' || w || '\\E\\b') END)) > 0) AS bad FROM j GROUP BY case_id),
 w AS (SELECT c.case_id, bool_and(EXISTS (SELECT 1 FROM h WHERE h.case_id = c.case_id AND contains(h.t, x.w))) AS found FROM c, LATERAL (SELECT unnest(must_contain) AS w) x GROUP BY c.case_id),
-r AS (SELECT c.case_id, bool_or(len(list_filter(tog, lambda x: NOT contains(h.t, x))) = 0) AS together, NOT bool_or(len(list_filter(must_not, lambda x: contains(h.t, x))) > 0) AS clean FROM c LEFT JOIN h USING (case_id) GROUP BY c.case_id)
-SELECT case_id, found, together, clean, found AND together AND clean AS passed FROM w JOIN r USING (case_id)""",
+o AS (SELECT case_id, coalesce(found, true) AS found, CASE WHEN len(codes) > 0 THEN list_has_all(coalesce(named, []), codes) ELSE retrieved > 0 END AS codes_ok, len(tog) = 0 OR every AS together, NOT bad AS clean, NOT needs OR whole AS table_ok, retrieved FROM r LEFT JOIN w USING (case_id))
+SELECT *, found AND codes_ok AND together AND clean AND table_ok AS passed FROM o""",
     "error_streaks": """
 WITH e AS (SELECT user_id, event_id, event_type IN ('error', 'click') AS bad, sum(CASE WHEN event_type IN ('error', 'click') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS i FROM events)
 SELECT user_id, min(event_id) AS first_order, count(*) AS length FROM e WHERE bad GROUP BY user_id, i HAVING count(*) >= 3""",
