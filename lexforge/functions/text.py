@@ -47,8 +47,28 @@ def window_starts(text: Column, size: int, overlap: int, stop_at_end: bool) -> C
     return F.when(n > 0, F.sequence(F.lit(0), last.cast("int"), F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
-def header(source: Column, code: Column, amendment: Column, document: Column, page: Column, section: Column) -> Column:
-    return F.concat(F.lit("[Source: "), source, F.lit(" | Reg: "), code, F.lit(" | Amendment: "), amendment, F.lit(" | Doc: "), document, F.lit(" | Page: "), page.cast("string"), F.lit(" | Section: "), section, F.lit("]"))
+def header(source: Column, code: Column, amendment: Column, document: Column, page: Column, section: Column, kind: Column | None = None) -> Column:
+    """The line that a chunk begins with; chunks of the structured chunker also say their type."""
+    parts = [F.lit("[Source: "), source, F.lit(" | Reg: "), code, F.lit(" | Amendment: "), amendment, F.lit(" | Doc: "), document, F.lit(" | Page: "), page.cast("string"), F.lit(" | Section: "), section]
+    return F.concat(*parts, *([F.lit(" | Type: "), kind] if kind is not None else []), F.lit("]"))
+
+
+#: A header with a type.
+HEADER = r"\[Source:\s*([^|]+)\|\s*Reg:\s*([^|]+)\|\s*Amendment:\s*([^|]+)\|\s*Doc:\s*([^|]+)\|\s*Page:\s*([^|]+)\|\s*Section:\s*([^|]+)\|\s*Type:\s*([^\]]+)\]"
+
+
+def fingerprint(context: Column) -> Column:
+    """What tells a retrieved chunk apart from others: code, document, section, type and page of its header with a digest of its body's first 400 signs;
+    without such a header, a digest of the first 200. A null is an empty one."""
+    text = F.coalesce(context, F.lit(""))
+
+    def field(i: int) -> Column:
+        return F.trim(F.regexp_extract(text, HEADER, i))
+
+    body = F.regexp_replace(F.regexp_replace(text, r"(?s)^[^\]]*\]", ""), r"^\s+|\s+$", "")
+    mark = F.substring(F.md5(F.substring(body, 1, 400).cast("binary")), 1, 10)
+    named = F.concat_ws("|", field(2), field(4), field(6), field(7), F.concat(F.lit("p"), field(5)), mark)
+    return F.when(text.rlike(HEADER), named).otherwise(F.substring(F.md5(F.substring(text, 1, 200).cast("binary")), 1, 12))
 
 
 def header_field(chunk: Column, name: str) -> Column:

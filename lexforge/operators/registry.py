@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.functions.sizes import small
+from lexforge.functions.text import fingerprint
 from lexforge.operators import documents as D
 from lexforge.operators import records as H
 
@@ -162,3 +163,19 @@ def run_comparison(flat: DataFrame, structured: DataFrame) -> DataFrame:
 
     recall = [F.when(n == 0, 0.0).otherwise(F.round(x / n, 3)) for x in (a, b)]
     return both.agg(n.alias("total"), a.alias("flat_passed"), b.alias("structured_passed"), recall[0].alias("flat_recall"), recall[1].alias("structured_recall"), of("structure_wins").alias("structure_wins"), of("flat_wins").alias("flat_wins"), of("tie").alias("ties"), ((of("flat_wins") == 0) & (b == n)).alias("approval_ready"))
+
+
+def diff_runs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(case_id, before, after, same, jaccard): how the contexts (case_id, context) of two runs differ, by their fingerprints, each counted once a case.
+
+    A case of one run alone has a Jaccard of 0. Fingerprints meet in one aggregate with map-side combine, so no case's list is ever gathered.
+    """
+    sides = [rows.select("case_id", fingerprint(F.col("context")).alias("mark"), F.lit(side).alias("side")) for side, rows in enumerate((before, after))]
+    marks = sides[0].union(sides[1]).groupBy("case_id", "mark").agg(F.bool_or(F.col("side") == 0).alias("old"), F.bool_or(F.col("side") == 1).alias("new"))
+    same = F.count_if(F.col("old") & F.col("new"))
+    return marks.groupBy("case_id").agg(F.count_if("old").alias("before"), F.count_if("new").alias("after"), same.alias("same"), F.round(same / F.count("*"), 6).alias("jaccard"))
+
+
+def diff_summary(diffs: DataFrame) -> DataFrame:
+    """One row of diff_runs(): cases, those that are identical, the mean Jaccard, and how many contexts were added and removed."""
+    return diffs.agg(F.count("*").alias("cases"), F.count_if(F.col("jaccard") == 1).alias("identical"), F.round(F.avg("jaccard"), 4).alias("mean_jaccard"), F.sum(F.col("after") - F.col("same")).alias("added"), F.sum(F.col("before") - F.col("same")).alias("removed"))

@@ -65,12 +65,12 @@ def incremental_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def header_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Headers with a type, read back into fingerprints; every ninth document has none."""
     docs = table(spark, d, "documents")
-    made = T.header(F.col("source"), F.concat(F.lit("UN_R"), (F.col("doc_id") % 150).cast("string")), F.lit("05 Series"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.lit(3), F.lit("5.2.1"))
-    rows = docs.select("doc_id", F.concat(made, F.lit("\n"), F.col("text")).alias("chunk"))
-    body = F.regexp_replace("chunk", r"(?s)^\[[^\]]*\]\n", "")
-    mark = F.concat_ws("|", T.header_field(F.col("chunk"), "Reg"), T.header_field(F.col("chunk"), "Doc"), T.header_field(F.col("chunk"), "Section"), F.concat(F.lit("p"), T.header_field(F.col("chunk"), "Page")), F.substring(F.md5(F.substring(body, 1, 400).cast("binary")), 1, 10))
-    return rows.select("doc_id", mark.alias("fingerprint"))
+    number = F.col("doc_id").cast("string")
+    made = T.header(F.col("source"), F.concat(F.lit("UN_R"), (F.col("doc_id") % 150).cast("string")), F.lit("05 Series"), F.concat(F.lit("doc"), number), F.col("doc_id") % 12, F.lit("5.2.1"), F.when(F.col("doc_id") % 2 == 0, "clause").otherwise("table"))
+    chunk = F.when(F.col("doc_id") % 9 == 0, F.col("text")).otherwise(F.concat(made, F.lit("\n\n"), F.col("text")))
+    return docs.select("doc_id", T.fingerprint(chunk).alias("fingerprint"))
 
 
 def version_register(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +223,9 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) AS ta
     "incremental_plan": f"""
 WITH h AS (SELECT doc_id, source, {_HASH.format(t='text')} AS h FROM documents), s AS (SELECT DISTINCT h FROM h WHERE doc_id % 2 = 0)
 SELECT source, count(*) AS total, count(s.h) AS reused, count(*) - count(s.h) AS new FROM h LEFT JOIN s ON s.h = h.h GROUP BY source""",
-    "header_roundtrip": "SELECT doc_id, 'UN_R' || (doc_id % 150) || '|doc' || doc_id || '|5.2.1|p3|' || substr(md5(substr(text, 1, 400)), 1, 10) AS fingerprint FROM documents",
+    "header_roundtrip": r"""
+SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN substr(md5(substr(text, 1, 200)), 1, 12) ELSE 'UN_R' || (doc_id % 150) || '|doc' || doc_id || '|5.2.1|' || CASE WHEN doc_id % 2 = 0 THEN 'clause' ELSE 'table' END || '|p' || (doc_id % 12) || '|'
+  || substr(md5(substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 400)), 1, 10) END AS fingerprint FROM documents""",
     "version_register": """
 WITH o AS (SELECT o_orderkey, o_custkey % 300 AS code, nullif(o_orderpriority, '5-LOW') AS amendment, o_orderstatus AS h FROM orders),
 a AS (SELECT code, amendment, arg_max(h, o_orderkey) AS h FROM o WHERE o_orderkey % 2 = 0 GROUP BY code, amendment)

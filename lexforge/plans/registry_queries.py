@@ -122,7 +122,26 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     return G.run_comparison(*_runs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (version_scd2, manifest_upsert, delete_cascade, gate_pipeline, gate_log, offline_batch, batch_summary, amendment_audit, tests_with_clauses, refusal_check, eval_outcomes, eval_summary)}
+_BEFORE = "'[Source: s | Reg: UN_R' || (doc_id % 9) || ' | Amendment: a | Doc: d' || (doc_id % 300) || ' | Page: ' || (doc_id % 4) || ' | Section: 5 | Type: clause]' || text"
+_AFTER = "CASE WHEN doc_id % 13 = 0 THEN text WHEN doc_id % 3 = 0 THEN '[Source: s | Reg: UN_R' || (doc_id % 9) || ' | Amendment: b | Doc: d' || (doc_id % 300) || ' | Page: 9 | Section: 5 | Type: clause]' || text ELSE " + _BEFORE + " END"
+
+
+def _run_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as contexts of cases: a third on another page, some without a header, some only in one run."""
+    docs = table(spark, d, "documents")
+    case = F.col("doc_id") % 120
+    return G.diff_runs(docs.where("doc_id % 120 != 7").select(case.alias("case_id"), F.expr(_BEFORE).alias("context")), docs.where("doc_id % 5 != 2").select(case.alias("case_id"), F.expr(_AFTER).alias("context")))
+
+
+def run_diff(spark: SparkSession, d: str) -> DataFrame:
+    return _run_diff(spark, d)
+
+
+def run_diff_summary(spark: SparkSession, d: str) -> DataFrame:
+    return G.diff_summary(_run_diff(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (run_diff, run_diff_summary, version_scd2, manifest_upsert, delete_cascade, gate_pipeline, gate_log, offline_batch, batch_summary, amendment_audit, tests_with_clauses, refusal_check, eval_outcomes, eval_summary)}
 
 _GATED = f"""SELECT page_id, CASE WHEN NOT allowed THEN 'allowlist' WHEN v.outcome <> 'ACCEPTED' THEN 'validate' ELSE 'tracker' END AS stage,
   CASE WHEN NOT allowed THEN 'rejected' WHEN starts_with(v.outcome, 'NEEDS') THEN 'needs_ocr' WHEN v.outcome <> 'ACCEPTED' THEN 'rejected' ELSE lower(change) END AS outcome,
@@ -138,7 +157,15 @@ o AS (SELECT *, CASE WHEN b AND NOT a THEN 'structure_wins' WHEN a AND NOT b THE
 """
 _SAYS = "(" + " OR ".join("contains(t, '" + p.replace("'", "''") + "')" for p in G.REFUSALS) + ")"
 
+_MARK = r"CASE WHEN starts_with(x, '[Source') THEN concat_ws('|', regexp_extract(x, 'Reg: (\S+)', 1), regexp_extract(x, 'Doc: (\S+)', 1), '5', 'clause', 'p' || regexp_extract(x, 'Page: (\d+)', 1), substr(md5(substr(regexp_replace(regexp_replace(x, '^[^\]]*\]', ''), '^\s+|\s+$', '', 'g'), 1, 400)), 1, 10)) ELSE substr(md5(substr(x, 1, 200)), 1, 12) END"
+_DIFF = f"""WITH c AS (SELECT doc_id % 120 AS case_id, {_BEFORE} AS x, 0 AS side FROM documents WHERE doc_id % 120 <> 7 UNION ALL SELECT doc_id % 120, {_AFTER}, 1 FROM documents WHERE doc_id % 5 <> 2),
+m AS (SELECT case_id, {_MARK} AS mark, bool_or(side = 0) AS old, bool_or(side = 1) AS new FROM c GROUP BY ALL),
+d AS (SELECT case_id, count(*) FILTER (old) AS before, count(*) FILTER (new) AS after, count(*) FILTER (old AND new) AS same, round(count(*) FILTER (old AND new) / count(*), 6) AS jaccard FROM m GROUP BY case_id)
+"""
+
 SQL = {
+    "run_diff": _DIFF + "SELECT * FROM d",
+    "run_diff_summary": _DIFF + "SELECT count(*) AS cases, count(*) FILTER (jaccard = 1) AS identical, round(avg(jaccard), 4) AS mean_jaccard, sum(after - same)::BIGINT AS added, sum(before - same)::BIGINT AS removed FROM d",
     "version_scd2": """
 WITH v AS (SELECT o_orderkey AS id, o_custkey % 300 AS code, nullif(o_orderpriority, '5-LOW') AS am, o_orderstatus AS h FROM orders),
 r AS (SELECT *, id = max(id) OVER (PARTITION BY code, am) AS active FROM v WHERE id % 2 = 0), i AS (SELECT code, am, max(id) AS id, arg_max(h, id) AS h FROM v WHERE id % 2 = 1 GROUP BY code, am),

@@ -59,3 +59,13 @@ def test_comparison_of_runs(spark):
     assert tuple(G.run_comparison(a, b).first()) == (4, 2, 2, 0.5, 0.5, 1, 1, 1, False)
     none = a.where("false")
     assert tuple(G.run_comparison(none, none).first())[:5] == (0, 0, 0, 0.0, 0.0)
+
+
+def test_runs_differ_by_fingerprints(spark):
+    head = "[Source: UNECE | Reg: UN_R94 | Amendment: {} | Doc: a.pdf | Page: {} | Section: 5.2.1 | Type: clause]\n\n{}"
+    before = [(1, head.format("04", 3, "ThCC")), (1, head.format("04", 3, "ThCC")), (1, head.format("04", 4, "HIC")), (1, "no header"), (2, head.format("x", 1, "same")), (3, None)]
+    after = [(1, head.format("05", 3, " ThCC ")), (1, head.format("04", 5, "HIC")), (1, "no header"), (2, head.format("y", 1, "same")), (4, "new")]
+    frames = [spark.createDataFrame(x, "case_id int, context string") for x in (before, after)]
+    diffs = G.diff_runs(*frames)
+    assert sorted(map(tuple, diffs.collect())) == [(1, 3, 3, 2, 0.5), (2, 1, 1, 1, 1.0), (3, 1, 0, 0, 0.0), (4, 0, 1, 0, 0.0)]
+    assert tuple(G.diff_summary(diffs).first()) == (4, 1, 0.375, 2, 2)
