@@ -25,11 +25,13 @@ Embed = Callable[[list[str]], np.ndarray]
 
 
 class Model(Protocol):
-    """What embed() needs. Models travel to the workers, so they hold parameters only; weights are read in load()."""
+    """What embed() needs. Models travel to the workers, so they hold parameters only; weights are read in load().
+
+    They are hashable: a worker loads equal models once.
+    """
 
     @property
-    def name(self) -> str:
-        """Tells models apart: a worker keeps one loaded model per name."""
+    def name(self) -> str: ...
 
     @property
     def dimension(self) -> int: ...
@@ -69,13 +71,17 @@ class LetterModel:
         return lambda texts: np.array([[t.lower().count(c) for c in self.letters] for t in texts], float)
 
 
-_LOADED: dict[str, Embed] = {}
+_LOADED: dict[Model, Embed] = {}
+#: Models that a worker keeps loaded.
+MOST_LOADED = 2
 
 
 def loaded(model: Model) -> Embed:
-    if model.name not in _LOADED:
-        _LOADED[model.name] = model.load()
-    return _LOADED[model.name]
+    if model not in _LOADED:
+        while len(_LOADED) >= MOST_LOADED:
+            del _LOADED[next(iter(_LOADED))]
+        _LOADED[model] = model.load()
+    return _LOADED[model]
 
 
 def embed(texts: DataFrame, model: Model, key: str, text: str) -> DataFrame:

@@ -48,6 +48,13 @@ def test_new_texts_are_embedded_once_and_counted(spark):
     assert E.embed_incremental(chunks.limit(0), stored, E.SeededModel(8)).count() == 0
 
 
+def test_models_of_one_name_are_told_apart():
+    ab, cd = E.loaded(E.LetterModel("ab")), E.loaded(E.LetterModel("cd"))
+    assert [f(["abbc"]).tolist() for f in (ab, cd)] == [[[1, 2]], [[1, 0]]] and E.loaded(E.LetterModel("cd")) is cd
+    E.loaded(E.LetterModel("e"))
+    assert len(E._LOADED) == E.MOST_LOADED
+
+
 def test_a_seeded_vector_is_the_same_everywhere():
     a, b = E.SeededModel(16).load()(["abc", "abd"])
     seed = int.from_bytes(__import__("hashlib").sha256(b"abc").digest(), "big") % (2**32 - 1)
