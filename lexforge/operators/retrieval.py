@@ -123,8 +123,8 @@ def demote_scope(ranked: DataFrame) -> DataFrame:
     return ranked.withColumnRenamed("rank", "old_rank").withColumn("is_scope", flag).withColumn("rank", F.row_number().over(w))
 
 
-def promote(ranked: DataFrame, wanted: Column, k: int, *order: Column) -> DataFrame:
-    """The best wanted chunk takes the last of k places, unless a chunk of the first k is that one already."""
+def promote(ranked: DataFrame, wanted: Column, k: int, *order: Column, cut: bool = True) -> DataFrame:
+    """The best wanted chunk takes the last of k places, unless a chunk of the first k is that one already. Without cut the others stay behind them, in their order."""
     w = Window.partitionBy("query_id")
     best = F.row_number().over(w.orderBy(F.desc("wanted"), *order))
     r = ranked.withColumn("wanted", F.coalesce(wanted, F.lit(False))).withColumn("chosen", (best == 1) & F.col("wanted"))
@@ -132,16 +132,16 @@ def promote(ranked: DataFrame, wanted: Column, k: int, *order: Column) -> DataFr
     exists = F.max("chosen").over(w)
     r = r.withColumn("inside", inside).withColumn("exists", exists)
     moved = F.when(F.col("inside") | ~F.col("exists"), F.col("rank")).when(F.col("chosen"), F.lit(k)).when(F.col("rank") >= k, F.col("rank") + 1).otherwise(F.col("rank"))
-    return r.withColumn("rank", moved).where(F.col("rank") <= k).drop("wanted", "chosen", "inside", "exists")
+    return r.withColumn("rank", moved).where((F.col("rank") <= k) | F.lit(not cut)).drop("wanted", "chosen", "inside", "exists")
 
 
-def promote_annex(ranked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def promote_annex(ranked: DataFrame, queries: DataFrame, k: int, cut: bool = True) -> DataFrame:
     """Where a question names an annex, its best chunk of the list (section, chunk_type, text, score) is among the first k: tables before other chunks, then by score."""
     number = F.nullif(F.regexp_extract("query", r"(?i)\bannex\s*(\d+)\b", 1), F.lit(""))
     rows = ranked.join(queries.select("query_id", number.alias("_annex")), "query_id", "left")
     wanted = F.regexp_like(F.col("section"), F.concat(F.lit("Annex_"), F.col("_annex"), F.lit(r"(?:\D|$)")))
     table = F.coalesce((F.col("chunk_type") == "table") | F.contains("text", F.lit("Vehicle category")), F.lit(False))
-    return promote(rows, wanted, k, F.desc(table), F.desc("score"), F.col("doc_id")).drop("_annex")
+    return promote(rows, wanted, k, F.desc(table), F.desc("score"), F.col("doc_id"), cut=cut).drop("_annex")
 
 
 def promote_cited(ranked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -163,6 +163,26 @@ def expand_parents(ranked: DataFrame, corpus: DataFrame, k: int, most: int = 4)
     return top(both, k, F.col("at"), F.col("is_parent"), F.col("doc_id"))
 
 
+def search(queries: DataFrame, corpus: DataFrame, top_k: int = 10, score: Callable[[Column, Column], Column] | None = None, parents: int = 4) -> DataFrame:
+    """(query_id, rank, doc_id, is_parent): the whole way of a question, in one plan.
+
+    Both lists give depth(top_k) candidates, fusion ranks them, a score (a reranker's column function) ranks them anew where there is one, else the fused order
+    stands. Scope chunks go behind the others; the chunks of a named annex and of cited paragraphs are promoted from the candidates, by their fused score;
+    parents follow their chunks, at most so many, and then the list is cut. queries: query_id, query, query_vector; corpus: doc_id, text, embedding,
+    section, chunk_type, parent_id. Only candidates carry texts beyond the two lists.
+    """
+    n = depth(top_k)
+    fused = fuse(dense(queries, corpus, n), sparse(queries, corpus, n), n).select("query_id", "doc_id", "rank", F.col("rrf_score").alias("score"))
+    pool = fused.join(corpus.select("doc_id", "text", "section", "chunk_type"), "doc_id")
+    if score is not None:
+        given = pool.join(queries.select("query_id", "query"), "query_id").withColumn("_given", score(F.col("query"), F.coalesce("text", F.lit(""))))
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_given"), "rank"))
+        pool = given.withColumn("rank", best).drop("query", "_given")
+    pool = demote_scope(pool).drop("old_rank", "is_scope")
+    chosen = promote_cited(promote_annex(pool, queries, top_k, cut=False), queries, top_k)
+    return expand_parents(chosen, corpus, top_k, parents).select("query_id", "rank", "doc_id", "is_parent")
+
+
 CITATION = r"(?:paragraphs?|paras?\.)\s+(\d+(?:\.\d+)*)"
 
 

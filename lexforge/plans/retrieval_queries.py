@@ -110,6 +110,26 @@ def cited_promotion(spark: SparkSession, d: str) -> DataFrame:
     return R.promote_cited(_sections(spark, d), _list_questions(spark, d), 5).select("query_id", "rank", "doc_id", "section")
 
 
+_PARENT = "CASE WHEN doc_id % 3 <> 0 THEN doc_id - doc_id % 3 END"
+
+
+def _search(spark: SparkSession, d: str, **how) -> DataFrame:
+    """The questions, each with an annex and paragraphs, over all documents as sections of regulations."""
+    rows = corpus(spark, d).select("doc_id", F.col("text"), "embedding", F.expr(_SECTION).alias("section"), F.expr(_KIND).alias("chunk_type"), F.expr(_PARENT).alias("parent_id"))
+    asked_ = questions(spark, d).withColumn("query", F.concat("query", F.lit(" annex "), (F.col("query_id") % 15).cast("string"), F.lit(" paragraph 5.2."), (F.col("query_id") % 7).cast("string")))
+    return R.search(asked_, rows, 6, **how)
+
+
+def search_fused(spark: SparkSession, d: str) -> DataFrame:
+    """Without a reranker the fused order stands."""
+    return _search(spark, d)
+
+
+def search_reranked(spark: SparkSession, d: str) -> DataFrame:
+    """Word overlap in the reranker's place, on candidates only."""
+    return _search(spark, d, score=R.overlap)
+
+
 def _promotion_sql(wanted: str, order: str) -> str:
     return f"""
 WITH s AS ({_SECTIONS_SQL}), q AS ({_LISTS_SQL}),
@@ -212,7 +232,7 @@ def passage_budget(spark: SparkSession, d: str) -> DataFrame:
     return R.within_budget(table(spark, d, "conversations"), "conv_id", "turn", 300, 4).select("conv_id", "turn", "tokens", "running")
 
 
-QUERIES = {f.__name__: f for f in (hybrid_rrf, dense_topk, sparse_topk, weighted_hybrid, rerank_overlap, scope_demotion, annex_promotion, cited_promotion, parent_expansion, crossref_expansion, longest_prefix, intent_route, passage_budget, fulltext_bm25, clause_search, answer_citations, answer_context)}
+QUERIES = {f.__name__: f for f in (search_fused, search_reranked, hybrid_rrf, dense_topk, sparse_topk, weighted_hybrid, rerank_overlap, scope_demotion, annex_promotion, cited_promotion, parent_expansion, crossref_expansion, longest_prefix, intent_route, passage_budget, fulltext_bm25, clause_search, answer_citations, answer_context)}
 
 _Q = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUESTIONS) + ") AS q(query_id, query)"
 _COS = "list_sum(list_transform(range(1, 65), lambda i: CAST({a}[i] AS DOUBLE) * {b}[i])) / (sqrt(list_sum(list_transform({a}, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform({b}, lambda x: CAST(x AS DOUBLE) * x))))"
@@ -309,3 +329,32 @@ _EVIDENCE = f"""SELECT h.query_id, h.rank, d.*, 'UN_R' || (d.doc_id % 120 + 10)
   CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE '5.' || (d.doc_id % 7) END AS section, 'Annex ' || (d.doc_id % 5) AS heading_path, CASE WHEN d.doc_id % 10 = 0 THEN 'test_record' ELSE 'clause' END AS chunk_type FROM ({SQL["hybrid_rrf"]}) h JOIN documents d ON d.doc_id = h.doc_id"""
 SQL["answer_citations"] = f"""SELECT query_id, rank, 'S' || rank AS id, CASE WHEN chunk_type = 'test_record' THEN 'harness_test' ELSE 'regulation_corpus' END AS source_kind, code, document, page_number, coalesce(nullif(section, ''), heading_path) AS section, amendment, substr(text, 1, 400) AS snippet FROM ({_EVIDENCE})"""
 SQL["answer_context"] = f"""SELECT query_id, count(*) AS passages, md5(string_agg('[S' || rank || '] Regulation: ' || code || ' | Amendment: ' || amendment || chr(10) || 'Document: ' || document || ' | Page: ' || page_number || chr(10) || text || chr(10) || chr(10), '' ORDER BY rank)) AS context_md5 FROM ({_EVIDENCE}) GROUP BY query_id"""
+
+
+def _search_sql(reranked: bool) -> str:
+    def promoted(source: str, wanted: str, order: str) -> str:
+        return f"""(SELECT * EXCLUDE (w, chosen, inside, there, rank), CASE WHEN inside OR NOT there THEN rank WHEN chosen THEN 6 WHEN rank >= 6 THEN rank + 1 ELSE rank END AS rank FROM (
+          SELECT *, bool_or(chosen AND rank <= 6) OVER (PARTITION BY query_id) AS inside, bool_or(chosen) OVER (PARTITION BY query_id) AS there FROM (
+          SELECT *, w AND row_number() OVER (PARTITION BY query_id ORDER BY w DESC, {order}) = 1 AS chosen FROM (SELECT *, coalesce({wanted}, false) AS w FROM {source}))))"""
+
+    annex = r"regexp_matches(section, 'Annex_' || regexp_extract(query, '(?i)\bannex\s*(\d+)\b', 1) || '(?:\D|$)')"
+    cited = r"len(list_filter(list_concat(regexp_extract_all(query, '(?i)(?:§|paragraph\s+)(\d+(?:\.\d+)*)', 1), regexp_extract_all(query, '\b(\d+\.\d+\.\d+)\b', 1)), lambda c: section = c OR starts_with(section, c || '.') OR starts_with(c, section || '.'))) > 0"
+    bare = r"list_distinct(list_filter(string_split_regex(lower(regexp_replace(query, '[^A-Za-z0-9\s]', ' ', 'g')), '\s+'), lambda t: t <> ''))"
+    given = rf"len(list_intersect({bare}, list_distinct(string_split_regex(lower(text), '\s+')))) DESC, " if reranked else ""
+    return rf"""
+WITH k AS (SELECT doc_id, text, embedding, {_SECTION} AS section, {_KIND} AS chunk_type FROM ({_CORPUS})), a AS (SELECT * REPLACE (query || ' annex ' || (query_id % 15) || ' paragraph 5.2.' || (query_id % 7) AS query) FROM ({_ASK})),
+de AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY {_COS.format(a='embedding', b='v')} DESC, doc_id) AS r FROM k, a WHERE embedding IS NOT NULL QUALIFY r <= 30),
+sp AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS r FROM (SELECT query_id, doc_id, {_HITS.format(terms=_TERMS)} AS s FROM k, a) WHERE s > 0 QUALIFY r <= 30),
+f AS (SELECT coalesce(de.query_id, sp.query_id) AS query_id, coalesce(de.doc_id, sp.doc_id) AS doc_id, de.r AS dr, sp.r AS sr, coalesce(1.0::DOUBLE / (60 + de.r), 0) + coalesce(1.0::DOUBLE / (60 + sp.r), 0) AS score FROM de FULL JOIN sp ON de.query_id = sp.query_id AND de.doc_id = sp.doc_id),
+p AS (SELECT f.query_id, f.doc_id, score, text, section, chunk_type, query, row_number() OVER (PARTITION BY f.query_id ORDER BY score DESC, dr NULLS LAST, sr NULLS LAST) AS first FROM f JOIN k USING (doc_id) JOIN a USING (query_id) QUALIFY first <= 30),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {given}first) AS old FROM p), h AS (SELECT *, lower(substr(ltrim(regexp_replace(text, '^[^\]]*\]', '')), 1, 200)) AS head FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY section IN ('1', '2', '3', '4', 'General') OR regexp_matches(section, '^2\.\d+$') OR contains(head, 'as defined in the consolidated resolution') OR regexp_matches(head, '^\d{{1,2}}\s+(?:{'|'.join(T.MONTHS)})\s+20\d{{2}}'), old) AS rank FROM h),
+x AS {promoted("o", annex, "chunk_type = 'table' OR contains(text, 'Vehicle category') DESC, score DESC, doc_id")},
+s AS (SELECT * FROM {promoted("x", cited, "len(string_split(section, '.')) DESC, score DESC, doc_id")} WHERE rank <= 6),
+up AS (SELECT query_id, doc_id - doc_id % 3 AS doc_id, min(rank) AS pos FROM s WHERE doc_id % 3 <> 0 GROUP BY ALL),
+new AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, doc_id) AS n FROM up WHERE (query_id, doc_id) NOT IN (SELECT query_id, doc_id FROM s) QUALIFY n <= 4),
+b AS (SELECT query_id, doc_id, rank AS pos, 0 AS is_parent FROM s UNION ALL SELECT query_id, doc_id, pos, 1 FROM new)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, is_parent, doc_id) AS rank, doc_id, is_parent FROM b QUALIFY rank <= 6"""
+
+
+SQL["search_fused"], SQL["search_reranked"] = _search_sql(False), _search_sql(True)

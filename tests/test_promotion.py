@@ -50,3 +50,19 @@ def test_edges_come_from_cited_text(spark):
     sections = spark.createDataFrame([("R94", "5.2", 20), ("R94", "5.2.1", 21), ("R95", "5", 30)], "code string, section string, doc_id long")
     edges = R.longest_prefix(R.citations(chunks), sections)
     assert sorted(map(tuple, edges.collect())) == [(1, 0, "5.2.1.4", 21), (2, 0, "5.2", 20), (3, 0, "5.2.1", 30)]
+
+
+def test_the_whole_way_of_a_question(spark):
+    corpus = spark.createDataFrame(
+        [(1, "head limit one", [1.0, 0.0], "1", "clause", None), (2, "head limit two two", [0.9, 0.1], "5.2.1", "clause", 9), (3, "head", [0.5, 0.5], "Annex_3", "table", None), (4, "head limit", [0.8, 0.2], "5.3", "clause", 9), (5, "limit", None, "Annex_3", "clause", None), (9, "parent text", None, "5", "section", None), (10, None, None, None, None, None)],
+        "doc_id long, text string, embedding array<double>, section string, chunk_type string, parent_id long",
+    )
+    ask = lambda q: spark.createDataFrame([(1, q, [1.0, 0.0])], "query_id int, query string, query_vector array<double>")
+    got = lambda q, k, **how: [(r.doc_id, r.is_parent) for r in R.search(ask(q), corpus, k, **how).orderBy("rank").collect()]
+    # the scope chunk goes behind, the parent follows its first chunk, and the list is cut after that
+    assert got("head limit", 4) == [(2, 0), (9, 1), (4, 0), (3, 0)] and got("head limit", 4, parents=0) == [(2, 0), (4, 0), (3, 0), (5, 0)]
+    # a named annex is promoted, its table first; a cited paragraph takes the last place after it
+    assert got("head limit annex 3", 2, parents=0) == [(2, 0), (3, 0)] and got("head limit annex 3, paragraph 5.3", 2, parents=0) == [(2, 0), (4, 0)]
+    # any score reranks the candidates, scope still goes behind
+    assert got("head limit", 3, parents=0, score=lambda q, t: -F.char_length(t)) == [(3, 0), (5, 0), (4, 0)]
+    assert R.search(ask("head").limit(0), corpus, 3).count() == 0
