@@ -188,6 +188,32 @@ def link_results(results: DataFrame, versions: DataFrame, clauses: DataFrame) ->
     return out.select("record_id", "position", "version_id", "criterion", "value", x.alias("limit_value"), how.alias("direction"), F.when(fine, verdict(F.col("value"), x, how)).alias("verdict"), F.when(fine, headroom(F.col("value"), x, how)).alias("headroom"), "reason")
 
 
+def close_to_limits(results: DataFrame, tests: DataFrame, versions: DataFrame, clauses: DataFrame, user: str | None, fallback: float, n: int = 5, direction: str = "ceiling") -> DataFrame:
+    """(place, record_id, position, criterion, value, limit_value, headroom, percent, verdict, link): the n visible results with the least headroom to their limits.
+
+    results: record_id, position, criterion, value, link; tests: record_id, confidential, owner, at most one of a record. A result's limit is that of its linked clause in the latest version
+    of its code, where that has one in millimetres; with another unit it takes no part; where no limit can be read the fallback stands. A result without a
+    test is visible, one without a criterion is the thorax's, one without a value takes no part. Ties go to the smaller record_id and position.
+    """
+    now = latest(versions.where("code IS NOT NULL"), "code", "effective", "version_id").select(F.col("code").alias("_code"), F.col("version_id").alias("_version"))
+    once = clauses.groupBy(F.col("version_id").alias("_of"), F.col("section").alias("_section")).agg(F.min_by("text", "clause_id").alias("_text"))
+    owned = tests.select(F.col("record_id").alias("_record"), "confidential", "owner")
+    rows = results.where("value IS NOT NULL").join(owned, F.col("record_id") == F.col("_record"), "left")
+    rows = rows.where(F.col("_record").isNull() | visible(user, F.col("confidential"), F.col("owner")))
+    rows = rows.select("record_id", "position", F.coalesce("criterion", F.lit("ThCC")).alias("criterion"), "value", "link", F.regexp_extract("link", "^([^#]*)#", 1).alias("_c"), F.regexp_extract("link", "(?s)^[^#]*#(.*)$", 1).alias("_s"))
+    rows = rows.join(now, F.col("_c") == F.col("_code"), "left").join(once, (F.col("_version") == F.col("_of")) & (F.col("_s") == F.col("_section")), "left")
+    rows = with_limits(rows, "_text", {"_found": F.col("criterion")})
+    known = F.col("_found.value").isNotNull() & F.col("_found.direction").isNotNull()
+    rows = rows.where(~known | (F.col("_found.unit") == "mm"))
+    rows = rows.withColumn("limit_value", F.when(known, F.col("_found.value")).otherwise(F.lit(float(fallback)))).withColumn("_way", F.when(known, F.col("_found.direction")).otherwise(direction))
+    value, bound, way = F.col("value"), F.col("limit_value"), F.col("_way")
+    percent = F.when(bound == 0, 0.0).otherwise(F.round(F.abs(bound - value) / bound * 100, 2))
+    rows = rows.select("record_id", "position", "criterion", "value", "limit_value", headroom(value, bound, way).alias("headroom"), percent.alias("percent"), verdict(value, bound, way).alias("verdict"), "link")
+    # ordered and cut before it is numbered: each task hands on n rows
+    few = rows.orderBy("headroom", "record_id", "position").limit(n)
+    return few.select(F.row_number().over(Window.orderBy("headroom", "record_id", "position")).alias("place"), *rows.columns)
+
+
 def model_allowed(model: Column) -> Column:
     """Confidential rows may go to local and contracted models only."""
     low = F.lower(model)

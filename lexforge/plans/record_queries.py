@@ -38,7 +38,7 @@ def latest_limit(spark: SparkSession, d: str) -> DataFrame:
 LINKED = [("5.1", "The Thorax Compression Criterion (ThCC) shall not exceed {q} mm;", "ThCC", "mm"), ("5.2", "The Head Injury Criterion (HIC36) must be less than {q} g;", "HIC36", "g"), ("5.3", "The seatbelt anchorage force must stay above {q} kN for safety;", "Force", "kN")]
 
 
-def _linked(spark: SparkSession, d: str) -> DataFrame:
+def _linked_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Order lines as results, parts as versions of 60 regulations with three clauses each; some of all are at fault."""
     part = table(spark, d, "part").select("p_partkey", "p_size")
     effective = F.expr("CASE WHEN p_partkey % 420 != 7 THEN date_add(DATE '1994-06-01', cast(p_partkey * 37 % 1500 AS int)) END")
@@ -56,7 +56,11 @@ def _linked(spark: SparkSession, d: str) -> DataFrame:
         F.expr("CASE WHEN l_partkey % 5 = 0 THEN NULL WHEN l_partkey % 19 = 0 THEN 'lbf' ELSE " + kind.format(*[x[3] for x in LINKED], "mm") + " END").alias("unit"),
         F.expr("CASE WHEN l_partkey % 47 = 0 THEN 'UN_R1' ELSE 'UN_R' || (l_partkey % 61) || '#' || CASE WHEN l_suppkey % 31 = 0 THEN '9.9' ELSE " + kind.format(*[x[0] for x in LINKED], "5.1") + " END END").alias("link"),
     )
-    return H.link_results(results, versions, clauses)
+    return results, versions, clauses
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    return H.link_results(*_linked_tables(spark, d))
 
 
 def linked_results(spark: SparkSession, d: str) -> DataFrame:
@@ -79,6 +83,13 @@ def close_to_limit(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("place", n).where("place <= 5").select("event_type", "place", "event_id", F.round("headroom", 4).alias("headroom"))
 
 
+def close_to_clause_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred visible results nearest to the limits of their clauses, or to 42 mm; half of all records are confidential."""
+    results, versions, clauses = _linked_tables(spark, d)
+    tests = table(spark, d, "orders").where("o_orderkey % 7 != 3").select(F.col("o_orderkey").alias("record_id"), (F.col("o_orderkey") % 2 == 0).alias("confidential"), (F.col("o_custkey") % 9).cast("string").alias("owner"))
+    return H.close_to_limits(results.drop("test_date", "unit"), tests, versions, clauses, "4", 42.0, 100)
+
+
 def access_audit(spark: SparkSession, d: str) -> DataFrame:
     """One audit row per event: the owner check first, the model gate last."""
     e = table(spark, d, "events")
@@ -147,7 +158,7 @@ def error_streaks(spark: SparkSession, d: str) -> DataFrame:
     return H.streaks(e, "user_id", "event_id", "bad", 3)
 
 
-QUERIES = {f.__name__: f for f in (limit_extract, asof_limit, latest_limit, linked_results, harness_ingest, close_to_limit, access_audit, inventory, version_history, run_summary, timing_summary, token_spend, retrieval_diff, case_eval, error_streaks)}
+QUERIES = {f.__name__: f for f in (limit_extract, asof_limit, latest_limit, linked_results, harness_ingest, close_to_limit, close_to_clause_limits, access_audit, inventory, version_history, run_summary, timing_summary, token_spend, retrieval_diff, case_eval, error_streaks)}
 
 _LIMITS = rf"""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 60 AS v, lower({chosen_clause(0, "CAST(l_quantity AS INT)")}) AS t, lower({chosen_clause(1, "1")}) AS n FROM lineitem),
 h AS (SELECT *, regexp_extract(t, '{H.LIMIT}', 0) AS hit, CAST(nullif(regexp_extract(t, '{H.LIMIT}', 1), '') AS DOUBLE) AS number, regexp_extract(t, '{H.LIMIT}', 2) AS u,
@@ -202,6 +213,12 @@ SELECT *, CASE WHEN reason IS NULL THEN 'ACCEPTED' WHEN regexp_matches(reason, '
     "close_to_limit": """
 WITH h AS (SELECT event_type, event_id, round(100.0 - value, 4) AS headroom FROM events WHERE (event_id % 2 <> 1 OR user_id = 7) AND value IS NOT NULL)
 SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY headroom, event_id) AS place, event_id, headroom FROM h QUALIFY place <= 5""",
+    "close_to_clause_limits": _LINKED_SQL.split("q AS (SELECT")[0] + f"""w AS (SELECT code, version_id FROM v QUALIFY row_number() OVER (PARTITION BY code ORDER BY effective DESC NULLS LAST, version_id) = 1),
+s AS (SELECT r.record_id, position, coalesce(criterion, 'ThCC') AS criterion, value, link FROM r LEFT JOIN orders o ON o.o_orderkey = r.record_id AND o_orderkey % 7 <> 3 WHERE o_orderkey IS NULL OR o_orderkey % 2 <> 0 OR o_custkey % 9 = 4),
+j AS (SELECT s.*, lower(c.text) AS t, lower(criterion) AS n FROM s LEFT JOIN w ON w.code = split_part(link, '#', 1) AND contains(link, '#') LEFT JOIN c ON c.version_id = w.version_id AND c.sec = split_part(link, '#', 2)),
+y AS (SELECT *, CASE WHEN (n = 'thcc' AND {_any(H.THORAX_WORDS, "t")}) OR (n = 'hic36' AND {_any(H.HEAD_WORDS, "t")}) OR (n NOT IN ('thcc', 'hic36') AND contains(t, n)) THEN CAST(regexp_extract(t, '{H.LIMIT}', 1) AS DOUBLE) END AS x, regexp_extract(t, '{H.LIMIT}', 2) AS u FROM j),
+e AS (SELECT *, coalesce(x, 42.0) AS limit_value FROM y WHERE x IS NULL OR u = 'mm'), f AS (SELECT *, round(limit_value - value, 4) AS headroom FROM e)
+SELECT row_number() OVER (ORDER BY headroom, record_id, position) AS place, record_id, position, criterion, value, limit_value, headroom, round(abs(limit_value - value) / limit_value * 100, 2) AS percent, CASE WHEN value <= limit_value THEN 'PASS' ELSE 'FAIL' END AS verdict, link FROM f QUALIFY place <= 100""",
     "access_audit": """
 WITH e AS (SELECT *, event_id % 2 = 0 AS conf, event_id % 4 IN (1, 2) AS ok FROM events)
 SELECT CASE WHEN conf AND user_id <> 7 THEN 'denied: owner' WHEN conf AND NOT ok THEN 'denied: model' ELSE 'allowed' END AS outcome, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM e GROUP BY ALL""",

@@ -97,3 +97,18 @@ def test_several_active_versions_of_a_key_take_one_change(spark):
     incoming = spark.createDataFrame([(10, "R94", "05", "new"), (11, "R14", "07", "d"), (12, "R9", None, None)], cols)
     got = sorted((r.version_id, r.status, r.closed_by) for r in G.apply_versions(registry, incoming, ["code", "amendment"]).collect())
     assert got == [(1, "SUPERSEDED", 10), (2, "SUPERSEDED", 10), (3, "ACTIVE", None), (4, "ACTIVE", None), (5, "ACTIVE", None), (10, "ACTIVE", None)]
+
+
+def test_results_nearest_to_their_clauses_limits(spark):
+    from lexforge.operators import records as H
+
+    results = spark.createDataFrame(
+        [(1, 1, "ThCC", 41.0, "R94#5.1"), (1, 2, "HIC36", 10.0, "R94#5.2"), (2, 1, None, 41.5, "R94#9.9"), (3, 1, "ThCC", 41.9, "R94#5.1"), (4, 1, "ThCC", None, "R94#5.1"), (5, 1, "Force", 9.0, "no link"), (6, 1, "ThCC", 45.0, "R94#5.1"), (7, 1, "ThCC", 1.0, None)],
+        "record_id int, position int, criterion string, value double, link string",
+    )
+    tests = spark.createDataFrame([(3, True, "other"), (6, True, "me"), (1, False, None)], "record_id int, confidential boolean, owner string")
+    versions = spark.createDataFrame([(1, "R94", dt.date(2000, 1, 1)), (2, "R94", dt.date(2020, 1, 1)), (3, "R94", None)], "version_id int, code string, effective date")
+    clauses = spark.createDataFrame([(1, 1, "5.1", "ThCC shall not exceed 50 mm"), (2, 2, "5.1", "ThCC shall not exceed 42 mm"), (3, 2, "5.2", "HIC36 less than 80 g")], "clause_id int, version_id int, section string, text string")
+    got = [(r.place, r.record_id, r.position, r.limit_value, r.headroom, r.verdict) for r in H.close_to_limits(results, tests, versions, clauses, "me", 42.0, 4).orderBy("place").collect()]
+    assert got == [(1, 6, 1, 42.0, -3.0, "FAIL"), (2, 2, 1, 42.0, 0.5, "PASS"), (3, 1, 1, 42.0, 1.0, "PASS"), (4, 5, 1, 42.0, 33.0, "PASS")]
+    assert H.close_to_limits(results.limit(0), tests, versions, clauses, None, 42.0).count() == 0
