@@ -11,6 +11,7 @@ search names the buckets of its terms, which prunes folders, and the terms, whic
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,22 +25,37 @@ BUCKETS, BLOCK, MOST_TERMS = 64, 1024, 100_000
 TABLES = {"postings": "term string, block long, docs array<long>, counts array<long>, lengths array<long>, bucket int", "terms": "term string, df long, bucket int"}
 
 
-def stem(term: Column) -> Column:
-    """The first step of Porter's algorithm: plurals, -ed, -ing and a last y. Words of other languages mostly stay as they are."""
-    t = F.regexp_replace(term, "sses$", "ss")
-    t = F.when(t.rlike("ies$"), F.regexp_replace(t, "ies$", "i")).when(t.rlike("[^s]s$"), F.regexp_replace(t, "s$", "")).otherwise(t)
-    cut = F.regexp_extract(t, "^(.*[aeiouy].*?)(?:ed|ing)$", 1)
-    last, before = F.right(cut, F.lit(1)), F.left(F.right(cut, F.lit(2)), F.lit(1))
-    mended = F.when(cut.rlike("(?:at|bl|iz)$"), F.concat(cut, F.lit("e"))).when((last == before) & last.rlike("[bdfgmnprt]"), F.left(cut, F.char_length(cut) - 1)).otherwise(cut)
-    t = F.when(t.rlike("eed$"), F.regexp_replace(t, "eed$", "ee")).when(cut != "", mended).otherwise(t)
-    return F.regexp_replace(t, "^(.*[aeiou].*)y$", "$1i")
+def stemmed(rows: DataFrame, column: str) -> DataFrame:
+    """rows with a column of words cut to their stems by the first step of Porter's algorithm: plurals, -ed, -ing and a last y. Words of other languages mostly stay as they are.
+
+    Each rule is a column of its own, so that none is worked out more than once. Names that start with _stem are reserved.
+    """
+
+    def less(c: str, n: int, more: str = "") -> Column:
+        return F.concat(F.left(F.col(c), F.char_length(c) - n), F.lit(more))
+
+    def ends(c: str, *suffixes: str) -> Column:
+        return reduce(lambda a, b: a | b, [F.endswith(F.col(c), F.lit(x)) for x in suffixes])
+
+    r = rows.withColumn("_stem1", F.when(ends(column, "sses"), less(column, 2)).otherwise(F.col(column)))
+    plural = F.when(ends("_stem1", "ies"), less("_stem1", 2)).when(ends("_stem1", "s") & ~ends("_stem1", "ss") & (F.char_length("_stem1") > 1), less("_stem1", 1)).otherwise(F.col("_stem1"))
+    r = r.withColumn("_stem2", plural)
+    cut = F.when(ends("_stem2", "ed"), less("_stem2", 2)).when(ends("_stem2", "ing"), less("_stem2", 3))
+    r = r.withColumn("_stem3", cut).withColumn("_stem4", F.when(F.col("_stem3").rlike("[aeiouy]"), F.col("_stem3")))
+    r = r.withColumn("_stem5", F.right("_stem4", F.lit(1)))
+    double = (F.left(F.right("_stem4", F.lit(2)), F.lit(1)) == F.col("_stem5")) & F.col("_stem5").isin(*"bdfgmnprt") & (F.char_length("_stem4") > 1)
+    mended = F.when(ends("_stem4", "at", "bl", "iz"), F.concat("_stem4", F.lit("e"))).when(double, less("_stem4", 1)).otherwise(F.col("_stem4"))
+    r = r.withColumn("_stem6", F.when(ends("_stem2", "eed"), less("_stem2", 1)).when(F.col("_stem4").isNotNull(), mended).otherwise(F.col("_stem2")))
+    out = F.when(ends("_stem6", "y") & F.col("_stem6").rlike("[aeiou].*y$"), less("_stem6", 1, "i")).otherwise(F.col("_stem6"))
+    # a generator of one row: filters on the stems stay above it, and are not pushed down with all of this inside them
+    return r.select(*[c for c in rows.columns if c != column], F.explode(F.array(out)).alias(column))
 
 
-def terms(text: Column) -> Column:
-    """Stems of a text's words, in order, without stop words; a null text has none."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.transform(F.filter(words, lambda w: ~F.array_contains(stops, w)), stem)
+def words(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, word): every word of a text that is indexed, lower-cased, and a null for each stop word or gap, so that no key is lost. A null text is empty."""
+    each = F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"))
+    word = F.when((F.col("word") != "") & ~F.col("word").isin(STOP_WORDS), F.col("word"))
+    return rows.select(key, each.alias("word")).select(key, word.alias("word"))
 
 
 def _bucket(buckets: int) -> Column:
@@ -56,9 +72,9 @@ class InvertedIndex:
 
     def build(self, docs: DataFrame) -> None:
         """Index all documents anew. Rows without a doc_id are left out; rows of one doc_id count as one document of all their texts."""
-        # a document's terms are counted where it is read; only (document, term, count) is shuffled
-        words = docs.where("doc_id is not null").select("doc_id", F.explode_outer(terms(F.col("text"))).alias("raw"))
-        counted = words.groupBy("doc_id", F.col("raw").alias("term")).agg(F.count("raw").alias("n"))
+        # words are counted where a text is read, and a document's distinct words are stemmed after that; no text is shuffled
+        raw = words(docs.where("doc_id is not null"), "doc_id", "text").groupBy("doc_id", "word").agg(F.count("word").alias("n"))
+        counted = stemmed(raw, "word").groupBy("doc_id", F.col("word").alias("term")).agg(F.sum("n").alias("n"))
         lengths = counted.groupBy("doc_id").agg(F.sum("n").alias("length"))
         lengths.write.mode("overwrite").parquet(f"{self.path}/lengths")
         lengths = self.spark.read.parquet(f"{self.path}/lengths")
@@ -91,7 +107,8 @@ class InvertedIndex:
 
         A question without terms finds nothing, and so does one with a term that no document has.
         """
-        asked = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("t")).select("query_id", F.size("t").alias("asked"), F.explode("t").alias("term"))
+        named = stemmed(words(queries, "query_id", "query").where("word is not null"), "word").select("query_id", F.col("word").alias("term")).distinct()
+        asked = named.join(named.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id")
         size, df = self.spark.read.parquet(f"{self.path}/size"), self.of_terms(asked, "terms").select("term", "df")
         known = asked.join(df, "term")
         # the rarest term's documents are few; the others of its question only have to be met there
@@ -105,7 +122,7 @@ class InvertedIndex:
 
 
 def stem_sql(t: str) -> str:
-    """stem() in DuckDB."""
+    """stemmed() in DuckDB."""
     one = f"regexp_replace({t}, 'sses$', 'ss')"
     two = f"CASE WHEN regexp_matches(x, 'ies$') THEN regexp_replace(x, 'ies$', 'i') WHEN regexp_matches(x, '[^s]s$') THEN regexp_replace(x, 's$', '') ELSE x END"
     three = """CASE WHEN regexp_matches(y, 'eed$') THEN regexp_replace(y, 'eed$', 'ee') WHEN cut = '' THEN y WHEN regexp_matches(cut, '(?:at|bl|iz)$') THEN cut || 'e'
