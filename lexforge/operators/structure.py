@@ -252,7 +252,7 @@ def mock_embedding(text: Column, dim: int = 64) -> Column:
             if t is None:
                 return None
             seed = int(hashlib.sha256(t.encode()).hexdigest(), 16) % (2**32 - 1)
-            v = np.random.RandomState(seed).standard_normal(dim)
+            v = np.random.default_rng(seed).normal(0.0, 1.0, dim)
             return (v / np.linalg.norm(v)).astype(np.float32)
 
         return s.map(one)

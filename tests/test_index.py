@@ -193,3 +193,12 @@ def test_regulations_are_named_as_words(spark):
     texts = [("see R94.", "R94", True), ("UN R 94", "UN_R94", True), ("regulation no 94", "R94", True), ("No. 94", "R94", False), ("R945", "R94", False), ("FMVSS 208", "FMVSS 208", True), ("FMVSS208", "FMVSS 208", True), ("(a+b)", "a+b", True), ("xa+b", "a+b", False), (None, "", True)]
     got = spark.createDataFrame(texts, "t string, c string, want boolean").withColumn("named", D.names_regulation(F.col("t"), F.col("c")))
     assert [(r.t, r.c) for r in got.collect() if r.named is not r.want] == []
+
+
+def test_the_column_function_gives_the_seeded_models_vectors(spark):
+    from lexforge.operators import structure
+
+    texts = spark.createDataFrame([("abc",), ("",)], "t string")
+    got = {r.t: r.v for r in texts.select("t", structure.mock_embedding(F.col("t"), 16).alias("v")).collect()}
+    want = E.SeededModel(16).load()(list(got))
+    assert np.allclose(list(got.values()), want, atol=1e-6)
