@@ -34,8 +34,8 @@ def force_rechunk(spark: SparkSession, d: str) -> DataFrame:
     return E.rechunk_all(docs, D.flat_chunks, index, MODEL)[1]
 
 
-def replace_documents(spark: SparkSession, d: str) -> DataFrame:
-    """An index of all documents' flat chunks, then shorter chunks for every fifth document, then every eleventh removed: what each one has."""
+def _replaced(spark: SparkSession, d: str) -> ChunkIndex:
+    """An index of all documents' flat chunks, then shorter chunks for every fifth document, then every eleventh removed."""
     docs = table(spark, d, "documents")
     index = ChunkIndex(spark, shared_folder(spark, "chunk-index"))
 
@@ -47,10 +47,21 @@ def replace_documents(spark: SparkSession, d: str) -> DataFrame:
     index.replace(chunks(docs, 1000))
     index.replace(chunks(docs.where("doc_id % 5 = 0"), 700))
     index.delete(docs.where("doc_id % 11 = 0").select(F.col("doc_id").alias("document_id")))
-    rows = index.read()
+    return index
+
+
+def replace_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What each document of the index has after all that."""
+    rows = _replaced(spark, d).read()
     return rows.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("chunks"), F.count("parent_id").alias("with_parent"), F.sum(F.char_length("chunk_text")).alias("n_chars"))
 
 
+def index_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of each regulation in the index, with and without a parent; documents play forty regulations."""
+    code = F.concat(F.lit("UN_R"), (F.col("document_id") % 40).cast("string"))
+    return _replaced(spark, d).read().groupBy(code.alias("code")).agg(F.count("*").alias("chunks"), F.count("parent_id").alias("with_parent"), F.count_if(F.col("parent_id").isNull()).alias("without_parent"))
+
+
 _PAGES = "page_id long, url string, html string"
 
 
@@ -81,7 +92,7 @@ def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
     return log.union(kept[0]).union(kept[1])
 
 
-QUERIES = {f.__name__: f for f in (embed_misses, force_rechunk, replace_documents, ingest_stream)}
+QUERIES = {f.__name__: f for f in (embed_misses, force_rechunk, replace_documents, index_counts, ingest_stream)}
 
 _HASH = document_queries._HASH
 _LETTERS = " + ".join(f"{i + 1} * (length(lower(text)) - length(replace(lower(text), '{c}', '')))" for i, c in enumerate(MODEL.letters))
@@ -106,6 +117,9 @@ FROM d LEFT JOIN n USING (doc_id)""",
     "replace_documents": f"""
 WITH c AS ({_flat("SELECT * FROM documents WHERE doc_id % 5 <> 0", 1000, 100)} UNION ALL {_flat("SELECT * FROM documents WHERE doc_id % 5 = 0", 700, 100)})
 SELECT doc_id, count(*) AS chunks, count(*) FILTER (chunk_index > 0) AS with_parent, sum(length(chunk_text))::BIGINT AS n_chars FROM c WHERE doc_id % 11 <> 0 GROUP BY doc_id""",
+    "index_counts": f"""
+WITH c AS ({_flat("SELECT * FROM documents WHERE doc_id % 5 <> 0", 1000, 100)} UNION ALL {_flat("SELECT * FROM documents WHERE doc_id % 5 = 0", 700, 100)})
+SELECT 'UN_R' || (doc_id % 40) AS code, count(*) AS chunks, count(*) FILTER (chunk_index > 0) AS with_parent, count(*) FILTER (chunk_index = 0) AS without_parent FROM c WHERE doc_id % 11 <> 0 GROUP BY ALL""",
     "ingest_stream": r"""
 WITH p AS (SELECT page_id AS i, regexp_replace(url, '[?#].*$', '') AS u, coalesce(strlen(html), 0) AS n, html IS NULL AS nothing, page_id % 30 AS pages,
     CASE page_id % 4 WHEN 1 THEN 'UN R94 ' WHEN 2 THEN 'Regulation No. 94 ' ELSE '' END || coalesce(html, '') AS named FROM pages),

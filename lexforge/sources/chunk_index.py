@@ -40,6 +40,12 @@ class ChunkIndex:
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
+    def chunks_of(self, documents: list) -> DataFrame:
+        """The chunks of a few documents: only the folders of their buckets are read."""
+        asked = self.spark.createDataFrame([(str(i),) for i in documents], "document_id string")
+        some = sorted({r[0] for r in asked.select(self._bucket()).collect()})
+        return self.read().where(F.col("bucket").isin(some) & F.col("document_id").cast("string").isin([str(i) for i in documents]))
+
     def replace(self, chunks: DataFrame) -> None:
         """Chunks of documents take the place of all that these documents had.
 

@@ -62,3 +62,20 @@ def canonical_path(source, code, amendment, file_hash):
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Replace-by-key write: only the partitions that df has are written anew, in one commit."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+#: Fixed value: what a part of a storage path may be.
+SAFE_SEGMENT = r"^[a-zA-Z0-9_-]{1,128}\z"
+
+
+def safe_segment(part):
+    """Column: whether a value may be a part of a storage path; null and empty ones may not."""
+    return F.coalesce(part.rlike(SAFE_SEGMENT), F.lit(False))
+
+
+def stored_path(root: str, *parts):
+    """Column: root and parts as a path; null where a part is not safe, so no path leads out of the root."""
+    fine = F.lit(True)
+    for p in parts:
+        fine = fine & safe_segment(p)
+    return F.when(fine, F.concat_ws("/", F.lit(root.rstrip("/")), *parts))

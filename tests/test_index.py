@@ -101,6 +101,14 @@ def test_a_document_is_replaced_in_its_bucket_only(spark, tmp_path):
     assert [(r.chunk_text, r.parent_id) for r in got] == [("revised A", None), ("revised B", None)] and index.read().count() == 89
 
 
+def test_a_few_documents_are_read_from_their_buckets(spark, tmp_path):
+    index = ChunkIndex(spark, f"{tmp_path}/index", 16)
+    index.replace(spark.createDataFrame([(i, 0, None, f"text {i}") for i in range(64)], CHUNKS))
+    found = index.chunks_of([5, 7, 999])
+    assert sorted(r.chunk_text for r in found.collect()) == ["text 5", "text 7"]
+    assert "bucket" in found._jdf.queryExecution().toString().split("PartitionFilters")[1].split("]")[0]
+
+
 def test_deletes_can_be_repeated_and_may_empty_a_bucket(spark, tmp_path):
     index = ChunkIndex(spark, f"{tmp_path}/index", 4)
     one = spark.createDataFrame([(1,), (1,), (99,)], "document_id long")

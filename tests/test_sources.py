@@ -57,3 +57,10 @@ def test_partitions_are_replaced_alone(spark, tmp_path):
     S.replace_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, "k")
     S.replace_partitions(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), path, "k")
     assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_parts_of_paths_cannot_lead_out(spark):
+    parts = ["user_1", "a-b", "..", "a/b", "", None, "x" * 128, "x" * 129, "tail\n", "ü"]
+    got = spark.createDataFrame([(p,) for p in parts], "p string").select(S.safe_segment(F.col("p")).alias("ok"), S.stored_path("/store/", F.lit("u"), F.col("p")).alias("path")).collect()
+    assert [r.ok for r in got] == [True, True, False, False, False, False, True, False, False, False]
+    assert got[1].path == "/store/u/a-b" and got[2].path is None and got[5].path is None
