@@ -5,7 +5,9 @@
     size       docs, mean: how many documents there are and their mean length
 
 A term's postings are blocks of bounded size, so a term in every document is many rows, in as many tasks as needed. A
-search names the buckets of its terms, which prunes folders, and the terms, which prunes row groups.
+search names the buckets of its terms, which prunes folders, and the terms, which prunes row groups. Texts are dealt by
+block, so all of a block's counts are made in one task; a search deals the postings of its terms by block too, and hands on
+the best documents of each block only.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +26,9 @@ from lexforge.operators.retrieval import top
 STOP_WORDS = "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()
 #: Folders of an index, documents of a row of postings, and terms of a search at most.
 BUCKETS, BLOCK, MOST_TERMS = 64, 1024, 100_000
-TABLES = {"postings": "term string, block long, docs array<long>, counts array<long>, lengths array<long>, bucket int", "terms": "term string, df long, bucket int"}
+#: Documents of a task and of a file in each folder, about; questions of a search that go to the tasks at once, and of these to a block at once.
+TASK_DOCS, FILE_DOCS, ASKED, SLICE = BLOCK, 1 << 18, 50_000, 512
+TABLES = {"postings": "term string, block long, docs array<long>, counts array<int>, lengths array<int>, bucket int", "terms": "term string, df long, bucket int"}
 
 
 def stemmed(rows: DataFrame, column: str) -> DataFrame:
@@ -70,21 +76,36 @@ class InvertedIndex:
     path: str
     buckets: int = BUCKETS
 
+    def _dealt(self, rows: DataFrame, docs: int) -> DataFrame:
+        """rows by block, as many tasks as so many documents need."""
+        return rows.repartition(max(self.spark.sparkContext.defaultParallelism, docs // TASK_DOCS), "block")
+
     def build(self, docs: DataFrame) -> None:
         """Index all documents anew. Rows without a doc_id are left out; rows of one doc_id count as one document of all their texts."""
-        # words are counted where a text is read, and a document's distinct words are stemmed after that; no text is shuffled
-        raw = words(docs.where("doc_id is not null"), "doc_id", "text").groupBy("doc_id", "word").agg(F.count("word").alias("n"))
-        counted = stemmed(raw, "word").groupBy("doc_id", F.col("word").alias("term")).agg(F.sum("n").alias("n"))
-        lengths = counted.groupBy("doc_id").agg(F.sum("n").alias("length"))
-        lengths.write.mode("overwrite").parquet(f"{self.path}/lengths")
-        lengths = self.spark.read.parquet(f"{self.path}/lengths")
-        lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/size")
-        rows = counted.where("n > 0").join(lengths, "doc_id").withColumn("block", F.expr(f"doc_id div {BLOCK}"))
+        given = docs.where("doc_id is not null").select("doc_id", "text")
+        n = given.select("doc_id").distinct().count()
+        # the texts are shuffled once, by block; documents, their words, stems and blocks are all made in the tasks where they land
+        whole = self._dealt(given.withColumn("block", F.expr(f"doc_id div {BLOCK}")), n).groupBy("block", "doc_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+        own = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
+        # a generator of one row: the words are split once, and not again for their number
+        held = whole.select("block", "doc_id", F.explode(F.array(own)).alias("words")).withColumn("length", F.size("words"))
+        raw = held.select("block", "doc_id", "length", F.explode("words").alias("word")).groupBy("block", "doc_id", "length", "word").agg(F.count("*").alias("n"))
+        counted = stemmed(raw, "word").groupBy("block", "doc_id", "length", F.col("word").alias("term")).agg(F.sum("n").cast("int").alias("n"))
         entry = F.array_sort(F.collect_list(F.struct("doc_id", "n", "length")))
-        blocks = rows.groupBy("term", "block").agg(entry.alias("e")).select(_bucket(self.buckets).alias("bucket"), "term", "block", F.col("e.doc_id").cast("array<long>").alias("docs"), F.col("e.n").alias("counts"), F.col("e.length").alias("lengths"))
-        blocks.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        # three numbers a document in one array: much less to shuffle than three arrays
+        packed = F.flatten(F.transform(entry, lambda e: F.array((e["doc_id"] - F.col("block") * BLOCK).cast("int"), e["n"], e["length"])))
+        files = 1 + n // FILE_DOCS
+        blocks = counted.groupBy("block", "term").agg(packed.alias("e")).repartition(self.buckets * files, _bucket(self.buckets), F.pmod("block", F.lit(files)))
+        blocks = blocks.withColumn("at", F.sequence(F.lit(0), F.size("e") - 1, F.lit(3))).withColumn("bucket", _bucket(self.buckets))
+        every = {"docs": lambda i: F.get("e", i) + F.col("block") * BLOCK, "counts": lambda i: F.get("e", i + 1), "lengths": lambda i: F.get("e", i + 2)}
+        blocks = blocks.sortWithinPartitions("bucket", "term", "block").select("term", "block", *[F.transform("at", f).alias(c) for c, f in every.items()], "bucket")
+        blocks.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings")
+        words_here = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+        size = self.postings().agg(F.lit(n).cast("long").alias("docs"), (F.coalesce(F.sum(words_here), F.lit(0)) / F.lit(max(n, 1))).alias("mean"))
+        size.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/size")
         df = self.postings().groupBy("bucket", "term").agg(F.sum(F.size("docs")).alias("df"))
-        df.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
+        df = df.repartition(self.buckets * files, "bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(files)))
+        df.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
 
     def postings(self) -> DataFrame:
         return self._read("postings")
@@ -105,20 +126,71 @@ class InvertedIndex:
     def search(self, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(query_id, rank, doc_id, score): documents that have every term of a question, by BM25; ties go to the smaller doc_id.
 
-        A question without terms finds nothing, and so does one with a term that no document has.
+        A question without terms finds nothing, and so does one with a term that no document has. Questions of the same terms are searched
+        once, ASKED sets of terms at a time.
         """
-        named = stemmed(words(queries, "query_id", "query").where("word is not null"), "word").select("query_id", F.col("word").alias("term")).distinct()
-        asked = named.join(named.groupBy("query_id").agg(F.count("*").alias("asked")), "query_id")
-        size, df = self.spark.read.parquet(f"{self.path}/size"), self.of_terms(asked, "terms").select("term", "df")
-        known = asked.join(df, "term")
-        # the rarest term's documents are few; the others of its question only have to be met there
-        hits = known.join(self.of_terms(asked).select("term", "docs", "counts", "lengths"), "term")
-        hits = hits.select("query_id", "asked", "df", F.explode(F.arrays_zip("docs", "counts", "lengths")).alias("e"))
-        hits = hits.select("query_id", "asked", "df", F.col("e.docs").alias("doc_id"), F.col("e.counts").alias("tf"), F.col("e.lengths").alias("length")).crossJoin(F.broadcast(size))
-        idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-        found = hits.groupBy("query_id", "asked", "doc_id").agg(F.count("*").alias("met"), F.round(F.sum(part), 6).alias("score")).where("met = asked")
-        return top(found, k, F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", "score")
+        named = stemmed(words(queries, "query_id", "query").where("word is not null"), "word").select("query_id", F.col("word").alias("term"))
+        asked = named.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+        sets = asked.select("terms").distinct()
+        docs, mean = self.spark.read.parquet(f"{self.path}/size").select("docs", "mean").first()
+        parts = 1 + sets.count() // ASKED
+        found = [self._best(sets.where(F.pmod(F.xxhash64("terms"), F.lit(parts)) == i), k, k1, b, docs, mean) for i in range(parts)]
+        return asked.join(reduce(DataFrame.union, found), "terms").select("query_id", "rank", "doc_id", "score")
+
+    def _best(self, sets: DataFrame, k: int, k1: float, b: float, docs: int, mean: float) -> DataFrame:
+        """(terms, rank, doc_id, score): the k best for each set of terms, out of the k best of each block."""
+        asked = sets.select(F.explode("terms").alias("term"))
+        df = {r.term: r.df for r in self.of_terms(asked, "terms").select("term", "df").collect()}
+        # the rarest term first: its documents are few, the others only have to be met there
+        each = [sorted(r.terms, key=lambda t: (df[t], t)) for r in sets.collect() if all(t in df for t in r.terms)]
+        sent = self.spark.sparkContext.broadcast((each, df))
+
+        def of_block(rows: pa.Table) -> pa.Table:
+            return in_block(rows, *sent.value, k, k1, b, docs, mean)
+
+        dealt = self._dealt(self.of_terms(asked).select("block", "term", "docs", "counts", "lengths"), docs)
+        best = top(dealt.groupBy("block").applyInArrow(of_block, "query_id long, doc_id long, score double"), k, F.desc("score"), F.col("doc_id"))
+        numbered = self.spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(each)], "query_id long, terms array<string>")
+        return numbered.join(best, "query_id").select("terms", "rank", "doc_id", "score")
+
+
+def in_block(rows: pa.Table, each: list[list[str]], df: dict[str, int], k: int, k1: float, b: float, docs: int, mean: float) -> pa.Table:
+    """(number of a set, doc_id, score): the k best documents of a block for every set of terms, whose rarest term stands first. SLICE sets are met at a time, so memory is bounded by the block."""
+    place = {t: i for i, t in enumerate(rows["term"].to_pylist())}
+    lists = rows["docs"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    doc, tf, length = (rows[c].combine_chunks().flatten().to_numpy() for c in ("docs", "counts", "lengths"))
+    base, span = int(doc.min()), int(doc.max() - doc.min()) + 1
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    key = np.repeat(np.arange(len(sizes)), sizes) * span + doc - base
+    order = np.argsort(key, kind="stable")
+    key, weight = key[order], (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)))[order]
+    # questions whose terms are all in the block, in slices
+    here = [(i, p) for i, s in enumerate(each) if (p := [place.get(t, -1) for t in s]) and min(p) >= 0]
+    idf = np.array([np.log((docs - df[t] + 0.5) / (df[t] + 0.5) + 1) for t in place])
+    out = []
+    for at in range(0, len(here), SLICE):
+        part = here[at : at + SLICE]
+        terms = np.full((len(part), max(len(p) for _, p in part)), -1)
+        for i, (_, p) in enumerate(part):
+            terms[i, : len(p)] = p
+        n = sizes[terms[:, 0]]
+        who = np.repeat(np.arange(len(part)), n)
+        hit = np.arange(len(who)) + np.repeat(first[terms[:, 0]] - np.cumsum(n) + n, n)
+        local, score = key[hit] % span, idf[terms[who, 0]] * weight[hit]
+        for t in terms.T[1:]:
+            want = t[who]
+            hit = np.minimum(np.searchsorted(key, want * span + local), len(key) - 1)
+            met = key[hit] == want * span + local
+            kept = met | (want < 0)
+            who, local, score = who[kept], local[kept], (score + np.where(met, idf[want] * weight[hit], 0.0))[kept]
+        score = np.round(score, 6)
+        best = np.lexsort((local, -score, who))
+        who, local, score = who[best], local[best], score[best]
+        nth = np.arange(len(who)) - np.searchsorted(who, who)
+        out.append((np.array([i for i, _ in part])[who[nth < k]], local[nth < k] + base, score[nth < k]))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0)] * 3
+    return pa.table({c: pa.array(v).cast(t) for c, v, t in zip(("query_id", "doc_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
 
 def stem_sql(t: str) -> str:

@@ -49,6 +49,29 @@ def test_blocks_are_bounded(spark, tmp_path):
     assert search(spark, empty, "common") == []
 
 
+def test_no_pair_of_question_and_document_is_shuffled(spark, tmp_path):
+    n = 3000
+    index = I.InvertedIndex(spark, str(tmp_path), 2)
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("common word w"), (F.col("id") % 7).cast("string"), F.lit(" w"), (F.col("id") % 11 + 20).cast("string")).alias("text"))
+    index.build(docs)
+    assert not {p for p in (tmp_path).iterdir()} - {tmp_path / x for x in ("postings", "terms", "size")}
+    asked = spark.range(300).select(F.col("id").alias("query_id"), F.concat(F.lit("common word w"), (F.col("id") % 7).cast("string"), F.lit(" w"), (F.col("id") % 11 + 20).cast("string")).alias("query"))
+    out = index.search(asked, 5)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.doc_id
+    assert got == {q: {i + 1: d for i, d in enumerate([d for d in range(n) if d % 7 == q % 7 and d % 11 == q % 11][:5])} for q in range(300)}
+    # the only rows that leave a task are the best of each block for each of the 77 sets of terms
+    sizes = [r.n for r in index._best(asked.select(F.array_sort(F.split("query", " ")).alias("terms")).distinct(), 5, 1.2, 0.75, n, 4.0).groupBy("terms").agg(F.count("*").alias("n")).collect()]
+    assert sizes == [5] * 77
+
+
+def test_questions_beyond_one_batch_are_all_answered(spark, index, monkeypatch):
+    monkeypatch.setattr(I, "ASKED", 2)
+    monkeypatch.setattr(I, "SLICE", 1)
+    assert search(spark, index, "Limit of head injuries", "restraints", "head airbag", "the of", None, "test limits", "twice head", "Kopfes Prüfung") == [(0, 1, 2), (0, 2, 1), (1, 1, 3), (5, 1, 1), (6, 1, 2), (7, 1, 6)]
+
+
 CODES = [("R16",), ("R94",), ("R095",), ("FMVSS 208",), ("Euro NCAP AOP",), ("UN_R94",), (None,)]
 
 
