@@ -1,6 +1,7 @@
 """Structure of page text: blocks, clauses, tables and the chunks made of them, and stand-in vectors.
 
-A document's lines come together in one shuffle by doc_id; what follows are windows and groups over it. Only two
+A document's lines come together in one shuffle by doc_id, in as many tasks as the pages need, so that their lines fit into memory; what
+follows are windows and groups over it, and shuffles nothing. Only two
 rules look at their own last answer, whether a clause leaves the current block and whether a clause is taken in
 by one before it, and these are folds over the short lists of numbers, not over text.
 """
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from lexforge.functions.text import content_hash, window_starts
 
 SECTION_CHARS, CLAUSE_CHARS, OVERLAP = 1800, 1800, 200
+#: Pages of a task: a page is a few hundred times smaller in the shuffle than its lines are in the sorts behind it, so Spark's own measure, bytes shuffled, makes tasks too large.
+TASK_PAGES = 20_000
 #: What page marks, annex headings, section headings, clause lines and table marks look like.
 PAGE = r"(?i)^<!--\s*page:\s*(\d+)\s*-->"
 ANNEX = r"(?i)^(annex\s+\d+(?:\s*[-–]\s*appendix\s+\d+)?)$"
@@ -48,19 +51,21 @@ def leaves(current: Column, number: Column) -> Column:
     return current.isin("General", "Document") | F.startswith(current, F.lit("Annex")) | (top != own_top) | sibling
 
 
-def marked_lines(pages: DataFrame) -> DataFrame:
+def marked_lines(pages: DataFrame, most: int | None = None) -> DataFrame:
     """(doc_id, n, line, s, page, opens, block, block_id, kind, path) of every line; s is the line without outer space.
 
     pages: doc_id, page_number, text and perhaps tables (array of pipe tables, which follow the text unless they are in it).
     Equal page rows of a document are one page; pages of one number come in order of their text; a null text is an empty one.
+    most: how many pages there are at most, where that is known; else they are counted.
     """
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, (pages.count() if most is None else most) // TASK_PAGES)
     text = F.coalesce("text", F.lit(""))
     lines = F.concat(F.array(F.concat(F.lit("<!-- page: "), F.coalesce(F.col("page_number").cast("string"), F.lit("?")), F.lit(" -->"))), F.split(text, r"\r?\n"))
     if "tables" in pages.columns:
         new = F.filter(F.coalesce("tables", F.array().cast("array<string>")), lambda t: t.isNotNull() & ~F.contains(text, t))
         lines = F.concat(lines, F.flatten(F.transform(new, lambda t: F.concat(F.array(F.lit("<!-- chunk_type:table -->")), F.split(t, r"\r?\n")))))
     page = F.struct(F.col("page_number"), lines.alias("lines"))
-    docs = pages.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_set(page)), lambda p: p["lines"])).alias("lines"))
+    docs = pages.repartition(tasks, "doc_id").groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_set(page)), lambda p: p["lines"])).alias("lines"))
     # each line is stripped and matched once, and keeps what it matched
     stripped = F.transform("lines", lambda x, i: F.struct(i.alias("n"), x.alias("line"), strip(x).alias("s")))
     numbers = F.transform(stripped, lambda x: F.struct(x["n"].alias("n"), x["line"].alias("line"), x["s"].alias("s"), found(x["s"], ANNEX, 1).alias("annex"), found(x["s"], SECTION, 1).alias("number"), found(x["s"], BOUNDARY, 1).alias("bound")))
@@ -95,12 +100,12 @@ def marked_lines(pages: DataFrame) -> DataFrame:
     return rows.withColumn("path", path).drop("base", "title")
 
 
-def blocks(pages: DataFrame) -> DataFrame:
+def blocks(pages: DataFrame, most: int | None = None) -> DataFrame:
     """pages -> (doc_id, block, block_id, kind, heading_path, first_page, last_page, text): annexes, sections and clauses apart from them.
 
     Pages are those whose marks lie in the block, null where none does. An annex heading is in no text; blocks without text are left out.
     """
-    rows = marked_lines(pages).where("opens is null or opens != 'annex'")
+    rows = marked_lines(pages, most).where("opens is null or opens != 'annex'")
     out = rows.groupBy("doc_id", "block", "block_id", "kind", F.col("path").alias("heading_path")).agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), strip(joined(F.collect_list(F.struct("n", "line")), "line")).alias("text"))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("block")) - 1
     return out.where("text != ''").withColumn("block", nth)
@@ -196,14 +201,14 @@ def table_summary(markdown: Column) -> Column:
     return F.when(F.size(cells) > 0, head).otherwise(F.lit("Structured compliance table"))
 
 
-def structured_chunks(pages: DataFrame) -> DataFrame:
+def structured_chunks(pages: DataFrame, most: int | None = None) -> DataFrame:
     """(doc_id, chunk_index, parent_index, chunk_type, section, page_number, heading_path, chunk_text, content_hash).
 
     An annex or section block gives a section chunk (its first SECTION_CHARS characters); its clauses give clause chunks, text without
     a number paragraph chunks, both cut to CLAUSE_CHARS; their tables follow. Parent of a clause is its section, of a table its numbered clause,
     else the section. A block that is a clause itself has no section chunk.
     """
-    bodies = body_tables(clause_bodies(block_clauses(marked_lines(pages))))
+    bodies = body_tables(clause_bodies(block_clauses(marked_lines(pages, most))))
     starts = window_starts(F.col("text"), CLAUSE_CHARS, OVERLAP, True)
     texts = F.filter(F.transform(starts, lambda at: strip(F.substring(F.col("text"), at + 1, F.lit(CLAUSE_CHARS)))), lambda t: t != "")
     kind = F.when(F.col("number").isNotNull(), "clause").otherwise(F.lit("paragraph"))

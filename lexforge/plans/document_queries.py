@@ -161,11 +161,11 @@ def pipe_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_structure(spark: SparkSession, d: str) -> DataFrame:
-    return structure.blocks(structure.synthetic_pages(_lines(spark, d)))
+    return structure.blocks(structure.synthetic_pages(_lines(spark, d)), table(spark, d, "lineitem").count())
 
 
 def struct_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return structure.structured_chunks(structure.synthetic_pages(_lines(spark, d)))
+    return structure.structured_chunks(structure.synthetic_pages(_lines(spark, d)), table(spark, d, "lineitem").count())
 
 
 def mock_embed(spark: SparkSession, d: str) -> DataFrame:
