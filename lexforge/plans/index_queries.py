@@ -9,12 +9,14 @@ from lexforge.functions import text as T
 from lexforge.operators import documents as D
 from lexforge.operators import embedding as E
 from lexforge.plans import document_queries
-from lexforge.sources.chunk_index import ChunkIndex
+from lexforge.sources.chunk_index import BUCKETS, ChunkIndex
 from lexforge.sources.shared import shared_folder
 from lexforge.sources.tables import table
 from lexforge.streaming import gates
 
 MODEL = E.LetterModel()
+#: Documents of a bucket of the chunk index, about.
+BUCKET_DOCS = 8192
 
 
 def embed_misses(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +39,8 @@ def force_rechunk(spark: SparkSession, d: str) -> DataFrame:
 def _replaced(spark: SparkSession, d: str) -> ChunkIndex:
     """An index of all documents' flat chunks, then shorter chunks for every fifth document, then every eleventh removed."""
     docs = table(spark, d, "documents")
-    index = ChunkIndex(spark, shared_folder(spark, "chunk-index"))
+    # a bucket is a task of every write, so there are more of them for more documents
+    index = ChunkIndex(spark, shared_folder(spark, "chunk-index"), max(BUCKETS, docs.count() // BUCKET_DOCS))
 
     def chunks(rows: DataFrame, size: int) -> DataFrame:
         c = D.flat_chunks(rows, size, 100)

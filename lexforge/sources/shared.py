@@ -26,6 +26,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a file or folder within its file system; OSError where that fails."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at, hadoop.Path(to)):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
