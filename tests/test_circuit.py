@@ -47,6 +47,15 @@ def test_stream_and_table_give_the_same_rows(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == want
 
 
+def test_a_large_batch_is_handed_on_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(circuit, "PIECE", 7)
+    rows = spark.createDataFrame(calls(300), ROWS)
+    rows.repartition(3).write.parquet(f"{tmp_path}/in/0")
+    stream = spark.readStream.schema(ROWS).parquet(f"{tmp_path}/in/*")
+    circuit.run_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, circuit.run_table(rows).collect()))
+
+
 def test_no_calls(spark):
     assert circuit.run_table(spark.createDataFrame([], ROWS)).count() == 0
     assert circuit.calls_of(spark.createDataFrame([("a", 1, None, "x")], ROWS)).where(F.lit(True)).count() == 0
