@@ -33,9 +33,14 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+#: ASCII, and signs that NFKC leaves as they are whatever stands beside them: Latin letters and common punctuation, none of which is a mark on another sign.
+ASCII = r"^\p{ASCII}*\z"
+PLAIN = r"^[\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-ıĴ-ľŁ-ňŊ-ž–—‘-‚“-„•€]*+\z"
+
+
 def content_hash(c: Column, normalise: bool = True) -> Column:
-    """SHA-256 of the text in NFKC, lower case and single spaces. Plain ASCII is its own normal form: Python sees a null in its place."""
-    plain = c.rlike(r"^\p{ASCII}*$")
+    """SHA-256 of the text in NFKC, lower case and single spaces. Texts of PLAIN's signs are their own normal form: Python sees a null in their place."""
+    plain = c.rlike(ASCII) | c.rlike(PLAIN)
     form = F.when(plain, c).otherwise(nfkc(F.when(~plain, c))) if normalise else c
     return F.sha2(F.trim(F.regexp_replace(F.lower(form), r"(?U)\s+", " ")), 256)
 

@@ -234,3 +234,51 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, first)) == sorted(map(tuple, want))
     ingest.run(spark, src, out, str(tmp_path / "ck"))
     assert spark.read.parquet(out).count() == 20
+
+
+def test_lines_are_dealt_to_as_many_tasks_as_the_pages_need(spark, monkeypatch):
+    monkeypatch.setattr(S, "TASK_PAGES", 10)
+    pages = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(1).alias("page_number"), F.lit("2. Scope of it\ntext").alias("text"))
+    assert S.blocks(pages).rdd.getNumPartitions() == 40 and S.blocks(pages, 800).rdd.getNumPartitions() == 80
+    assert S.structured_chunks(pages).rdd.getNumPartitions() == 40
+
+
+@pytest.fixture
+def plain_joins(spark):
+    """Joins by shuffle, as large tables have them."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_results_of_one_code_are_dealt_over_all_tasks(spark, plain_joins):
+    results = spark.range(4000).select(F.col("id").alias("record_id"), F.lit(1).alias("position"), F.expr("cast(date_add(DATE '2000-01-01', cast(id % 400 AS int)) AS string)").alias("test_date"), F.lit("HIC36").alias("criterion"), F.lit(1.0).alias("value"), F.lit("g").alias("unit"), F.lit("R1#5.1").alias("link"))
+    versions = spark.sql("SELECT 1 AS version_id, 'R1' AS code, DATE '2000-07-01' AS effective")
+    clauses = spark.sql("SELECT 1 AS clause_id, 1 AS version_id, '5.1' AS section, 'HIC36 must be less than 5 g' AS text")
+    linked = H.link_results(results, versions, clauses)
+    assert max(linked.rdd.glom().map(len).collect()) < 2000
+    assert {(r.reason, r.verdict): r["count"] for r in linked.groupBy("reason", "verdict").count().collect()} == {("test is before the first version", None): 1820, (None, "PASS"): 2180}
+
+
+def test_results_of_one_clause_are_dealt_over_all_tasks(spark, plain_joins):
+    results = spark.range(4000).select(F.col("id").alias("record_id"), F.lit(1).alias("position"), F.lit("ThCC").alias("criterion"), F.lit(1.0).alias("value"), F.lit("R1#5.1").alias("link"))
+    versions = spark.sql("SELECT 1 AS version_id, 'R1' AS code, DATE '2000-07-01' AS effective")
+    clauses = spark.sql("SELECT 1 AS clause_id, 1 AS version_id, '5.1' AS section, 'ThCC must be less than 5 mm' AS text")
+    tests = spark.createDataFrame([], "record_id long, confidential boolean, owner string")
+    got = H.close_to_limits(results, tests, versions, clauses, None, 42.0, 3).collect()
+    assert [(r.place, r.record_id, r.limit_value, r.headroom) for r in got] == [(1, 0, 5.0, 4.0), (2, 1, 5.0, 4.0), (3, 2, 5.0, 4.0)]
+    plan = H.close_to_limits(results, tests, versions, clauses, None, 42.0, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_nth" in [x for x in plan.split("\n") if "Join LeftOuter" in x][0]
+
+
+def test_only_texts_that_may_change_are_normalised_in_python(spark):
+    import unicodedata
+
+    texts = [chr(i) for i in range(0x3000) if not 0xD800 <= i < 0xE000] + ["Prüfung – Straße, «été»", "a\n", "e\u0301", "ﬁn", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(T.PLAIN).alias("plain")).collect()
+    plain = [r.t for r in rows if r.plain]
+    assert all(unicodedata.normalize("NFKC", t) == t for t in plain) and {"Prüfung – Straße, «été»", "a\n", "ß", "œ", ""} <= set(plain) and not {"e\u0301", "ﬁn", "\u0301"} & set(plain)
+    assert unicodedata.normalize("NFKC", "".join(plain[: plain.index("Prüfung – Straße, «été»")])) == "".join(plain[: plain.index("Prüfung – Straße, «été»")])
