@@ -133,8 +133,8 @@ def settle_records(results: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome)
 
 
-#: Days of a stretch of time that versions are looked up by.
-STRETCH = 32
+#: Days of a stretch of time that versions are looked up by; parts of the results of one clause.
+STRETCH, SPREAD = 32, 64
 
 
 def in_force(rows: DataFrame, versions: DataFrame, code: str, day: str) -> DataFrame:
@@ -144,15 +144,16 @@ def in_force(rows: DataFrame, versions: DataFrame, code: str, day: str) -> DataF
     looked up by code. Those before are listed for every stretch of STRETCH days that they hold in, so a row meets only the versions of
     its own stretch in an equi-join, and a code that many rows have is many keys.
     """
-    until = F.lead("effective").over(Window.partitionBy("code").orderBy("effective", "version_id"))
-    spans = versions.where("code IS NOT NULL AND effective IS NOT NULL").withColumn("_until", until)
+    until = F.lead("effective").over(Window.partitionBy("code").orderBy("effective"))
+    days = versions.where("code IS NOT NULL AND effective IS NOT NULL").groupBy("code", "effective").agg(F.max("version_id").alias("version_id"))
+    spans = days.withColumn("_until", until)
     spans = spans.select(F.col("code").alias("_code"), F.col("version_id").alias("_version"), F.col("effective").alias("_from"), "_until")
 
     def stretch(c: Column) -> Column:
         return F.floor(F.unix_date(c) / STRETCH).cast("int")
 
     last = spans.where("_until IS NULL").select(F.col("_code").alias("_open"), F.col("_from").alias("_open_from"), F.col("_version").alias("_open_version"))
-    past = spans.where("_from < _until").withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_from")), stretch(F.date_sub("_until", 1)))))
+    past = spans.where("_until IS NOT NULL").withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_from")), stretch(F.date_sub("_until", 1)))))
     met = rows.withColumn("_at", stretch(F.col(day))).join(last, F.col(code) == F.col("_open"), "left")
     holds = (F.col(code) == F.col("_code")) & (F.col("_at") == F.col("_stretch")) & (F.col(day) >= F.col("_from")) & (F.col(day) < F.col("_until"))
     version = F.when(F.col(day) >= F.col("_open_from"), F.col("_open_version")).otherwise(F.col("_version"))
@@ -164,13 +165,17 @@ def link_results(results: DataFrame, versions: DataFrame, clauses: DataFrame) ->
 
     results: record_id, position, test_date (text), criterion, value, unit, link (CODE#SECTION); versions: version_id, code, effective;
     clauses: clause_id, version_id, section, text, of which the smallest clause_id of a section counts. The version is that of in_force().
+
+    Codes are few and results many, so results never meet a table by code, or by a version that most have or lack: clauses are looked up for each
+    distinct code, day and section, and results meet them by all three.
     """
     known = versions.groupBy("code").agg(F.min("effective").alias("earliest"), F.max(F.col("effective").isNull()).alias("undated"))
     once = clauses.groupBy("version_id", "section").agg(F.min_by("text", "clause_id").alias("text"))
     day = F.when(F.col("test_date").rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp("test_date", F.lit("yyyy-M-d")).cast("date"))
     rows = results.withColumn("day", day).withColumn("code", F.nullif(F.regexp_extract("link", "^([^#]*)#", 1), F.lit(""))).withColumn("section", F.regexp_extract("link", "(?s)^[^#]*#(.*)$", 1))
-    rows = rows.join(known, "code", "left")
-    rows = with_limits(in_force(rows, versions, "code", "day").join(once, ["version_id", "section"], "left"), "text", {"lim": F.col("criterion")})
+    asked = rows.where("code IS NOT NULL AND day IS NOT NULL").select("code", "day", "section").distinct().join(known, "code")
+    asked = in_force(asked, versions, "code", "day").join(once, ["version_id", "section"], "left")
+    rows = with_limits(rows.join(asked, ["code", "day", "section"], "left"), "text", {"lim": F.col("criterion")})
     checks = [
         (F.col("criterion").isNull() | F.col("value").isNull() | F.col("test_date").isNull(), "schema: incomplete result"),
         (F.col("day").isNull(), "date: not YYYY-MM-DD"),
@@ -201,7 +206,10 @@ def close_to_limits(results: DataFrame, tests: DataFrame, versions: DataFrame, c
     rows = results.where("value IS NOT NULL").join(owned, F.col("record_id") == F.col("_record"), "left")
     rows = rows.where(F.col("_record").isNull() | visible(user, F.col("confidential"), F.col("owner")))
     rows = rows.select("record_id", "position", F.coalesce("criterion", F.lit("ThCC")).alias("criterion"), "value", "link", F.regexp_extract("link", "^([^#]*)#", 1).alias("_c"), F.regexp_extract("link", "(?s)^[^#]*#(.*)$", 1).alias("_s"))
-    rows = rows.join(now, F.col("_c") == F.col("_code"), "left").join(once, (F.col("_version") == F.col("_of")) & (F.col("_s") == F.col("_section")), "left")
+    # few clauses of many results: each is looked up once and dealt out SPREAD times, so no task has all results of one
+    asked = rows.select("_c", "_s").distinct().join(now, F.col("_c") == F.col("_code"))
+    asked = asked.join(once, (F.col("_version") == F.col("_of")) & (F.col("_s") == F.col("_section"))).select("_c", "_s", "_text", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_nth"))
+    rows = rows.withColumn("_nth", F.pmod(F.xxhash64("record_id", "position"), F.lit(SPREAD)).cast("int")).join(asked, ["_c", "_s", "_nth"], "left")
     rows = with_limits(rows, "_text", {"_found": F.col("criterion")})
     known = F.col("_found.value").isNotNull() & F.col("_found.direction").isNotNull()
     rows = rows.where(~known | (F.col("_found.unit") == "mm"))
