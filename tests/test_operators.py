@@ -243,6 +243,21 @@ def test_lines_are_dealt_to_as_many_tasks_as_the_pages_need(spark, monkeypatch):
     assert S.structured_chunks(pages).rdd.getNumPartitions() == 40
 
 
+def test_lines_are_cut_in_their_arrays_and_only_finished_pieces_are_sorted(spark):
+    pages = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(1).alias("page_number"), F.lit("2. Scope of it\n2.1. text\n| a | b |\n| 1 | 2 |").alias("text"))
+
+    def steps(df, name):
+        return df._jdf.queryExecution().executedPlan().toString().count(name)
+
+    chunks, blocks = S.structured_chunks(pages), S.blocks(pages)
+    assert steps(chunks, "Sort [") == 1 and steps(blocks, "Sort [") == 0
+    assert steps(chunks, "- Window [") == 2 and steps(blocks, "- Window [") == 0
+    # the pages of a document are collected, in part and whole; nothing is grouped again
+    assert steps(chunks, "Aggregate(keys=") == 2 and steps(blocks, "Aggregate(keys=") == 2
+    # no step that makes a document's pieces is done twice, to test the size of what it makes
+    assert all(steps(df, "Filter (") == 0 for df in (chunks, blocks, chunks.groupBy("doc_id").count(), blocks.select("block_id")))
+
+
 @pytest.fixture
 def plain_joins(spark):
     """Joins by shuffle, as large tables have them."""
